@@ -1,0 +1,37 @@
+from pyspark.sql import functions as F
+
+from brevia.functions import text as tx
+from brevia.operators import search, vector
+from brevia.streaming import token_bucket
+
+
+def test_cosine_of_zero_vector_is_zero(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [-1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
+    assert [r.c for r in df.select(vector.cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, 0.0, -1.0, 0.0]
+
+
+def test_weights_sum_to_one():
+    assert all(abs(sum(w[1:]) - 1) < 1e-12 for w in search.weights())
+
+
+def test_selection_skips_copies_and_keeps_the_budget(spark):
+    rows = [[(1, 0.9, 400, ["a", "b"]), (2, 0.8, 400, ["a", "b"]), (3, 0.7, 400, ["c"]), (4, 0.6, 400, ["d"])]]
+    df = spark.createDataFrame([(r,) for r in rows], "r array<struct<id:bigint,sim:double,cost:int,words:array<string>>>")
+    assert df.select(search.select_within_budget(F.col("r"), 5, 1000, marginal=0.0).alias("x")).first().x == [1, 3]
+
+
+def test_legal_metadata(spark):
+    df = spark.createDataFrame([("Art. 5-A da Lei nº 8.112/90, § 3, revogado. STF. CESPE 2010 e 2013\nIV - pena",)], "t string")
+    m = df.select(tx.legal_metadata(F.col("t")).alias("m")).first().m
+    assert (m.article, m.paragraph, m.item, m.law, m.board, m.year, m.stf, m.is_revoked, m.penalty) == ("5-A", "3", "IV", "8.112/90", "CESPE", "2013", True, True, True)
+
+
+def test_token_bucket(spark):
+    df = spark.createDataFrame([([(0.0, 1), (0.1, 2), (0.2, 3), (0.5, 4), (1.3, 5)],)], "r array<struct<t:double,id:bigint>>")
+    out = df.select(F.inline(token_bucket.fold(F.col("r"), 2, 1.0))).collect()
+    assert [r.allowed for r in out] == [True, True, False, False, True]
+
+
+def test_secrets_are_masked(spark):
+    df = spark.createDataFrame([("mail a.b@c.example.com, cpf 123.456.789-09, password: x1",)], "t string")
+    assert df.select(tx.redact(F.col("t")).alias("x")).first().x == "mail ***EMAIL***, cpf ***CPF***, ***CREDENTIAL***"
