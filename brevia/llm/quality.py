@@ -73,7 +73,9 @@ def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataF
     """(host, line) of the lines that stand in more than max_documents distinct documents of a host."""
     longest = F.array_max(F.transform(words(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     normal = F.transform(_normal_lines(F.col("text")), lambda x: F.xxhash64(x))
-    lines = docs.select(F.xxhash64("source").alias("host"), F.xxhash64(longest).alias("known_by"), F.explode(F.array_distinct(normal)).alias("line"))
+    # worked out below the explode, so once for each document
+    packed = docs.select(F.xxhash64("source").alias("host"), F.xxhash64(longest).alias("known_by"), F.array_distinct(normal).alias("lines"))
+    lines = packed.select("host", "known_by", F.explode("lines").alias("line"))
     lines = lines.where(F.col("line") != F.xxhash64(F.lit("")))
     return lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select("host", "line")
 
@@ -84,7 +86,7 @@ def removed_words(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     if frequent.count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
     packed = F.transform(_normal_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("words")))
-    lines = docs.select("doc_id", "row_hash", F.xxhash64("source").alias("host"), F.posexplode(packed).alias("pos", "l")).select("doc_id", "row_hash", "host", "pos", "l.line", "l.words")
+    lines = docs.select("doc_id", "row_hash", F.xxhash64("source").alias("host"), packed.alias("lines")).select("doc_id", "row_hash", "host", F.posexplode("lines").alias("pos", "l")).select("doc_id", "row_hash", "host", "pos", "l.line", "l.words")
     hit = lines.where("words > 0").join(frequent, ["host", "line"]).select("doc_id", "row_hash", "pos", "words")
     # repeated rows have the same key: a position counts once
     return hit.distinct().groupBy("doc_id", "row_hash").agg(F.sum("words").alias("removed"))
