@@ -33,6 +33,8 @@ from .common import cut, pick
 COORDINATES = 64
 TILE = 1024
 LEAF = 16
+#: Rows of blocks of one tile that a task searches together, about.
+PACKED = 4096
 #: Classes whose smallest doc_id may be broadcast to find their texts (8 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -252,6 +254,29 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Candidates between components: rows (block, e, n, point, root) of the blocks that have several."""
     order = Window.partitionBy("block").orderBy("n", F.substring("point", 1, 8), "e")
     rows = cut(rows.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE)), "tiles")
+    large = cut(rows.where("tile > 0").select("block").distinct(), "large")
+    # blocks of one tile are gathered into groups of about PACKED rows, each block searched on its own
+    groups = max(1, rows.count() // PACKED)
+    small = rows.join(large, "block", "left_anti").withColumn("pack", F.pmod(F.xxhash64("block"), F.lit(groups)))
+
+    def search_each(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block", kind="stable")
+        points = np.frombuffer(b"".join(part["point"]), np.uint32).reshape(-1, COORDINATES)
+        block, e, n, root = (part[c].to_numpy() for c in ("block", "e", "n", "root"))
+        bounds = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1))
+        found: set[tuple[int, int]] = set()
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            tree = RTree(points[i:j])
+            for k in range(i, j):
+                for other in tree.search(points[k], int(n[k]), percent) + i:
+                    if root[other] != root[k] and e[other] > e[k]:
+                        found.add((int(e[k]), int(e[other])))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    near = small.groupBy("pack").applyInPandas(search_each, "a long, b long")
+    if not large.count():
+        return near.distinct()
+    rows = rows.join(large, "block", "left_semi")
 
     def boxes(key, part: pd.DataFrame) -> pd.DataFrame:
         points = np.vstack([np.frombuffer(p, np.uint32) for p in part["point"]])
@@ -284,7 +309,7 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
         a, b = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return one.unionByName(two).groupBy("block", "t1", "t2").applyInPandas(search, "a long, b long").distinct()
+    return one.unionByName(two).groupBy("block", "t1", "t2").applyInPandas(search, "a long, b long").unionByName(near).distinct()
 
 
 def join_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
