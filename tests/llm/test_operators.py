@@ -209,3 +209,17 @@ def test_pipeline_stages(spark):
     out = cp.pii_stage(spark, cp.decontamination_stage(spark, docs, SMALL), SMALL)
     assert out.columns == docs.columns and out.count() <= docs.count()
     assert cp.encode_stage(spark, out, SMALL).count() == out.count()
+
+
+def test_ngram_join_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 2)
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 500, 120)]
+    rows = []
+    for k in range(14):
+        w = list(base)
+        for at in rng.choice(120, k % 4 + 1, replace=False):
+            w[at] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_documents(spark.createDataFrame(rows, DOC), 3, 90).collect()}
+    assert got == brute_components(rows, 3, 90)
