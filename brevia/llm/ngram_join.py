@@ -7,11 +7,11 @@ Every document becomes the set of its distinct word n-grams (64-bit hashes). Doc
    emits the content hashes of its groups (and those for the next size class, if a partner may be there). Sets that
    share one stand in one block.
 2. Hubs. In each block every member is paired with the member that shares most groups in all. Group counts are
-   points; summed coordinate minima bound the overlap; surviving pairs are verified on the whole sets. Large groups
+   points, of more coordinates for larger sets; summed coordinate minima bound the overlap; surviving pairs are verified on the whole sets. Large groups
    of near copies become one component by as many pairs as they have members.
 3. R-tree. Only blocks whose members are still in more than one component go on: their points are packed into tiles
    (sorted by size and coordinates, 1024 a tile) with bounding boxes, tiles that the bound allows are met, and in
-   each pair of tiles an R-tree over the points finds the pairs between components. These are verified too, so no
+   each pair of tiles an R-tree over the points finds the pairs between components. These are bounded by the finer points and verified too, so no
    link between different texts is lost.
 4. Components by large-star and small-star rounds.
 
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import cut, pick
 
 COORDINATES = 64
+#: N-grams for each coordinate of a fine point, about: with more, the bound of a long text is never under the threshold.
+PER_COORDINATE = 8
 TILE = 1024
 LEAF = 16
 #: Rows of blocks of one tile that a task searches together, about.
@@ -134,6 +136,23 @@ def counts(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).astype(np.uint32)
 
 
+def fine_counts(hashes: np.ndarray) -> np.ndarray:
+    """The point of a set among as many groups as its size asks for: COORDINATES, or a power of two times that."""
+    c = COORDINATES
+    while c * PER_COORDINATE < len(hashes):
+        c *= 2
+    return np.bincount((hashes & np.uint64(c - 1)).astype(np.int64), minlength=c).astype(np.uint32)
+
+
+def overlap_bound(x: bytes, y: bytes) -> int:
+    """Summed coordinate minima of two fine points; the one of more groups is folded to the other's number."""
+    p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    if len(p) != len(q):
+        c = min(len(p), len(q))
+        p, q = p.reshape(-1, c).sum(axis=0), q.reshape(-1, c).sum(axis=0)
+    return int(np.minimum(p, q).sum())
+
+
 def set_key(hashes: np.ndarray) -> np.uint64:
     with np.errstate(over="ignore"):
         return mix(np.sum(mix(hashes ^ PART[5]), dtype=np.uint64, keepdims=True) + np.uint64(len(hashes)) * PART[6])[0]
@@ -174,7 +193,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, e (class), n, point, blocks for every row."""
+    """doc_id, e (class), n, point, fine, blocks for every row."""
 
     def run(batches):
         shingle, blocks = Shingler(n), Blocks(percent)
@@ -186,11 +205,12 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     pa.array(_signed(np.array([set_key(s) for s in sets], np.uint64)), pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([counts(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([fine_counts(s).tobytes() for s in sets], pa.binary()),
                     pa.array([_signed(blocks(s)) for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "e", "n", "point", "blocks"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "e", "n", "point", "fine", "blocks"])
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, e long, n long, point binary, blocks array<long>")
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, e long, n long, point binary, fine binary, blocks array<long>")
 
 
 def _parts(b: pa.RecordBatch, characters: int = 400_000):
@@ -325,7 +345,7 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     hub = F.max(F.struct("shared", "e")).over(of_block)["e"]
     pairs = rows.join(shared, "e").withColumn("hub", hub).where("e != hub").select(F.least("e", "hub").alias("a"), F.greatest("e", "hub").alias("b")).distinct()
 
-    points = cut(once.join(shared.select("e"), "e", "left_semi").select("e", "n", "point", "doc_id"), "points")
+    points = cut(once.join(shared.select("e"), "e", "left_semi").select("e", "n", "point", "fine", "doc_id"), "points")
     few = points.count() <= BROADCAST_ROWS
     wanted = points.select("doc_id").distinct()
     texts = pick(docs, doc_id="long", text="string").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
@@ -333,20 +353,20 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def bounded(p: pd.Series, q: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, COORDINATES) for s in (p, q))
-        return pd.Series(np.minimum(x, y).sum(axis=1) >= need(n1.to_numpy(), n2.to_numpy(), percent), index=p.index)
+        bound = np.array([overlap_bound(x, y) for x, y in zip(p, q, strict=True)], np.int64)
+        return pd.Series(bound >= need(n1.to_numpy(), n2.to_numpy(), percent), index=p.index)
 
     def surviving(pairs: DataFrame) -> DataFrame:
-        one = points.select(F.col("e").alias("a"), F.col("point").alias("p"), F.col("n").alias("n1"))
-        two = points.select(F.col("e").alias("b"), F.col("point").alias("q"), F.col("n").alias("n2"))
+        one = points.select(F.col("e").alias("a"), F.col("fine").alias("p"), F.col("n").alias("n1"))
+        two = points.select(F.col("e").alias("b"), F.col("fine").alias("q"), F.col("n").alias("n2"))
         return pairs.join(one, "a").join(two, "b").where(bounded("p", "q", "n1", "n2")).select("a", "b")
 
     links = cut(_verified(surviving(pairs), sets, percent), "links")
     root = components(links)
     placed = rows.join(root.withColumnRenamed("v", "e"), "e", "left").withColumn("root", F.coalesce("root", "e"))
     open_ = placed.withColumn("open", F.min("root").over(of_block) != F.max("root").over(of_block)).where("open").drop("open")
-    rest = _tile_pairs(open_.join(points.drop("doc_id"), "e"), percent)
-    more = cut(_verified(rest, sets, percent), "more_links")
+    rest = _tile_pairs(open_.join(points.drop("doc_id", "fine"), "e"), percent)
+    more = cut(_verified(surviving(rest), sets, percent), "more_links")
     if more.count():
         root = components(links.unionByName(more))
     root = cut(root, "roots")
