@@ -3,7 +3,9 @@
 Every document becomes the set of its distinct word n-grams (64-bit hashes). Documents with equal sets are one class.
 
 1. Groups. Sizes fall into classes of width 1.5; for the largest size of a class the sets of a linked pair differ in
-   at most D n-grams, so of D + 1 ranges of the hash space at least one holds the same n-grams in both. Each class
+   at most D n-grams, so of D + 1 ranges of the hash space at least one holds the same n-grams in both. Ranges that
+   are empty count too, but a set with more than D filled ranges has a filled one in common with each partner, and
+   leaves its empty ones out: else all long texts would meet in these. Each class
    emits the content hashes of its groups (and those for the next size class, if a partner may be there). Sets that
    share one stand in one block.
 2. Hubs. In each block every member is paired with the member that shares most groups in all. Group counts are
@@ -111,7 +113,8 @@ class Blocks:
     def _groups(self, size_class: int) -> np.ndarray:
         if size_class not in self.edges:
             largest = self.floors[size_class + 1] - 1
-            k = 2 * largest * (100 - self.percent) // (100 + self.percent) + 1
+            differ = 2 * largest * (100 - self.percent) // (100 + self.percent)
+            k = differ + 1 + differ // 16  # some to spare for ranges that hold nothing
             self.edges[size_class] = np.array([i * 2**64 // k for i in range(1, k)], np.uint64)
         return self.edges[size_class]
 
@@ -127,7 +130,12 @@ class Blocks:
             for c in classes:
                 at = np.concatenate([[0], np.searchsorted(hashes, self._groups(c)), [n]])
                 label = np.arange(len(at) - 1, dtype=np.uint64) + (np.uint64(c) << np.uint64(40))
-                out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(label * PART[3] + np.diff(at).astype(np.uint64))))
+                held = np.diff(at)
+                keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(label * PART[3] + held.astype(np.uint64)))
+                # with more filled ranges than n-grams can differ, a linked set has a filled one in common with this
+                partner = min(self.floors[c + 1] - 1, n * 100 // self.percent)
+                differ = (n + partner) * (100 - self.percent) // (100 + self.percent)
+                out.append(keys[held > 0] if np.count_nonzero(held) > differ else keys)
         return np.concatenate(out)
 
 
