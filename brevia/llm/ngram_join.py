@@ -39,7 +39,7 @@ TILE = 1024
 LEAF = 16
 #: Rows of blocks of one tile that a task searches together, about.
 PACKED = 4096
-#: Classes whose smallest doc_id may be broadcast to find their texts (8 bytes each).
+#: Classes whose key or smallest doc_id may be broadcast to find their texts (8 bytes each).
 BROADCAST_ROWS = 500_000
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -357,7 +357,10 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     few = points.count() <= BROADCAST_ROWS
     wanted = points.select("doc_id").distinct()
     texts = pick(docs, doc_id="long", text="string").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = cut(_sets(texts, n).join(points.select("e"), "e", "left_semi").dropDuplicates(["e"]), "sets")
+    known = points.select("e")
+    sets = cut(_sets(texts, n).join(F.broadcast(known) if few else known, "e", "left_semi"), "sets")
+    if sets.count() > points.count():  # rows that share a doc_id
+        sets = sets.dropDuplicates(["e"])
 
     @F.pandas_udf("boolean")
     def bounded(p: pd.Series, q: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
