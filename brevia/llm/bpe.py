@@ -17,11 +17,12 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, text_parts
 
 #: What the vocabulary file's normaliser calls white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -189,21 +190,19 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     def run(batches):
         bpe = load(path or default_path())
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.string()] if keep_ids else [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["doc_id", "ids", "decoded"] if keep_ids else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         for b in batches:
-            rows = []
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for doc_ids, texts in text_parts(b):
+                rows = []
+                for doc_id, text in zip(doc_ids, texts, strict=True):
                     parts = bpe.parts(text or "")
                     ids = " ".join([p[1] for p in parts])
                     decoded = " ".join([p[2] for p in parts])
                     if keep_ids:
-                        rows.append((doc_id, [int(i) for i in ids.split()], decoded))
+                        rows.append((doc_id, np.array(ids.split(), np.int32), decoded))
                     else:
                         rows.append((doc_id, sum([p[0] for p in parts]), sha(ids), sha(decoded)))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []][: 3 if keep_ids else 4]
-            kinds = [pa.int64(), pa.list_(pa.int32()), pa.string()] if keep_ids else [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "ids", "decoded"] if keep_ids else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return pick(docs, doc_id="long", text="string").mapInArrow(run, full if keep_ids else digests)

@@ -54,3 +54,17 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns, cast: pick(df, doc_id="long", text="string"). A column that is missing is null."""
     have = set(df.columns)
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in cols.items()])
+
+
+def text_parts(b, characters: int = 400_000):
+    """The rows (doc_id, text) of an Arrow batch as lists, in parts of about so many characters."""
+    ids, texts, size = [], [], 0
+    for k in range(b.num_rows):
+        ids.append(b.column(0)[k].as_py())
+        texts.append(b.column(1)[k].as_py())
+        size += len(texts[-1] or "")
+        if size >= characters:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts

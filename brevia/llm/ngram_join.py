@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, text_parts
 
 COORDINATES = 64
 #: N-grams for each coordinate of a fine point, about: with more, the bound of a long text is never under the threshold.
@@ -206,7 +206,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches):
         shingle, blocks = Shingler(n), Blocks(percent)
         for b in batches:
-            for ids, texts in _parts(b):
+            for ids, texts in text_parts(b):
                 sets = shingle(texts)
                 cols = [
                     pa.array(ids, pa.int64()),
@@ -221,25 +221,11 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, e long, n long, point binary, fine binary, blocks array<long>")
 
 
-def _parts(b: pa.RecordBatch, characters: int = 400_000):
-    """The rows of a batch in parts of bounded length."""
-    ids, texts, size = [], [], 0
-    for k in range(b.num_rows):
-        ids.append(b.column(0)[k].as_py())
-        texts.append(b.column(1)[k].as_py())
-        size += len(texts[-1] or "")
-        if size >= characters:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         shingle = Shingler(n)
         for b in batches:
-            for _, texts in _parts(b):
+            for _, texts in text_parts(b):
                 sets = shingle(texts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_signed(np.array([set_key(s) for s in sets], np.uint64)), pa.int64()), pa.array([_signed(s) for s in sets], pa.list_(pa.int64()))], ["e", "grams"]
