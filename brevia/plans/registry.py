@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brevia.functions import pieces
 from brevia.functions import text as tx
-from brevia.operators import search, vector
-from brevia.streaming import token_bucket
+from brevia.operators import evaluation, search, vector
+from brevia.streaming import circuit_breaker, token_bucket
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -459,3 +460,58 @@ def cache_simulation(spark, d):
 def round_robin(spark, d):
     """R5."""
     return t(spark, d, "events").groupBy((F.col("event_id") % 3).cast("int").alias("provider")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# --- evaluation of variants, circuit breaker, pieces -----------------------------------------------------------------
+def _results(spark, d):
+    """Events read as evaluated cases."""
+    v = F.col("value")
+    return t(spark, d, "events").select(
+        F.when(F.col("event_id") % 2 == 0, "baseline").otherwise("candidate").alias("variant"), F.col("event_type").alias("tipo"), (v >= 5).cast("double").alias("recall_at_5"),
+        (v >= 8).cast("double").alias("citation"), (v < 90).cast("double").alias("coverage"), (v / 100).alias("latency_s"), (v / 10000).alias("cost_usd"), (v > 99).alias("timeout"), (v < 0.5).alias("error"),
+    )
+
+
+_LEVEL_NAMES = [name for name, _, _ in evaluation.LEVELS]
+_METRICS = """WITH r AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS variant, event_type AS tipo, value AS v FROM events),
+m AS (SELECT variant, coalesce(tipo, 'overall') AS tipo, count(*) AS n_cases, avg((v >= 5)::INT) AS recall_at_5, avg((v >= 8)::INT) AS citation, avg((v < 90)::INT) AS coverage, quantile_disc(v / 100, 0.95) AS p95_latency_s,
+avg(v / 10000) AS mean_cost_usd, avg((v > 99)::INT) AS timeout_rate, avg((v < 0.5)::INT) AS error_rate FROM r GROUP BY GROUPING SETS ((variant, tipo), (variant)))
+"""
+_OK = {name: f"{name} {'>=' if more else '<='} {limit}" for name, more, limit in evaluation.LEVELS}
+
+
+@query(_METRICS + f"SELECT variant, tipo, n_cases, {', '.join(f'round({n}, 6) AS {n}' for n in _LEVEL_NAMES)}, {', '.join(f'{c} AS {n}_ok' for n, c in _OK.items())}, {' AND '.join(_OK.values())} AS all_pass FROM m")
+def integrated_slo(spark, d):
+    """A9, A10."""
+    m = evaluation.service_levels(evaluation.integrated_metrics(_results(spark, d), "variant"))
+    return m.withColumns({n: F.round(n, 6) for n in _LEVEL_NAMES})
+
+
+_DELTA = {n: f"max(CASE WHEN variant = 'candidate' THEN {n} END) - max(CASE WHEN variant = 'baseline' THEN {n} END)" for n in _LEVEL_NAMES}
+_NOT_WORSE = [_DELTA[n] + (" >= 0" if more else " <= 0") for n, more, _ in evaluation.LEVELS]
+
+
+@query(_METRICS + f"SELECT tipo, {', '.join(f'round({x}, 6) AS {n}_delta' for n, x in _DELTA.items())}, {' AND '.join(_NOT_WORSE)} AS dominates FROM m GROUP BY tipo")
+def variant_deltas(spark, d):
+    """A11."""
+    x = evaluation.deltas(evaluation.integrated_metrics(_results(spark, d), "variant"), "baseline", "candidate")
+    return x.withColumns({f"{n}_delta": F.round(f"{n}_delta", 6) for n in _LEVEL_NAMES})
+
+
+@query()
+def circuit_breaker_decisions(spark, d):
+    """A call fails whose value is under 10; after three in a row a user's calls are refused for a day."""
+    return circuit_breaker.decide(t(spark, d, "events"), "user_id", F.coalesce(F.col("value") >= 10, F.lit(False)), 3, 86400.0)
+
+
+@query()
+def message_pieces(spark, d):
+    """N11."""
+    return t(spark, d, "documents").select("doc_id", F.posexplode(pieces.messages(F.col("text"), 2000)).alias("pos", "message"))
+
+
+@query("WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, CAST(i AS INT) AS pos, CAST(least(50, n - i * 40) AS INT) AS n_words FROM (SELECT doc_id, n, unnest(range(0, greatest(1, CAST(ceil((n - 10) / 40.0) AS BIGINT)))) AS i FROM w WHERE n > 0)")
+def token_windows(spark, d):
+    """Windows of 50 words that overlap by 10."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
+    return t(spark, d, "documents").select("doc_id", words.alias("w")).select("doc_id", F.posexplode(pieces.token_windows(F.col("w"), 50, 10)).alias("pos", "win")).select("doc_id", "pos", F.size("win").alias("n_words"))
