@@ -29,8 +29,9 @@ METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def _repeat_words(n: int = 8) -> dict[str, Column]:
     """Columns to add one after the other; the last is the number of words in windows that occur twice or more."""
-    windows = F.when(F.size("w") < n, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda k: F.xxhash64(F.slice("w", k, n)))
+    # hw is named more than once, else the optimiser would put its expression into the lambda
+    windows = F.when(F.size("hw") < n, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size("hw") - (n - 1)), lambda k: F.xxhash64(F.slice("hw", k, n)))
     )
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     s = F.when(F.size("h") == F.size(F.array_distinct("h")), none).otherwise(F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -38,25 +39,40 @@ def _repeat_words(n: int = 8) -> dict[str, Column]:
     same = lambda x, k: F.coalesce(x["h"] == at(k - 1), F.lit(False)) | F.coalesce(x["h"] == at(k + 1), F.lit(False))
     i = F.array_sort(F.transform(F.filter("s", same), lambda x: x["i"]))
     steps = F.transform("i", lambda x, k: F.when(k == 0, F.lit(n)).otherwise(F.least(F.lit(n), x - F.get("i", k - 1))))
-    return {"h": windows, "s": s, "i": i, "n_repeat_words": F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x)}
+    # each word is hashed once, windows are hashes of their words' hashes
+    return {"hw": F.transform("w", lambda w: F.xxhash64(w)), "h": windows, "s": s, "i": i, "n_repeat_words": F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x)}
 
 
-def with_metrics(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, source, text) with METRICS and base_failed."""
+def _normal_lines(text: Column) -> Column:
+    """Lower case, white space inside as one space, none at the ends; lines without a word are empty."""
+    # a single space is no match, so most of a text is passed over
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\x20{2,}[\x20\x09\x0B-\x0D]*|\x20?[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*", " ")
+    return F.transform(F.split(spaced, "\n"), lambda x: F.trim(x))
+
+
+def profiled(docs: DataFrame) -> DataFrame:
+    """docs without its text, but with METRICS, base_failed, host (hash), known_by (hash of the longest word) and lines:
+    array<struct<line (hash), words>>, of words 0 where the line is empty. Each text is gone through once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     filled = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    df = docs.withColumn("w", words(F.col("text")))
+    df = docs.withColumn("w", words(F.col("text"))).withColumn("filled", filled)
     for name, col in _repeat_words().items():
         df = df.withColumn(name, col)
-    made = F.struct(
+    longest = F.array_max(F.transform("w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    lines = F.transform(_normal_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.when(x == "", 0).otherwise(spaces(x) + 1).alias("words")))
+    df = df.select(
+        *[c for c in docs.columns if c != "text"],
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate(text, "\x20\t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size(filled) - F.size(F.array_distinct(filled))).cast("long").alias("n_dup_lines"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size("filled") - F.size(F.array_distinct("filled"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
+        F.xxhash64("source").alias("host"),
+        F.xxhash64(longest).alias("known_by"),
+        lines.alias("lines"),
     )
-    # inline() keeps later filters above it: pushed below, they would work the arrays out again for every element
-    return df.select(*docs.columns, F.inline(F.array(made))).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -64,39 +80,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_hash", F.xxhash64("source", "text"))
 
 
-def _normal_lines(text: Column) -> Column:
-    """Lower case, white space inside as one space, none at the ends; lines without a word are empty."""
-    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
-
-
-def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def frequent_lines(profiles: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(host, line) of the lines that stand in more than max_documents distinct documents of a host."""
-    longest = F.array_max(F.transform(words(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    normal = F.transform(_normal_lines(F.col("text")), lambda x: F.xxhash64(x))
-    # worked out below the explode, so once for each document
-    packed = docs.select(F.xxhash64("source").alias("host"), F.xxhash64(longest).alias("known_by"), F.array_distinct(normal).alias("lines"))
-    lines = packed.select("host", "known_by", F.explode("lines").alias("line"))
-    lines = lines.where(F.col("line") != F.xxhash64(F.lit("")))
+    lines = profiles.select("host", "known_by", F.explode("lines").alias("l")).where("l.words > 0").select("host", "known_by", "l.line")
     return lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select("host", "line")
 
 
-def removed_words(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+def removed_words(profiles: DataFrame, frequent: DataFrame) -> DataFrame:
     """For each row key with frequent lines the words in these: (doc_id, row_hash, removed)."""
     frequent = cut(frequent, "frequent_lines")
     if frequent.count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
-    packed = F.transform(_normal_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("words")))
-    lines = docs.select("doc_id", "row_hash", F.xxhash64("source").alias("host"), packed.alias("lines")).select("doc_id", "row_hash", "host", F.posexplode("lines").alias("pos", "l")).select("doc_id", "row_hash", "host", "pos", "l.line", "l.words")
+    lines = profiles.select("doc_id", "row_hash", "host", F.posexplode("lines").alias("pos", "l")).select("doc_id", "row_hash", "host", "pos", "l.line", "l.words")
     hit = lines.where("words > 0").join(frequent, ["host", "line"]).select("doc_id", "row_hash", "pos", "words")
     # repeated rows have the same key: a position counts once
     return hit.distinct().groupBy("doc_id", "row_hash").agg(F.sum("words").alias("removed"))
 
 
 def _judged(docs: DataFrame, max_documents: int) -> DataFrame:
-    removed = removed_words(docs, frequent_lines(docs, max_documents)).select(F.col("doc_id").alias("d"), F.col("row_hash").alias("r"), "removed")
-    df = with_metrics(docs).join(removed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")), "left")
+    profiles = cut(profiled(docs), "profiles")
+    removed = removed_words(profiles, frequent_lines(profiles, max_documents)).select(F.col("doc_id").alias("d"), F.col("row_hash").alias("r"), "removed")
+    df = profiles.drop("lines", "host", "known_by").join(removed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")), "left")
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
-    return df.withColumn("kept", ~F.col("base_failed") & (10 * left >= 3 * F.col("n_words"))).drop("d", "r", "removed", "text")
+    return df.withColumn("kept", ~F.col("base_failed") & (10 * left >= 3 * F.col("n_words"))).drop("d", "r", "removed")
 
 
 def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
