@@ -27,8 +27,8 @@ from .common import pick, text_parts
 #: What the vocabulary file's normaliser calls white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 END = "</w>"
-#: Entries that a worker remembers for runs and for fragments; a full memory is emptied.
-REMEMBERED = 400_000
+#: Entries that a worker remembers for runs and for fragments. A full memory becomes the aged one, which is still read.
+REMEMBERED = 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -66,6 +66,7 @@ class WordBpe:
         self.odd = re.compile("[\x1c-\x1f]")  # white space to str.split() only
         self.runs: dict[str, tuple[int, str, str]] = {}
         self.fragments: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.aged_runs, self.aged_fragments = {}, {}
 
     @staticmethod
     def _symbols(token: str) -> list[str]:
@@ -94,7 +95,16 @@ class WordBpe:
             return got
         if len(fragment) > 200:
             return tuple(self._encode_long(list(fragment)))
-        ids, get, made, never = list(fragment), self.rank.get, self.made, len(self.made)
+        if (got := self.aged_fragments.get(fragment)) is None:
+            got = tuple(self._merged(list(fragment)))
+        if len(fragment) <= 64:
+            if len(self.fragments) >= REMEMBERED:
+                self.aged_fragments, self.fragments = self.fragments, {}
+            self.fragments[fragment] = got
+        return got
+
+    def _merged(self, ids: list[int]) -> list[int]:
+        get, made, never = self.rank.get, self.made, len(self.made)
         ranks = [get(pair, never) for pair in self._pairs(ids)]
         while ranks and (best := min(ranks)) < never:
             k = ranks.index(best)
@@ -104,12 +114,7 @@ class WordBpe:
                 ranks[k] = get((ids[k], ids[k + 1]), never)
             if k:
                 ranks[k - 1] = get((ids[k - 1], ids[k]), never)
-        got = tuple(ids)
-        if len(self.fragments) >= REMEMBERED:
-            self.fragments.clear()
-        if len(fragment) <= 64:
-            self.fragments[fragment] = got
-        return got
+        return ids
 
     def _encode_long(self, ids: list[int]) -> list[int]:
         """The same merges through a heap over a linked list, for fragments of any length."""
@@ -132,11 +137,12 @@ class WordBpe:
 
     def encode_run(self, run: str) -> tuple[int, str, str]:
         """Of a run without white space: number of ids, ids and token strings, joined."""
-        ids = [i for w in self.word.findall(run) for f in self.fragments_of(w) for i in self.encode_fragment(f)]
-        got = len(ids), " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids])
-        if len(self.runs) >= REMEMBERED:
-            self.runs.clear()
+        if (got := self.runs.get(run) or self.aged_runs.get(run)) is None:
+            ids = [i for w in self.word.findall(run) for f in self.fragments_of(w) for i in self.encode_fragment(f)]
+            got = len(ids), " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids])
         if len(run) <= 64:
+            if len(self.runs) >= REMEMBERED:
+                self.aged_runs, self.runs = self.runs, {}
             self.runs[run] = got
         return got
 
