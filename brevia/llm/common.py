@@ -29,20 +29,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/brevia/{uuid.uuid4().hex}/{name}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting that deletes an execution's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later stages survive lost executors without
-    going back to df's inputs. The files stay until the folder is cleaned (see drop_tables)."""
+    going back to df's inputs. Shuffle files of the writing go as soon as the table is there. The table `replaces`, which
+    came from cut() too and which nothing reads any more, is deleted then. Other files stay until the folder is cleaned
+    (see drop_tables)."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    if replaces is not None:
+        _delete(spark, replaces.written_at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete all tables that cut() has written under this session's shared folder."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/brevia")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/brevia")
 
 
 def words(col):

@@ -328,13 +328,15 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def join_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    every = cut(signatures(docs, n, percent), "signatures")
-    classes = every.where("n > 0").groupBy("e").agg(F.min("doc_id").alias("rep"))
-    once = every.where("n > 0").dropDuplicates(["e"])
+    signed = cut(signatures(docs, n, percent), "signatures")
     of_block = Window.partitionBy("block")
-    rows = once.select("e", F.explode("blocks").alias("block"))
+    rows = signed.where("n > 0").dropDuplicates(["e"]).select("e", F.explode("blocks").alias("block"))
     rows = rows.withColumn("several", F.min("e").over(of_block) != F.max("e").over(of_block)).where("several").select("block", "e")
     rows = cut(rows, "blocks")
+    # the blocks are the largest part of the signatures and not asked for again
+    every = cut(signed.drop("blocks"), "points_of_all", replaces=signed)
+    classes = every.where("n > 0").groupBy("e").agg(F.min("doc_id").alias("rep"))
+    once = every.where("n > 0").dropDuplicates(["e"])
     shared = rows.groupBy("e").agg(F.count("*").alias("shared"))
     hub = F.max(F.struct("shared", "e")).over(of_block)["e"]
     pairs = rows.join(shared, "e").withColumn("hub", hub).where("e != hub").select(F.least("e", "hub").alias("a"), F.greatest("e", "hub").alias("b")).distinct()
