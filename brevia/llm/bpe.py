@@ -68,6 +68,10 @@ class WordBpe:
         self.fragments: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.aged_runs, self.aged_fragments = {}, {}
 
+    def forget(self) -> None:
+        """Give the memory of runs and fragments back."""
+        self.runs, self.fragments, self.aged_runs, self.aged_fragments = {}, {}, {}, {}
+
     @staticmethod
     def _symbols(token: str) -> list[str]:
         if not token.endswith(END):
@@ -210,5 +214,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
                     else:
                         rows.append((doc_id, sum([p[0] for p in parts]), sha(ids), sha(decoded)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        bpe.forget()  # the worker lives on for other stages' tasks
 
     return pick(docs, doc_id="long", text="string").mapInArrow(run, full if keep_ids else digests)

@@ -278,14 +278,16 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
         points = np.frombuffer(b"".join(part["point"]), np.uint32).reshape(-1, COORDINATES)
         block, e, n, root = (part[c].to_numpy() for c in ("block", "e", "n", "root"))
         bounds = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1))
-        found: set[tuple[int, int]] = set()
+        a, b = [e[:0]], [e[:0]]
         for i, j in zip(bounds[:-1], bounds[1:], strict=True):
             tree = RTree(points[i:j])
             for k in range(i, j):
-                for other in tree.search(points[k], int(n[k]), percent) + i:
-                    if root[other] != root[k] and e[other] > e[k]:
-                        found.add((int(e[k]), int(e[other])))
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+                other = tree.search(points[k], int(n[k]), percent) + i
+                other = e[other[(root[other] != root[k]) & (e[other] > e[k])]]
+                if len(other):
+                    a.append(np.full(len(other), e[k])), b.append(other)
+        # 16 bytes a pair; a pair of several blocks is told once a task's group
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
     near = small.groupBy("pack").applyInPandas(search_each, "a long, b long")
     if not large.count():
