@@ -267,7 +267,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Candidates between components: rows (block, e, n, point, root) of the blocks that have several."""
     order = Window.partitionBy("block").orderBy("n", F.substring("point", 1, 8), "e")
-    rows = cut(rows.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE)), "tiles")
+    rows = tiles = cut(rows.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE)), "tiles")
     large = cut(rows.where("tile > 0").select("block").distinct(), "large")
     # blocks of one tile are gathered into groups of about PACKED rows, each block searched on its own
     groups = max(1, rows.count() // PACKED)
@@ -291,7 +291,7 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     near = small.groupBy("pack").applyInPandas(search_each, "a long, b long")
     if not large.count():
-        return near.distinct()
+        return cut(near.distinct(), "candidates", replaces=tiles)
     rows = rows.join(large, "block", "left_semi")
 
     def boxes(key, part: pd.DataFrame) -> pd.DataFrame:
@@ -325,7 +325,8 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
         a, b = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return one.unionByName(two).groupBy("block", "t1", "t2").applyInPandas(search, "a long, b long").unionByName(near).distinct()
+    found = one.unionByName(two).groupBy("block", "t1", "t2").applyInPandas(search, "a long, b long").unionByName(near)
+    return cut(found.distinct(), "candidates", replaces=tiles)
 
 
 def join_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -367,7 +368,8 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     placed = rows.join(root.withColumnRenamed("v", "e"), "e", "left").withColumn("root", F.coalesce("root", "e"))
     open_ = placed.withColumn("open", F.min("root").over(of_block) != F.max("root").over(of_block)).where("open").drop("open")
     rest = _tile_pairs(open_.join(points.drop("doc_id", "fine"), "e"), percent)
-    more = cut(_verified(surviving(rest), sets, percent), "more_links")
+    left = cut(surviving(rest), "surviving", replaces=rest)
+    more = cut(_verified(left, sets, percent), "more_links", replaces=left)
     if more.count():
         root = components(links.unionByName(more))
     root = cut(root, "roots")
