@@ -5,8 +5,9 @@ normalised (lower case, white space as one space) and hashed; for each host (col
 documents are counted; lines of more than max_documents of them are removed; a document that keeps fewer than
 30 % of its words is depleted and rejected.
 
-Copies are one document: within a host two documents count as the same if their longest words are the same (of
-several, the last in order). So a large group of copies doesn't make its own lines frequent.
+Copies are one document: within a host, documents with the same text (by its 64-bit hash) count once. So a large group
+of exact copies doesn't make its own lines frequent; texts that differ anywhere are distinct documents. ORACLE still
+counts distinct longest words, so it can have fewer frequent lines than judge().
 
 Defined results: a null text has no words and fails the base; a null source is a host of its own; rows with the same
 doc_id, source and text are decided alike; an empty table gives no rows; other columns are ignored, or kept where a
@@ -51,14 +52,13 @@ def _normal_lines(text: Column) -> Column:
 
 
 def profiled(docs: DataFrame) -> DataFrame:
-    """docs without its text, but with METRICS, base_failed, host (hash), known_by (hash of the longest word) and lines:
+    """docs without its text, but with METRICS, base_failed, host (hash), content (hash of the text) and lines:
     array<struct<line (hash), words>>, of words 0 where the line is empty. Each text is gone through once."""
     text = F.coalesce(F.col("text"), F.lit(""))
     filled = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     df = docs.withColumn("w", words(F.col("text"))).withColumn("filled", filled)
     for name, col in _repeat_words().items():
         df = df.withColumn(name, col)
-    longest = F.array_max(F.transform("w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
     lines = F.transform(_normal_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.when(x == "", 0).otherwise(spaces(x) + 1).alias("words")))
     df = df.select(
@@ -69,7 +69,7 @@ def profiled(docs: DataFrame) -> DataFrame:
         (F.size("filled") - F.size(F.array_distinct("filled"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         F.xxhash64("source").alias("host"),
-        F.xxhash64(longest).alias("known_by"),
+        F.xxhash64("text").alias("content"),
         lines.alias("lines"),
     )
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
@@ -82,7 +82,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(profiles: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(host, line) of the lines that stand in more than max_documents distinct documents of a host."""
-    lines = profiles.select("host", "known_by", F.explode("lines").alias("l")).where("l.words > 0").select("host", "known_by", "l.line")
+    lines = profiles.select("host", "content", F.explode("lines").alias("l")).where("l.words > 0").select("host", "content", "l.line")
     return lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select("host", "line")
 
 
@@ -100,7 +100,7 @@ def removed_words(profiles: DataFrame, frequent: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame, max_documents: int) -> DataFrame:
     profiles = cut(profiled(docs), "profiles")
     removed = removed_words(profiles, frequent_lines(profiles, max_documents)).select(F.col("doc_id").alias("d"), F.col("row_hash").alias("r"), "removed")
-    df = profiles.drop("lines", "host", "known_by").join(removed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")), "left")
+    df = profiles.drop("lines", "host", "content").join(removed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")), "left")
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     return df.withColumn("kept", ~F.col("base_failed") & (10 * left >= 3 * F.col("n_words"))).drop("d", "r", "removed")
 

@@ -42,6 +42,13 @@ def test_quality_removes_frequent_lines_but_not_copies(spark):
     assert all(got[k] == [True] for k in range(40)) and all(got[100 + k] == [True] for k in range(50))
     assert got[200] == [False, False] and got[201] == [False] and got[202] == [False]
 
+def test_quality_counts_documents_that_share_their_longest_word(spark):
+    note = " ".join(f"n{i}" for i in range(60)) + " " + "z" * 40
+    rows = [(k, "s", note + "\n" + " ".join(f"v{k}x{i}" for i in range(30 if k < 40 else 3))) for k in range(41)]
+    rows += [(100, "t", rows[40][2])] * 40
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert all(got[k] for k in range(40)) and not got[40] and got[100]
+
 def test_quality_filter_keeps_columns_and_handles_empty(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("extra", F.lit(1))
     kept = quality.filtered(docs)
