@@ -1,9 +1,11 @@
 """Main text of HTML pages by wrapper induction.
 
-Each page's DOM tree is aligned with that of its host's exemplar (the page with the smallest page_id) by simple tree
-matching. Over all pages of the host it is counted how often a block is matched to each node of the exemplar, and how
-often both hold the same text. Nodes that nearly always hold the same text are the template, the others are slots;
-blocks that fall on the template are left out. Elements whose name, role or class says that they are menus, forms,
+Each page's DOM tree is aligned with that of its host's exemplar by simple tree matching. Over all distinct pages of
+the host (copies count once) it is counted how often a block is matched to each node of the exemplar, and how often both
+hold the same text. Nodes that nearly always hold the same text are the template, the others are slots; blocks that fall
+on the template are left out. A host's exemplar is the page with the smallest page_id that has text, of the layout (set
+of sections with their first class) with the most distinct pages; each other layout with enough distinct pages has an
+exemplar of its own, and its pages are aligned with both. Elements whose name, role or class says that they are menus, forms,
 notices and the like are left out before. Where a page marks its article, only a template node with much support is
 left out inside it.
 
@@ -278,68 +280,101 @@ def host_of(url):
 SKELETON = "array<struct<parent:int,label:string,text:long>>"
 
 
+def layout_of(page):
+    """Hash of the page's distinct (section element, first class)."""
+    found = F.regexp_extract_all(F.lower(page), F.lit(r"<(?:body|div|section|main|article|table|header|center)\b[^>]*+>"), 0)
+    name = lambda x: F.concat_ws(".", F.regexp_extract(x, "^<([a-z]+)", 1), F.regexp_extract(x, r"""\sclass\s*=\s*["']?\s*([a-z_-]+)""", 1))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(found, name))))
+
+
+def exemplar_pages(p: DataFrame) -> DataFrame:
+    """(host, layout, page_id, content, main) of the exemplars: main for the host's largest layout."""
+    filled = p.where(F.trim(F.regexp_replace("html", r"<[^>]*+>", "")) != "")
+    once = filled.groupBy("host", "layout", "content").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "content"))
+    layouts = once.groupBy("host", "layout").agg(F.count("*").alias("n_distinct"), F.sum("n").alias("n"), first.alias("first"))
+    largest = layouts.groupBy("host").agg(F.max_by("layout", F.struct("n_distinct", "n", "layout")).alias("largest"), F.sum("n").alias("n_host"))
+    df = layouts.join(largest, "host").withColumn("main", F.col("layout") == F.col("largest"))
+    return df.where(F.when(F.col("main"), F.col("n_host") > 1).otherwise(F.col("n_distinct") > OUTSIDE[0])).select("host", "layout", "first.page_id", "first.content", "main")
+
+
 def aligned_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, url, host (hash), marked, blocks: array<struct<text, node (of the exemplar, or -1), same>>."""
+    """page_id, url, host (hash), layout (null where the page has no exemplar but its host's), marked, blocks:
+    array<struct<text, node (of the host's exemplar, or -1), same, own (node of the layout's exemplar, or -1), own_same>>."""
     p = pick(pages, page_id="long", url="string", html="string").withColumn("host", F.xxhash64(host_of(F.col("url"))))
-    first = p.groupBy("host").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = cut(first, "first")
+    p = p.withColumn("layout", layout_of(F.col("html"))).withColumn("content", F.xxhash64("html"))
+    first = cut(exemplar_pages(p), "first")
     few = first.count() <= BROADCAST_ROWS
-    chosen = p.join(F.broadcast(first) if few else first, ["host", "page_id"], "left_semi").select("host", "html")
+    chosen_by = first.select(F.col("host").alias("h"), F.col("layout").alias("l"), F.col("page_id").alias("i"), F.col("content").alias("c"), "main")
+    same_page = (F.col("host") == F.col("h")) & (F.col("layout") == F.col("l")) & (F.col("content") == F.col("c")) & F.col("page_id").eqNullSafe(F.col("i"))
+    chosen = p.join(F.broadcast(chosen_by) if few else chosen_by, same_page).select("host", "layout", "main", "html")
 
     def learn(batches):
         for b in batches:
-            trees = [page_tree(h) for h in b.column(1).to_pylist()]
+            trees = [page_tree(h) for h in b.column(3).to_pylist()]
             out = [[{"parent": x, "label": y, "text": z} for x, y, z in skeleton(t, blocks(t[0]))] for t in trees]
             kind = pa.list_(pa.struct([("parent", pa.int32()), ("label", pa.string()), ("text", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["host", "exemplar"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, kind)], ["host", "layout", "main", "exemplar"])
 
-    known = cut(chosen.mapInArrow(learn, f"host long, exemplar {SKELETON}").groupBy("host").agg(F.max("exemplar").alias("exemplar")), "exemplars")
+    learnt = chosen.mapInArrow(learn, f"host long, layout long, main boolean, exemplar {SKELETON}")
+    known = cut(learnt.groupBy("host", "layout", "main").agg(F.max("exemplar").alias("exemplar")), "exemplars")
     size = known.agg(F.sum(F.aggregate("exemplar", F.lit(8), lambda s, x: s + 24 + F.length(x["label"])))).first()[0] or 0
-    joined = p.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left").select("page_id", "url", "host", "html", "exemplar")
+    once = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
+    joined = p.join(once(known.where("main").select("host", "exemplar")), "host", "left")
+    joined = joined.join(once(known.where("NOT main").select("host", "layout", F.col("exemplar").alias("own"))), ["host", "layout"], "left")
+    joined = joined.select("page_id", "url", "host", F.when(F.col("own").isNotNull(), F.col("layout")).alias("layout"), "html", "exemplar", "own")
 
     def run(batches):
         cache: dict = {}
-        kind = pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32()), ("same", pa.bool_())]))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32()), ("same", pa.bool_()), ("own", pa.int32()), ("own_same", pa.bool_())]))
+
+        def exemplar(key, rows):
+            if key not in cache:
+                if len(cache) >= 500:
+                    cache.clear()
+                rows = rows.as_py()
+                cache[key] = Skeleton([(r["parent"], r["label"], r["text"]) for r in rows]) if rows else None
+            return cache[key]
+
         for b in batches:
             for start in range(0, b.num_rows, 200):
                 part = b.slice(start, 200)
                 marked, out = [], []
-                hosts = part.column(2).to_pylist()
-                for k, page in enumerate(part.column(3).to_pylist()):
+                hosts, layouts = part.column(2).to_pylist(), part.column(3).to_pylist()
+                for k, page in enumerate(part.column(4).to_pylist()):
                     nodes = page_tree(page)
                     every = blocks(nodes[0])
                     found, sure = region(nodes, every)
                     marked.append(sure)
-                    if hosts[k] not in cache:
-                        if len(cache) >= 500:
-                            cache.clear()
-                        rows = part.column(4)[k].as_py()
-                        cache[hosts[k]] = Skeleton([(r["parent"], r["label"], r["text"]) for r in rows]) if rows else None
-                    other = cache[hosts[k]]
-                    if other is None:
-                        out.append([{"text": t, "node": -1, "same": False} for _, t in found])
-                        continue
-                    mine = Skeleton(skeleton(nodes, every))
-                    to = match(mine, other)
-                    out.append([{"text": t, "node": (j := to[n.index]), "same": j >= 0 and mine.texts[n.index] == other.texts[j]} for n, t in found])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(marked), pa.array(out, kind)], ["page_id", "url", "host", "marked", "blocks"])
-
-    return joined.mapInArrow(run, "page_id long, url string, host long, marked boolean, blocks array<struct<text:string,node:int,same:boolean>>")
-
-
-def template(found: DataFrame) -> DataFrame:
-    """(host, marked, nodes): the exemplar's nodes that are template there."""
-    votes = found.select("host", "marked", F.explode("blocks").alias("b")).where("b.node >= 0").groupBy("host", "marked", "b.node").agg(F.count("*").alias("n"), F.count_if("b.same").alias("same"))
+                    others = [exemplar((hosts[k], None), part.column(5)[k]), exemplar((hosts[k], layouts[k]), part.column(6)[k]) if layouts[k] is not None else None]
+                    mine = Skeleton(skeleton(nodes, every)) if any(others) else None
+                    to = [match(mine, x) if x else None for x in others]
+                    at = lambda n: [(-1, False) if t is None else (j := t[n.index], j >= 0 and mine.texts[n.index] == x.texts[j]) for t, x in zip(to, others, strict=True)]  # noqa: B023, E731
+                    out.append([dict(zip(("text", "node", "same", "own", "own_same"), (t, *a, *c), strict=True)) for n, t in found for a, c in [at(n)]])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(marked), pa.array(out, kind)], ["page_id", "url", "host", "layout", "marked", "blocks"])
+
+    return joined.mapInArrow(run, "page_id long, url string, host long, layout long, marked boolean, blocks array<struct<text:string,node:int,same:boolean,own:int,own_same:boolean>>")
+
+
+def template(found: DataFrame, node: str = "node", same: str = "same", by: tuple[str, ...] = ("host", "marked")) -> DataFrame:
+    """(*by, node + "s"): the exemplar's nodes that are template there. Each distinct list of blocks has one vote a node."""
+    cast = F.array_distinct(F.transform(F.filter("blocks", lambda b: b[node] >= 0), lambda b: F.struct(b[node].alias("node"), b[same].alias("same"))))
+    pages = found.select(*by, F.xxhash64("blocks").alias("content"), cast.alias("votes")).where(F.size("votes") > 0)
+    once = pages.groupBy(*by, "content").agg(F.first("votes").alias("votes"))
+    votes = once.select(*by, F.inline("votes")).groupBy(*by, "node").agg(F.count("*").alias("n"), F.count_if("same").alias("same"))
     enough = lambda limits: (F.col("n") > limits[0]) & (F.col("same") >= limits[1] * F.col("n"))
-    return votes.where(F.when(F.col("marked"), enough(INSIDE)).otherwise(enough(OUTSIDE))).groupBy("host", "marked").agg(F.collect_set("node").alias("nodes"))
+    return votes.where(F.when(F.col("marked"), enough(INSIDE)).otherwise(enough(OUTSIDE))).groupBy(*by).agg(F.collect_set("node").alias(f"{node}s"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
     found = cut(aligned_blocks(pages), "blocks")
-    nodes = cut(template(found), "template")
-    rows = nodes.agg(F.sum(F.size("nodes") + 4)).first()[0] or 0
-    joined = found.join(F.broadcast(nodes) if rows <= BROADCAST_ROWS else nodes, ["host", "marked"], "left")
-    kept = F.when(F.col("nodes").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("nodes", b["node"]) | ~b["same"]))
+    joined = found
+    for node, same, by in (("node", "same", ("host", "marked")), ("own", "own_same", ("host", "layout", "marked"))):
+        nodes = cut(template(found, node, same, by), "template")
+        rows = nodes.agg(F.sum(F.size(f"{node}s") + 4)).first()[0] or 0
+        joined = joined.join(F.broadcast(nodes) if rows <= BROADCAST_ROWS else nodes, list(by), "left")
+    falls = lambda b, node, same: F.coalesce(F.array_contains(f"{node}s", b[node]), F.lit(False)) & b[same]
+    kept = F.filter("blocks", lambda b: ~falls(b, "node", "same") & ~falls(b, "own", "own_same"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

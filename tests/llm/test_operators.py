@@ -190,6 +190,20 @@ def test_html_wrapper_drops_constant_blocks(spark):
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {f"text {k}" for k in range(8)}
 
+def test_html_copies_of_an_article_are_no_template(spark):
+    page = "<body><article><h1>Title</h1><p>one</p><p>two</p></article></body>"
+    rows = [(k, "http://h.org/x", page) for k in range(40)] + [(50, "http://h.org/y", page.replace("one", "other"))]
+    rows += [(100 + k, "http://g.org/x", "<body><div><p>plain</p></div></body>") for k in range(9)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"Title\none\ntwo", "Title\nother\ntwo", "plain"}
+
+def test_html_template_of_each_layout_of_a_host(spark):
+    a = lambda k: f"<body><div class='a'>Same a</div><div><p>text {k}</p></div></body>"
+    b = lambda k: f"<body><section class='b'><div class='c'>Same b</div><p>text {k}</p></section></body>"
+    rows = [(0, "http://h.org/", None), (1, "http://h.org/", "<html> </html>")] + [(k, "http://h.org/", a(k) if k < 20 else b(k)) for k in range(2, 30)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "", 1: ""} | {k: f"text {k}" for k in range(2, 30)}
+
 def test_sharding(spark):
     rows = [(k, "same text" if k % 3 == 0 else f"text number {k} " + "y" * (k % 50)) for k in range(600)] + [(1000, None), (1001, ""), (1, "text number 1 y")]
     got = sharding.shard_documents(spark.createDataFrame(rows, DOC), 8, bins=64, heavy=8, rows_per_slice=10).collect()
