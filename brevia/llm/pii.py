@@ -3,7 +3,7 @@
 Base spans come from four fixed patterns. Further candidates (obfuscated addresses, numbers without a plus, dotted
 cards, IPv6) are voted on by three labelers: a pattern, a gazetteer and a context labeler, each +1, 0 or -1.
 Expectation-maximisation over the counts of vote patterns estimates each labeler's reliabilities; its posteriors
-train a logistic span classifier, which decides about the candidates. Base spans stay whatever it says. What the
+train, over all vote patterns, a logistic span classifier, whose probability alone decides about the candidates. Base spans stay whatever it says. What the
 driver gathers is one count for each vote pattern, at most 4 kinds * 2 * 27 * 3.
 
 Defined results: a null text is empty; spans are code points, end exclusive; every row gives one row, repeated ones
@@ -13,6 +13,7 @@ too; an empty table gives no rows (and an untrained classifier that adds nothing
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -36,6 +37,8 @@ LOOSE = (
     ("card", re.compile(r"(?<![0-9.])[0-9]{4}\.[0-9]{4}\.[0-9]{4}\.[0-9]{4}(?![0-9.])")),
     ("phone", re.compile(r"(?<![0-9+.\-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.\-])")),
 )
+#: A group of an IPv6 address that key prints and hardware addresses don't have.
+LONG_GROUP = re.compile(r"[0-9A-Fa-f]{3}")
 #: Top-level domains and words that the gazetteer and the context labelers know.
 ENDINGS = frozenset("com org net edu gov io de fr es uk eu info biz".split())
 CONTEXT = {
@@ -87,6 +90,13 @@ def _before(text: str, start: int) -> set[str]:
     return set(re.findall(r"[a-z-]+", text[max(0, start - 40) : start].lower())[-4:])
 
 
+def _well_formed(kind: str, span: str) -> bool:
+    """Whether a further candidate's brackets pair up."""
+    if kind == "email":
+        return all(x + y in ("[]", "()") for x, y in re.findall(r"([\[(]) ?(?:at|dot) ?([\])])", span, re.I))
+    return ("(" in span) == (")" in span)
+
+
 def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, int, int]:
     """Of the pattern, the gazetteer and the context labeler."""
     span = text[start:end]
@@ -95,12 +105,12 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
     context = 1 if before & set(CONTEXT[kind]) else -1 if before & set(AGAINST) else 0
     if kind == "email":
         last = re.split(r"[^A-Za-z0-9]+", span.rstrip(")] "))[-1].lower()
-        return (1 if base else 0), (1 if last in ENDINGS else -1), context
+        return (1 if base or _well_formed(kind, span) else -1), (1 if last in ENDINGS else -1), context
     if kind == "ip":
-        return 1, (-1 if digits.strip("0") == "" else 0), context
+        return 1, (-1 if re.fullmatch("[0:.]*", span) else 1 if base or LONG_GROUP.search(span) else 0), context
     if kind == "card":
         return (1 if luhn(digits) else -1), (1 if digits[:1] in ("3", "4", "5", "6") else -1), context
-    return (1 if base else 0), (1 if base or digits[:1] not in ("0", "1") else -1), context
+    return (1 if base or _well_formed(kind, span) else -1), (1 if base or digits[:1] not in ("0", "1") else -1), context
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -165,26 +175,29 @@ def find_spans(docs: DataFrame) -> DataFrame:
 def expectation_maximisation(counts: dict[tuple[int, ...], float], anchored: dict[tuple[int, ...], float], rounds: int = 50):
     """Reliabilities of three labelers from counts of their vote patterns: P(vote | class) for the classes 0 and 1.
     anchored: counts of patterns that are known to be class 1. Returns (prior, rates[labeler][class][vote + 1])."""
-    rates = np.array([[[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]]] * 3)
+    start = rates = np.array([[[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]]] * 3)
     prior = 0.5
 
     def posterior(v):
-        on = prior * np.prod([rates[k][1][v[k] + 1] for k in range(3)])
-        off = (1 - prior) * np.prod([rates[k][0][v[k] + 1] for k in range(3)])
-        return on / (on + off)
+        # a labeler is never worse than chance, and says nothing where it abstains
+        odds = [np.log(rates[k][1][v[k] + 1] / rates[k][0][v[k] + 1]) for k in range(3)]
+        total = np.log(prior / (1 - prior)) + sum(max(x, 0.0) if y > 0 else min(x, 0.0) if y < 0 else 0.0 for x, y in zip(odds, v, strict=True))
+        return 1 / (1 + np.exp(-total))
 
     for _ in range(rounds):
         soft = [(v, n, posterior(v)) for v, n in counts.items()] + [(v, n, 1.0) for v, n in anchored.items()]
         total = sum(n for _, n, _ in soft)
         if not total:
             break
-        new = np.full((3, 2, 3), 1.0)
+        new = start * (10 + total)  # the first rates count as much as the data: else a labeler that always says yes carries all
         for v, n, p in soft:
             for k in range(3):
                 new[k][1][v[k] + 1] += n * p
                 new[k][0][v[k] + 1] += n * (1 - p)
         rates = new / new.sum(axis=2, keepdims=True)
-        prior = (sum(n * p for _, n, p in soft) + 1) / (total + 2)
+        # base spans say nothing about how many of the further candidates hold
+        n_free = sum(counts.values())
+        prior = (sum(n * p for v, n, p in soft[: len(counts)]) + n_free / 2 + 1) / (2 * n_free + 2)
     return prior, rates, posterior
 
 
@@ -205,8 +218,7 @@ class SpanClassifier:
     def accepts(self, kind: str, v) -> bool:
         if self.weights is None:
             return False
-        # besides the score, two votes more for it than against it
-        return 1 / (1 + np.exp(-self.features(kind, v) @ self.weights)) >= self.threshold and sum(v) >= 2
+        return 1 / (1 + np.exp(-self.features(kind, v) @ self.weights)) >= self.threshold
 
     @classmethod
     def fitted(cls, rows: list[tuple[str, int, int, int, int, int]], rounds: int = 400) -> SpanClassifier:
@@ -218,8 +230,8 @@ class SpanClassifier:
             if not free and not fixed:
                 continue
             *_, posterior = expectation_maximisation(free, fixed)
-            for v, n in free.items():
-                xs.append(cls.features(kind, v)), ys.append(posterior(v)), ns.append(n)
+            for v in itertools.product((-1, 0, 1), repeat=3):  # patterns that were not seen too: else nothing speaks against any
+                xs.append(cls.features(kind, v)), ys.append(posterior(v)), ns.append(free.get(v, 0.0) + 1)
             for v, n in fixed.items():
                 xs.append(cls.features(kind, v)), ys.append(1.0), ns.append(n)
         if not xs:

@@ -106,6 +106,23 @@ def test_pii_base_and_added(spark):
         assert got[k].base_sha256 == hashlib.sha256(brute(t or "").encode()).hexdigest()
         assert set(filter(None, brute(t or "").split(","))) <= set(got[k].spans.split(","))
 
+def test_pii_finds_planted_spans_without_context(spark):
+    rng = np.random.default_rng(3)
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    luhn = lambda x: next(y for y in (f"{x}{k}" for k in range(10)) if pii.luhn(y))
+    dotted = lambda x: ".".join(x[k : k + 4] for k in range(0, 16, 4))
+    good, bad = [], []
+    for _ in range(20):
+        good += [f"john{d(3)} [at] example [dot] com", f"({rng.integers(2, 9)}{d(2)}) {d(3)}-{d(4)}", "2001:" + ":".join(f"{x:x}" for x in rng.integers(0, 65536, 7)), dotted(luhn("4" + d(14)))]
+        bad += [f"order 9{d(2)} {d(3)} {d(4)}", f"(9{d(2)}.{d(3)} {d(4)}", dotted("0" + d(15)), f"a{d(2)} [at) b [dot) c", "0:0:0:0:0:0:0:0"]
+    words = [f"we saw {x} yesterday" for x in good] + [f"an {x} was there" for x in bad]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text").unionByName(spark.createDataFrame(list(enumerate(words)), DOC))
+    got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert [got[k].split(":")[1:] for k in range(len(good))] == [["7", str(7 + len(x))] for x in good]
+    assert not any(got[k] for k in range(len(good), len(words)))
+    masked = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert all(x not in masked[k] for k, x in enumerate(good)) and all(masked[k] == words[k] for k in range(len(good), len(words)))
+
 def brute_components(rows, n, percent):
     sets = {}
     for i, t in rows:
