@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevia.functions.text import terms
+from brevia.operators.vector import in_blocks
 
 WEIGHTS = {"artigo": (0.90, 0.80, 1.80), "jurisprudencia": (0.95, 0.75, 1.45), "concurso": (0.85, 1.35, 1.10), "geral": (1.0, 1.0, 1.0)}
 
@@ -37,11 +38,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: fl
 
 def like_top_k(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """V7: the number of the query's terms that a text holds; best k."""
-    q = queries.select(F.col("item_id").alias("query_id"), F.array_distinct(terms(F.col("text"))).alias("t")).limit(1000)
+    q = queries.select(F.col("item_id").alias("query_id"), F.array_distinct(terms(F.col("text"))).alias("t"))
     low = docs.select("doc_id", F.lower("text").alias("low"))
-    s = low.crossJoin(F.broadcast(q)).select("query_id", "doc_id", F.aggregate("t", F.lit(0), lambda a, x: a + F.when(F.contains(F.col("low"), x), 1).otherwise(0)).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return s.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def best(block: DataFrame) -> DataFrame:
+        s = low.crossJoin(F.broadcast(block)).select("query_id", "doc_id", F.aggregate("t", F.lit(0), lambda a, x: a + F.when(F.contains(F.col("low"), x), 1).otherwise(0)).alias("score"))
+        return s.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    return in_blocks(q, "query_id", best)
 
 
 def simple_bm25(query: Column, doc: Column, k1: float = 1.5) -> Column:

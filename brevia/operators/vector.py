@@ -1,11 +1,26 @@
-"""Vector search (V1-V5, C9). Query sets are small and broadcast; ties go to the smallest id."""
+"""Vector search (V1-V5, C9). Query sets are broadcast, large ones in blocks; ties go to the smallest id."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Queries that are broadcast at once.
+BLOCK = 1000
+
+
+def in_blocks(queries: DataFrame, key: str, search) -> DataFrame:
+    """The union of search(block) over blocks of about BLOCK queries; a query's rows are all in one block."""
+    n = -(-queries.count() // BLOCK)
+    if n <= 1:
+        return search(queries)
+    block = F.pmod(F.xxhash64(key), F.lit(n))
+    return reduce(DataFrame.unionByName, [search(queries.where(block == k)) for k in range(n)])
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -21,9 +36,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = -1.
     v = vectors.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("q_norm"))
     n = F.col("norm") * F.col("q_norm")
-    scored = v.crossJoin(F.broadcast(q.limit(1000))).select("query_id", "vec_id", F.when(n == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("q")) / n).alias("s"))
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
-    return scored.where(F.col("s") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", F.round("s", 6).alias("similarity"), "rank")
+
+    def best(block: DataFrame) -> DataFrame:
+        scored = v.crossJoin(F.broadcast(block)).select("query_id", "vec_id", F.when(n == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("q")) / n).alias("s"))
+        return scored.where(F.col("s") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", F.round("s", 6).alias("similarity"), "rank")
+
+    return in_blocks(q, "query_id", best)
 
 
 def centroids(vectors: DataFrame, key: str) -> DataFrame:

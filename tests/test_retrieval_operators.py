@@ -35,3 +35,14 @@ def test_token_bucket(spark):
 def test_secrets_are_masked(spark):
     df = spark.createDataFrame([("mail a.b@c.example.com, cpf 123.456.789-09, password: x1",)], "t string")
     assert df.select(tx.redact(F.col("t")).alias("x")).first().x == "mail ***EMAIL***, cpf ***CPF***, ***CREDENTIAL***"
+
+
+def test_every_query_of_a_large_set_has_its_rows(spark):
+    n = 2 * vector.BLOCK + 5
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha gamma")], "doc_id long, text string")
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.when(F.col("id") % 2 == 0, "alpha beta").otherwise("gamma").alias("text"))
+    got = {(r.query_id, r.doc_id, r.score, r.rank) for r in search.like_top_k(docs, items).collect()}
+    assert got == {x for k in range(n) for x in ([(k, 1, 2, 1), (k, 2, 1, 2)] if k % 2 == 0 else [(k, 2, 1, 1)])}
+    v = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("embedding"))
+    top = {(r.query_id, r.vec_id, r.similarity, r.rank) for r in vector.top_k(v.where("vec_id < 2"), v, 1).collect()}
+    assert top == {(k, k % 2, 1.0, 1) for k in range(n)}
