@@ -154,9 +154,9 @@ def rerank_weights(spark, d):
 def retrieval_pipeline(spark, d):
     """V4, V17, V20, V22, SET1: candidates of both kinds, hybrid ranking, selection under a budget, confidence."""
     docs, q, v = t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"), t(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = q.where("item_id < 20").join(v, F.col("item_id") == F.col("vec_id")).select("item_id", "vec_id", "embedding", F.col("text").alias("q"))
+    asked = q.join(v, F.col("item_id") == F.col("vec_id")).select("item_id", "vec_id", "embedding", F.col("text").alias("q"))
     semantic = vector.top_k(v, asked, 20).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
-    lexical = search.bm25(docs, q.where("item_id < 20"), 15).select("query_id", "doc_id", F.lit(0.0).alias("similarity"))
+    lexical = search.bm25(docs, q, 15).select("query_id", "doc_id", F.lit(0.0).alias("similarity"))
     both = semantic.unionByName(lexical).groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
     j = both.join(docs, "doc_id").join(F.broadcast(asked.select(F.col("item_id").alias("query_id"), "q")), "query_id")
     w = spark.createDataFrame(search.weights(), "query_type string, a double, b double, c double")

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from brevia.functions import text as tx
 from brevia.operators import search, vector
+from brevia.plans import registry
 from brevia.streaming import token_bucket
 
 
@@ -46,3 +47,9 @@ def test_every_query_of_a_large_set_has_its_rows(spark):
     v = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("embedding"))
     top = {(r.query_id, r.vec_id, r.similarity, r.rank) for r in vector.top_k(v.where("vec_id < 2"), v, 1).collect()}
     assert top == {(k, k % 2, 1.0, 1) for k in range(n)}
+
+
+def test_retrieval_pipeline_serves_all_items(spark):
+    data = "/root/testdata/sf0.001"
+    items = {r.item_id for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    assert max(items) >= 20 and {r.query_id for r in registry.retrieval_pipeline(spark, data).collect()} == items
