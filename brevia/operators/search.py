@@ -1,4 +1,4 @@
-"""Lexical search, hybrid ranking, selection under a budget and confidence."""
+"""Lexical search, hybrid ranking, selection under a budget and confidence."""
 
 from __future__ import annotations
 

@@ -152,17 +152,20 @@ def rerank_weights(spark, d):
 
 @query()
 def retrieval_pipeline(spark, d):
-    """V4, V17, V20, V22, SET1: candidates of both kinds, hybrid ranking, selection under a budget, confidence."""
+    """V4, V20, V22, SET1: candidates of both kinds (50 and 15 at k = 5), hybrid ranking, selection under a budget,
+    confidence. Of V17 all but gamma * boost: V14 isn't built. A document without a vector has no similarity: null, 0 in the ranking."""
     docs, q, v = t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"), t(spark, d, "embeddings").select("vec_id", "embedding")
     asked = q.join(v, F.col("item_id") == F.col("vec_id")).select("item_id", "vec_id", "embedding", F.col("text").alias("q"))
-    semantic = vector.top_k(v, asked, 20).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
-    lexical = search.bm25(docs, q, 15).select("query_id", "doc_id", F.lit(0.0).alias("similarity"))
-    both = semantic.unionByName(lexical).groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
-    j = both.join(docs, "doc_id").join(F.broadcast(asked.select(F.col("item_id").alias("query_id"), "q")), "query_id")
+    semantic = vector.top_k(v, asked, 50).select("query_id", F.col("vec_id").alias("doc_id"))
+    lexical = search.bm25(docs, q, 15).select("query_id", "doc_id")
+    both = semantic.unionByName(lexical).distinct()
+    own = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("own"))
+    j = both.join(docs, "doc_id").join(own, "doc_id", "left").join(asked.select(F.col("item_id").alias("query_id"), "q", "embedding"), "query_id")
+    j = j.withColumn("similarity", F.round(vector.cosine(F.col("own"), F.col("embedding")), 6)).drop("own", "embedding")
     w = spark.createDataFrame(search.weights(), "query_type string, a double, b double, c double")
     j = j.withColumn("query_type", search.query_type(F.col("q"))).join(F.broadcast(w), "query_type")
     j = j.withColumn("lexical", search.lexical_score(tx.tokens(F.col("q")), tx.tokens(F.col("text"))))
-    j = j.withColumn("final", F.round(F.col("a") * F.col("similarity") + F.col("b") * F.col("lexical"), 6)).withColumn("cost", tx.lexical_units(F.col("text")))
+    j = j.withColumn("final", F.round(F.col("a") * F.coalesce("similarity", F.lit(0.0)) + F.col("b") * F.col("lexical"), 6)).withColumn("cost", tx.lexical_units(F.col("text")))
     item = F.struct((-F.col("final")).alias("o"), F.col("doc_id").alias("id"), F.col("similarity").alias("sim"), "cost", F.array_distinct(tx.tokens(F.col("text"))).alias("words"))
     g = j.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("r"), F.round(F.avg("similarity"), 6).alias("mean"))
     chosen = search.select_within_budget(F.col("r"), 5, 2000)

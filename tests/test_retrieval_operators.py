@@ -53,3 +53,13 @@ def test_retrieval_pipeline_serves_all_items(spark):
     data = "/root/testdata/sf0.001"
     items = {r.item_id for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     assert max(items) >= 20 and {r.query_id for r in registry.retrieval_pipeline(spark, data).collect()} == items
+
+
+def test_retrieval_pipeline_ranks_lexical_candidates_by_their_cosine(spark, tmp_path):
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([(k, f"filler{k}") for k in range(100)] + [(500, "alpha beta gamma"), (600, "alpha beta other")], "doc_id long, text string", "documents")
+    write([(0, "alpha beta gamma")], "item_id long, text string", "benchmark")
+    write([(k, [1.0, 0.0]) for k in range(100)] + [(500, [0.6, 0.8])], "vec_id long, embedding array<float>", "embeddings")
+    got = registry.retrieval_pipeline(spark, str(tmp_path)).collect()
+    # 50 semantic candidates of cosine 1, the lexical one of 0.6; document 600 has no vector
+    assert [r.mean for r in got] == [round(50.6 / 51, 6)]
