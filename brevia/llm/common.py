@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where the session names none (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a temporary one is set in local mode; on a
+    cluster, whose machines don't share such folders, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="brevia-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -29,8 +35,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/brevia/{uuid.uuid4().hex}/{name}"
 
 
-#: Spark's setting that deletes an execution's shuffle files when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: shuffle files go when the writing has ended, and few rows at a time go to Python,
+#: since a batch of texts is held by the executor and by its worker alike.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
@@ -40,12 +47,14 @@ def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFram
     (see drop_tables)."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    was = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    was = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
     if replaces is not None:
         _delete(spark, replaces.written_at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -53,6 +62,24 @@ def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFram
     return out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df doesn't have, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def give_back() -> None:
+    """In a Python worker: give freed memory back to the system. A worker lives on beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _delete(spark: SparkSession, where: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -74,7 +101,7 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in cols.items()])
 
 
-def text_parts(b, characters: int = 400_000):
+def text_parts(b, characters: int = 200_000):
     """The rows (doc_id, text) of an Arrow batch as lists, in parts of about so many characters."""
     ids, texts, size = [], [], 0
     for k in range(b.num_rows):
