@@ -6,11 +6,12 @@ hold the same text. Nodes that nearly always hold the same text are the template
 on the template are left out. A host's exemplar is the page with the smallest page_id that has text, of the layout (set
 of sections with their first class) with the most distinct pages; each other layout with enough distinct pages has an
 exemplar of its own, and its pages are aligned with both. Elements whose name, role or class says that they are menus, forms,
-notices and the like are left out before. Where a page marks its article, only a template node with much support is
-left out inside it.
+notices and the like are left out before. Where a page marks its articles, all of them are its main text, and only a
+template node with much support is left out inside them, never all of their blocks.
 
 Tree matching works on runs of siblings with the same label: two runs are matched member by member, in order, so a
-list of a thousand paragraphs is one run.
+list of a thousand paragraphs is one run. Scanning, parsing and matching need neither recursion nor backtracking, so
+neither deep nesting nor unclosed quotes stop them; a tag that never ends takes the rest of its page with it.
 
 Defined results: null html and pages without text give the empty text; null urls are a host of their own; repeated
 rows get a row each; an empty table gives no rows; other columns are ignored.
@@ -18,6 +19,7 @@ rows get a row each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
@@ -34,8 +36,10 @@ BROADCAST_ROWS = 500_000
 #: Support and constancy from which a node is template: outside a marked article, and inside it.
 OUTSIDE, INSIDE = (3, 0.8), (20, 0.95)
 
-TAG = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A start or end tag. Quotes count only after an equals sign; every repeat is possessive, so there is no going back.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)*+)>")
+COMMENT_END = re.compile("--!?>")
+ATTRIBUTE = re.compile(r"([^\s=>/\"'][^\s=>/]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 #: What the HTML standard says about elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -53,87 +57,152 @@ NAMES = re.compile(
 
 
 class Node:
-    __slots__ = ("tag", "label", "attrs", "children", "index", "parent", "texts")
+    __slots__ = ("tag", "label", "attrs", "children", "index", "parent", "texts", "block", "last")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.label, self.children, self.texts, self.index = tag, [], [], -1
+        #: The nearest element, itself or above, that isn't inline.
+        self.block: Node = parent.block if parent is not None and tag in INLINE else self
+
+
+def tokens(page: str):
+    """(text, tag match or None) in order: a text, and the tag after it. Each character is looked at a bounded number of
+    times: a tag that never ends takes the rest of the page with it, as in the HTML standard."""
+    begin = at = 0
+    while (at := page.find("<", at)) >= 0:
+        after = page[at + 1 : at + 2]
+        if after.isascii() and after.isalpha() or after == "/" and page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha():
+            m = TAG.match(page, at)
+            if m is None:
+                break
+            at = yield page[begin:at], m
+        elif after in ("!", "?", "/") and after:
+            if page.startswith("<!--", at):
+                last = COMMENT_END.search(page, at + 2)
+                end = last.end() if last else len(page)
+            else:
+                end = page.find(">", at) + 1 or len(page)
+            yield page[begin:at], None
+            at = end
+        else:
+            at += 1
+            continue
+        begin = at
+    yield page[begin : at if at >= 0 else len(page)], None
 
 
 def parse(page: str) -> Node:
     """A tree of elements; texts of an element are (position among the children, text)."""
     root = now = Node("#root", "", None)
-    at, size, lower = 0, len(page), None
-    for m in iter(lambda: TAG.search(page, at), None):
-        if m.start() > at:
-            now.texts.append((len(now.children), page[at : m.start()]))
-        at = m.end()
-        if not m[2]:
+    open_: dict[str, int] = {}
+    lower = None
+
+    def close(node: Node) -> Node:
+        """Close an open element and all that is open inside it."""
+        up = now
+        while up is not node:
+            open_[up.tag] -= 1
+            up = up.parent
+        open_[node.tag] -= 1
+        return node.parent
+
+    found = tokens(page)
+    item = next(found, None)
+    while item is not None:
+        text, m = item
+        if text:
+            now.texts.append((len(now.children), text))
+        if m is None:
+            item = next(found, None)
             continue
-        tag = m[2].lower()
+        at, tag, attrs = m.end(), m[2].lower(), m[3]
         if m[1]:
-            up = now
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                now = up.parent
-            continue
-        if tag in CLOSES_P or tag in ENDS:
-            ends, stop = ENDS.get(tag, frozenset()), SCOPE.get(tag, ())
-            up, close = now, None
-            while up is not root and up.tag not in stop and (up.tag in INLINE or up.tag == "p" or up.tag in ends):
-                if up.tag in ends or up.tag == "p" and tag in CLOSES_P:
-                    close = up
-                up = up.parent
-            if close is not None:
-                now = close.parent
-        node = Node(tag, m[3], now)
-        now.children.append(node)
-        if tag in RAW:
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            close = page.find(">", end) if end >= 0 else -1
-            at = size if end < 0 or close < 0 else close + 1
-        elif tag not in VOID and not m[4]:
-            now = node
-    if at < size:
-        now.texts.append((len(now.children), page[at:]))
+            if open_.get(tag):
+                up = now
+                while up.tag != tag:
+                    up = up.parent
+                now = close(up)
+        else:
+            if tag in CLOSES_P or tag in ENDS:
+                ends, stop = ENDS.get(tag, frozenset()), SCOPE.get(tag, ())
+                up, last = now.block, None
+                while up is not root and up.tag not in stop and (up.tag == "p" or up.tag in ends):
+                    if up.tag in ends or tag in CLOSES_P:
+                        last = up
+                    up = up.parent.block
+                if last is not None:
+                    now = close(last)
+            node = Node(tag, attrs, now)
+            now.children.append(node)
+            if tag in RAW:
+                lower = page.lower() if lower is None else lower
+                end = lower.find(f"</{tag}", at) if len(lower) == len(page) else _find_end(page, tag, at)
+                stop_at = page.find(">", end) if end >= 0 else -1
+                at = len(page) if stop_at < 0 else stop_at + 1
+            elif tag not in VOID and not attrs.endswith("/"):
+                now = node
+                open_[tag] = open_.get(tag, 0) + 1
+        try:
+            item = found.send(at)
+        except StopIteration:
+            item = None
     return root
 
 
+def _find_end(page: str, tag: str, at: int) -> int:
+    """Where an end tag begins, in a page that lower-casing would make longer."""
+    m = re.compile(f"</{re.escape(tag)}", re.I | re.A).search(page, at)
+    return m.start() if m else -1
+
+
 def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attrs)} if node.attrs.strip() else {}
 
 
-def prune(node: Node, inside: bool = False) -> None:
+def _isnt_main(child: Node, inside: bool) -> bool:
+    """Whether an element by name, role or class isn't main text; sets its label from its first class."""
+    a = attributes(child) if child.attrs else {}
+    drop = child.tag in DROPPED or child.tag == "header" and not inside
+    if drop or not a:
+        return drop
+    name = f"{a.get('class', '')} {a.get('id', '')}"
+    marked = child.tag in ("article", "main", "body", "html")
+    first = a.get("class", "").split()[:1]
+    child.label = f"{child.tag}.{first[0]}" if first else child.tag
+    if a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody":
+        child.label = "main"
+    if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+        return True
+    return (not marked or child.tag == "article" and "comment" in name.lower()) and NAMES.search(name) is not None
+
+
+def prune(root: Node) -> None:
     """Drop what by name, role or class isn't main text; label the rest by element and first class."""
-    kept, at = [], [0]
-    for child in node.children:
-        a = attributes(child) if child.attrs else {}
-        marked = child.tag in ("article", "main", "body", "html")
-        drop = child.tag in DROPPED or child.tag == "header" and not inside
-        if not drop and a:
-            name = f"{a.get('class', '')} {a.get('id', '')}"
-            drop = a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-            drop = drop or (not marked or child.tag == "article" and "comment" in name.lower()) and NAMES.search(name) is not None
-            child.label = f"{child.tag}.{a['class'].split()[0]}" if a.get("class", "").split() else child.tag
-            if a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody":
-                child.label = "main"
-        if not drop:
-            kept.append(child)
-            prune(child, inside or child.tag == "article")
-        at.append(len(kept))
-    node.children = kept
-    node.texts = [(at[k], t) for k, t in node.texts]
+    todo = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        kept, at = [], [0]
+        for child in node.children:
+            if not _isnt_main(child, inside):
+                kept.append(child)
+                todo.append((child, inside or child.tag == "article"))
+            at.append(len(kept))
+        node.children = kept
+        node.texts = [(at[k], t) for k, t in node.texts]
 
 
 def numbered(root: Node) -> list[Node]:
+    """All nodes in page order, with their index and that of the last node inside them."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
-        node.index = len(out)
+        node.index = node.last = len(out)
         out.append(node)
         todo.extend(reversed(node.children))
+    for node in reversed(out):
+        if node.parent is not None:
+            node.parent.last = max(node.parent.last, node.last)
     return out
 
 
@@ -174,13 +243,28 @@ def match(a: Skeleton, b: Skeleton) -> list[int]:
 
 
 def _weight(a: Skeleton, i: int, b: Skeleton, j: int, known: dict) -> int:
-    """Size of the largest matching of two subtrees with the same label."""
-    if (got := known.get((i, j))) is None:
-        got = known[i, j] = 1 + (_table(a, i, b, j, known)[-1][-1] if a.children[i] and b.children[j] else 0)
-    return got
+    """Size of the largest matching of two subtrees with the same label, from the leaves up without recursion."""
+    todo = [(i, j)]
+    while todo:
+        p, q = todo[-1]
+        if (p, q) in known:
+            todo.pop()
+        elif not a.children[p] or not b.children[q]:
+            known[p, q] = 1
+        elif missing := [c for c in _child_pairs(a, p, b, q) if c not in known]:
+            todo += missing
+        else:
+            known[p, q] = 1 + _table(a, p, b, q, known)[-1][-1]
+    return known[i, j]
+
+
+def _child_pairs(a: Skeleton, i: int, b: Skeleton, j: int):
+    """The pairs of children that may be matched: members in order of runs with the same label."""
+    return [c for r in a.runs[i] for s in b.runs[j] if a.labels[r[0]] == b.labels[s[0]] for c in zip(r, s, strict=False)]
 
 
 def _table(a: Skeleton, i: int, b: Skeleton, j: int, known: dict) -> list[list[int]]:
+    """The alignment of two elements' runs; known holds the weights of the pairs of their children."""
     x, y = a.runs[i], b.runs[j]
     rows = [[0] * (len(y) + 1)]
     for r in x:
@@ -188,7 +272,7 @@ def _table(a: Skeleton, i: int, b: Skeleton, j: int, known: dict) -> list[list[i
         for k, s in enumerate(y):
             best = max(row[-1], last[k + 1])
             if a.labels[r[0]] == b.labels[s[0]]:
-                best = max(best, last[k] + sum(_weight(a, p, b, q, known) for p, q in zip(r, s, strict=False)))
+                best = max(best, last[k] + sum(known[c] for c in zip(r, s, strict=False)))
             row.append(best)
         rows.append(row)
     return rows
@@ -207,6 +291,8 @@ def _align(a: Skeleton, i: int, b: Skeleton, j: int, to: list[int]) -> None:
             for r, s in zip(x, y, strict=True):
                 todo.extend(zip(r, s, strict=False))
             continue
+        for c in _child_pairs(a, i, b, j):
+            _weight(a, c[0], b, c[1], known)
         rows = _table(a, i, b, j, known)
         p, q = len(x), len(y)
         while p and q:
@@ -242,28 +328,21 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
             todo.append((node, k + 1, t))
             todo.append((node.children[k], 0, 0))
         elif node.tag not in INLINE and node.tag not in ("br", "img", "input"):
-            up = node.parent
-            while up is not None and up.tag in INLINE:
-                up = up.parent
-            fresh, owner = True, up or node
+            fresh, owner = True, node.parent.block if node.parent is not None else node
     return [(n, text) for n, parts in out if (text := " ".join(html.unescape("".join(parts)).split()))]
 
 
 def region(nodes: list[Node], found: list[tuple[Node, str]]) -> tuple[list[tuple[Node, str]], bool]:
-    """The blocks of the page's article, if it marks one: of several that with most text; else all."""
+    """The blocks of all articles that the page marks, else of its main elements, else all; and whether it marks any."""
     for name in ("article", "main"):
-        best: tuple[int, list] | None = None
-        for n in nodes:
-            if n.tag == name or n.label == name:
-                last = n
-                while last.children:
-                    last = last.children[-1]
-                inside = [x for x in found if n.index <= x[0].index <= last.index]
-                size = sum(len(t) for _, t in inside)
-                if best is None or size > best[0]:
-                    best = (size, inside)
-        if best is not None:
-            return best[1], True
+        spans: list[tuple[int, int]] = []
+        for n in nodes:  # in page order, so an element inside the one before adds nothing
+            if (n.tag == name or n.label == name) and (not spans or n.index > spans[-1][1]):
+                spans.append((n.index, n.last))
+        if spans:
+            starts = [x for x, _ in spans]
+            inside = lambda k: (at := bisect.bisect_right(starts, k) - 1) >= 0 and k <= spans[at][1]  # noqa: B023, E731
+            return [x for x in found if inside(x[0].index)], True
     return found, False
 
 
@@ -282,14 +361,14 @@ SKELETON = "array<struct<parent:int,label:string,text:long>>"
 
 def layout_of(page):
     """Hash of the page's distinct (section element, first class)."""
-    found = F.regexp_extract_all(F.lower(page), F.lit(r"<(?:body|div|section|main|article|table|header|center)\b[^>]*+>"), 0)
+    found = F.regexp_extract_all(F.lower(page), F.lit(r"<(?:body|div|section|main|article|table|header|center)\b[^<>]*+>"), 0)
     name = lambda x: F.concat_ws(".", F.regexp_extract(x, "^<([a-z]+)", 1), F.regexp_extract(x, r"""\sclass\s*=\s*["']?\s*([a-z_-]+)""", 1))
     return F.xxhash64(F.array_sort(F.array_distinct(F.transform(found, name))))
 
 
 def exemplar_pages(p: DataFrame) -> DataFrame:
     """(host, layout, page_id, content, main) of the exemplars: main for the host's largest layout."""
-    filled = p.where(F.trim(F.regexp_replace("html", r"<[^>]*+>", "")) != "")
+    filled = p.where(F.trim(F.regexp_replace("html", r"<[^<>]*+>", "")) != "")
     once = filled.groupBy("host", "layout", "content").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "content"))
     layouts = once.groupBy("host", "layout").agg(F.count("*").alias("n_distinct"), F.sum("n").alias("n"), first.alias("first"))
@@ -376,5 +455,7 @@ def extract(pages: DataFrame) -> DataFrame:
         joined = joined.join(F.broadcast(nodes) if rows <= BROADCAST_ROWS else nodes, list(by), "left")
     falls = lambda b, node, same: F.coalesce(F.array_contains(f"{node}s", b[node]), F.lit(False)) & b[same]
     kept = F.filter("blocks", lambda b: ~falls(b, "node", "same") & ~falls(b, "own", "own_same"))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    # a marked article all of whose blocks are constant is no template but one article told many times
+    main = F.when(F.col("marked") & (F.size(kept) == 0), F.col("blocks")).otherwise(kept)
+    text = F.array_join(F.transform(main, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
