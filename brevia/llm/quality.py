@@ -5,13 +5,13 @@ normalised (lower case, white space as one space) and hashed; for each host (col
 documents are counted; lines of more than max_documents of them are removed; a document that keeps fewer than
 30 % of its words is depleted and rejected.
 
-Copies are one document: within a host, documents with the same text (by its 64-bit hash) count once. So a large group
-of exact copies doesn't make its own lines frequent; texts that differ anywhere are distinct documents. ORACLE still
-counts distinct longest words, so it can have fewer frequent lines than judge().
+Copies are one document: within a host, documents with the same text (by its 64-bit hash; the SQL compares texts) count
+once. So a large group of exact copies doesn't make its own lines frequent; texts that differ anywhere are distinct
+documents. A filtered table's documents lose their frequent lines, and n_chars, where there is one, is the new length.
 
 Defined results: a null text has no words and fails the base; a null source is a host of its own; rows with the same
 doc_id, source and text are decided alike; an empty table gives no rows; other columns are ignored, or kept where a
-whole document table is filtered.
+whole document table is filtered (whatever they are called).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, words
+from .common import cut, fresh, pick, words
 
 MAX_DOCUMENTS = 30
 #: Frequent lines that may be broadcast (a hash of the host and one of the line: 16 bytes each).
@@ -86,20 +86,21 @@ def frequent_lines(profiles: DataFrame, max_documents: int = MAX_DOCUMENTS) -> D
     return lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select("host", "line")
 
 
-def removed_words(profiles: DataFrame, frequent: DataFrame) -> DataFrame:
-    """For each row key with frequent lines the words in these: (doc_id, row_hash, removed)."""
+def removed_lines(profiles: DataFrame, frequent: DataFrame) -> DataFrame:
+    """For each row key with frequent lines the words in these, and their hashes: (doc_id, row_hash, removed, gone)."""
     frequent = cut(frequent, "frequent_lines")
     if frequent.count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
     lines = profiles.select("doc_id", "row_hash", "host", F.posexplode("lines").alias("pos", "l")).select("doc_id", "row_hash", "host", "pos", "l.line", "l.words")
-    hit = lines.where("words > 0").join(frequent, ["host", "line"]).select("doc_id", "row_hash", "pos", "words")
+    hit = lines.where("words > 0").join(frequent, ["host", "line"]).select("doc_id", "row_hash", "pos", "line", "words")
     # repeated rows have the same key: a position counts once
-    return hit.distinct().groupBy("doc_id", "row_hash").agg(F.sum("words").alias("removed"))
+    return hit.distinct().groupBy("doc_id", "row_hash").agg(F.sum("words").alias("removed"), F.collect_set("line").alias("gone"))
 
 
 def _judged(docs: DataFrame, max_documents: int) -> DataFrame:
+    """docs (doc_id, source, text, row_hash) with METRICS, base_failed, kept and gone, without text."""
     profiles = cut(profiled(docs), "profiles")
-    removed = removed_words(profiles, frequent_lines(profiles, max_documents)).select(F.col("doc_id").alias("d"), F.col("row_hash").alias("r"), "removed")
+    removed = removed_lines(profiles, frequent_lines(profiles, max_documents)).withColumnsRenamed({"doc_id": "d", "row_hash": "r"})
     df = profiles.drop("lines", "host", "content").join(removed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")), "left")
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     return df.withColumn("kept", ~F.col("base_failed") & (10 * left >= 3 * F.col("n_words"))).drop("d", "r", "removed")
@@ -107,24 +108,37 @@ def _judged(docs: DataFrame, max_documents: int) -> DataFrame:
 
 def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """doc_id and source with METRICS, base_failed and kept, for every row of docs (doc_id, source, text)."""
-    return _judged(_keyed(docs), max_documents).drop("row_hash")
+    return _judged(_keyed(pick(docs, doc_id="long", source="string", text="string")), max_documents).drop("row_hash", "gone")
 
 
 def filtered(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """docs without the documents that are rejected; all columns as they are."""
+    """docs without the documents that are rejected, and the others without their frequent lines; all other columns as
+    they are."""
     judged = _judged(_keyed(pick(docs, doc_id="long", source="string", text="string")), max_documents)
-    gone = cut(judged.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("row_hash").alias("_gone_row")).distinct(), "rejected")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col("source").cast("string"), F.col("text").cast("string")) == F.col("_gone_row"))
-    return docs.join(gone, same, "left_anti")
-
-
-ORACLE = f"""
+    doc_id, row, kept, gone = fresh(docs, "judged_doc", "judged_row", "judged_kept", "judged_gone")
+    judged = judged.where("NOT kept OR gone IS NOT NULL").select(F.col("doc_id").alias(doc_id), F.col("row_hash").alias(row), F.col("kept").alias(kept), F.when(F.col("kept"), F.col("gone")).alias(gone))
+    judged = cut(judged.dropDuplicates([doc_id, row]), "judged")
+    held = judged.agg(F.sum(F.lit(2) + F.coalesce(F.size(gone), F.lit(0)))).first()[0] or 0
+    judged = F.broadcast(judged) if held <= BROADCAST_ROWS else judged
+    source = F.col("`source`").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    text = F.col("`text`").cast("string")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (F.xxhash64(source, text) == F.col(row))
+    df = docs.join(judged, same, "left").where(F.coalesce(F.col(kept), F.lit(True)))
+    lines = F.zip_with(F.split(text, "\n"), _normal_lines(text), lambda x, y: F.struct(x.alias("x"), (y != "").alias("filled"), F.xxhash64(y).alias("line")))
+    left = F.filter(lines, lambda z: ~(z["filled"] & F.array_contains(gone, z["line"])))
+    df = df.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda z: z["x"]), "\n")))
+    if "n_chars" in docs.columns:
+        df = df.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return df.select(*[f"`{c}`" for c in docs.columns])
+
+
+def oracle(max_documents: int = MAX_DOCUMENTS) -> str:
+    """judge() in SQL over the table documents."""
+    return f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
-l AS (SELECT doc_id, source, trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, source, unnest(string_split(lower(t), chr(10))) AS x FROM d)),
-known AS (SELECT doc_id, (list_max(list_transform(w, lambda x: {{'n': length(x), 'w': x}}))).w AS known_by FROM d),
-freq AS (SELECT source, line FROM l JOIN known USING (doc_id) WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT coalesce(known_by, '')) > {MAX_DOCUMENTS}),
+l AS (SELECT doc_id, source, t, trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, source, t, unnest(string_split(lower(t), chr(10))) AS x FROM d)),
+freq AS (SELECT source, line FROM l WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT t) > {max_documents}),
 gone AS (SELECT doc_id, sum(len(string_split(l.line, ' '))) AS removed FROM l JOIN freq ON l.line = freq.line AND l.source IS NOT DISTINCT FROM freq.source GROUP BY doc_id),
 g AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 dup AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
@@ -140,3 +154,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 10 * (n_words - removed) >= 3 * n_words AS kept
 FROM m
 """
+
+
+ORACLE = oracle()
