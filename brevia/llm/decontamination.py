@@ -5,9 +5,10 @@ punctuation. Windows of the canonical words are hashed and joined between docume
 alignment of a document with an item the slots are compared: an alignment counts if it maps each of the item's slot
 values to one value. A document leaks an item if the consistent alignments cover at least `share` of its windows.
 
-Items of fewer than `window` words are looked for in windows of their own length; items of fewer than 4 words can't
-be told from chance and are not looked for. Windows with fewer than 3 words beside the placeholders are left out on
-both sides; an item with no other windows keeps them all.
+Items of fewer than `window` words are looked for in windows of their own length; an item of fewer than 4 words, which
+would be met by chance in many texts, is looked for as a whole document. Windows with fewer than 3 words beside the
+placeholders are left out on both sides; an item with no other windows keeps them all. An item's first word may stand
+inside a sentence of a document, where its capital makes it a name: the first window is looked for in both forms.
 
 Defined results: null texts are empty; a row for each distinct document (doc_id, text) and item; null ids are kept;
 repeated benchmark rows count once; empty tables give no rows; other columns are ignored or kept.
@@ -18,15 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, cut, pick
+from .common import NOT_WORD, cut, fresh, pick
 
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 SLOT = f"[{NAME}{NUMBER}{UNIT}]"
 #: Unit words.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|miles?|feet|foot|ft|inch(?:es)?|yards?|meters?|metres?|kilometers?|kilometres?|litres?|liters?|l|ml|gallons?|hours?|hrs?|h|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|euros?|pounds?|cents?|percent|degrees?|kilograms?|grams?"
 LEAST_WORDS = 4
-#: Rows that may be broadcast: benchmark windows (24 bytes each), leaking rows (keys and a few numbers).
-BROADCAST_ROWS = 300_000
+#: Rows that may be broadcast: benchmark windows (24 bytes each), leaking rows (keys and a few numbers); bytes of items.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
 
 
 def canonical(text: Column) -> Column:
@@ -44,7 +45,9 @@ def tokens(text: Column) -> Column:
 
 def pairs(text: Column) -> Column:
     """Canonical words with what stands in the text: array<struct<c, v>>, of the same length as tokens()."""
-    zipped = F.arrays_zip(F.split(canonical(text), NOT_WORD).alias("c"), F.split(F.coalesce(text, F.lit("")), NOT_WORD).alias("v"))
+    # at each white space by itself: a word of marks only is empty on one side, and would else be missing there
+    each = r"[\x20\x09-\x0D]"
+    zipped = F.arrays_zip(F.split(canonical(text), each).alias("c"), F.split(F.coalesce(text, F.lit("")), each).alias("v"))
     value = lambda v: F.regexp_replace(F.lower(v), r"^[^\p{L}\p{N}+$€£-]+|[^\p{L}\p{N}%]+$", "")
     return F.transform(F.filter(zipped, lambda x: x["c"] != ""), lambda x: F.struct(x["c"].alias("c"), value(x["v"]).alias("v")))
 
@@ -57,15 +60,23 @@ def _windows(words: str, n: Column | int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = 8) -> DataFrame:
-    """(item_id, item_hash, n, n_windows, j, h): j is the start, from 0."""
-    items = pick(benchmark, item_id="long", text="string").distinct().withColumn("w", tokens(F.col("text"))).where(F.size("w") >= LEAST_WORDS)
+    """(item_id, item_hash, n, n_windows, j, h): j is the start, from 0; n_windows counts starts."""
+    items = pick(benchmark, item_id="long", text="string").distinct().withColumn("w", tokens(F.col("text"))).where(F.size("w") > 0)
     items = items.withColumn("n", F.least(F.lit(window), F.size("w")))
-    h = items.select("item_id", F.xxhash64("text").alias("item_hash"), "n", "w", F.posexplode(_windows("w", F.col("n"))).alias("j", "h"))
-    plain = F.size(F.filter(F.slice("w", F.col("j") + 1, F.col("n")), lambda x: ~x.rlike(SLOT))) >= 3
-    h = h.withColumn("plain", plain)
-    of_item = Window.partitionBy("item_id", "item_hash")  # the words of one item
-    h = h.withColumn("n_plain", F.count_if("plain").over(of_item)).withColumn("n_all", F.count("*").over(of_item))
-    return h.where(F.col("plain") | (F.col("n_plain") == 0)).select("item_id", "item_hash", "n", F.when(F.col("n_plain") == 0, F.col("n_all")).otherwise(F.col("n_plain")).alias("n_windows"), "j", "h")
+    named = F.when(F.coalesce("text", F.lit("")).rlike(rf"^[^\p{{L}}\p{{N}}]*\p{{Lu}}"), F.concat(F.array(F.lit(NAME)), F.slice("w", 2, window)))
+    at = F.transform(_windows("w", F.col("n")), lambda h, j: F.struct(j.alias("j"), h.alias("h"), F.slice("w", j + 1, F.col("n")).alias("words")))
+    as_name = F.when(named.isNotNull(), F.array(F.struct(F.lit(0).alias("j"), F.xxhash64(F.slice(named, 1, F.col("n")), F.col("n")).alias("h"), F.slice(named, 1, F.col("n")).alias("words"))))
+    h = items.select("item_id", F.xxhash64("text").alias("item_hash"), "n", F.inline(F.concat(at, F.coalesce(as_name, F.slice(at, 1, 0)))))
+    h = h.withColumn("plain", F.size(F.filter("words", lambda x: ~x.rlike(SLOT))) >= 3).drop("words")
+    plain = F.size(F.collect_set(F.when(F.col("plain"), F.col("j"))).over(of_item := Window.partitionBy("item_id", "item_hash")))  # the words of one item
+    h = h.withColumn("n_plain", plain).withColumn("n_all", F.size(F.collect_set("j").over(of_item)))
+    n_windows = F.when(F.col("n_plain") == 0, F.col("n_all")).otherwise(F.col("n_plain")).cast("long")
+    return h.where(F.col("plain") | (F.col("n_plain") == 0)).select("item_id", "item_hash", "n", n_windows.alias("n_windows"), "j", "h").distinct()
+
+
+def _looked_at(n: int) -> Column:
+    """The windows of n words of a document; of fewer than LEAST_WORDS only the whole document."""
+    return _windows("w", n) if n >= LEAST_WORDS else F.when(F.size("w") == n, _windows("w", n)).otherwise(F.array().cast("array<bigint>"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float = 0.5) -> DataFrame:
@@ -73,15 +84,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float =
     n_changed (slots whose value is another one in the document)."""
     bench = cut(item_windows(benchmark, window), "bench")
     small = bench.count() <= BROADCAST_ROWS
-    lengths = sorted(r.n for r in bench.select("n").distinct().collect())  # LEAST_WORDS to window: few
+    lengths = sorted(r.n for r in bench.select("n").distinct().collect())  # 1 to window: few
     once = lambda df: F.broadcast(df) if small else df
     docs = pick(docs, doc_id="long", text="string").withColumn("row_hash", F.xxhash64("text"))
     worded = docs.select("doc_id", "row_hash", tokens(F.col("text")).alias("w"))
-    packed = F.flatten(F.array(*[F.transform(_windows("w", n), lambda h, i: F.struct(i.alias("i"), h.alias("h"))) for n in lengths])) if len(lengths) > 1 else None
+    packed = F.flatten(F.array(*[F.transform(_looked_at(n), lambda h, i: F.struct(i.alias("i"), h.alias("h"))) for n in lengths])) if len(lengths) > 1 else None
     if not lengths:
         at = worded.select("doc_id", "row_hash", F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("h")).limit(0)
     elif packed is None:
-        at = worded.select("doc_id", "row_hash", F.posexplode(_windows("w", lengths[0])).alias("i", "h"))
+        at = worded.select("doc_id", "row_hash", F.posexplode(_looked_at(lengths[0])).alias("i", "h"))
     else:
         at = worded.select("doc_id", "row_hash", F.inline(packed))
     met = at.join(once(bench), "h").select("doc_id", "row_hash", "item_id", "item_hash", "n", "n_windows", "j", (F.col("i") - F.col("j")).alias("shift"))
@@ -97,7 +108,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float =
     mine = mine.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("r"), pairs(F.col("text")).alias("p")).dropDuplicates(["d", "r"])
     items = pick(benchmark, item_id="long", text="string").distinct().select(F.col("item_id").alias("b"), F.xxhash64("text").alias("bh"), pairs(F.col("text")).alias("q"))
     j = hits.join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")))
-    j = j.join(once(items), F.col("item_id").eqNullSafe(F.col("b")) & (F.col("item_hash") == F.col("bh")))
+    held = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    items = F.broadcast(items) if held <= BROADCAST_BYTES else items
+    j = j.join(items, F.col("item_id").eqNullSafe(F.col("b")) & (F.col("item_hash") == F.col("bh")))
     spots = lambda a: F.array_distinct(F.flatten(F.transform(a["js"], lambda s: F.sequence(s, s + F.col("n") - 1))))
     slot = lambda a: F.transform(
         F.filter(spots(a), lambda k: F.get("q", k)["c"].rlike(SLOT)), lambda k: F.struct(F.get("q", k)["v"].alias("item"), F.get("p", k + a["shift"])["v"].alias("doc"))
@@ -114,6 +127,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, share: float =
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that leak an item; all columns as they are."""
-    bad = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("leak_doc"), F.col("row_hash").alias("leak_row")).distinct(), "leaks")
+    doc_id, row = fresh(docs, "leak_doc", "leak_row")
+    bad = cut(leaks(docs, benchmark).select(F.col("doc_id").alias(doc_id), F.col("row_hash").alias(row)).distinct(), "leaks")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("leak_doc")) & (F.xxhash64("text") == F.col("leak_row")), "left_anti")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(row))
+    return docs.join(bad, same, "left_anti")
