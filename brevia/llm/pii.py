@@ -1,10 +1,16 @@
 """Personal data by weak supervision.
 
 Base spans come from four fixed patterns. Further candidates (obfuscated addresses, numbers without a plus, dotted
-cards, IPv6) are voted on by three labelers: a pattern, a gazetteer and a context labeler, each +1, 0 or -1.
-Expectation-maximisation over the counts of vote patterns estimates each labeler's reliabilities; its posteriors
-train, over all vote patterns, a logistic span classifier, whose probability alone decides about the candidates. Base spans stay whatever it says. What the
-driver gathers is one count for each vote pattern, at most 4 kinds * 2 * 27 * 3.
+cards, IPv6) are voted on by three labelers: a pattern, a gazetteer and a context labeler, each +1, 0 or -1. The
+gazetteer knows a few fixed keys (top-level domains, first digits of cards) and learns others from the corpus: those
+that at least LEAST base spans have (endings of addresses, first four digits of cards, area codes).
+Expectation-maximisation over the counts of all vote patterns estimates each labeler's reliabilities. Its posteriors
+train a logistic span classifier over the votes and over hashed features of the span's shape and the words around it;
+its probability alone decides about the candidates. Base spans stay whatever it says.
+
+Counts of votes and keys are over all rows. What the driver gathers is bounded by parameters: one count for each vote
+pattern (4 kinds * 2 * 27 at most), the GAZETTEER most frequent keys, and FIT spans, those with the smallest hashes, on
+which the classifier's weights are fitted.
 
 Defined results: a null text is empty; spans are code points, end exclusive; every row gives one row, repeated ones
 too; an empty table gives no rows (and an untrained classifier that adds nothing); other columns are ignored.
@@ -12,17 +18,23 @@ too; an empty table gives no rows (and an untrained classifier that adds nothing
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, fresh, give_back, pick
 
+#: Base spans with a key from which the gazetteer knows it; its size; spans that the classifier is fitted on.
+LEAST, GAZETTEER, FIT = 2, 5000, 5000
+#: Hashed features of a span and its surroundings.
+HASHED = 256
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -113,9 +125,31 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
     return (1 if base or _well_formed(kind, span) else -1), (1 if base or digits[:1] not in ("0", "1") else -1), context
 
 
+def gazetteer_key(kind: str, span: str) -> str:
+    """What the gazetteer looks up: a domain's last label, a card's first four digits, an area code; else nothing."""
+    if kind == "email":
+        return re.split(r"[^A-Za-z0-9]+", span.rstrip(")] "))[-1].lower()[:20]
+    digits = re.sub(r"[^0-9]", "", span)
+    return digits[:4] if kind == "card" else digits[-10:-7] if kind == "phone" and len(digits) >= 10 else ""
+
+
+def features(text: str, kind: str, start: int, end: int) -> list[int]:
+    """Hashes of the span's shape and of the words around it."""
+    span = text[start:end]
+    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "0", span)))[:40]
+    words = [f"-{w}" for w in sorted(_before(text, start))] + [f"+{w}" for w in re.findall(r"[a-z-]+", text[end : end + 30].lower())[:2]]
+    names = [f"shape {shape}", f"length {len(span).bit_length()}", f"digits {sum(c in '0123456789' for c in span)}", *words]
+    return sorted({zlib.crc32(f"{kind} {x}".encode("utf-8", "replace")) % HASHED for x in names})
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Loose matches that touch no base span."""
-    taken = [(s, e) for _, s, e in base]
+    """Loose matches that touch no base span and no earlier loose match."""
+    starts, ends = [], []  # what is taken: sorted, not overlapping
+    for s, e in sorted((s, e) for _, s, e in base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s), ends.append(e)
     out = []
     digits = re.search(r"[0-9]{3}", text) is not None
     lowered = None
@@ -130,46 +164,41 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         elif not digits:
             continue
         for m in pattern.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                taken.append((m.start(), m.end()))
+            k = bisect.bisect_left(ends, m.start() + 1)  # the first taken span that ends behind the match's start
+            if k == len(starts) or starts[k] >= m.end():
+                starts.insert(k, m.start()), ends.insert(k, m.end())
                 out.append((kind, m.start(), m.end()))
     return out
 
 
-FOUND = "doc_id long, base array<struct<kind:string,start:int,end:int>>, more array<struct<kind:string,start:int,end:int,v1:int,v2:int,v3:int>>, seen array<struct<kind:string,base:int,v1:int,v2:int,v3:int>>"
-SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-VOTES = [(v, pa.int32()) for v in ("v1", "v2", "v3")]
-MORE = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), *VOTES])
-SEEN = pa.struct([("kind", pa.string()), ("base", pa.int32()), *VOTES])
+FIELDS = [("kind", "string"), ("base", "boolean"), ("start", "int"), ("end", "int"), ("v1", "int"), ("v2", "int"), ("v3", "int"), ("key", "string"), ("f", "array<int>")]
+SPANS = f"array<struct<{','.join(f'{n}:{t}' for n, t in FIELDS)}>>"
+ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
+SPAN = pa.struct([(n, ARROW[t]) for n, t in FIELDS])
 
 
-def _found(text: str):
+def spans_of(text: str) -> list[tuple]:
+    """All base spans and further candidates of a text, with their votes, key and features, as FIELDS names them."""
     base = base_spans(text)
-    loose = candidates(text, base)
-    more = [(k, s, e, *votes(text, k, s, e, False)) for k, s, e in loose]
-    seen = [(k, 1, *votes(text, k, s, e, True)) for k, s, e in base] + [(m[0], 0, *m[3:]) for m in more]
-    return base, more, seen
+    both = [(True, x) for x in base] + [(False, x) for x in candidates(text, base)]
+    return [(k, on, s, e, *votes(text, k, s, e, on), gazetteer_key(k, text[s:e]), features(text, k, s, e)) for on, (k, s, e) in both]
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """For every row its base spans, its further candidates with their votes, and all vote patterns."""
+def find_spans(docs: DataFrame, name: str, *keep: str) -> DataFrame:
+    """The columns `keep` of docs, with its texts' spans as the column `name`. docs has a column text."""
+    at = docs.columns.index("text")
+    kept = [docs.columns.index(c) for c in keep]
 
     def run(batches):
         for b in batches:
-            ids, base, more, seen = [], [], [], []
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    x, y, z = _found(text or "")
-                    ids.append(doc_id)
-                    base.append([{"kind": k, "start": s, "end": e} for k, s, e in x])
-                    more.append([dict(zip(("kind", "start", "end", "v1", "v2", "v3"), m, strict=True)) for m in y])
-                    seen.append([dict(zip(("kind", "base", "v1", "v2", "v3"), m, strict=True)) for m in z])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(base, pa.list_(SPAN)), pa.array(more, pa.list_(MORE)), pa.array(seen, pa.list_(SEEN))], ["doc_id", "base", "more", "seen"]
-            )
+                found = [[dict(zip([n for n, _ in FIELDS], x, strict=True)) for x in spans_of(t or "")] for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], pa.array(found, pa.list_(SPAN))], [*keep, name])
+        give_back()
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, FOUND)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[k] for k in kept)]
+    return docs.mapInArrow(run, ", ".join([*kinds, f"`{name}` {SPANS}"]))
 
 
 def expectation_maximisation(counts: dict[tuple[int, ...], float], anchored: dict[tuple[int, ...], float], rounds: int = 50):
@@ -202,57 +231,77 @@ def expectation_maximisation(counts: dict[tuple[int, ...], float], anchored: dic
 
 
 class SpanClassifier:
-    """Logistic regression over one-hot kinds and votes, fitted to the posteriors of expectation-maximisation."""
+    """Logistic regression over one-hot kinds and votes and over hashed features of a span and its surroundings, fitted to
+    the posteriors of expectation-maximisation. known: the (kind, key) of the learnt gazetteer."""
+
+    VOTES = 1 + len(KINDS) + 9
 
-    def __init__(self, weights: np.ndarray | None = None, threshold: float = 0.9):
-        self.weights, self.threshold = weights, threshold
+    def __init__(self, weights: np.ndarray | None = None, known: frozenset = frozenset(), threshold: float = 0.9):
+        self.weights, self.known, self.threshold = weights, known, threshold
 
-    @staticmethod
-    def features(kind: str, v) -> np.ndarray:
-        x = np.zeros(1 + len(KINDS) + 9)
+    @classmethod
+    def row(cls, kind: str, v, hashed=()) -> np.ndarray:
+        x = np.zeros(cls.VOTES + HASHED)
         x[0] = x[1 + KINDS.index(kind)] = 1
         for k in range(3):
             x[1 + len(KINDS) + 3 * k + v[k] + 1] = 1
+        for f in hashed:
+            x[cls.VOTES + f] = 1 / np.sqrt(len(hashed))
         return x
 
-    def accepts(self, kind: str, v) -> bool:
+    def accepts(self, span: dict) -> bool:
+        """Whether a further candidate (a dict of FIELDS) is personal data."""
         if self.weights is None:
             return False
-        return 1 / (1 + np.exp(-self.features(kind, v) @ self.weights)) >= self.threshold
+        v = span["v1"], 1 if (span["kind"], span["key"]) in self.known else span["v2"], span["v3"]
+        return 1 / (1 + np.exp(-self.row(span["kind"], v, span["f"]) @ self.weights)) >= self.threshold
 
     @classmethod
-    def fitted(cls, rows: list[tuple[str, int, int, int, int, int]], rounds: int = 400) -> SpanClassifier:
-        """rows: kind, base, three votes, count."""
-        xs, ys, ns = [], [], []
+    def fitted(cls, counts: list[tuple], sample: list[tuple] = (), known: frozenset = frozenset(), rounds: int = 400) -> SpanClassifier:
+        """counts: kind, base, three votes, count. sample: kind, base, three votes, hashed features."""
+        xs, ys, ns, posteriors = [], [], [], {}
         for kind in KINDS:
-            free = {r[2:5]: float(r[5]) for r in rows if r[0] == kind and not r[1]}
-            fixed = {r[2:5]: float(r[5]) for r in rows if r[0] == kind and r[1]}
+            free = {tuple(r[2:5]): float(r[5]) for r in counts if r[0] == kind and not r[1]}
+            fixed = {tuple(r[2:5]): float(r[5]) for r in counts if r[0] == kind and r[1]}
             if not free and not fixed:
                 continue
-            *_, posterior = expectation_maximisation(free, fixed)
+            *_, posteriors[kind] = expectation_maximisation(free, fixed)
             for v in itertools.product((-1, 0, 1), repeat=3):  # patterns that were not seen too: else nothing speaks against any
-                xs.append(cls.features(kind, v)), ys.append(posterior(v)), ns.append(free.get(v, 0.0) + 1)
+                xs.append(cls.row(kind, v)), ys.append(posteriors[kind](v)), ns.append(np.log1p(free.get(v, 0.0) + 1))
             for v, n in fixed.items():
-                xs.append(cls.features(kind, v)), ys.append(1.0), ns.append(n)
+                xs.append(cls.row(kind, v)), ys.append(1.0), ns.append(np.log1p(n))
         if not xs:
-            return cls()
-        x, y, n = np.array(xs), np.array(ys), np.log1p(np.array(ns))
+            return cls(known=known)
+        for kind, base, *v, hashed in sample:
+            xs.append(cls.row(kind, v, hashed)), ys.append(1.0 if base else posteriors[kind](tuple(v))), ns.append(0.0)
+        x, y, n = np.array(xs), np.array(ys), np.array(ns)
+        if len(sample):  # the spans weigh half as much in all as the patterns
+            n[-len(sample) :] = n.sum() / (2 * len(sample))
         w = np.zeros(x.shape[1])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-(x @ w)))
             w -= 0.5 * (x.T @ (n * (p - y)) / n.sum() + 1e-3 * w)
-        return cls(w)
+        return cls(w, known)
 
 
-def fit(found: DataFrame) -> SpanClassifier:
-    """From the counts of vote patterns over all rows."""
-    rows = found.select(F.explode("seen").alias("s")).select("s.*").groupBy("kind", "base", "v1", "v2", "v3").count().collect()
-    return SpanClassifier.fitted(sorted(tuple(r) for r in rows))
+def fit(found: DataFrame, name: str) -> SpanClassifier:
+    """From find_spans(): gazetteer and counts of vote patterns over all rows, weights from FIT of the spans."""
+    spans = found.select(F.explode(F.col(f"`{name}`")).alias("s")).select("s.*")
+    keys = spans.where("base AND key != ''").groupBy("kind", "key").count().where(F.col("count") >= LEAST)
+    keys = keys.orderBy(F.desc("count"), "kind", "key").limit(GAZETTEER).select("kind", "key", F.lit(1).alias("known"))
+    known = frozenset((r.kind, r.key) for r in keys.collect())
+    learnt = found.sparkSession.createDataFrame([(*x, 1) for x in sorted(known)], "kind string, key string, known int")
+    spans = spans.join(F.broadcast(learnt), ["kind", "key"], "left").withColumn("v2", F.coalesce("known", "v2"))
+    pattern = ["kind", "base", "v1", "v2", "v3"]
+    counts = sorted(tuple(r) for r in spans.groupBy(*pattern).count().collect())
+    order = [F.xxhash64("start", "end", "key", "f"), *pattern, F.col("start"), F.col("end")]
+    sample = [tuple(r) for r in spans.orderBy(*order).select(*pattern, "f").limit(FIT).collect()]
+    return SpanClassifier.fitted(counts, sample, known)
 
 
-def _all(base, more, model: SpanClassifier):
-    spans = [*base, *[m[:3] for m in more if model.accepts(m[0], m[3:])]]
-    return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+def _all(spans: list[dict], model: SpanClassifier):
+    found = [(x["kind"], x["start"], x["end"]) for x in spans if x["base"] or model.accepts(x)]
+    return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def joined(spans) -> str:
@@ -261,29 +310,28 @@ def joined(spans) -> str:
 
 def report(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all)."""
-    found = cut(find_spans(docs), "pii")
-    model = fit(found)
+    found = cut(find_spans(pick(docs, doc_id="long", text="string"), "found", "doc_id"), "pii")
+    model = fit(found, "found")
 
     def run(batches):
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                base = [(s["kind"], s["start"], s["end"]) for s in r["base"]]
-                more = [tuple(s.values()) for s in r["more"]]
+            for doc_id, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                base = [(x["kind"], x["start"], x["end"]) for x in spans if x["base"]]
                 n = [sum(s[0] == k for s in base) for k in KINDS]
-                out.append((r["doc_id"], *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(_all(base, more, model))))
+                out.append((doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(_all(spans, model))))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
-    return found.select("doc_id", "base", "more").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def redact_text(text: str, model: SpanClassifier) -> str:
-    """Every span replaced by [KIND]; of overlapping spans the union is replaced, under the first one's kind."""
-    base, more, _ = _found(text)
+def masked(text: str, spans) -> str:
+    """Every span (kind, start, end) replaced by [KIND]; of overlapping spans the union is replaced, under the first
+    one's kind."""
     out, at = [], 0
-    for kind, s, e in sorted(_all(base, more, model), key=lambda x: (x[1], -x[2])):
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
         if s >= at:
             out += [text[at:s], f"[{kind.upper()}]"]
         at = max(at, e)
@@ -292,14 +340,20 @@ def redact_text(text: str, model: SpanClassifier) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data in text masked; all columns stay as they are (null texts stay null), but n_chars,
-    where there is one, is the new length."""
-    model = fit(find_spans(docs))
-    where, schema, chars = docs.columns.index("text"), docs.schema, "n_chars" in docs.columns
+    where there is one, is the new length. Texts are searched once: the spans are written beside the documents."""
+    (name,) = fresh(docs, "found_spans")
+    found = cut(find_spans(docs, name, *docs.columns), "pii")
+    model = fit(found, name)
+    names = docs.columns
+    where, chars = names.index("text"), "n_chars" in names
 
     def run(batches):
         for b in batches:
-            texts = [None if t is None else redact_text(t, model) for t in b.column(where).to_pylist()]
-            yield b.set_column(where, b.schema.field(where).name, pa.array(texts, b.column(where).type))
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                texts = [t if not x or t is None else masked(t, _all(x, model)) for t, x in zip(part.column(where).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)]
+                cols = [pa.array(texts, c.type) if k == where else c for k, c in enumerate(part.columns[:-1])]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = docs.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if chars else out
+    out = found.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if chars else out
