@@ -5,7 +5,8 @@ classifier over hashed words and word beginnings is trained by numpy on the non-
 pi * E_P[l(f)] + max(0, E_U[l(-f)] - pi * E_P[l(-f)]), where pi is the class prior.
 
 The training sample is bounded: at most max_positive confirmed and max_unlabelled other documents, those with the
-smallest hashes of doc_id. Scoring covers every whole text.
+smallest hashes of doc_id, each with one text (the largest, if rows share the doc_id). What the driver gathers is one list
+of 32-bit features for each of them, as arrays. Scoring covers every whole text.
 
 Defined results: a null text is scored as the empty text; a label is toxic if any of its document's label rows says
 so, null labels count as none; without a positive the score is 0 everywhere; repeated rows get a row each; an empty
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import give_back, pick
 
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¿¡"
 BITS = 22
@@ -60,6 +61,32 @@ class Features:
         return out
 
 
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The non-negative risk of the raw scores f of both samples under the logistic loss, and its negative part
+    E_U[l(-f)] - pi * E_P[l(-f)] before it is held above zero."""
+    loss = lambda z: np.logaddexp(0, -z)
+    negative = loss(-unlabelled).mean() - prior * loss(-positive).mean()
+    return float(prior * loss(positive).mean() + max(0.0, negative)), float(negative)
+
+
+class Rows:
+    """Lists of features, as one array of values and one of starts."""
+
+    def __init__(self, starts: np.ndarray, values: np.ndarray):
+        self.starts, self.values = starts.astype(np.int64), values
+
+    @classmethod
+    def of(cls, lists) -> Rows:
+        return cls(np.cumsum([0, *map(len, lists)]), np.concatenate([np.zeros(0, np.int32), *[np.asarray(x, np.int32) for x in lists]]))
+
+    def taken(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each feature of these rows the position of its row, and the feature."""
+        size = self.starts[rows + 1] - self.starts[rows]
+        of = np.repeat(np.arange(len(rows)), size)
+        first = np.cumsum(size) - size
+        return of, self.values[np.arange(len(of)) - first[of] + self.starts[rows][of]]
+
+
 class NnPu:
     """weights: feature -> weight; bias."""
 
@@ -71,12 +98,13 @@ class NnPu:
         return float(1 / (1 + np.exp(-z))) if z > -700 else 0.0
 
     @classmethod
-    def fitted(cls, positive: list, unlabelled: list, prior: float, keep: int = 4096, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> NnPu:
-        """Of lists of feature sets. Candidates are the `keep` features with the highest lift among the positives."""
-        if not positive:
+    def fitted(cls, data: Rows, positive: np.ndarray, unlabelled: np.ndarray, prior: float, keep: int = 4096, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> NnPu:
+        """positive, unlabelled: rows of data; a row may stand in both. Candidates are the `keep` features with the highest
+        lift among the positives."""
+        if not len(positive):
             return cls({}, -1e9)
-        p_ids, p_n = np.unique(np.concatenate([np.fromiter(x, np.int64, len(x)) for x in positive] or [np.zeros(0, np.int64)]), return_counts=True)
-        u_ids, u_n = np.unique(np.concatenate([np.fromiter(x, np.int64, len(x)) for x in unlabelled] or [np.zeros(0, np.int64)]), return_counts=True)
+        (pr, pf), (ur, uf) = data.taken(positive), data.taken(unlabelled)
+        (p_ids, p_n), (u_ids, u_n) = (np.unique(x, return_counts=True) for x in (pf, uf))
         at = np.searchsorted(u_ids, p_ids).clip(0, max(0, len(u_ids) - 1))
         in_u = np.where(u_ids[at] == p_ids, u_n[at], 0) if len(u_ids) else np.zeros(len(p_ids), int)
         a, b = p_n / len(positive), in_u / max(1, len(unlabelled))
@@ -84,21 +112,19 @@ class NnPu:
         rest = np.maximum(0.0, b - prior * a) / max(1e-6, 1 - prior)
         lift = a / (rest + 1 / max(1, len(unlabelled)))
         good = (p_n >= 3) & (lift >= 4)
-        order = np.argsort(-(lift * np.sqrt(p_n))[good], kind="stable")[:keep]
-        chosen = {int(f): k for k, f in enumerate(p_ids[good][order])}
-        if not chosen:
+        chosen = np.sort(p_ids[good][np.argsort(-(lift * np.sqrt(p_n))[good], kind="stable")[:keep]])
+        if not len(chosen):
             return cls({}, float(np.log(prior / (1 - prior))))
 
-        def rows(sets):
-            pairs = [(i, chosen[f]) for i, s in enumerate(sets) for f in sorted(s) if f in chosen]
-            r, c = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-            return r, c
+        def known(rows, features):
+            at = np.searchsorted(chosen, features).clip(0, len(chosen) - 1)
+            held = chosen[at] == features
+            return rows[held], at[held]
 
-        (pr, pc), (ur, uc) = rows(positive), rows(unlabelled)
+        (pr, pc), (ur, uc) = known(pr, pf), known(ur, uf)
         w, bias = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
         m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        softplus = lambda z: np.logaddexp(0, z)
         np_, nu = len(positive), max(1, len(unlabelled))
 
         def gradient(r, c, by_row):
@@ -107,7 +133,7 @@ class NnPu:
         for t in range(1, rounds + 1):
             fp = bias + np.bincount(pr, w[pc], np_)
             fu = bias + np.bincount(ur, w[uc], nu)
-            negative = softplus(fu).mean() - prior * softplus(fp).mean()
+            _, negative = risk(fp, fu, prior)
             g_neg = gradient(ur, uc, sigmoid(fu) / nu) - gradient(pr, pc, prior * sigmoid(fp) / np_)
             # below zero the negative part is over-fitted: step back along it instead of on
             g = gradient(pr, pc, -prior * sigmoid(-fp) / np_) + g_neg if negative >= 0 else -g_neg
@@ -115,7 +141,7 @@ class NnPu:
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w, bias = w - step[:-1], bias - step[-1]
-        return cls({f: float(w[k]) for f, k in chosen.items()}, float(bias))
+        return cls({int(f): float(x) for f, x in zip(chosen, w, strict=True)}, float(bias))
 
 
 def held_out(doc_id):
@@ -139,17 +165,22 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unla
     def run(batches):
         get = Features()
         for b in batches:
-            sets = [np.fromiter(sorted(get(t or "")), np.int32) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), b.column(1)], ["features", "positive"])
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                sets = Rows.of([np.fromiter(sorted(get(t or "")), np.int32) for t in part.column(1).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(sets.starts.astype(np.int32)), pa.array(sets.values, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], ["doc_id", "positive", "features"])
+        give_back()
 
     # the sample has max_positive + max_unlabelled rows at most, so it may be broadcast
-    texts = pick(docs, doc_id="long", text="string").join(F.broadcast(sample), "doc_id")
-    got = texts.select("text", "positive").mapInArrow(run, "features array<int>, positive boolean").toArrow()
-    flags = got.column("positive").to_pylist()
-    sets = got.column("features").to_pylist()
-    order = sorted(range(len(flags)), key=lambda k: (len(sets[k]), sets[k]))  # the same model whatever the order of arrival
-    pos, unl = [sets[k] for k in order if flags[k]], [sets[k] for k in order if not flags[k]]
-    return NnPu.fitted(pos, unl + pos[: round(len(unl) * prior / (1 - prior))], prior)
+    texts = pick(docs, doc_id="long", text="string").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "positive").agg(F.max("text").alias("text"))
+    got = texts.select("doc_id", "text", "positive").mapInArrow(run, "doc_id long, positive boolean, features array<int>").toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy())  # the same model whatever the order of arrival
+    lists = got.column("features").combine_chunks()
+    data = Rows(lists.offsets.to_numpy(), lists.values.to_numpy())
+    on = got.column("positive").to_numpy()[order] if len(order) else np.zeros(0, bool)
+    positive, other = order[on], order[~on]
+    return NnPu.fitted(data, positive, np.concatenate([other, positive[: round(len(other) * prior / (1 - prior))]]), prior)
 
 
 def score(docs: DataFrame, model: NnPu, threshold: float = 0.7) -> DataFrame:
