@@ -1,12 +1,14 @@
 """WARC archives: writing records for pages, and reading them back by boundary-chain verification.
 
-Writing: each task writes one archive of at most records_per_file records through Spark's own writer, so any file
-system will do. Of records with equal payloads of at least REVISIT_BYTES bytes the one with the smallest page_id is a
-response, the others are revisits of it.
+Writing: each task writes archives through Spark's own writer, so any file system will do. Records are sorted into levels
+by their size; a file of level k holds records_per_file / 4**k records of at most LEVEL_BYTES * 4**k bytes, so that
+records_per_file * LEVEL_BYTES bounds every file but those of a single record. Of records with equal payloads of at least
+REVISIT_BYTES bytes the one with the smallest page_id is a response, the others are revisits of it.
 
-Reading: wherever the magic of a record stands, in a header or inside a payload, a candidate (offset, successor's
-offset) is emitted. Pointer jumping from the start of the file keeps only the candidates that the chain of true
-records reaches, in a logarithmic number of steps, so magic inside payloads is rejected.
+Reading: wherever the magic of a record stands, in a header or inside a payload, the task that reads its file emits a
+candidate: its offset, that of its successor, and what its header says. By file, pointer jumping over the offsets from
+the start of the file keeps only the candidates that the chain of true records reaches, in a logarithmic number of
+steps, so magic inside payloads is rejected.
 
 Defined results: null html is the empty payload; rows that share the smallest page_id of a payload are all responses;
 a null page_id counts as larger than all others and is read back as null; an empty table gives empty archives and no
@@ -23,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, pick
+from .common import cut, fresh_path, give_back, pick
 
 REVISIT_BYTES = 100
 #: Digests with a smallest page_id that may be broadcast (32 + 8 bytes each).
 BROADCAST_ROWS = 200_000
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 SEGMENT = 1 << 22
+LEVEL_BYTES = 1 << 16
 EOL = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -39,8 +42,8 @@ def _uuid(col):
     return F.concat(F.lit("<urn:uuid:"), *[x for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(h, i, n), F.lit("-" if i < 21 else ">"))])
 
 
-def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One column, the text of a whole record but for the two line ends that close it."""
+def records(pages: DataFrame, *more, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """value, the text of a whole record but for the two line ends that close it; and more columns."""
     html = F.coalesce("html", F.lit(""))
     p = pick(pages, page_id="long", url="string", html="string").withColumn("html", html).withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
     first = p.where(F.col("size") >= REVISIT_BYTES).groupBy(F.unhex("digest").alias("of")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
@@ -68,12 +71,19 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
             head("Content-Length", F.octet_length("block")),
             F.lit(EOL),
             F.col("block"),
-        ).alias("value")
+        ).alias("value"),
+        *more,
     )
 
 
 def write_archives(pages: DataFrame, path: str, records_per_file: int = 4000) -> None:
-    records(pages).write.option("lineSep", EOL * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    size = F.octet_length(F.coalesce("html", F.lit(""))) + F.octet_length(F.coalesce("url", F.lit(""))) + 4096
+    level = F.greatest(F.lit(0), F.ceil(F.log(4.0, size / LEVEL_BYTES))).cast("int")
+    p = pick(pages, page_id="long", url="string", html="string")
+    found = records(p, level.alias("level"))
+    for k in sorted(r.level for r in p.select(level.alias("level")).distinct().collect()):  # 32 at most
+        one = found.where(F.col("level") == k).select("value")
+        one.write.option("lineSep", EOL * 2).option("maxRecordsPerFile", max(1, records_per_file >> 2 * k)).text(f"{path}/level{k}")
 
 
 def candidates(data: bytes, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,29 +142,55 @@ def parse(data: bytes, offset: int) -> tuple[dict[str, str], bytes]:
 
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+CANDIDATE = f"file string, size long, start long, successor long, {READ}"
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row for each true record; payload is null for revisits, and for all with payloads=False. The digest of a
-    response is taken from its payload, that of a revisit from its header."""
+def _told(data: bytes, offset: int, payloads: bool) -> tuple:
+    """What a candidate's header says, as READ; nulls where it isn't a record of ours."""
+    try:
+        h, payload = parse(data, offset)
+        full = h["warc-type"] != "revisit"
+        digest = hashlib.sha256(payload).hexdigest() if full else h["warc-payload-digest"].partition(":")[2]
+        ids = [int(h[x]) if x in h else None for x in ("x-page-id", "x-refers-to-page-id")]
+        return ids[0], h.get("warc-target-uri"), len(payload) if full else int(h["payload-length"]), digest, h["warc-type"], ids[1], payload if full and payloads else None
+    except (KeyError, ValueError):
+        return (None,) * 7
+
+
+def read_candidates(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row for each candidate of each archive, CANDIDATE; and for each archive that isn't empty one with start -1."""
 
     def run(batches):
+        names = [x.split()[0] for x in CANDIDATE.split(", ")]
         for b in batches:
             for k in range(b.num_rows):
-                data, rows = b.column(0)[k].as_py(), []
-                for offset in chain(data):
-                    h, payload = parse(data, int(offset))
-                    full = h["warc-type"] != "revisit"
-                    digest = hashlib.sha256(payload).hexdigest() if full else h["warc-payload-digest"].partition(":")[2]
-                    ids = [int(h[x]) if x in h else None for x in ("x-page-id", "x-refers-to-page-id")]
-                    rows.append((ids[0], h.get("warc-target-uri"), len(payload) if full else int(h["payload-length"]), digest, h["warc-type"], ids[1], payload if full and payloads else None))
+                file, data = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((file, len(data), -1, -1, *(None,) * 7), KINDS, strict=True)], names)
+                for start in range(0, len(data), SEGMENT):
+                    rows = [(file, len(data), int(x), int(y), *_told(data, int(x), payloads)) for x, y in zip(*candidates(data, start, start + SEGMENT), strict=True)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names)
                 del data
-                cols = list(zip(*rows, strict=True)) or [[]] * 7
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
+        give_back()
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    return files.where("length > 0").select("path", "content").mapInArrow(run, CANDIDATE)
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row for each true record, READ; payload is null for revisits, and for all with payloads=False. The digest of a
+    response is taken from its payload, that of a revisit from its header."""
+    found = cut(read_candidates(spark, path, payloads), "candidates")
+
+    def chained(part: pa.Table) -> pa.Table:
+        offsets, successors = (part.column(c).to_numpy() for c in ("start", "successor"))
+        true = reachable(offsets[offsets >= 0], successors[offsets >= 0], part.column("size")[0].as_py())
+        return pa.table({"f": pa.array([part.column("file")[0].as_py()] * len(true), pa.string()), "true": true})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, READ)
+    true = found.select("file", "size", "start", "successor").groupBy("file").applyInArrow(chained, "f string, true long")
+    kept = found.join(true, (F.col("file") == F.col("f")) & (F.col("start") == F.col("true")), "left_semi")
+    return kept.select(*[x.split()[0] for x in READ.split(", ")])
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
