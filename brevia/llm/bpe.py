@@ -1,8 +1,8 @@
 """BPE encoding and decoding with forced-boundary splitting.
 
 A pair of neighbouring byte symbols that stands in no token of the vocabulary can never be merged across, so it
-marks a certain cut. A word is split at its certain cuts, the fragments are encoded on their own (and remembered),
-and their ids are concatenated. Decoding joins the tokens' strings by one space, as the vocabulary names no decoder.
+marks a certain cut. A word is split at its certain cuts, the fragments are encoded on their own, and their ids are
+concatenated (and remembered by word). Decoding joins the tokens' strings by one space, as the vocabulary names no decoder.
 
 Defined results: a null text is encoded as the empty text (no ids); every row gives one row, repeated ones too; the
 strings of special tokens in a text become their ids; an empty table gives no rows; other columns are ignored.
@@ -21,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import pick, text_parts
+from .common import fresh, give_back, pick, text_parts
 
 #: What the vocabulary file's normaliser calls white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 END = "</w>"
-#: Entries that a worker remembers for runs and for fragments. A full memory becomes the aged one, which is still read.
-REMEMBERED = 100_000
+#: Entries that a worker remembers for runs and for words. A full memory becomes the aged one, which is still read.
+REMEMBERED = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -64,13 +65,13 @@ class WordBpe:
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.cut_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.odd = re.compile("[\x1c-\x1f]")  # white space to str.split() only
-        self.runs: dict[str, tuple[int, str, str]] = {}
-        self.fragments: dict[tuple[int, ...], tuple[int, ...]] = {}
-        self.aged_runs, self.aged_fragments = {}, {}
+        self.forget()
 
     def forget(self) -> None:
-        """Give the memory of runs and fragments back."""
-        self.runs, self.fragments, self.aged_runs, self.aged_fragments = {}, {}, {}, {}
+        """Give the memory of runs and words back."""
+        self.runs: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, tuple[int, str, str]] = {}
+        self.aged_runs, self.aged_words = {}, {}
 
     @staticmethod
     def _symbols(token: str) -> list[str]:
@@ -93,18 +94,22 @@ class WordBpe:
         cuts = [k for k, pair in enumerate(self._pairs(ids), 1) if pair not in joined]
         return [tuple(ids[i:j]) for i, j in zip([0, *cuts], [*cuts, len(ids)], strict=True)]
 
-    def encode_fragment(self, fragment: tuple[int, ...]) -> tuple[int, ...]:
+    def encode_fragment(self, fragment: tuple[int, ...]) -> list[int]:
         """Merges of the lowest rank first, leftmost first."""
-        if (got := self.fragments.get(fragment)) is not None:
+        return self._encode_long(list(fragment)) if len(fragment) > 200 else self._merged(list(fragment))
+
+    def encode_word(self, word: str) -> tuple[int, str, str]:
+        """Of a word: number of ids, ids and token strings, joined. The words of many runs are the same."""
+        if (got := self.words.get(word)) is not None:
             return got
-        if len(fragment) > 200:
-            return tuple(self._encode_long(list(fragment)))
-        if (got := self.aged_fragments.get(fragment)) is None:
-            got = tuple(self._merged(list(fragment)))
-        if len(fragment) <= 64:
-            if len(self.fragments) >= REMEMBERED:
-                self.aged_fragments, self.fragments = self.fragments, {}
-            self.fragments[fragment] = got
+        if (got := self.aged_words.get(word)) is None:
+            strings = self.strings
+            ids = [i for f in self.fragments_of(word) for i in self.encode_fragment(f)]
+            got = len(ids), " ".join(map(str, ids)), " ".join([strings[i] for i in ids])
+        if len(word) <= 64:
+            if len(self.words) >= REMEMBERED:
+                self.aged_words, self.words = self.words, {}
+            self.words[word] = got
         return got
 
     def _merged(self, ids: list[int]) -> list[int]:
@@ -140,10 +145,14 @@ class WordBpe:
         return [x for x, on in zip(ids, live, strict=True) if on]
 
     def encode_run(self, run: str) -> tuple[int, str, str]:
-        """Of a run without white space: number of ids, ids and token strings, joined."""
-        if (got := self.runs.get(run) or self.aged_runs.get(run)) is None:
-            ids = [i for w in self.word.findall(run) for f in self.fragments_of(w) for i in self.encode_fragment(f)]
-            got = len(ids), " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids])
+        """The same of a run without white space."""
+        if (got := self.aged_runs.get(run)) is None:
+            words = self.word.findall(run)
+            if len(words) == 1:
+                got = self.encode_word(words[0])
+            else:
+                parts = [self.encode_word(w) for w in words]
+                got = sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
         if len(run) <= 64:
             if len(self.runs) >= REMEMBERED:
                 self.aged_runs, self.runs = self.runs, {}
@@ -191,29 +200,46 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """doc_id, ids (array), decoded for every row; with keep_ids=False only the contract's digests of these:
-    doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    full = "doc_id long, ids array<int>, decoded string"
-    digests = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def _row_digests(bpe: WordBpe, text: str | None) -> tuple:
+    sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
+    parts = bpe.parts(text or "")
+    return sum([p[0] for p in parts]), sha(" ".join([p[1] for p in parts])), sha(" ".join([p[2] for p in parts]))
+
+
+def _row_ids(bpe: WordBpe, text: str | None) -> tuple:
+    parts = bpe.parts(text or "")
+    return np.array(" ".join([p[1] for p in parts]).split(), np.int32), " ".join([p[2] for p in parts])
+
+
+def _mapped(docs: DataFrame, path: str | None, schema: str, kinds: list, names: list[str], row) -> DataFrame:
+    """docs (doc_id, text, more columns) without text, with the columns that row() makes of a text; part by part."""
 
     def run(batches):
         bpe = load(path or default_path())
-        sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-        kinds = [pa.int64(), pa.list_(pa.int32()), pa.string()] if keep_ids else [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["doc_id", "ids", "decoded"] if keep_ids else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         for b in batches:
-            for doc_ids, texts in text_parts(b):
-                rows = []
-                for doc_id, text in zip(doc_ids, texts, strict=True):
-                    parts = bpe.parts(text or "")
-                    ids = " ".join([p[1] for p in parts])
-                    decoded = " ".join([p[2] for p in parts])
-                    if keep_ids:
-                        rows.append((doc_id, np.array(ids.split(), np.int32), decoded))
-                    else:
-                        rows.append((doc_id, sum([p[0] for p in parts]), sha(ids), sha(decoded)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            at = 0
+            for ids, texts in text_parts(b):
+                made = zip(*[row(bpe, t) for t in texts], strict=True)
+                more = [c.slice(at, len(ids)) for c in b.columns[2:]]
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), *more, *[pa.array(c, k) for c, k in zip(made, kinds, strict=True)]], names)
         bpe.forget()  # the worker lives on for other stages' tasks
+        give_back()
+
+    return docs.mapInArrow(run, schema)
+
+
+def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The contract's columns for every row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    names, kinds = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
+    return _mapped(pick(docs, doc_id="long", text="string"), path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", kinds, names, _row_digests)
+
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, full if keep_ids else digests)
+def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs with ids (array) and decoded in place of text; all other columns as they are (an underscore is added to the
+    new names where docs has them)."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    ids, decoded = fresh(docs, "ids", "decoded")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in more])
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ["doc_id", *more]] + [f"`{ids}` array<int>", f"`{decoded}` string"])
+    return _mapped(rows, path, schema, [pa.list_(pa.int32()), pa.string()], ["doc_id", *more, ids, decoded], _row_ids)

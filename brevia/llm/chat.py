@@ -1,21 +1,26 @@
 """Chat formatting with schema fingerprints; DataFrame functions only.
 
 A layout is a set of nested field paths. Its fingerprint is the hash of the sorted paths. Input that comes as columns
-is fingerprinted once from its schema; input that comes as JSON strings is fingerprinted row by row from the paths
-present. The fingerprint selects a declarative mapping into canonical turns: array<struct<turn, role, text>>.
+is fingerprinted once from its schema; input that comes as JSON strings is fingerprinted row by row from the paths that
+any of its elements has. The fingerprint of the known paths selects a declarative mapping into canonical turns:
+array<struct<turn, role, text>>. Where other known paths stand beside a layout's, the first layout is taken whose own
+paths are all there, which its fingerprint over these shows.
 
 The template writes each turn as TURN role newline text END newline. Control strings inside roles and texts get one
 U+2060 after their first character; a control string that already holds k of them gets k + 1, so that reading back
 removes exactly one.
 
 Defined results: null roles and texts are empty; turns of one conversation stand by turn (null first), ties by role,
-then text; repeated rows are turns of their own; an empty table gives no rows; other columns are ignored; a layout
-that no mapping knows raises ValueError (columns) or gives null turns (JSON rows).
+then text; repeated rows are turns of their own; a conversation is one text, so its turns are gathered, all null keys
+as one; an empty table gives no rows; other columns are ignored; a layout that no mapping knows raises ValueError
+(columns) or gives null turns (JSON rows).
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +34,6 @@ TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
 def fingerprint(paths: list[str]) -> str:
-    import hashlib
-
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
@@ -45,20 +48,22 @@ def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
 
 @dataclass(frozen=True)
 class Layout:
-    """paths: what identifies it. turns: (role, path) by turn, or (list, role field, text field). roles: renamed ones."""
+    """paths: what identifies it. turns: (role, path) by turn; items: (list, role field, text field); flat: a row for each
+    turn. roles: renamed ones."""
 
     paths: tuple[str, ...]
     turns: tuple[tuple[str, str], ...] = ()
     items: tuple[str, str, str] | None = None
     roles: tuple[tuple[str, str], ...] = ()
+    flat: bool = False
 
     @property
     def key(self) -> str:
         return fingerprint(list(self.paths))
 
 
-FLAT = Layout(("conv_id", "turn", "role", "text"))
 LAYOUTS = (
+    Layout(("turn", "role", "text"), flat=True),
     Layout(("messages[].role", "messages[].content"), items=("messages", "role", "content")),
     Layout(("conversations[].from", "conversations[].value"), items=("conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"))),
     Layout(("instruction", "input", "output"), turns=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
@@ -67,6 +72,14 @@ LAYOUTS = (
     Layout(("prompt", "response"), turns=(("user", "prompt"), ("assistant", "response"))),
 )
 KNOWN = sorted({p for x in LAYOUTS for p in x.paths})
+LISTS = sorted({x.items[0] for x in LAYOUTS if x.items})
+
+
+def layout_of(paths: list[str]) -> Layout | None:
+    """By the fingerprint of the known paths, else by that of a layout's own paths."""
+    exact = fingerprint([p for p in KNOWN if p in paths])
+    own = lambda x: fingerprint([p for p in x.paths if p in paths])
+    return next((x for x in LAYOUTS if x.key == exact), None) or next((x for x in LAYOUTS if own(x) == x.key), None)
 
 
 def _renamed(role: Column, layout: Layout) -> Column:
@@ -90,32 +103,45 @@ def _mapped(layout: Layout, value) -> Column:
 
 def turns_from_columns(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, turns). Flat turn tables are gathered by key; every other layout has one conversation in a row."""
-    have = {p for p in field_paths(df.schema)}
-    if set(FLAT.paths) - {"conv_id"} <= have:
-        t = df.select(F.col(f"`{key}`").cast("bigint").alias(key), _turn(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")), F.col("text")).alias("t"))
-        return t.groupBy(key).agg(F.sort_array(F.collect_list("t")).cast(TURNS).alias("turns"))
-    mine = fingerprint([p for p in KNOWN if p in have])
-    for layout in LAYOUTS:
-        if layout.key == mine:
-            return df.select(F.col(f"`{key}`"), _mapped(layout, lambda p: F.col(f"`{p}`")).alias("turns"))
-    raise ValueError(f"no mapping for the field paths {sorted(have)}")
+    have = field_paths(df.drop(key).schema)
+    layout = layout_of(have)
+    if layout is None:
+        raise ValueError(f"no mapping for the field paths {sorted(have)}")
+    conv = F.col(f"`{key}`").cast("bigint").alias(key)
+    if not layout.flat:
+        return df.select(conv, _mapped(layout, lambda p: F.col(f"`{p}`")).alias("turns"))
+    t = df.select(conv, _turn(F.col("turn"), _renamed(F.col("role"), layout), F.col("text")).alias("t"))
+    return t.groupBy(key).agg(F.sort_array(F.collect_list("t")).cast(TURNS).alias("turns"))
+
+
+def json_paths(raw: Column) -> Column:
+    """The sorted known paths of a JSON object, of a list's elements those that any of them has."""
+    top = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
+    for name in LISTS:
+        items = F.from_json(F.get_json_object(raw, f"$.{name}"), "array<map<string,string>>")
+        below = F.flatten(F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x: F.map_keys(x)))
+        top = F.concat(top, F.coalesce(F.transform(below, lambda k: F.concat(F.lit(f"{name}[]."), k)), F.array().cast("array<string>")))  # noqa: B023
+    return F.array_sort(F.array_intersect(top, F.array(*[F.lit(p) for p in KNOWN])))
 
 
 def turns_from_json(df: DataFrame, json_col: str, key: str = "conv_id") -> DataFrame:
-    """(key, layout, turns) of JSON rows, whose layouts may differ from row to row."""
-    raw = F.col(f"`{json_col}`")
-    at = lambda p: F.get_json_object(raw, "$." + p.replace("[]", "[0]"))
-    paths = F.array_join(F.array_compact(F.array(*[F.when(at(p).isNotNull(), F.lit(p)) for p in KNOWN])), "\n")
-    df = df.withColumn("layout", F.substring(F.sha2(paths, 256), 1, 16))
+    """(key, layout, turns) of JSON rows, whose layouts may differ from row to row; layout is the fingerprint."""
+    raw, paths, layout = F.col(f"`{json_col}`"), F.col("paths"), F.col("layout")
+    df = df.select(F.col(f"`{key}`"), raw.alias("raw")).withColumn("paths", json_paths(F.col("raw")))
+    raw = F.col("raw")
+    hashed = lambda x: F.substring(F.sha2(F.array_join(x, "\n"), 256), 1, 16)
+    inside = lambda x: hashed(F.filter("paths", lambda p: p.isin(*x.paths)))
+    one_row = [x for x in LAYOUTS if not x.flat]
+    exact = F.when(hashed(paths).isin(*[x.key for x in one_row]), hashed(paths))
+    df = df.withColumn("layout", F.coalesce(exact, *[F.when(inside(x) == x.key, F.lit(x.key)) for x in one_row]))
     turns = F.lit(None).cast(TURNS)
-    for layout in LAYOUTS:
-        if layout.items:
-            name, role, text = layout.items
-            items = lambda n, role=role, text=text: F.from_json(F.get_json_object(raw, f"$.{n}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-            made = _mapped(layout, items)
+    for x in one_row:
+        if x.items:
+            _, role, text = x.items
+            value = lambda n, role=role, text=text: F.from_json(F.get_json_object(raw, f"$.{n}"), f"array<struct<`{role}`:string,`{text}`:string>>")
         else:
-            made = _mapped(layout, lambda p: F.get_json_object(raw, f"$.{p}"))
-        turns = F.when(F.col("layout") == layout.key, made).otherwise(turns)
+            value = lambda p: F.get_json_object(raw, f"$.{p}")
+        turns = F.when(layout == x.key, _mapped(x, value)).otherwise(turns)
     return df.select(F.col(f"`{key}`"), "layout", turns.alias("turns"))
 
 
@@ -160,9 +186,10 @@ def digests(convs: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
-def format_conversations(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, formatted)."""
-    return turns_from_columns(df, key).select(key, formatted(F.col("turns")).alias("formatted"))
+def format_conversations(*tables: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, formatted) of tables of any layouts."""
+    turns = reduce(DataFrame.unionByName, [turns_from_columns(df, key) for df in tables])
+    return turns.select(key, formatted(F.col("turns")).alias("formatted"))
 
 
 ORACLE = f"""

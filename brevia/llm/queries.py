@@ -26,9 +26,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = pick(table(spark, sf_dir, "conversations"), conv_id="long", turn="long", role="string", text="string")
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+    said = F.lit("</s>[INST] ok [/INST]").alias("content")
+    messages = F.array(*[F.struct(F.lit(role).alias("role"), said) for role in ("user", "assistant")])
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), messages.alias("messages"))
+    return chat.digests(chat.format_conversations(turns, extra))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+    return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
