@@ -82,7 +82,7 @@ def test_bpe_equals_library(spark):
     texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     texts += ["", None, "a<|endoftext|>b", "ΣΑΣ İ x\u0085y\x1cz", "'s don't 12 $$a", "ab" * 3000, "한국 日本"]
     df = spark.createDataFrame(list(enumerate(texts)), DOC)
-    got = {r.doc_id: r for r in bpe.encode_documents(df, keep_ids=True).collect()}
+    got = {r.doc_id: r for r in bpe.encode_documents(df).collect()}
     for k, t in enumerate(texts):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert got[k].ids == ids and got[k].decoded == lib.decode(ids, skip_special_tokens=False)
@@ -223,7 +223,7 @@ def test_html_template_of_each_layout_of_a_host(spark):
 
 def test_sharding(spark):
     rows = [(k, "same text" if k % 3 == 0 else f"text number {k} " + "y" * (k % 50)) for k in range(600)] + [(1000, None), (1001, ""), (1, "text number 1 y")]
-    got = sharding.shard_documents(spark.createDataFrame(rows, DOC), 8, bins=64, heavy=8, rows_per_slice=10).collect()
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOC), 8, rows_per_slice=10).collect()
     assert len(got) == len(rows) and len({r.shard for r in got if r.size == 10 and r.doc_id % 3 == 0 and r.doc_id < 600}) == 1
     for s in range(8):
         slots = sorted(r.slot for r in got if r.shard == s)
