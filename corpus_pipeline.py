@@ -9,7 +9,7 @@ from brevia.llm.common import cut, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and the others lose lines that too many documents share."""
     return quality.filtered(docs)
 
 
@@ -29,8 +29,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become ids."""
-    return bpe.encode_documents(docs, keep_ids=True)
+    """Texts become ids; all other columns stay."""
+    return bpe.encode_documents(docs)
 
 
 STAGES = [
