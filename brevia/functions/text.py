@@ -1,21 +1,142 @@
-"""Text functions as columns: normalising, tokens, redaction, checks and extraction."""
+"""Text functions as columns: normalising, tokens, abbreviations and synonyms (N1-N4, V8, V12, C7, FLT10)."""
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks, and what they are folded to.
-MARKED = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+from brevia.functions.patterns import Pattern, any_of
+
+#: White space and control characters that become one space.
+GAPS = r"[\x00-\x20\x7F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
+def _folded_letters() -> tuple[str, str, dict[str, str]]:
+    """From Unicode's own data: letters of the Latin blocks and full-width signs that fold to one character, what they
+    fold to, and those that fold to several."""
+    one, to, several = [], [], {}
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        c = chr(code)
+        # the signs of degree and ordinals are letters before anything else
+        plain = "o" if c in "º°" else "".join(x for x in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c)) if unicodedata.category(x) != "Mn").casefold()
+        if plain != c and plain.strip():
+            if len(plain) == 1:
+                one.append(c), to.append(plain)
+            else:
+                several[c] = plain
+    return "".join(one), "".join(to), several
+
+
+MARKED, PLAIN, SEVERAL = _folded_letters()
 
 
 def fold(text: Column) -> Column:
-    """Lower case, marks of the Latin repertoire removed, ordinal signs as o, white space collapsed, trimmed."""
-    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED + "ºª°", PLAIN + "oao")
-    return F.trim(F.regexp_replace(t, r"[\x00-\x20]+", " "))
+    """The last steps of N3: compatibility forms of Latin letters resolved, marks removed, case folded, ordinal signs as o,
+    white space collapsed, trimmed. Null is empty."""
+    t = F.coalesce(text, F.lit(""))
+    # rare letters that become several: only looked for where one stands
+    rare = t
+    for c, plain in SEVERAL.items():
+        rare = F.replace(rare, F.lit(c), F.lit(plain))
+    t = F.when(t.rlike("[" + "".join(SEVERAL) + "]"), rare).otherwise(t)
+    t = F.translate(F.lower(F.regexp_replace(t, r"[\u0300-\u036F]", "")), MARKED, PLAIN)
+    return F.trim(F.regexp_replace(t, GAPS, " "))
+
+
+#: Wrongly decoded letters and what they were, in order.
+MOJIBAKE = (
+    ("Ã§", "ç"), ("Ã£", "ã"), ("Ãµ", "õ"), ("Ã¡", "á"), ("Ã©", "é"), ("Ã\xad", "í"), ("Ã³", "ó"), ("Ãº", "ú"), ("Ã¢", "â"), ("Ãª", "ê"), ("Ã´", "ô"), ("Ã\xa0", "à"),
+    ("Ã\x81", "Á"), ("Ã‰", "É"), ("â€œ", '"'), ("â€ ", '"'), ("â€˜", "'"), ("â€™", "'"),
+)
+
+
+def repaired(text: Column) -> Column:
+    """N1."""
+    out = text
+    for wrong, right in MOJIBAKE:
+        out = F.replace(out, F.lit(wrong), F.lit(right))
+    return F.when(text.rlike("Ã|â€"), out).otherwise(text)
+
+
+#: Legal abbreviations.
+ABBREVIATIONS = {
+    "CP": "Código Penal", "CPP": "Código de Processo Penal", "CT": "Código Tributário", "CTN": "Código Tributário Nacional", "CDC": "Código de Defesa do Consumidor",
+    "CLT": "Consolidação das Leis do Trabalho", "CF/88": "Constituição Federal de 1988", "CF": "Constituição Federal", "CB": "Código Brasileiro", "CBo": "Código Civil", "CC": "Código Civil",
+    "STF": "Supremo Tribunal Federal", "STJ": "Superior Tribunal de Justiça", "STM": "Superior Tribunal Militar", "TSE": "Tribunal Superior Eleitoral", "TST": "Tribunal Superior do Trabalho",
+    "TCU": "Tribunal de Contas da União", "TRF": "Tribunal Regional Federal", "TRT": "Tribunal Regional do Trabalho", "TRE": "Tribunal Regional Eleitoral",
+    "TCE": "Tribunal de Contas do Estado", "TCM": "Tribunal de Contas do Município", "RTF": "Recurso de Extraordinário Federal", "RE": "Recurso Extraordinário", "REsp": "Recurso Especial",
+    "RExt": "Recurso Extraordinário", "AI": "Agravo de Instrumento", "AR": "Agravo Regimental", "AG": "Agravo", "ED": "Embargos de Declaração", "EI": "Embargos Infringentes",
+    "EN": "Embargos de Divergência", "ADI": "Ação Direta de Inconstitucionalidade", "ADC": "Ação Declaratória de Constitucionalidade",
+    "ADPF": "Arguição de Descumprimento de Preceito Fundamental", "MI": "Mandado de Injunção", "HC": "Habeas Corpus", "HD": "Habeas Data", "MS": "Mandado de Segurança",
+    "RHC": "Recurso em Habeas Corpus", "RMS": "Recurso em Mandado de Segurança", "RMI": "Recurso em Mandado de Injunção", "AC": "Ação Civil", "AP": "Ação Penal", "APn": "Ação Penal",
+    "RCL": "Reclamação", "PET": "Petição", "SL": "Súmula Vinculante", "SV": "Súmula Vinculante",
+}
+#: Terms of queries and the law or term that they stand for.
+SYNONYMS = {
+    "lia": "Lei 8.429/1992", "lei de improbidade": "Lei 8.429/1992", "improbidade administrativa": "Lei 8.429/1992", "lei anti-corrupcao": "Lei 8.429/1992", "lei anticorrupcao": "Lei 8.429/1992",
+    "acao de improbidade": "Lei 8.429/1992", "nova lei de licitacoes": "Lei 14.133/2021", "lei de licitacoes nova": "Lei 14.133/2021", "lei de licitações nova": "Lei 14.133/2021",
+    "lei 14133": "Lei 14.133/2021", "estatuto da licitacao": "Lei 14.133/2021", "estatuto da licitação": "Lei 14.133/2021", "lei de licitacoes": "Lei 14.133/2021",
+    "lei de licitacoes antiga": "Lei 8.666/1993", "lei 8666": "Lei 8.666/1993", "codigo civil": "Lei 10.406/2002", "código civil": "Lei 10.406/2002", "cc": "Código Civil", "cod civil": "Código Civil",
+    "codigo penal": "Decreto-Lei 2.848/1940", "código penal": "Decreto-Lei 2.848/1940", "cp": "Código Penal", "cod penal": "Código Penal", "lei penal": "Decreto-Lei 2.848/1940",
+    "codigo processo penal": "Decreto-Lei 3.689/1941", "código de processo penal": "Decreto-Lei 3.689/1941", "cpp": "Código de Processo Penal", "clt": "Consolidação das Leis do Trabalho",
+    "consolidacao das leis do trabalho": "Decreto-Lei 5.452/1943", "constituicao federal": "Constituição Federal de 1988", "constituição federal": "Constituição Federal de 1988",
+    "cf": "Constituição Federal de 1988", "cf/88": "Constituição Federal de 1988", "cf88": "Constituição Federal de 1988", "constituicao de 1988": "Constituição Federal de 1988",
+    "constituição de 88": "Constituição Federal de 1988", "constituinte": "Constituição Federal de 1988", "cdc": "Código de Defesa do Consumidor", "codigo defesa consumidor": "Lei 8.078/1990",
+    "lei do consumidor": "Lei 8.078/1990", "codigo de defesa do consumidor": "Lei 8.078/1990", "codigo tributario": "Lei 5.172/1966", "código tributário": "Lei 5.172/1966",
+    "ctn": "Código Tributário Nacional", "lei 5172": "Lei 5.172/1966", "licc": "Lei de Introdução às Normas do Direito Brasileiro", "lintro": "Lei de Introdução às Normas do Direito Brasileiro",
+    "lei de introducao": "Lei de Introdução às Normas do Direito Brasileiro", "lei de introdução": "Lei de Introdução às Normas do Direito Brasileiro",
+    "lin": "Lei de Introdução às Normas do Direito Brasileiro", "linb": "Lei de Introdução às Normas do Direito Brasileiro", "linbd": "Lei de Introdução às Normas do Direito Brasileiro",
+    "lindeb": "Lei de Introdução às Normas do Direito Brasileiro", "estatuto do idoso": "Lei 10.741/2003", "lei do idoso": "Lei 10.741/2003", "eca": "Estatuto da Criança e do Adolescente",
+    "estatuto da crianca": "Lei 8.069/1990", "estatuto da criança e adolescente": "Lei 8.069/1990", "lei 8069": "Lei 8.069/1990", "lei maria da penha": "Lei 11.340/2006",
+    "maria da penha": "Lei 11.340/2006", "lei da mulher": "Lei 11.340/2006", "lei 11340": "Lei 11.340/2006", "lei seca": "Lei 11.705/2008", "lei 11705": "Lei 11.705/2008",
+    "lei seca transito": "Lei 11.705/2008", "ficha limpa": "Lei Complementar 135/2010", "lei ficha limpa": "Lei Complementar 135/2010", "lc 135": "Lei Complementar 135/2010",
+    "lgpd": "Lei Geral de Proteção de Dados", "lei de protecao de dados": "Lei 13.709/2018", "lei de proteção de dados": "Lei 13.709/2018", "lei 13709": "Lei 13.709/2018",
+    "prescricao": "prescrição", "prescriçao": "prescrição", "decadencia": "decadência", "decadencia civil": "decadência civil", "atos civis": "atos jurídicos", "fatos civis": "fatos jurídicos",
+    "crime hediondo": "crimes hediondos", "crime contra a administracao publica": "crimes contra a administração pública", "crime contra a administracao": "crimes contra a administração pública",
+    "crime contra o patrimonio": "crimes contra o patrimônio", "furto qualificado": "furto qualificado", "roubo circunstanciado": "roubo circunstanciado",
+    "remedio constitucional": "remédios constitucionais", "acao constitucional": "ações constitucionais", "clausulas petreas": "cláusulas pétreas", "clausulas ptreas": "cláusulas pétreas",
+    "ato administrativo": "atos administrativos", "licitacao": "licitação", "contrato administrativo": "contratos administrativos", "concurso publico": "concurso público",
+    "servidor publico": "servidor público", "statu": "estatuto", "estatu": "estatuto",
+}
+
+
+def longest_first(table: dict[str, str]) -> list[tuple[str, str]]:
+    """Longer terms before shorter ones, terms of one length as they stand."""
+    return sorted(table.items(), key=lambda x: -len(x[0]))
+
+
+def word_pattern(term: str) -> Pattern:
+    """A term between word boundaries, in any case; / and - stand for themselves."""
+    return Pattern(rf"\b{term}\b")
+
+
+def expanded(text: Column) -> Column:
+    """Abbreviations written out, the longest first."""
+    for short, long in longest_first(ABBREVIATIONS):
+        text = word_pattern(short).replaced(text, long)
+    return text
+
+
+def normalised(text: Column) -> Column:
+    """N3 in full: N2, N1, then fold()."""
+    return fold(repaired(expanded(F.coalesce(text, F.lit("")))))
+
+
+def rewritten(text: Column) -> Column:
+    """struct<now: the text with synonyms replaced, found: array<struct<term, target, count>>>. One fold over the table,
+    the longest terms first, so that each step sees what the steps before have left."""
+    table = F.array(*[F.struct(F.lit(word_pattern(t).java).alias("p"), F.lit(t).alias("term"), F.lit(to).alias("target")) for t, to in longest_first(SYNONYMS)])
+    kind = "struct<now:string,found:array<struct<term:string,target:string,count:int>>>"
+    start = F.struct(F.coalesce(text, F.lit("")).alias("now"), F.array().alias("found")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        n = F.regexp_count(s["now"], x["p"])
+        told = F.array(F.struct(x["term"].alias("term"), x["target"].alias("target"), n.alias("count")))
+        return F.when(n == 0, s).otherwise(F.struct(F.regexp_replace(s["now"], x["p"], x["target"]).alias("now"), F.concat(s["found"], told).alias("found")).cast(kind))
+
+    return F.aggregate(table, start, step)
 
 
 def terms(text: Column) -> Column:
@@ -23,9 +144,13 @@ def terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)), lambda t: F.length(t) >= 3)
 
 
+#: Words that are no tokens.
+STOP_WORDS = ("a", "ao", "aos", "as", "com", "da", "das", "de", "do", "dos", "e", "em", "na", "nas", "no", "nos", "o", "os", "ou", "para", "por", "que", "se", "um", "uma")
+
+
 def tokens(text: Column) -> Column:
-    """Folded words of two characters or more."""
-    return F.filter(F.regexp_extract_all(fold(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 1)
+    """V12, of a text that is normalised but for fold(): words of two characters or more, without stop words."""
+    return F.filter(F.regexp_extract_all(fold(text), F.lit("[a-z0-9à-ÿ]+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def lexical_units(text: Column) -> Column:
@@ -33,80 +158,27 @@ def lexical_units(text: Column) -> Column:
     return F.regexp_count(fold(text), F.lit(r"[a-z0-9_]+|[^a-z0-9_\x20]"))
 
 
-#: Name, pattern, mask; applied in this order.
-SECRETS = (
-    ("bearer", r"(?i)bearer [a-z0-9._-]+", "Bearer ***"),
-    ("api_key", r"\b(?:sk|pk|key)[-_][A-Za-z0-9_-]{16,}", "***KEY***"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "***EMAIL***"),
-    ("cpf", r"\b[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}\b", "***CPF***"),
-    ("card", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", "***CARD***"),
-    ("phone", r"\+[0-9]{1,3} ?\(?[0-9]{2,3}\)? ?[0-9]{3,5}-?[0-9]{4}", "***PHONE***"),
-    ("credential", r"(?i)(?:password|senha|secret) ?[:=] ?[^ \n]+", "***CREDENTIAL***"),
+#: What a query says about an article or a law, and words that tell the kind of source.
+QUERY_ARTICLE = Pattern(r"\bart(?:igo)?\.?\s*(\d+(?:-[a-z])?)\b")
+QUERY_LAW = Pattern(r"\blei\s*(?:n[º°o]\.?\s*)?(\d{1,5}(?:\.\d{3})?)(?:/(\d{2,4}))?\b")
+QUERY_KINDS = (
+    (("jurisprudencia", "sumula", "acordao"), "jurisprudence", "jurisprudence"),
+    (("concurso", "questao", "prova"), "exam_question", "exam_question"),
+    (("doutrina", "manual", "comentario"), "doctrine", "commentary"),
+    (("artigo", "lei", "caput", "inciso"), "legal_text", "lei_cf"),
 )
 
 
-def redact(text: Column) -> Column:
-    """Every secret replaced by its mask."""
-    return reduce(lambda t, s: F.regexp_replace(t, s[1], s[2]), SECRETS, text)
-
-
-INJECTION = (r"(?i)ignore (all )?(previous|prior) instructions", r"(?i)you are now", r"(?i)system ?prompt", r"(?i)jailbreak", r"\{\{.*\}\}", r"(?i)<script", r"(?i)(user|assistant|system) ?:")
-
-
-def injected(text: Column) -> Column:
-    """Does any pattern of prompt injection match?"""
-    return reduce(lambda a, p: a | text.rlike(p), INJECTION, F.lit(False))
-
-
-def sanitised(text: Column, most: int = 10_000) -> Column:
-    """Cut, control characters out, spaces and blank lines collapsed, trimmed."""
-    t = F.regexp_replace(F.substring(text, 1, most), r"[\x00-\x08\x0B-\x1F\x7F]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, " +", " "), r"\n{3,}", "\n\n"))
-
-
-def reason(text: Column, most: int = 10_000) -> Column:
-    """The first reason for refusing a text, or ok."""
-    return (
-        F.when(F.length(text) > most, "too_long").when(F.trim(text) == "", "empty").when(text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), "control_chars")
-        .when(text.rlike(r"[#*$%&|<>]{3,}"), "special_char_flood").when(injected(text), "injection_detected").otherwise("ok")
-    )
-
-
-def fingerprint(text: Column) -> Column:
-    """Lower case, only word characters, the first hundred."""
-    return F.substring(F.regexp_replace(fold(text), "[^a-z0-9_]", ""), 1, 100)
-
-
-def _part(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
-def legal_metadata(text: Column) -> Column:
-    """Article, paragraph, item, markers, board, year, law and kind of a legal text."""
-    t = F.coalesce(text, F.lit(""))
-    years = F.regexp_extract_all(t, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1))
-    romans = F.filter(F.regexp_extract_all(t, F.lit(r"(?m)^[ \t]*([IVXLCDM]+)[ \t]*[-–—]"), F.lit(1)), lambda r: r.rlike("^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"))
-    revoked, vetoed = t.rlike(r"(?i)\brevogad[oa]s?\b"), t.rlike(r"(?i)\bvetad[oa]s?\b")
-    exam, juris = t.rlike(r"(?i)\b(quest[aã]o|banca|concurso)\b"), t.rlike(r"\b(STF|STJ)\b|(?i)s[uú]mula|ac[oó]rd[aã]o")
-    return F.struct(
-        _part(t, r"(?i)\bart(?:igo|\.)?[ ]*([0-9]+(?:-[A-Z])?)").alias("article"),
-        F.coalesce(_part(t, r"§[ ]*([0-9]+)"), F.when(t.rlike(r"(?i)par[aá]grafo [uú]nico"), "único")).alias("paragraph"),
-        F.get(romans, F.lit(0)).alias("item"),
-        t.rlike(r"\bSTF\b").alias("stf"), t.rlike(r"\bSTJ\b").alias("stj"), t.rlike(r"(?i)\bcrimes?\b").alias("crime"), t.rlike(r"(?i)\bpenas?\b").alias("penalty"),
-        _part(t, r"\b(CESPE|CEBRASPE|FCC|FGV|VUNESP|ESAF)\b").alias("board"),
-        F.when(F.size(years) > 0, F.element_at(years, -1)).alias("year"),
-        _part(t, r"(?i)\blei[ ]+(?:n[ºo.]*[ ]*)?([0-9.]+(?:/[0-9]{2,4})?)").alias("law"),
-        F.when(exam, "exam_question").when(juris, "jurisprudence").when(t.rlike(r"(?i)doutrina|coment[aá]rio"), "doctrine").otherwise("legal_text").alias("content_type"),
-        revoked.alias("is_revoked"), vetoed.alias("is_vetoed"),
-        F.when(revoked & vetoed, 0.1).when(vetoed, 0.4).when(revoked, 0.6).otherwise(0.9).alias("temporal_confidence"),
-    )
-
-
-#: File endings and their languages.
-LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".go": "go", ".rs": "rust", ".java": "java", ".sql": "sql", ".md": "markdown", ".html": "html", ".json": "json", ".yaml": "yaml", ".yml": "yaml"}
-
-
-def language_of(path: Column, default: str = "text") -> Column:
-    """SRC3: a path's language by its ending."""
-    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(F.element_at(known, F.lower(F.regexp_extract(path, r"(\.[^./?#]+)(?:[?#].*)?$", 1))), F.lit(default))
+def query_filters(text: Column) -> Column:
+    """FLT10: map of filters that a normalised query asks for; what it doesn't ask for is missing."""
+    has = lambda *words: any_of([Pattern(w, "") for w in words], text)
+    law = F.concat_ws("/", F.replace(QUERY_LAW.first(text), F.lit("."), F.lit("")), QUERY_LAW.first(text, 2))
+    content = source = F.lit(None).cast("string")
+    for words, c, s in reversed(QUERY_KINDS):
+        content, source = F.when(has(*words), c).otherwise(content), F.when(has(*words), s).otherwise(source)
+    yes = lambda c: F.when(c, "true")
+    asked = {
+        "artigo": F.upper(QUERY_ARTICLE.first(text)), "law_number": F.nullif(law, F.lit("")), "marca_stf": yes(has("stf", "supremo tribunal federal")),
+        "marca_stj": yes(has("stj", "superior tribunal de justica")), "content_type": content, "source_type": source, "is_exam_focus": yes(content == "exam_question"),
+    }
+    return F.map_filter(F.create_map(*[x for k, c in asked.items() for x in (F.lit(k), c)]), lambda k, v: v.isNotNull())
