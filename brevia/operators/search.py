@@ -1,13 +1,20 @@
-"""Lexical search, hybrid ranking, selection under a budget and confidence."""
+"""Lexical search, hybrid ranking, selection under a budget, confidence and citations."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brevia.functions.text import terms
+from brevia.functions.patterns import Pattern
+from brevia.functions.text import fold, terms, tokens
 from brevia.operators.vector import in_blocks
 
+#: Query terms that may be broadcast (a term and an id each).
+BROADCAST_ROWS = 200_000
+#: How each kind of query weighs similarity, words and metadata.
 WEIGHTS = {"artigo": (0.90, 0.80, 1.80), "jurisprudencia": (0.95, 0.75, 1.45), "concurso": (0.85, 1.35, 1.10), "geral": (1.0, 1.0, 1.0)}
 
 
@@ -16,21 +23,27 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def words(text: Column) -> Column:
+    """The words of a text as a full-text index splits them: runs of letters and digits, folded."""
+    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(term, doc_id, tf, doc_len)."""
-    t = docs.select("doc_id", terms(F.col("text")).alias("t"))
+    t = docs.select("doc_id", words(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """V6: (query_id, doc_id, score, rank) over the whole corpus."""
-    size = docs.select(F.size(terms(F.col("text"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_len"))
-    q = queries.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    p = postings(docs).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
+    """V6: (query_id, doc_id, score, rank) over the whole corpus; a term that most documents hold counts next to nothing."""
+    size = docs.select(F.size(words(F.col("text"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_len"))
+    q = queries.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.flatten(F.transform(terms(F.col("text")), words)))).alias("term"))
+    once = F.broadcast if q.count() <= BROADCAST_ROWS else lambda df: df
+    p = postings(docs).join(once(q.select("term").distinct()), "term", "left_semi")
     df = p.groupBy("term").agg(F.count("*").alias("df"))
-    j = p.join(F.broadcast(df), "term").join(F.broadcast(q), "term").crossJoin(F.broadcast(size))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
+    j = p.join(once(df), "term").join(once(q), "term").crossJoin(F.broadcast(size))  # one row
+    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    s = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
     total = j.groupBy("query_id", "doc_id").agg(F.round(F.sum(s), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -71,10 +84,35 @@ def lexical_score(query: Column, doc: Column) -> Column:
     return let(let(F.struct(F.array_distinct(query).alias("q"), doc.alias("d")), matched), scored)
 
 
+#: What a normalised query says about articles, paragraphs and items.
+SAID_ARTICLE = Pattern(r"\bart\.?\s*(\d+[a-z]?)")
+SAID_PARAGRAPH = Pattern(r"(?:§|par[aá]grafo)\s*(\d+|unico|único)")
+SAID_ITEM = Pattern(r"\binciso\s+([ivxlcdm]+|\d+)\b")
+
+
 def query_type(text: Column) -> Column:
-    """The first that matches."""
-    t = F.lower(text)
-    return F.when(t.rlike(r"\b(stf|stj)\b|supremo tribunal|superior tribunal"), "jurisprudencia").when(t.rlike(r"banca|quest[aã]o"), "concurso").when(t.rlike(r"\bart(igo|\.)|§"), "artigo").otherwise("geral")
+    """V15, of a normalised query: the first that fits."""
+    has = lambda *words: reduce(or_, [text.contains(w) for w in words])
+    return F.when(has("stf", "stj"), "jurisprudencia").when(has("banca", "questao"), "concurso").when(SAID_ARTICLE.found(text) | SAID_PARAGRAPH.found(text), "artigo").otherwise("geral")
+
+
+def _reference(text: Column) -> Column:
+    return F.regexp_replace(fold(text), r"[^\p{L}\p{N}]", "")
+
+
+def metadata_boost(query: Column, meta: Column) -> Column:
+    """How well metadata (a struct or map with the keys below) fits a normalised query; 1 at most."""
+    said = lambda p: F.transform(p.every(query), _reference)
+    met = lambda p, key: (_reference(meta[key]) != "") & F.array_contains(said(p), _reference(meta[key]))
+    has = lambda *words: reduce(or_, [query.contains(w) for w in words])
+    filled = lambda key: F.coalesce(meta[key], F.lit("")) != ""
+    on = lambda key: F.coalesce(meta[key].cast("boolean"), F.lit(False))
+    parts = (
+        (0.40, met(SAID_ARTICLE, "artigo")), (0.20, met(SAID_PARAGRAPH, "paragrafo")), (0.20, met(SAID_ITEM, "inciso")), (0.20, has("stf") & on("marca_stf")), (0.20, has("stj") & on("marca_stj")),
+        (0.15, has("concurso", "banca") & filled("banca")), (0.15, has("apos", "depois") & filled("updated_by_law")), (0.10, has("antes", "anterior") & on("is_revoked")),
+        (0.20, has("revog") & on("is_revoked")), (0.20, has("vetad") & on("is_vetoed")),
+    )
+    return F.least(reduce(lambda a, x: a + F.when(F.coalesce(x[1], F.lit(False)), x[0]).otherwise(0.0), parts, F.lit(0.0)), F.lit(1.0))
 
 
 def weights(base: tuple[float, float, float] = (0.70, 0.20, 0.10)) -> list[tuple[str, float, float, float]]:
@@ -91,24 +129,124 @@ def confidence(mean: Column) -> Column:
     return F.when(mean >= 0.70, "alta").when(mean >= 0.55, "media").when(mean >= 0.40, "baixa").otherwise("sem_rag")
 
 
-def select_within_budget(ranked: Column, k: int, budget: int, redundancy: float = 0.86, marginal: float = 0.001) -> Column:
-    """A fold over array<struct<id, sim, cost, words>> in rank order; the chosen ids.
+CHOSEN = "struct<ids:array<bigint>,kept:array<array<string>>,used:bigint,rank:int,redundant:int,marginal:int,over:int>"
+
+
+def select_within_budget(ranked: Column, k: int, budget, redundancy=0.86, marginal=0.001) -> Column:
+    """A fold over array<struct<id, sim, cost, words>> in rank order: struct of the chosen ids, the tokens used, and how
+    many were skipped as redundant, as of too little gain, and as over the budget. Limits may be columns.
 
-    Each candidate's gain is sim * (1 - red) / (1 + 0.12 * rank) / cost, where red is its largest Jaccard similarity
-    with a chosen one. The first is taken if it fits."""
-    start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<array<string>>").alias("kept"), F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("rank"))
+    A candidate's gain is max(sim, 0) * (1 - red) / (1 + 0.12 * rank) / max(cost, 1), with ranks from 1, where red is its
+    largest Jaccard similarity with a chosen one. The first that fits is taken whatever its gain; with k it is over."""
+    start = F.struct(
+        F.array().alias("ids"), F.array().alias("kept"), F.lit(0).alias("used"), F.lit(0).alias("rank"), F.lit(0).alias("redundant"), F.lit(0).alias("marginal"), F.lit(0).alias("over")
+    ).cast(CHOSEN)
 
     def step(s: Column, c: Column) -> Column:
-        jaccard = lambda w: F.size(F.array_intersect(w, c["words"])) / F.greatest(F.size(F.array_union(w, c["words"])), F.lit(1))
+        either = lambda w: F.size(F.array_union(w, c["words"]))
+        jaccard = lambda w: F.when((F.size(w) == 0) | (F.size(c["words"]) == 0), 0.0).otherwise(F.size(F.array_intersect(w, c["words"])) / either(w))
         red = F.coalesce(F.array_max(F.transform(s["kept"], jaccard)), F.lit(0.0))
-        gain = F.greatest(c["sim"], F.lit(0.0)) * (1 - red) / (1 + 0.12 * s["rank"]) / F.greatest(c["cost"], F.lit(1))
+        gain = F.greatest(c["sim"], F.lit(0.0)) * (1 - red) / (1 + 0.12 * (s["rank"] + 1)) / F.greatest(c["cost"], F.lit(1))
         some = F.size(s["ids"]) > 0
-        take = (F.size(s["ids"]) < k) & ~(some & ((red >= redundancy) | (gain < marginal))) & (s["used"] + c["cost"] <= budget)
-        return F.struct(
-            F.when(take, F.concat(s["ids"], F.array(c["id"]))).otherwise(s["ids"]).alias("ids"),
-            F.when(take, F.concat(s["kept"], F.array(c["words"]))).otherwise(s["kept"]).alias("kept"),
-            F.when(take, s["used"] + c["cost"]).otherwise(s["used"]).alias("used"),
-            (s["rank"] + 1).alias("rank"),
-        )
-
-    return F.aggregate(ranked, start, step, lambda s: s["ids"])
+        same, little = some & (red >= redundancy), some & (gain < marginal)
+        why = F.when(same, "redundant").when(little, "marginal").when(s["used"] + c["cost"] > budget, "over").otherwise("")
+        take, count = why == "", lambda name: (s[name] + (why == name).cast("int")).alias(name)
+        return F.when(F.size(s["ids"]) >= k, s).otherwise(
+            F.struct(
+                F.when(take, F.concat(s["ids"], F.array(c["id"]))).otherwise(s["ids"]).alias("ids"),
+                F.when(take, F.concat(s["kept"], F.array(c["words"]))).otherwise(s["kept"]).alias("kept"),
+                F.when(take, s["used"] + c["cost"]).otherwise(s["used"]).alias("used"),
+                (s["rank"] + 1).alias("rank"), count("redundant"), count("marginal"), count("over"),
+            ).cast(CHOSEN)
+        )
+
+    return F.aggregate(ranked, start, step, lambda s: F.struct(s["ids"].alias("ids"), s["used"].alias("used"), s["redundant"].alias("redundant"), s["marginal"].alias("marginal"), s["over"].alias("over")))
+
+
+def pool_size(k: int, times: int = 12, least: int = 60, most: int = 240) -> int:
+    """How many candidates a ranking of k looks at."""
+    return min(max(k * times, least), most)
+
+
+def candidate_union(semantic: DataFrame, lexical: DataFrame) -> DataFrame:
+    """V4, SET1: the candidates of both kinds, (query_id, doc_id, similarity), each once, the first one's similarity."""
+    both = semantic.withColumn("o", F.lit(0)).unionByName(lexical.withColumn("o", F.lit(1)))
+    return both.groupBy("query_id", "doc_id").agg(F.min_by("similarity", "o").alias("similarity"))
+
+
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, similarity, rank): the k best of each query."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def reranked(hits: DataFrame) -> DataFrame:
+    """Hits (query_id, pos, similarity, text, meta, q: the query) with query_type, lexical (V13), boost (V14), final (the sum
+    weighted by the query's type, V16) and rank: by final, ties in the order of pos."""
+    w = hits.sparkSession.createDataFrame(weights(), "query_type string, wa double, wb double, wc double")
+    j = hits.withColumn("normal", fold(F.col("q"))).withColumn("query_type", query_type(F.col("normal"))).join(F.broadcast(w), "query_type")  # four rows
+    j = j.withColumn("lexical", F.round(lexical_score(tokens(F.col("q")), tokens(F.col("text"))), 6)).withColumn("boost", F.round(metadata_boost(F.col("normal"), F.col("meta")), 6))
+    j = j.withColumn("final", F.round(F.col("wa") * F.col("similarity") + F.col("wb") * F.col("lexical") + F.col("wc") * F.col("boost"), 6))
+    order = Window.partitionBy("query_id").orderBy(F.desc("final"), "pos")
+    return j.withColumn("rank", F.row_number().over(order)).drop("wa", "wb", "wc", "normal")
+
+
+def with_fallback(scored: DataFrame, k: int, least: float, floor: float = 0.2, less: float = 0.1) -> DataFrame:
+    """V19 and SET2: rows of at least `least`; a query with fewer than k of them takes those of max(floor, least - less) too.
+    One pass: the second search's rows hold the first one's, so the merge of both is the lower threshold."""
+    lower = max(floor, round(least - less, 6))
+    first = F.count_if(F.col("similarity") >= least).over(Window.partitionBy("query_id"))
+    limit = F.when((first < k) & F.lit(lower < least), lower).otherwise(least)
+    return scored.where(F.col("similarity") >= min(lower, least)).withColumn("effective", limit).where(F.col("similarity") >= F.col("effective"))
+
+
+def bm25_fusion(similarity: Column, bm25: Column, by: str = "query_id") -> Column:
+    """0.7 of the similarity and 0.3 of the BM25 score relative to the query's best (all 0: nothing)."""
+    best = F.max(bm25).over(Window.partitionBy(by))
+    return 0.7 * similarity + 0.3 * bm25 / F.when(best == 0, 1.0).otherwise(best)
+
+
+def context_strategy(provider: Column, model: Column, budget: int = 2000) -> Column:
+    """Struct of the budget of tokens, the redundancy from which a text is skipped, and the least marginal gain."""
+    name, kind = F.lower(F.trim(F.coalesce(provider, F.lit("openai")))), F.trim(F.coalesce(model, F.lit("unknown")))
+    google = name == "google"
+    lite, mini = google & kind.contains("gemini-2.5-flash-lite"), (name == "openai") & kind.contains("gpt-4o-mini")
+    return F.struct(
+        F.when(lite, max(200, int(budget * 0.88))).when(google, max(200, int(budget * 0.9))).otherwise(budget).alias("budget"),
+        F.when(lite, 0.80).when(google, 0.82).when(mini, 0.85).otherwise(0.86).alias("redundancy"),
+        F.when(google, 0.0009).when(mini, 0.0011).otherwise(0.0010).alias("marginal"),
+    )
+
+
+def citation(meta: Column) -> Column:
+    """A source as it is cited; what is empty is left out."""
+    part = lambda key, name: F.when(F.coalesce(meta[key], F.lit("")) != "", F.concat(F.lit(name), meta[key]))
+    return F.concat_ws(
+        ", ", meta["documento"], part("artigo", "Art. "), part("paragrafo", "§ "), part("inciso", "Inciso "), F.coalesce(part("titulo", "Título: "), part("capitulo", "Capítulo: ")),
+        part("banca", "Banca: "), part("ano", "Ano: "),
+    )
+
+
+#: What is said of each confidence, and around the context.
+MESSAGES = {
+    "alta": "✅ [ALTA CONFIANÇA] Resposta baseada em documentos jurídicos indexados.",
+    "media": "⚠️ [MÉDIA CONFIANÇA] Resposta parcialmente baseada em documentos. Verifique as fontes.",
+    "baixa": "❌ [BAIXA CONFIANÇA] Informações limitadas encontradas. Recomendo verificar em fontes oficiais.",
+    "sem_rag": "ℹ️ [SEM RAG] Não encontrei informações específicas na base. Resposta baseada em conhecimento geral.",
+}
+CONTEXT_TITLE = "CONTEXTO JURÍDICO RELEVANTE:"
+INSTRUCTIONS = "\nINSTRUÇÕES:\n- Use APENAS as informações fornecidas acima para responder\n- Cite as fontes mencionadas\n- Se a informação não estiver no contexto, diga que não encontrou"
+
+
+def rendered(hits: DataFrame) -> DataFrame:
+    """(query_id, context) of (query_id, rank, similarity, text, tokens, meta, confidence)."""
+    m, filled = F.col("meta"), lambda k: F.coalesce(F.col("meta")[k], F.lit("")) != ""
+    on = lambda k: F.coalesce(F.col("meta")[k].cast("boolean"), F.lit(False))
+    sign = F.when(filled("artigo"), "⚖️").when(on("marca_stf") | on("marca_stj"), "📜").when(filled("banca"), "❓").when(F.col("tokens") < 100, "📝").otherwise("📄")
+    head = F.concat(F.lit("\n"), F.col("rank").cast("string"), F.lit(". "), sign, F.lit(" [Similaridade: "), F.format_string("%.2f", F.col("similarity")), F.lit("]"))
+    line = F.concat_ws("\n", head, F.concat(F.lit("Fonte: "), citation(m)), F.concat(F.lit("Texto: "), F.substring("text", 1, 500), F.lit("...")))
+    rows = hits.select("query_id", "confidence", F.struct("rank", line.alias("line")).alias("x"))
+    table = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
+    start = F.concat(F.element_at(table, F.first("confidence")), F.lit(f"\n\n{CONTEXT_TITLE}\n"))
+    return rows.groupBy("query_id").agg(F.concat(start, lines, F.lit("\n" + INSTRUCTIONS)).alias("context"))
