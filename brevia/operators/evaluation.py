@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Metric, whether more is better, limit.
@@ -56,3 +56,118 @@ def deltas(metrics: DataFrame, base: str, candidate: str, variant: str = "varian
     changed = metrics.groupBy("tipo").agg(*[(at(name, candidate) - at(name, base)).alias(f"{name}_delta") for name, _, _ in LEVELS])
     none_worse = [F.col(f"{name}_delta") >= 0 if more else F.col(f"{name}_delta") <= 0 for name, more, _ in LEVELS]
     return changed.withColumn("dominates", reduce(and_, none_worse))
+
+
+#: How an answer says that it has no basis; dollars for a thousand tokens asked and answered.
+NO_BASIS = (
+    "sem base", "não encontrei base", "nao encontrei base", "não há base", "nao ha base", "não tenho base", "nao tenho base", "não há informação suficiente", "nao ha informação suficiente",
+    "não consta nos documentos", "nao consta nos documentos",
+)
+ASKED_USD, ANSWERED_USD = 0.00015, 0.00060
+
+
+def _plain(x: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(x, F.lit(""))))
+
+
+def no_basis(answer: Column) -> Column:
+    """E16."""
+    out = F.lit(False)
+    for phrase in NO_BASIS:
+        out = out | _plain(answer).contains(phrase)
+    return out
+
+
+def mentions_article(answer: Column, article: Column) -> Column:
+    """Whether an answer names the article; any does where none is asked for."""
+    name = F.regexp_replace(article, r"([^\w])", r"\\\\$1")
+    return F.when(F.coalesce(article, F.lit("")) == "", True).otherwise(F.regexp_like(answer, F.concat(F.lit(r"(?iU)\b(?:art\.?|artigo)\s*"), name, F.lit(r"\b"))))
+
+
+def cites(kind: Column, answer: Column, document: Column, article: Column) -> Column:
+    """Whether an answer cites what its kind of question asks for."""
+    low = _plain(answer)
+    has = lambda *words: reduce(lambda a, w: a | low.contains(w), words, F.lit(False))
+    by_kind = F.when(kind == "artigo", mentions_article(answer, article)).when(kind == "jurisprudencia", has("stf", "stj", "tribunal")).when(kind == "concurso", has("banca", "questão", "questao", "concurso")).otherwise(True)
+    named = F.when(F.coalesce(document, F.lit("")) == "", True).otherwise(F.contains(low, _plain(document)))
+    return (F.trim(answer) != "") & named & by_kind
+
+
+def coverage(answer: Column, keywords: Column, article: Column) -> Column:
+    """The share of keywords, and of the article, that an answer holds."""
+    low, none = _plain(answer), F.array().cast("array<string>")
+    terms = F.concat(F.filter(keywords, lambda w: w != ""), F.when(F.coalesce(article, F.lit("")) == "", none).otherwise(F.array(F.concat(F.lit("art "), article))))
+    met = F.size(F.filter(terms, lambda w: F.contains(low, _plain(w))))
+    return F.when(F.size(terms) == 0, (low != "").cast("double")).otherwise(met / F.size(terms))
+
+
+def cost_usd(question: Column, answer: Column, context_tokens: int = 0) -> Column:
+    """EV3: four characters are a token."""
+    tokens = lambda x: F.greatest(F.lit(1), F.ceil(F.length(x) / 4))
+    return (tokens(question) + max(context_tokens, 0)) / 1000 * ASKED_USD + tokens(answer) / 1000 * ANSWERED_USD
+
+
+def answer_metrics(context_tokens: int = 0) -> Column:
+    """EV3 over the columns tipo, question, doc, article, keywords (joined by |), answer, seconds, timeout, error."""
+    lost = F.col("timeout") | F.col("error")
+    zero = lambda x: F.when(lost, 0.0).otherwise(x)
+    a, art = F.col("answer"), F.col("article")
+    return F.struct(
+        zero(F.coalesce(cites(F.col("tipo"), a, F.col("doc"), art), F.lit(False)).cast("double")).alias("citation"), F.round(zero(coverage(a, F.split("keywords", r"\|"), art)), 6).alias("coverage"),
+        zero(no_basis(a).cast("double")).alias("no_basis"), F.round(zero(cost_usd(F.col("question"), a, context_tokens)), 9).alias("cost_usd"), F.greatest("seconds", F.lit(0.0)).alias("latency_s"),
+    )
+
+
+def relevant(kind: Column, meta: Column, text: Column, document: Column, article: Column, keywords: Column) -> Column:
+    """EV1: whether a hit answers a case: its document, all keywords, and what its kind asks for (the article, a court's mark, an
+    examination's)."""
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    on = lambda k: F.coalesce(meta[k].cast("boolean"), F.lit(False))
+    named = ~filled(document) | F.contains(_plain(meta["documento"]), _plain(document))
+    words = F.forall(keywords, lambda w: F.contains(_plain(text), _plain(w)))
+    by_kind = F.when(kind == "artigo", filled(meta["artigo"]) & (~filled(article) | (_plain(meta["artigo"]) == _plain(article)))).when(kind == "jurisprudencia", on("marca_stf") | on("marca_stj"))
+    return named & words & by_kind.when(kind == "concurso", filled(meta["banca"]) | filled(meta["ano"]) | on("marca_concurso")).otherwise(True)
+
+
+BUCKETS = 4096
+
+
+def at_positions(rows: DataFrame, key: str, value: str, positions: dict[str, Column]) -> DataFrame:
+    """(key, name, found): for each key the value at a position (from 0) of its values in order; positions are columns over n,
+    the number of the key's values. No task orders all values of a key: equal values are counted together, a histogram
+    of BUCKETS ranges says in which range a position falls, and only these ranges are put in order."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    of_key = counts.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    placed = counts.join(of_key, "k").withColumn("b", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)))
+    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("k", "b").agg(F.sum("c").alias("held")).withColumn("first", F.coalesce(F.sum("held").over(before), F.lit(0)))  # BUCKETS rows a key at most
+    asked = of_key.select("k", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), p.cast("long").alias("pos")) for n, p in positions.items()])))
+    hit = ranges.join(asked, "k").where("pos >= first AND pos < first + held").select("k", "b", "name", "pos", "first")
+    few = placed.join(hit.select("k", "b").distinct(), ["k", "b"], "left_semi")
+    inside = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    few = few.select("k", "b", "v", "c", F.sum("c").over(inside).alias("upto"))
+    found = few.join(hit, ["k", "b"]).where("pos >= first + upto - c AND pos < first + upto")
+    return found.select(F.col("k").alias(key), "name", F.col("v").alias("found"))
+
+
+def percentiles_floor(rows: DataFrame, key: str, value: str, **shares: float) -> DataFrame:
+    """P floor_index: sorted[min(int(p * n), n - 1)], a column for each share."""
+    at = {n: F.least(F.floor(F.col("n") * p), F.col("n") - 1) for n, p in shares.items()}
+    return at_positions(rows, key, value, at).groupBy(key).pivot("name", list(shares)).agg(F.first("found"))
+
+
+def percentiles_exclusive(rows: DataFrame, key: str, value: str, parts: int = 100, **cuts: int) -> DataFrame:
+    """P exclusive: the cut points of `parts` equal parts: between the values at j - 1 and j, where j is i * (n + 1) // parts within
+    1 and n - 1; 0 with fewer than two values."""
+    n = F.col("n")
+    j = {name: F.least(F.greatest(F.floor(i * (n + 1) / parts), F.lit(1)), F.greatest(n - 1, F.lit(1))) for name, i in cuts.items()}
+    at = {f"{name}{side}": j[name] - 1 + side for name in cuts for side in (0, 1)}
+    wide = at_positions(rows, key, value, at).groupBy(key).pivot("name", list(at)).agg(F.first("found"))
+    size = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    df = size.join(wide, key, "left")
+    told = {}
+    for name, i in cuts.items():
+        delta = i * (n + 1) - j[name] * parts
+        told[name] = F.when(n < 2, 0.0).otherwise((F.col(f"{name}0") * (parts - delta) + F.col(f"{name}1") * delta) / parts)
+    return df.select(key, "n", *[c.alias(name) for name, c in told.items()])
