@@ -1,34 +1,34 @@
-"""A circuit breaker for each key, as one fold over the key's calls in order of time."""
+"""A circuit breaker for each key."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
+from brevia.streaming import keyed
 
-def fold(calls: Column, failures: int = 3, wait: float = 60.0) -> Column:
-    """Of array<struct<t (seconds), id, ok>>, sorted: array<struct<id, state, allowed>>. After so many failures in a
-    row the circuit is open and calls are refused; once `wait` has passed one is tried (half_open): its success
-    closes the circuit, its failure opens it anew."""
-    out = "array<struct<id:bigint,state:string,allowed:boolean>>"
-    start = F.struct(F.lit(0).alias("failed"), F.lit(None).cast("double").alias("since"), F.array().cast(out).alias("out"))
 
-    def step(s: Column, c: Column) -> Column:
-        state = F.when(s["since"].isNull(), F.lit("closed")).when(c["t"] - s["since"] >= wait, F.lit("half_open")).otherwise(F.lit("open"))
-        refused = state == "open"
-        failed = F.when(refused, s["failed"]).when(c["ok"], F.lit(0)).otherwise(s["failed"] + 1)
-        opens = ~c["ok"] & ((state == "half_open") | (failed >= failures))
-        return F.struct(
-            failed.alias("failed"),
-            F.when(refused, s["since"]).when(opens, c["t"]).alias("since"),
-            F.concat(s["out"], F.array(F.struct(c["id"].cast("bigint").alias("id"), state.alias("state"), (~refused).alias("allowed")))).alias("out"),
-        )
+class CircuitBreaker(keyed.Machine):
+    """After `failures` in a row the circuit is open and calls are refused; once `wait` seconds have passed one is tried
+    (half_open): its success closes the circuit, its failure opens it anew."""
 
-    return F.aggregate(calls, start, step, lambda s: s["out"])
+    says, width = (("state", "string"), ("allowed", "boolean")), 2
+
+    def __init__(self, failures: int = 3, wait: float = 60.0):
+        self.failures, self.wait = failures, wait
+
+    def start(self):
+        return 0.0, None
+
+    def step(self, state, t, ok):
+        failed, since = state
+        now = "closed" if since is None else "half_open" if t - since >= self.wait else "open"
+        if now == "open":
+            return state, (now, False)
+        failed = 0.0 if ok else failed + 1
+        opens = not ok and (now == "half_open" or failed >= self.failures)
+        return (failed, t if opens else None), (now, True)
 
 
 def decide(events: DataFrame, key: str, ok: Column, failures: int = 3, wait: float = 60.0) -> DataFrame:
     """(key, event_id, state, allowed)."""
-    t = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(t, F.col("event_id").alias("id"), ok.alias("ok")))).alias("c"))
-    return rows.select(key, F.inline(fold(F.col("c"), failures, wait))).withColumnRenamed("id", "event_id")
+    return keyed.decide(events, key, CircuitBreaker(failures, wait), ok)

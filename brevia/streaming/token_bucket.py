@@ -1,34 +1,35 @@
-"""A token bucket for each key, as one fold over the key's requests in order of time."""
+"""A token bucket for each key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from brevia.streaming import keyed
 
-def fold(requests: Column, capacity: float, rate: float) -> Column:
-    """Of array<struct<t (seconds), id>>, sorted: array<struct<id, allowed>>. A refusal sets a time until which
-    requests are refused without touching the bucket."""
-    start = F.struct(
-        F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(float("-inf")).alias("until"), F.array().cast("array<struct<id:bigint,allowed:boolean>>").alias("out")
-    )
 
-    def step(s: Column, r: Column) -> Column:
-        limited = r["t"] < s["until"]
-        tokens = F.least(F.lit(float(capacity)), s["tokens"] + F.coalesce(r["t"] - s["last"], F.lit(0.0)) * rate)
-        ok = ~limited & (tokens >= 1)
-        return F.struct(
-            F.when(limited, s["tokens"]).when(ok, tokens - 1).otherwise(tokens).alias("tokens"),
-            F.when(limited, s["last"]).otherwise(r["t"]).alias("last"),
-            F.when(limited | ok, s["until"]).otherwise(r["t"] + (1 - tokens) / rate).alias("until"),
-            F.concat(s["out"], F.array(F.struct(r["id"].cast("bigint").alias("id"), ok.alias("allowed")))).alias("out"),
-        )
+class TokenBucket(keyed.Machine):
+    """`capacity` tokens, refilled at `rate` a second. A refusal sets the time until which requests are refused without
+    touching the bucket: that at which it will hold a token."""
 
-    return F.aggregate(requests, start, step, lambda s: s["out"])
+    says, width = (("allowed", "boolean"),), 3
+
+    def __init__(self, capacity: float, rate: float):
+        self.capacity, self.rate = float(capacity), rate
+
+    def start(self):
+        return self.capacity, None, None
+
+    def step(self, state, t, ok=True):
+        tokens, last, until = state
+        if until is not None and t < until:
+            return state, (False,)
+        if last is not None:
+            tokens = min(self.capacity, tokens + (t - last) * self.rate)
+        if tokens >= 1:
+            return (tokens - 1, t, until), (True,)
+        return (tokens, t, t + (1 - tokens) / self.rate), (False,)
 
 
 def decide(events: DataFrame, key: str, capacity: float, rate: float) -> DataFrame:
     """(key, event_id, allowed)."""
-    t = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(t, F.col("event_id").alias("id")))).alias("r"))
-    return rows.select(key, F.inline(fold(F.col("r"), capacity, rate))).withColumnRenamed("id", "event_id")
+    return keyed.decide(events, key, TokenBucket(capacity, rate))
