@@ -1 +1 @@
-"""Part of brevia."""
+"""Readers of files."""
