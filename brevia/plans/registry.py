@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brevia.functions import pieces
 from brevia.functions import text as tx
 from brevia.operators import evaluation, search, vector
+from brevia.plans.core import ASKED, COS, FOLD, ORACLES, QUERIES, TERMS, TOK, UNITS, WORDS, query, t
 from brevia.streaming import circuit_breaker, token_bucket
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "retrieval_pipeline"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
-TERMS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9_]+'), lambda x: length(x) >= 3)"
-MARKED, PLAIN = tx.MARKED + "ºª°", tx.PLAIN + "oao"
-FOLD = f"trim(regexp_replace(translate(lower(coalesce({{0}}, '')), '{MARKED}', '{PLAIN}'), '[\\x00-\\x20]+', ' ', 'g'))"
-
-
 # --- vectors -----------------------------------------------------------------------------------------------------
 @query(f"SELECT 0 AS query_id, b.vec_id, round({COS}, 6) AS similarity, CAST(row_number() OVER (ORDER BY {COS} DESC, b.vec_id) AS INT) AS rank FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND {COS} >= 0.0 QUALIFY rank <= 5")
 def vector_topk(spark, d):
@@ -43,18 +22,18 @@ def vector_topk(spark, d):
     return vector.top_k(v, v.where("vec_id = 0"), 5, 0.0).withColumn("query_id", F.col("query_id").cast("int"))
 
 
-@query(f"SELECT a.vec_id AS query_id, b.vec_id, round({COS}, 6) AS similarity, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS INT) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 20 QUALIFY rank <= 10")
+@query(f"SELECT a.vec_id AS query_id, b.vec_id, round({COS}, 6) AS similarity, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS INT) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10")
 def vector_topk_batch(spark, d):
-    """The first 20 vectors are the query set."""
+    """V2, V5, J9."""
     v = t(spark, d, "embeddings")
-    return vector.top_k(v, v.where("vec_id < 20"), 10)
+    return vector.top_k(v, v.where(ASKED), 10)
 
 
-@query(f"SELECT a.vec_id AS query_id, b.vec_id, round({COS}, 6) AS similarity, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS INT) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND b.label IN (1, 3) QUALIFY rank <= 5")
+@query(f"SELECT a.vec_id AS query_id, b.vec_id, round({COS}, 6) AS similarity, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS INT) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.label IN (1, 3) QUALIFY rank <= 5")
 def vector_topk_filtered(spark, d):
     """V3 with FLT1 and FLT2: label 1 or 3."""
     v = t(spark, d, "embeddings")
-    return vector.top_k(v.where(F.col("label").isin(1, 3)), v.where("vec_id < 5"), 5)
+    return vector.top_k(v.where(F.col("label").isin(1, 3)), v.where(ASKED), 5)
 
 
 @query("WITH m AS (SELECT label, i - 1 AS pos, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i) SELECT label, CAST(pos AS INT) AS pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 5) AS value FROM m")
@@ -63,11 +42,11 @@ def centroid_by_label(spark, d):
     return vector.centroids(t(spark, d, "embeddings"), "label")
 
 
-@query(f"WITH n AS (SELECT a.vec_id AS q, a.label AS own, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id < 50 AND a.vec_id <> b.vec_id) SELECT own AS label, count(*) AS n, round(avg(CASE WHEN label = own THEN 1.0 ELSE 0.0 END), 6) AS precision_at_5 FROM n WHERE r <= 5 GROUP BY own")
+@query(f"WITH n AS (SELECT a.vec_id AS q, a.label AS own, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT own AS label, count(*) AS n, round(avg(CASE WHEN label = own THEN 1.0 ELSE 0.0 END), 6) AS precision_at_5 FROM n WHERE r <= 5 GROUP BY own")
 def knn_label_precision(spark, d):
     """V3, EV1."""
     v = t(spark, d, "embeddings")
-    top = vector.top_k(v, v.where("vec_id < 50"), 6).where("vec_id != query_id")
+    top = vector.top_k(v, v.where(ASKED), 6).where("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy("rank")
     top = top.withColumn("r", F.row_number().over(order)).where("r <= 5")
     mine, other = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), v.select("vec_id", "label")
@@ -82,18 +61,18 @@ def embedding_coverage(spark, d):
     return j.groupBy("source").agg(F.count("*").alias("n_docs"), F.count("vec_id").alias("n_embedded"))
 
 
-def _similar(spark, d, queries: int):
+def _similar(spark, d):
     v = t(spark, d, "embeddings")
-    return vector.top_k(v, v.where(f"vec_id < {queries}"), 5)
+    return vector.top_k(v, v.where(ASKED), 5)
 
 
-TOP5 = f"top5 AS (SELECT a.vec_id AS query_id, b.vec_id, {COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id < 30 QUALIFY r <= 5)"
+TOP5 = f"top5 AS (SELECT a.vec_id AS query_id, b.vec_id, {COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY r <= 5)"
 
 
 @query(f"WITH {TOP5}, m AS (SELECT query_id, round(avg(round(s, 6)), 6) AS mean, max(round(s, 6)) AS top1, round(max(round(s, 6)) - max(CASE WHEN r = 2 THEN round(s, 6) END), 6) AS gap FROM top5 GROUP BY query_id) SELECT *, CASE WHEN mean >= 0.7 THEN 'alta' WHEN mean >= 0.55 THEN 'media' WHEN mean >= 0.4 THEN 'baixa' ELSE 'sem_rag' END AS confidence FROM m")
 def confidence_levels(spark, d):
     """V22, V24."""
-    m = _similar(spark, d, 30).groupBy("query_id").agg(
+    m = _similar(spark, d).groupBy("query_id").agg(
         F.round(F.avg("similarity"), 6).alias("mean"), F.max("similarity").alias("top1"), F.round(F.max("similarity") - F.max(F.when(F.col("rank") == 2, F.col("similarity"))), 6).alias("gap")
     )
     return m.withColumn("confidence", search.confidence(F.col("mean")))
@@ -102,7 +81,7 @@ def confidence_levels(spark, d):
 @query(f"WITH {TOP5}, m AS (SELECT query_id, avg(round(s, 6)) AS mean FROM top5 GROUP BY query_id), c AS (SELECT CASE WHEN mean >= 0.7 THEN 'alta' WHEN mean >= 0.55 THEN 'media' WHEN mean >= 0.4 THEN 'baixa' ELSE 'sem_rag' END AS confidence, mean FROM m) SELECT confidence, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM c GROUP BY confidence")
 def confidence_distribution(spark, d):
     """A4."""
-    m = _similar(spark, d, 30).groupBy("query_id").agg(F.avg("similarity").alias("mean"))
+    m = _similar(spark, d).groupBy("query_id").agg(F.avg("similarity").alias("mean"))
     c = m.groupBy(search.confidence(F.col("mean")).alias("confidence")).agg(F.count("*").alias("n"))
     return c.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4))
 
@@ -114,14 +93,20 @@ def lexical_like_topk(spark, d):
     return search.like_top_k(t(spark, d, "documents"), t(spark, d, "benchmark"))
 
 
-@query(f"WITH p AS (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL), len AS (SELECT doc_id, len({TERMS.format('text')}) AS n FROM documents), g AS (SELECT count(*) AS docs, avg(n) AS al FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), q AS (SELECT item_id AS query_id, unnest(list_distinct({TERMS.format('text')})) AS term FROM benchmark), s AS (SELECT query_id, tf.doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / al))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len ON len.doc_id = tf.doc_id, g GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 5")
+@query(
+    f"WITH p AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL), "
+    f"len AS (SELECT doc_id, len({WORDS.format('text')}) AS n FROM documents), g AS (SELECT count(*) AS docs, avg(n) AS al FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
+    f"q AS (SELECT DISTINCT query_id, unnest({WORDS.format('w')}) AS term FROM (SELECT item_id AS query_id, unnest({TERMS.format('text')}) AS w FROM benchmark)), "
+    "i AS (SELECT *, ln((docs - df + 0.5) / (df + 0.5)) AS raw FROM df, g), s AS (SELECT query_id, tf.doc_id, "
+    "round(sum(CASE WHEN raw > 0 THEN raw ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / al))), 6) AS score FROM q JOIN tf USING (term) JOIN i USING (term) JOIN len ON len.doc_id = tf.doc_id GROUP BY ALL) "
+    "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 5"
+)
 def bm25_corpus_topk(spark, d):
     """V6, J1."""
     return search.bm25(t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"))
 
 
 HITS = f"h AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT query_id, doc_id, count(*) AS score FROM (SELECT item_id AS query_id, unnest(list_distinct({TERMS.format('text')})) AS term FROM benchmark) q JOIN documents ON contains(lower(text), term) GROUP BY ALL)) WHERE r <= 5)"
-TOK = f"list_filter(regexp_extract_all({FOLD}, '[a-z0-9]+'), lambda x: length(x) > 1)"
 
 
 def _hits(spark, d):
@@ -136,13 +121,6 @@ def lexical_score(spark, d):
     return _hits(spark, d).select("query_id", "doc_id", F.round(search.lexical_score(tx.tokens(F.col("q")), tx.tokens(F.col("text"))), 6).alias("score"))
 
 
-@query(f"WITH {HITS}, q AS (SELECT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark), dt AS (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL), s AS (SELECT h.query_id, h.doc_id, round(sum(tf * 2.5 / (tf + 1.5)), 6) AS bm25 FROM h JOIN q ON q.query_id = h.query_id JOIN tf ON tf.doc_id = h.doc_id AND tf.term = q.term GROUP BY ALL) SELECT *, round(bm25 / max(bm25) OVER (PARTITION BY query_id), 6) AS relative FROM s")
-def bm25_simple(spark, d):
-    """V9, V10."""
-    s = _hits(spark, d).select("query_id", "doc_id", F.round(search.simple_bm25(tx.terms(F.col("q")), tx.terms(F.col("text"))), 6).alias("bm25"))
-    return s.withColumn("relative", F.round(F.col("bm25") / F.max("bm25").over(Window.partitionBy("query_id")), 6))
-
-
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {round(a, 6)}, {round(b, 6)}, {round(c, 6)})" for k, a, b, c in search.weights()) + ") w(query_type, semantic, lexical, boost)")
 def rerank_weights(spark, d):
     """V16."""
@@ -150,43 +128,7 @@ def rerank_weights(spark, d):
     return rows.select("query_type", *[F.round(c, 6).alias(c) for c in ("semantic", "lexical", "boost")])
 
 
-@query()
-def retrieval_pipeline(spark, d):
-    """V4, V20, V22, SET1: candidates of both kinds (50 and 15 at k = 5), hybrid ranking, selection under a budget,
-    confidence. Of V17 all but gamma * boost: V14 isn't built. A document without a vector has no similarity: null, 0 in the ranking."""
-    docs, q, v = t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"), t(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = q.join(v, F.col("item_id") == F.col("vec_id")).select("item_id", "vec_id", "embedding", F.col("text").alias("q"))
-    semantic = vector.top_k(v, asked, 50).select("query_id", F.col("vec_id").alias("doc_id"))
-    lexical = search.bm25(docs, q, 15).select("query_id", "doc_id")
-    both = semantic.unionByName(lexical).distinct()
-    own = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("own"))
-    j = both.join(docs, "doc_id").join(own, "doc_id", "left").join(asked.select(F.col("item_id").alias("query_id"), "q", "embedding"), "query_id")
-    j = j.withColumn("similarity", F.round(vector.cosine(F.col("own"), F.col("embedding")), 6)).drop("own", "embedding")
-    w = spark.createDataFrame(search.weights(), "query_type string, a double, b double, c double")
-    j = j.withColumn("query_type", search.query_type(F.col("q"))).join(F.broadcast(w), "query_type")
-    j = j.withColumn("lexical", search.lexical_score(tx.tokens(F.col("q")), tx.tokens(F.col("text"))))
-    j = j.withColumn("final", F.round(F.col("a") * F.coalesce("similarity", F.lit(0.0)) + F.col("b") * F.col("lexical"), 6)).withColumn("cost", tx.lexical_units(F.col("text")))
-    item = F.struct((-F.col("final")).alias("o"), F.col("doc_id").alias("id"), F.col("similarity").alias("sim"), "cost", F.array_distinct(tx.tokens(F.col("text"))).alias("words"))
-    g = j.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("r"), F.round(F.avg("similarity"), 6).alias("mean"))
-    chosen = search.select_within_budget(F.col("r"), 5, 2000)
-    return g.select("query_id", F.array_join(chosen.cast("array<string>"), ",").alias("chosen"), "mean", search.confidence(F.col("mean")).alias("confidence"))
-
-
 # --- filters and text --------------------------------------------------------------------------------------------
-@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) = 3 OR (event_type = 'click' AND value > 50) GROUP BY event_type")
-def metadata_filter_or(spark, d):
-    """FLT1, FLT2, FLT12, FLT13."""
-    e = t(spark, d, "events").where((F.get_json_object("props", "$.k").cast("bigint") == 3) | ((F.col("event_type") == "click") & (F.col("value") > 50)))
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-
-
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-05' AND strftime(ts, '%Y-%m-%d') <= '2024-01-20' GROUP BY 1")
-def temporal_range(spark, d):
-    """FLT3: ISO dates compared as strings."""
-    day = F.date_format("ts", "yyyy-MM-dd")
-    return t(spark, d, "events").select(day.alias("day")).where("day >= '2024-01-05' AND day <= '2024-01-20'").groupBy("day").agg(F.count("*").alias("n"))
-
-
 @query(f"SELECT doc_id, md5({FOLD.format('text')}) AS folded, length({FOLD.format('text')}) AS n FROM documents")
 def normalize_text(spark, d):
     """N3."""
@@ -194,71 +136,13 @@ def normalize_text(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(f).alias("folded"), F.length(f).cast("long").alias("n"))
 
 
-@query(f"SELECT doc_id, CAST(len({TOK.format('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({TOK.format('text')})) AS BIGINT) AS n_distinct, CAST(len(regexp_extract_all({FOLD.format('text')}, '[a-z0-9_]+|[^a-z0-9_ ]')) AS BIGINT) AS n_units FROM documents")
+@query(f"SELECT doc_id, CAST(len({TOK.format('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({TOK.format('text')})) AS BIGINT) AS n_distinct, {UNITS.format('text')} AS n_units FROM documents")
 def token_counts(spark, d):
     """V12, C7."""
     k = tx.tokens(F.col("text"))
     return t(spark, d, "documents").select("doc_id", F.size(k).cast("long").alias("n_tokens"), F.size(F.array_distinct(k)).cast("long").alias("n_distinct"), tx.lexical_units(F.col("text")).cast("long").alias("n_units"))
 
 
-@query("WITH w AS (SELECT conv_id, turn, length(text) AS n_chars, len(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '')) AS n_words FROM conversations) SELECT CASE WHEN n_words <= 5 THEN 'short' WHEN n_words <= 15 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n, sum(n_words)::BIGINT AS words, round(avg(n_chars), 4) AS mean_chars FROM w GROUP BY 1")
-def query_complexity(spark, d):
-    """N12."""
-    w = t(spark, d, "conversations").select(F.length("text").alias("c"), F.size(F.filter(F.split("text", "[ \n]+"), lambda x: x != "")).alias("w"))
-    b = F.when(F.col("w") <= 5, "short").when(F.col("w") <= 15, "medium").otherwise("long")
-    return w.groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.sum("w").alias("words"), F.round(F.avg("c"), 4).alias("mean_chars"))
-
-
-def _redact_sql(col: str) -> str:
-    for _, pattern, mask in tx.SECRETS:
-        col = f"regexp_replace({col}, '{pattern}', '{mask}', 'g')"
-    return col
-
-
-@query(f"SELECT doc_id, md5({_redact_sql('text')}) AS redacted FROM documents WHERE {_redact_sql('text')} <> text")
-def redacted_texts(spark, d):
-    """N10."""
-    r = t(spark, d, "documents").select("doc_id", "text", tx.redact(F.col("text")).alias("r")).where("r != text")
-    return r.select("doc_id", F.md5("r").alias("redacted"))
-
-
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(substring(text, 1, 10000), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g'), ' +', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS clean FROM documents")
-def sanitized_texts(spark, d):
-    """N5."""
-    return t(spark, d, "documents").select("doc_id", F.md5(tx.sanitised(F.col("text"))).alias("clean"))
-
-
-@query("SELECT CASE WHEN length(text) > 10000 THEN 'too_long' WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') THEN 'control_chars' WHEN regexp_matches(text, '[#*$%&|<>]{3,}') THEN 'special_char_flood' WHEN " + " OR ".join(f"regexp_matches(text, '{p}')" for p in tx.INJECTION) + " THEN 'injection_detected' ELSE 'ok' END AS reason, count(*) AS n FROM documents GROUP BY 1")
-def validation_reasons(spark, d):
-    """N6, N7, N8."""
-    return t(spark, d, "documents").groupBy(tx.reason(F.col("text")).alias("reason")).agg(F.count("*").alias("n"))
-
-
-@query(f"SELECT substring(regexp_replace({FOLD.format('text')}, '[^a-z0-9_]', '', 'g'), 1, 100) AS print, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
-def fingerprint_groups(spark, d):
-    """N9."""
-    return t(spark, d, "documents").groupBy(tx.fingerprint(F.col("text")).alias("print")).agg(F.count("*").alias("n")).where("n > 1")
-
-
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p>')) AS n_paragraphs, coalesce(nullif(regexp_extract(url, 'example\\.[a-z]+/([a-z]{2})/', 1), ''), 'unknown') AS lang FROM pages")
-def page_markup(spark, d):
-    """SRC2, SRC3."""
-    p = t(spark, d, "pages")
-    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("n_paragraphs"), F.coalesce(F.nullif(F.regexp_extract("url", r"example\.[a-z]+/([a-z]{2})/", 1), F.lit("")), F.lit("unknown")).alias("lang"))
-
-
-@query("SELECT CASE WHEN regexp_matches(url, '\\.html([?#].*)?$') THEN 'html' ELSE 'text' END AS language, count(*) AS n FROM pages GROUP BY 1")
-def url_languages(spark, d):
-    """SRC3."""
-    return t(spark, d, "pages").groupBy(tx.language_of(F.regexp_extract("url", "^[a-z]+://[^/]*(/.*)$", 1)).alias("language")).agg(F.count("*").alias("n"))
-
-
-@query()
-def legal_metadata(spark, d):
-    """Over texts of every document (the bundled ones hold no legal markers; unit tests do)."""
-    return t(spark, d, "documents").select("doc_id", tx.legal_metadata(F.col("text")).alias("m")).select("doc_id", "m.*")
-
-
 # --- ingestion ---------------------------------------------------------------------------------------------------
 @query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_hash_groups(spark, d):
@@ -274,66 +158,15 @@ def rehash_duplicates(spark, d):
     return h.join(first, "h").select("doc_id", F.when(F.col("doc_id") == F.col("first"), F.col("h")).otherwise(F.sha2(F.concat_ws(":", "h", "doc_id"), 256)).alias("content_hash"))
 
 
-@query("WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 11 <> 0) SELECT CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n FROM o FULL JOIN n USING (doc_id) GROUP BY 1")
-def incremental_diff(spark, d):
-    """C12, SNK1, SNK2: an old and a new version of the table, made from it by rules."""
-    docs = t(spark, d, "documents")
-    old = docs.where("doc_id % 7 != 0").select("doc_id", F.sha2("text", 256).alias("old"))
-    new = docs.where("doc_id % 11 != 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256)).alias("new"))
-    s = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "deleted").when(F.col("old") == F.col("new"), "unchanged").otherwise("changed")
-    return old.join(new, "doc_id", "full").groupBy(s.alias("status")).agg(F.count("*").alias("n"))
-
-
-@query("WITH o AS (SELECT sha256(text) AS h, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, sha256(text) AS h, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 2 = 0) SELECT CASE WHEN o.h IS NULL THEN 'embed' ELSE 'reuse' END AS action, count(*) AS n FROM n LEFT JOIN o ON o.h = n.h AND o.rn = n.rn GROUP BY 1")
-def hash_reuse_join(spark, d):
-    """Every old row is used once."""
-    docs = t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    rn = F.row_number().over(Window.partitionBy("h").orderBy("doc_id"))
-    old = docs.where("doc_id % 3 != 0").select("h", rn.alias("rn"), F.lit(True).alias("old"))
-    new = docs.where("doc_id % 2 = 0").select("h", rn.alias("rn"))
-    return new.join(old, ["h", "rn"], "left").groupBy(F.when(F.col("old").isNull(), "embed").otherwise("reuse").alias("action")).agg(F.count("*").alias("n"))
-
-
-@query("WITH p AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents) SELECT a.source, count(*) AS n_links, CAST(sum(b.pos - a.pos) AS BIGINT) AS total_gap FROM p a JOIN p b ON a.source = b.source AND b.pos - a.pos BETWEEN 1 AND 5 WHERE a.lang = b.lang GROUP BY a.source")
-def neighbor_links(spark, d):
-    """Pairs at most five positions apart, through lead() instead of a band join."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    p = t(spark, d, "documents").select("source", "lang", F.array(*[F.struct(F.lead("lang", k).over(w).alias("lang"), F.lit(k).alias("gap")) for k in range(1, 6)]).alias("near"))
-    p = p.select("source", "lang", F.explode("near").alias("b")).where("lang = b.lang")
-    return p.groupBy("source").agg(F.count("*").alias("n_links"), F.sum("b.gap").cast("long").alias("total_gap"))
-
-
-CHUNK_WORDS = 100
-
-
-@query()
-def chunk_greedy(spark, d):
-    """Lines are packed into chunks of at most CHUNK_WORDS words, in order; one fold over a document's lines."""
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("x"), F.size(F.filter(F.split(x, " "), lambda w: w != "")).alias("n")))
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-    full = lambda s, x: (s["n"] > 0) & (s["n"] + x["n"] > CHUNK_WORDS)
-
-    def step(s, x):
-        return F.struct(
-            F.when(full(s, x), F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]).alias("done"),
-            F.when(full(s, x) | (s["n"] == 0), x["x"]).otherwise(F.concat(s["cur"], F.lit("\n"), x["x"])).alias("cur"),
-            F.when(full(s, x), x["n"]).otherwise(s["n"] + x["n"]).alias("n"),
-        )
-
-    chunks = F.aggregate(lines, empty, step, lambda s: F.concat(s["done"], F.array(s["cur"])))
-    c = t(spark, d, "documents").select("doc_id", F.posexplode(chunks).alias("seq", "chunk"))
-    return c.select(F.format_string("%d-%04d", "doc_id", "seq").alias("chunk_id"), "doc_id", F.sha2("chunk", 256).alias("content_hash"), F.length("chunk").alias("n_chars"))
-
-
 # --- evaluation and telemetry ------------------------------------------------------------------------------------
-RANKS = f"rk AS (SELECT q.vec_id AS query_id, q.label AS kind, min(CASE WHEN x.label = q.label THEN x.r END) AS r FROM embeddings q JOIN (SELECT a.vec_id AS qid, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id < 40 AND a.vec_id <> b.vec_id QUALIFY r <= 10) x ON x.qid = q.vec_id GROUP BY ALL)"
+RANKS = f"rk AS (SELECT q.vec_id AS query_id, q.label AS kind, min(CASE WHEN x.label = q.label THEN x.r END) AS r FROM embeddings q JOIN (SELECT a.vec_id AS qid, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY r <= 10) x ON x.qid = q.vec_id GROUP BY ALL)"
 
 
 @query(f"WITH {RANKS} SELECT coalesce(CAST(kind AS VARCHAR), 'overall') AS kind, count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5, round(avg(coalesce(1.0 / r, 0.0)), 6) AS mrr, round(avg(CASE WHEN r <= 5 THEN 1.0 / log2(r + 1) ELSE 0.0 END), 6) AS ndcg_at_5 FROM rk GROUP BY ROLLUP (kind)")
 def ir_metrics_rollup(spark, d):
     """EV1, EV2, W1, A8."""
     v = t(spark, d, "embeddings")
-    top = vector.top_k(v, v.where("vec_id < 40"), 11).where("query_id != vec_id")
+    top = vector.top_k(v, v.where(ASKED), 11).where("query_id != vec_id")
     top = top.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("r <= 10").join(v.select("vec_id", "label"), "vec_id")
     own = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("kind"))
     rk = top.join(own, "query_id").groupBy("query_id", "kind").agg(F.min(F.when(F.col("label") == F.col("kind"), F.col("r"))).alias("r"))
@@ -352,28 +185,6 @@ def percentiles_nearest_rank(spark, d):
     return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), p(0.5), p(0.95), p(0.99))
 
 
-def _ranked_events(spark, d):
-    """The position of each value among its event type's, and their number."""
-    e = t(spark, d, "events").select("event_type", "value", "event_id")
-    w = Window.partitionBy("event_type")
-    return e.select("event_type", "value", (F.row_number().over(w.orderBy("value", "event_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-
-
-@query("WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(max(CASE WHEN i = least(n // 2, n - 1) THEN value END), 6) AS p50, round(max(CASE WHEN i = least(CAST(floor(n * 0.95) AS BIGINT), n - 1) THEN value END), 6) AS p95 FROM s GROUP BY event_type")
-def percentiles_floor_index(spark, d):
-    """P: sorted[min(int(p * n), n - 1)]."""
-    pick = lambda p: F.round(F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("value"))), 6)
-    return _ranked_events(spark, d).groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
-
-
-@query("WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), k AS (SELECT *, (n + 1) * 0.95 AS p FROM s) SELECT event_type, round(max(CASE WHEN i = floor(p) THEN value END) + (max(p) - floor(max(p))) * (max(CASE WHEN i = floor(p) + 1 THEN value END) - max(CASE WHEN i = floor(p) THEN value END)), 6) AS p95 FROM k GROUP BY event_type")
-def percentiles_exclusive(spark, d):
-    """P: position (n + 1) * p, interpolated."""
-    s = _ranked_events(spark, d).withColumn("p", (F.col("n") + 1) * F.lit(0.95)).withColumn("i", F.col("i") + 1)
-    at = lambda k: F.max(F.when(F.col("i") == F.floor("p") + k, F.col("value")))
-    return s.groupBy("event_type").agg(F.round(at(0) + (F.max("p") - F.floor(F.max("p"))) * (at(1) - at(0)), 6).alias("p95"))
-
-
 @query("SELECT round(coalesce(corr(length(text), n_chars + doc_id % 13), 0), 6) AS pearson FROM documents")
 def pearson_corr(spark, d):
     """A6."""
@@ -394,12 +205,6 @@ def counter_labels(spark, d):
     return t(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS lo, round(max(value), 6) AS hi, round(100.0 * sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) / count(*), 4) AS success_rate, count(DISTINCT user_id) AS users FROM events")
-def load_summary(spark, d):
-    """A5, A7, A12."""
-    return t(spark, d, "events").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"), F.round(100.0 * F.count_if(F.col("event_type") != "error") / F.count("*"), 4).alias("success_rate"), F.count_distinct("user_id").alias("users"))
-
-
 @query("SELECT source, count(*) AS chunk_count, CAST(sum(n_chars // 4) AS BIGINT) AS token_count, round(sum(n_chars // 4) * 0.02 / 1e6, 9) AS cost FROM documents GROUP BY source")
 def document_stats_cost(spark, d):
     """A2, A19, PRJ2."""
@@ -445,7 +250,9 @@ def latest_activity(spark, d):
 
 
 # --- state -------------------------------------------------------------------------------------------------------
-@query()
+@query(
+    'WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), s AS (SELECT user_id, event_id, rn, true AS allowed, 1.0::DOUBLE AS tokens, t AS last, NULL::DOUBLE AS until FROM e WHERE rn = 1 UNION ALL SELECT user_id, event_id, rn, ok, CASE WHEN limited THEN tokens WHEN ok THEN filled - 1 ELSE filled END, CASE WHEN limited THEN last ELSE t END, CASE WHEN limited OR ok THEN until ELSE t + (1 - filled) / (2 / 86400.0::DOUBLE) END FROM (SELECT e.user_id, e.event_id, e.rn, e.t, s.tokens, s.last, s.until, coalesce(e.t < s.until, false) AS limited, least(2.0::DOUBLE, s.tokens + (e.t - s.last) * (2 / 86400.0::DOUBLE)) AS filled, NOT coalesce(e.t < s.until, false) AND least(2.0::DOUBLE, s.tokens + (e.t - s.last) * (2 / 86400.0::DOUBLE)) >= 1 AS ok FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)) SELECT user_id, event_id, allowed FROM s'
+)
 def token_bucket_decisions(spark, d):
     """Two requests, refilled at two a day."""
     return token_bucket.decide(t(spark, d, "events"), "user_id", 2, 2 / 86400)
@@ -459,12 +266,6 @@ def cache_simulation(spark, d):
     return e.groupBy("event_type").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
-@query("SELECT CAST(event_id % 3 AS INT) AS provider, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
-def round_robin(spark, d):
-    """R5."""
-    return t(spark, d, "events").groupBy((F.col("event_id") % 3).cast("int").alias("provider")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-
-
 # --- evaluation of variants, circuit breaker, pieces -----------------------------------------------------------------
 def _results(spark, d):
     """Events read as evaluated cases."""
@@ -501,13 +302,20 @@ def variant_deltas(spark, d):
     return x.withColumns({f"{n}_delta": F.round(f"{n}_delta", 6) for n in _LEVEL_NAMES})
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), s AS (SELECT user_id, event_id, rn, 'closed' AS state, CASE WHEN coalesce(value >= 10, false) THEN 0 ELSE 1 END AS failed, NULL::DOUBLE AS since FROM e WHERE rn = 1 UNION ALL SELECT user_id, event_id, rn, now, CASE WHEN now = 'open' THEN failed WHEN good THEN 0 ELSE failed + 1 END, CASE WHEN now = 'open' THEN since WHEN NOT good AND (now = 'half_open' OR failed + 1 >= 3) THEN t END FROM (SELECT e.user_id, e.event_id, e.rn, e.t, s.failed, s.since, coalesce(e.value >= 10, false) AS good, CASE WHEN s.since IS NULL THEN 'closed' WHEN e.t - s.since >= 86400 THEN 'half_open' ELSE 'open' END AS now FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1)) SELECT user_id, event_id, state, state <> 'open' AS allowed FROM s"
+)
 def circuit_breaker_decisions(spark, d):
     """A call fails whose value is under 10; after three in a row a user's calls are refused for a day."""
     return circuit_breaker.decide(t(spark, d, "events"), "user_id", F.coalesce(F.col("value") >= 10, F.lit(False)), 3, 86400.0)
 
 
-@query()
+@query(
+    "WITH RECURSIVE f AS (SELECT doc_id, flatten(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: list_transform(range(0, CAST(ceil(length(x) / 2000.0) AS BIGINT)), lambda k: substring(x, k * 2000 + 1, 2000)))) AS parts FROM documents), "
+    "o AS (SELECT doc_id, unnest(parts) AS piece, generate_subscripts(parts, 1) AS rn FROM f), s AS (SELECT doc_id, 0::BIGINT AS rn, '' AS now, NULL::VARCHAR AS done FROM f UNION ALL SELECT doc_id, rn, CASE WHEN fits AND now <> '' THEN now || chr(10) || chr(10) || piece ELSE piece END, CASE WHEN fits THEN NULL ELSE now END "
+    "FROM (SELECT o.doc_id, o.rn, o.piece, s.now, s.now = '' OR length(s.now) + 2 + length(o.piece) <= 2000 AS fits FROM s JOIN o ON o.doc_id = s.doc_id AND o.rn = s.rn + 1)), "
+    "m AS (SELECT doc_id, rn, done AS message FROM s WHERE done IS NOT NULL UNION ALL SELECT doc_id, 1000000000, now FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rn DESC) = 1) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rn) - 1 AS INT) AS pos, message FROM m WHERE message <> ''"
+)
 def message_pieces(spark, d):
     """N11."""
     return t(spark, d, "documents").select("doc_id", F.posexplode(pieces.messages(F.col("text"), 2000)).alias("pos", "message"))
@@ -518,3 +326,6 @@ def token_windows(spark, d):
     """Windows of 50 words that overlap by 10."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
     return t(spark, d, "documents").select("doc_id", words.alias("w")).select("doc_id", F.posexplode(pieces.token_windows(F.col("w"), 50, 10)).alias("pos", "win")).select("doc_id", "pos", F.size("win").alias("n_words"))
+
+
+from brevia.plans import chunking, extraction, filtering, ingestion, retrieval, sources, telemetry, texts  # noqa: E402, F401

@@ -1,9 +1,12 @@
+import statistics
+
+import pytest
 from pyspark.sql import functions as F
 
-from brevia.functions import text as tx
-from brevia.operators import search, vector
-from brevia.plans import registry
-from brevia.streaming import token_bucket
+from brevia.functions import checks
+from brevia.operators import evaluation, filters, search, vector
+from brevia.plans import registry, retrieval
+from brevia.sources import docx
 
 
 def test_cosine_of_zero_vector_is_zero(spark):
@@ -18,24 +21,69 @@ def test_weights_sum_to_one():
 def test_selection_skips_copies_and_keeps_the_budget(spark):
     rows = [[(1, 0.9, 400, ["a", "b"]), (2, 0.8, 400, ["a", "b"]), (3, 0.7, 400, ["c"]), (4, 0.6, 400, ["d"])]]
     df = spark.createDataFrame([(r,) for r in rows], "r array<struct<id:bigint,sim:double,cost:int,words:array<string>>>")
-    assert df.select(search.select_within_budget(F.col("r"), 5, 1000, marginal=0.0).alias("x")).first().x == [1, 3]
+    x = df.select(search.select_within_budget(F.col("r"), 5, 1000, marginal=0.0).alias("x")).first().x
+    assert (x.ids, x.used, x.redundant, x.marginal, x.over) == ([1, 3], 800, 1, 0, 1)
+
+
+def test_ranks_of_the_gain_begin_with_one(spark):
+    # 0.8 / (1 + 0.12 * 2) / 400 is over the least gain, 0.8 / (1 + 0.12 * 3) / 400 isn't
+    df = spark.createDataFrame([([(1, 0.9, 10, ["a"]), (2, 0.8, 400, ["b"]), (3, 0.8, 400, ["c"])],)], "r array<struct<id:bigint,sim:double,cost:int,words:array<string>>>")
+    assert df.select(search.select_within_budget(F.col("r"), 5, 1000, marginal=0.0015).alias("x")).first().x.ids == [1, 2]
+
+
+def test_hybrid_rank_puts_the_named_article_first(spark):
+    meta = "struct<artigo:string,paragrafo:string,inciso:string,marca_stf:boolean,marca_stj:boolean,banca:string,updated_by_law:string,is_revoked:boolean,is_vetoed:boolean>"
+    none = (None, None, None, False, False, None, None, False, False)
+    rows = [(1, 1, 0.82, "x", none, "Art. 5 direitos fundamentais", 10), (1, 2, 0.72, "x", ("5", *none[1:]), "Art. 5 direitos fundamentais", 20)]
+    df = spark.createDataFrame(rows, f"query_id int, pos int, similarity double, text string, meta {meta}, q string, doc_id int")
+    got = [(r.doc_id, r.query_type) for r in search.reranked(df).orderBy("rank").collect()]
+    assert got == [(20, "artigo"), (10, "artigo")]
 
 
-def test_legal_metadata(spark):
-    df = spark.createDataFrame([("Art. 5-A da Lei nº 8.112/90, § 3, revogado. STF. CESPE 2010 e 2013\nIV - pena",)], "t string")
-    m = df.select(tx.legal_metadata(F.col("t")).alias("m")).first().m
-    assert (m.article, m.paragraph, m.item, m.law, m.board, m.year, m.stf, m.is_revoked, m.penalty) == ("5-A", "3", "IV", "8.112/90", "CESPE", "2013", True, True, True)
+def test_top_k_looks_at_all_rows_and_takes_ties_by_id(spark):
+    rows = [(k, [1.0, 0.0, 0.0]) for k in range(10)] + [(10, [0.0, 1.0, 0.0]), (11, None), (12, [0.0, 0.0, 0.0]), (13, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    q = spark.createDataFrame([(1, [0.0, 1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    got = [(r.query_id, r.vec_id, r.similarity) for r in vector.top_k(v, q, 3, 0.0).orderBy("query_id", "rank").collect()]
+    assert got[0] == (1, 10, 1.0) and got[3:] == [(2, 0, 1.0), (2, 1, 1.0), (2, 2, 1.0)]
+    assert vector.top_k(v.limit(0), q, 3).count() == 0 and vector.top_k(v, q.limit(0), 3).count() == 0
 
 
-def test_token_bucket(spark):
-    df = spark.createDataFrame([([(0.0, 1), (0.1, 2), (0.2, 3), (0.5, 4), (1.3, 5)],)], "r array<struct<t:double,id:bigint>>")
-    out = df.select(F.inline(token_bucket.fold(F.col("r"), 2, 1.0))).collect()
-    assert [r.allowed for r in out] == [True, True, False, False, True]
+def test_filters_refuse_unknown_keys_and_shapes(spark):
+    df = spark.createDataFrame([(("1", True),)], "meta struct<artigo:string,marca_stf:boolean>")
+    for bad, error in (({"nope": 1}, ValueError), ({"__or__": {"artigo": "1"}}, TypeError), ({"__or__": ["x"]}, TypeError), ({"artigo": {"$gt": 1}}, TypeError)):
+        with pytest.raises(error):
+            filters.condition(bad, df)
+    assert df.where(filters.condition({"__or__": [], "banca": "is_null", "artigo": "1"}, df)).count() == 1
+    assert filters.merged({"a": 1}, {"a": 2, "b": 3}) == {"a": 1, "b": 3} and filters.merged(None, None) is None
 
 
 def test_secrets_are_masked(spark):
-    df = spark.createDataFrame([("mail a.b@c.example.com, cpf 123.456.789-09, password: x1",)], "t string")
-    assert df.select(tx.redact(F.col("t")).alias("x")).first().x == "mail ***EMAIL***, cpf ***CPF***, ***CREDENTIAL***"
+    df = spark.createDataFrame([("mail a.b@c.example.com, cpf 123.456.789-09, password: hunter22",)], "t string")
+    assert df.select(checks.redact(F.col("t")).alias("x")).first().x == "mail ***EMAIL***, cpf ***CPF***, ***CREDENTIAL***"
+
+
+def test_positions_of_values_without_a_global_order(spark):
+    rows = [(k % 3, float((k * 7919) % 1000 // 10)) for k in range(5000)] + [(7, 1.5), (8, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {(r.k, r.name): r.found for r in evaluation.at_positions(df, "k", "v", {"first": F.lit(0), "mid": F.floor(F.col("n") / 2), "last": F.col("n") - 1}).collect()}
+    for k in (0, 1, 2, 7):
+        own = sorted(v for x, v in rows if x == k)
+        assert [got[k, n] for n in ("first", "mid", "last")] == [own[0], own[len(own) // 2], own[-1]]
+    x = {r.k: r for r in evaluation.percentiles_exclusive(df, "k", "v", p1=1, p50=50, p99=99).collect()}
+    for k in (0, 1, 2):
+        want = statistics.quantiles([v for y, v in rows if y == k], n=100)
+        assert [x[k].p1, x[k].p50, x[k].p99] == pytest.approx([want[0], want[49], want[98]])
+    assert x[7].p50 == 0.0 and 8 not in x
+
+
+def test_word_processor_files(spark):
+    made = docx.written([("TÍTULO I Das coisas", "Heading 1"), ("Art. 5º Texto,", None), ("que segue revogado", None)], [["a", "b"]], ["rodapé", "rodapé"])
+    rows = docx.parsed(spark.createDataFrame([("f.docx", made)], "path string, content binary")).orderBy("idx").collect()
+    assert [(r.source, r.text) for r in rows] == [("body", "TÍTULO I Das coisas"), ("body", "Art. 5º Texto,"), ("body", "que segue revogado"), ("table:r0c0", "a"), ("table:r0c1", "b"), ("footer:1", "rodapé")]
+    assert rows[0].level == 1 and rows[0].line.kind == "titulo" and rows[1].line.value == "5" and rows[2].status.is_revoked
+    with pytest.raises(ValueError):
+        docx.paragraphs(b"no zip")
 
 
 def test_every_query_of_a_large_set_has_its_rows(spark):
@@ -52,14 +100,14 @@ def test_every_query_of_a_large_set_has_its_rows(spark):
 def test_retrieval_pipeline_serves_all_items(spark):
     data = "/root/testdata/sf0.001"
     items = {r.item_id for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
-    assert max(items) >= 20 and {r.query_id for r in registry.retrieval_pipeline(spark, data).collect()} == items
+    assert max(items) >= 20 and {r.query_id for r in retrieval.retrieval_pipeline(spark, data).collect()} == items
 
 
-def test_retrieval_pipeline_ranks_lexical_candidates_by_their_cosine(spark, tmp_path):
+def test_candidates_of_both_kinds_have_their_own_similarity(spark, tmp_path):
     write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     write([(k, f"filler{k}") for k in range(100)] + [(500, "alpha beta gamma"), (600, "alpha beta other")], "doc_id long, text string", "documents")
     write([(0, "alpha beta gamma")], "item_id long, text string", "benchmark")
     write([(k, [1.0, 0.0]) for k in range(100)] + [(500, [0.6, 0.8])], "vec_id long, embedding array<float>", "embeddings")
-    got = registry.retrieval_pipeline(spark, str(tmp_path)).collect()
-    # 50 semantic candidates of cosine 1, the lexical one of 0.6; document 600 has no vector
-    assert [r.mean for r in got] == [round(50.6 / 51, 6)]
+    got = {r.doc_id: r.similarity for r in retrieval.candidates(spark, str(tmp_path)).collect()}
+    # 50 semantic candidates, and the lexical one with a vector
+    assert len(got) == 51 and got[500] == 0.6 and 600 not in got
