@@ -19,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, pick, words
+from .common import cut, pick, words
 
 MAX_DOCUMENTS = 30
-#: Frequent lines that may be broadcast (a hash of the host and one of the line: 16 bytes each).
+#: Frequent lines that may be broadcast (about 32 bytes each, in their host's table).
 BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]"
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -51,85 +51,78 @@ def _normal_lines(text: Column) -> Column:
     return F.transform(F.split(spaced, "\n"), lambda x: F.trim(x))
 
 
-def profiled(docs: DataFrame) -> DataFrame:
-    """docs without its text, but with METRICS, base_failed, host (hash), content (hash of the text) and lines:
-    array<struct<line (hash), words>>, of words 0 where the line is empty. Each text is gone through once."""
+def profiled(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` of docs (doc_id, source, text, ...) with METRICS, base_failed, host (hash), content (hash of the text) and
+    lines: array<struct<line (hash), words>>, of words 0 where the line is empty. Each text is gone through once."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    filled = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    df = docs.withColumn("w", words(F.col("text"))).withColumn("filled", filled)
+    df = docs.select(*[F.col(f"`{c}`").alias(f"kept{k}") for k, c in enumerate(keep)], "source", "text")
+    df = df.withColumn("w", words(F.col("text"))).withColumn("filled", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
     for name, col in _repeat_words().items():
         df = df.withColumn(name, col)
     spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
     lines = F.transform(_normal_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.when(x == "", 0).otherwise(spaces(x) + 1).alias("words")))
-    df = df.select(
-        *[c for c in docs.columns if c != "text"],
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("filled") - F.size(F.array_distinct("filled"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-        F.xxhash64("source").alias("host"),
-        F.xxhash64("text").alias("content"),
-        lines.alias("lines"),
-    )
+    measures = {
+        "n_words": F.size("w").cast("long"), "word_chars": F.length(F.array_join("w", "")).cast("long"), "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": (F.size("filled") - F.size(F.array_distinct("filled"))).cast("long"), "n_repeat_words": F.col("n_repeat_words"), "host": F.xxhash64("source"), "content": F.xxhash64("text"), "lines": lines,
+    }
+    df = df.select(*[f"kept{k}" for k in range(len(keep))], *[c.alias(n) for n, c in measures.items()])
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """A row key: doc_id with the hash of source and text."""
-    return docs.withColumn("row_hash", F.xxhash64("source", "text"))
-
-
 def frequent_lines(profiles: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(host, line) of the lines that stand in more than max_documents distinct documents of a host."""
     lines = profiles.select("host", "content", F.explode("lines").alias("l")).where("l.words > 0").select("host", "content", "l.line")
     return lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select("host", "line")
 
 
-def removed_lines(profiles: DataFrame, frequent: DataFrame) -> DataFrame:
-    """For each row key with frequent lines the words in these, and their hashes: (doc_id, row_hash, removed, gone)."""
-    frequent = cut(frequent, "frequent_lines")
-    if frequent.count() <= BROADCAST_ROWS:
-        frequent = F.broadcast(frequent)
-    lines = profiles.select("doc_id", "row_hash", "host", F.posexplode("lines").alias("pos", "l")).select("doc_id", "row_hash", "host", "pos", "l.line", "l.words")
-    hit = lines.where("words > 0").join(frequent, ["host", "line"]).select("doc_id", "row_hash", "pos", "line", "words")
-    # repeated rows have the same key: a position counts once
-    return hit.distinct().groupBy("doc_id", "row_hash").agg(F.sum("words").alias("removed"), F.collect_set("line").alias("gone"))
+def line_tables(frequent: DataFrame) -> DataFrame:
+    """(host, table): a hash table of each host's frequent lines: array of slots, of which that at line modulo their number
+    holds the line. So a document finds its own frequent lines in its row, however many its host has."""
+    slots = frequent.groupBy("host").agg((F.count("*") / 2 + 1).cast("int").alias("slots"))
+    held = frequent.join(slots, "host").groupBy("host", F.pmod("line", "slots").cast("int").alias("slot")).agg(F.collect_list("line").alias("x"))
+    every = slots.select("host", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    none = F.array().cast("array<bigint>")
+    own = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("x", none).alias("x"))))
+    return every.join(held, ["host", "slot"], "left").groupBy("host").agg(F.transform(own, lambda s: s["x"]).alias("table"))
 
 
-def _judged(docs: DataFrame, max_documents: int) -> DataFrame:
-    """docs (doc_id, source, text, row_hash) with METRICS, base_failed, kept and gone, without text."""
-    profiles = cut(profiled(docs), "profiles")
-    removed = removed_lines(profiles, frequent_lines(profiles, max_documents)).withColumnsRenamed({"doc_id": "d", "row_hash": "r"})
-    df = profiles.drop("lines", "host", "content").join(removed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")), "left")
-    left = F.col("n_words") - F.coalesce("removed", F.lit(0))
-    return df.withColumn("kept", ~F.col("base_failed") & (10 * left >= 3 * F.col("n_words"))).drop("d", "r", "removed")
+def _judged(docs: DataFrame, max_documents: int, *keep: str) -> tuple[DataFrame, Column]:
+    """profiled() rows with kept, and their host's table of frequent lines; and the test whether a line is in it."""
+    profiles = cut(profiled(docs, *keep), "profiles")
+    frequent = cut(frequent_lines(profiles, max_documents), "frequent_lines")
+    tables = line_tables(frequent)
+    df = profiles.join(F.broadcast(tables) if frequent.count() <= BROADCAST_ROWS else tables, "host", "left")
+    in_table = lambda line: F.coalesce(F.array_contains(F.get("table", F.pmod(line, F.size("table")).cast("int")), line), F.lit(False))
+    removed = F.aggregate(F.filter("lines", lambda x: (x["words"] > 0) & in_table(x["line"])), F.lit(0), lambda a, x: a + x["words"])
+    left = F.col("n_words") - F.when(F.col("table").isNull(), 0).otherwise(removed)
+    return df.withColumn("kept", ~F.col("base_failed") & (10 * left >= 3 * F.col("n_words"))), in_table
 
 
 def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """doc_id and source with METRICS, base_failed and kept, for every row of docs (doc_id, source, text)."""
-    return _judged(_keyed(pick(docs, doc_id="long", source="string", text="string")), max_documents).drop("row_hash", "gone")
+    df, _ = _judged(pick(docs, doc_id="long", source="string", text="string"), max_documents, "doc_id", "source")
+    return df.select(F.col("kept0").alias("doc_id"), F.col("kept1").alias("source"), *METRICS, "base_failed", "kept")
 
 
 def filtered(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """docs without the documents that are rejected, and the others without their frequent lines; all other columns as
-    they are."""
-    judged = _judged(_keyed(pick(docs, doc_id="long", source="string", text="string")), max_documents)
-    doc_id, row, kept, gone = fresh(docs, "judged_doc", "judged_row", "judged_kept", "judged_gone")
-    judged = judged.where("NOT kept OR gone IS NOT NULL").select(F.col("doc_id").alias(doc_id), F.col("row_hash").alias(row), F.col("kept").alias(kept), F.when(F.col("kept"), F.col("gone")).alias(gone))
-    judged = cut(judged.dropDuplicates([doc_id, row]), "judged")
-    held = judged.agg(F.sum(F.lit(2) + F.coalesce(F.size(gone), F.lit(0)))).first()[0] or 0
-    judged = F.broadcast(judged) if held <= BROADCAST_ROWS else judged
-    source = F.col("`source`").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    text = F.col("`text`").cast("string")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (F.xxhash64(source, text) == F.col(row))
-    df = docs.join(judged, same, "left").where(F.coalesce(F.col(kept), F.lit(True)))
-    lines = F.zip_with(F.split(text, "\n"), _normal_lines(text), lambda x, y: F.struct(x.alias("x"), (y != "").alias("filled"), F.xxhash64(y).alias("line")))
-    left = F.filter(lines, lambda z: ~(z["filled"] & F.array_contains(gone, z["line"])))
-    df = df.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda z: z["x"]), "\n")))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return df.select(*[f"`{c}`" for c in docs.columns])
+    they are. Every row finds its lines in its host's table, so no text is shuffled."""
+    names = docs.columns
+    own = docs if "source" in names else docs.withColumn("source", F.lit(None).cast("string"))
+    df, in_table = _judged(own, max_documents, *names)
+    text = F.col(f"kept{names.index('text')}")
+    string = text.cast("string")
+    pairs = F.zip_with(F.split(string, "\n"), F.col("lines"), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    hit = lambda z: (z["y"]["words"] > 0) & in_table(z["y"]["line"])
+    some = F.col("table").isNotNull() & F.exists("lines", lambda x: (x["words"] > 0) & in_table(x["line"]))
+    left = F.array_join(F.transform(F.filter(pairs, lambda z: ~hit(z)), lambda z: z["x"]), "\n")
+    df = df.where("kept").withColumn("touched", some).withColumn("left", F.when(F.col("touched"), left).otherwise(string))
+    kinds = docs.schema
+    cols = {n: F.col(f"kept{k}") for k, n in enumerate(names)}
+    cols["text"] = F.col("left").cast(kinds["text"].dataType)
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(F.col("touched"), F.length("left").cast(kinds["n_chars"].dataType)).otherwise(cols["n_chars"])
+    return df.select(*[c.alias(n) for n, c in cols.items()])
 
 
 def oracle(max_documents: int = MAX_DOCUMENTS) -> str:
