@@ -10,11 +10,10 @@ percent * (a + b) / (100 + percent): only pairs that pass this bound are verifie
    are empty count too, but a set with more than D filled ranges has a filled one in common with each partner, and
    leaves its empty ones out: else all long texts would meet in these. Each class emits the content hashes of its
    ranges (and those for the next size class, if a partner may be there). Sets that share one stand in one block.
-2. Hubs. A block's hub is its member with the smallest hash; blocks with the same hub are joined into one, so that
-   texts that share hundreds of ranges meet once. Each member is paired with the hub. Pairs within the bound are
-   verified. Large groups of near copies become one component by as many pairs as they have members. The hub's set
-   joins first, so that the join whose key may be hot moves pairs of numbers, and the join that moves sets has each
-   member as its key.
+2. Hubs. Blocks with the same smallest class are joined into one, so that texts that share hundreds of ranges meet once.
+   A block's hub is its member that shares most ranges in all: of a group of near copies this is one in the middle. Each
+   member is paired with the hub, and pairs within the bound are verified: a large group becomes one component by as many
+   pairs as it has members.
 3. R-tree. Only blocks whose members are still in more than one component go on. Their points, sorted by block and
    size over all tasks, are packed into tiles of TILE; in each tile, and between the tiles of a wide block whose
    bounding boxes the bound allows, an R-tree over the points finds the pairs between components that reach the bound.
@@ -290,7 +289,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose points reach the bound. a may be in many pairs, b is in few."""
+    """Of the pairs (a, b) those whose points reach the bound."""
     one = points.select(F.col("e").alias("a"), F.col("point").alias("p"), F.col("n").alias("n1"))
     two = points.select(F.col("e").alias("b"), F.col("point").alias("q"), F.col("n").alias("n2"))
 
@@ -307,7 +306,7 @@ def within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame
 
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose whole sets link. The texts of the classes in pairs are read again, by the smallest
-    doc_id of each class; a may be in many pairs, b is in few."""
+    doc_id of each class."""
     asked = cut(pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct(), "asked")
     few = asked.count() <= BROADCAST_ROWS
     wanted = points.join(F.broadcast(asked) if few else asked, "e", "left_semi").select("rep").distinct()
@@ -407,11 +406,19 @@ def tree_candidates(rows: DataFrame, points: DataFrame, percent: int) -> DataFra
 
 
 def blocks_of(signed: DataFrame) -> DataFrame:
-    """(hub, e): each class with the hubs of its blocks of several classes, the hub itself too."""
+    """(block, e, ranges): blocks of several classes, by their smallest class, with the ranges that each shares there."""
     of_block = Window.partitionBy("block")
     rows = signed.where("n > 0").dropDuplicates(["e"]).select("e", F.explode("blocks").alias("block"))
-    rows = rows.select("e", F.min("e").over(of_block).alias("hub"), F.max("e").over(of_block).alias("last"))
-    return rows.where("hub != last").select("hub", "e").distinct()
+    rows = rows.select("e", F.min("e").over(of_block).alias("first"), F.max("e").over(of_block).alias("last"))
+    return rows.where("first != last").groupBy(F.col("first").alias("block"), "e").agg(F.count("*").alias("ranges"))
+
+
+def hub_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): each member of a block with the block's hub, the smaller class first."""
+    shared = rows.groupBy("e").agg(F.sum("ranges").alias("shared"))
+    hubs = rows.join(shared, "e").groupBy("block").agg(F.max(F.struct("shared", "e"))["e"].alias("hub"))
+    pairs = rows.join(hubs, "block").where("e != hub")
+    return pairs.select(F.least("hub", "e").alias("a"), F.greatest("hub", "e").alias("b")).distinct()
 
 
 def links_of(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -424,16 +431,16 @@ def links_of(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     points = cut(once.join(in_blocks, "e", "left_semi").join(reps, "e"), "points")
     # the blocks are the largest part of the signatures and not asked for again
     every = cut(signed.select("doc_id", "t", "e", "n"), "every", replaces=signed)
-    pairs = cut(rows.where("e != hub").select(F.col("hub").alias("a"), F.col("e").alias("b")).distinct(), "pairs")
+    pairs = cut(hub_pairs(rows), "pairs")
     close = cut(within_bound(pairs, points, percent), "close")
     by_hub = verified(close, points, docs, n, percent)
     root = components(by_hub)
-    placed = rows.withColumnRenamed("hub", "block").join(root.withColumnRenamed("v", "e"), "e", "left").withColumn("root", F.coalesce("root", "e"))
+    placed = rows.select("block", "e").join(root.withColumnRenamed("v", "e"), "e", "left").withColumn("root", F.coalesce("root", "e"))
     placed = cut(placed, "placed", replaces=rows)
     # a hub and one other member: their one pair is decided
     still = placed.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi AND n > 2").select("block")
     found = tree_candidates(placed.join(still, "block", "left_semi"), points, percent)
-    # a hub is the smaller of its pairs: what hubs have decided isn't asked again
+    # what hubs have decided isn't asked again
     left = cut(found.join(pairs, ["a", "b"], "left_anti"), "left", replaces=found)
     return every, by_hub, verified(left, points, docs, n, percent)
 
