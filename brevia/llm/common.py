@@ -40,6 +40,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
+#: Where cut() notes the tables that it writes, inside recorded().
+_notes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded():
+    """A list of the folders of all tables that cut() writes meanwhile."""
+    _notes.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _notes.remove(paths)
+
+
 def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later stages survive lost executors without
     going back to df's inputs. Shuffle files of the writing go as soon as the table is there. The table `replaces`, which
@@ -56,7 +70,9 @@ def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFram
         for k, v in was.items():
             spark.conf.set(k, v)
     if replaces is not None:
-        _delete(spark, replaces.written_at)
+        delete(spark, replaces.written_at)
+    for paths in _notes:
+        paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -80,14 +96,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def _delete(spark: SparkSession, where: str) -> None:
+def delete(spark: SparkSession, where: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete all tables that cut() has written under this session's shared folder."""
-    _delete(spark, f"{shared_dir(spark).rstrip('/')}/brevia")
+    delete(spark, f"{shared_dir(spark).rstrip('/')}/brevia")
 
 
 def words(col):
