@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from brevia.llm import bpe, decontamination, ngram_join, pii, quality
-from brevia.llm.common import cut, table
+from brevia.llm.common import cut, delete, recorded, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +35,31 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encode_documents(docs)
 
 
+#: Tables that the stage before wrote on its way. Its result has been written when the next stage begins.
+_left_over: list[str] = []
+
+
+def alone(stage):
+    """The stage, which first deletes what the one before has left in the shared folder."""
+
+    @functools.wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left_over:
+            delete(spark, _left_over.pop())
+        with recorded() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left_over.extend(paths)
+        return out
+
+    return call
+
+
 STAGES = [
-    ("quality rules", quality_stage),
-    ("n-gram Jaccard join", dedup_stage),
-    ("benchmark decontamination", decontamination_stage),
-    ("PII", pii_stage),
-    ("BPE encoding", encode_stage),
+    ("quality rules", alone(quality_stage)),
+    ("n-gram Jaccard join", alone(dedup_stage)),
+    ("benchmark decontamination", alone(decontamination_stage)),
+    ("PII", alone(pii_stage)),
+    ("BPE encoding", alone(encode_stage)),
 ]
 
 
