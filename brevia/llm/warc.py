@@ -81,7 +81,8 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 4000) ->
     level = F.greatest(F.lit(0), F.ceil(F.log(4.0, size / LEVEL_BYTES))).cast("int")
     p = pick(pages, page_id="long", url="string", html="string")
     found = records(p, level.alias("level"))
-    for k in sorted(r.level for r in p.select(level.alias("level")).distinct().collect()):  # 32 at most
+    levels = sorted(r.level for r in p.select(level.alias("level")).distinct().collect())  # 32 at most
+    for k in levels or [0]:  # an empty table makes an empty archive
         one = found.where(F.col("level") == k).select("value")
         one.write.option("lineSep", EOL * 2).option("maxRecordsPerFile", max(1, records_per_file >> 2 * k)).text(f"{path}/level{k}")
 
