@@ -252,21 +252,24 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, t (hash of the text), e (class), n, point, blocks for every row."""
+    """doc_id, t (hash of the text), e (class), n, point, blocks for every row. Of rows of one class in a task only the first has
+    blocks: copies add nothing to them."""
 
     def run(batches):
-        shingle, blocks = Shingler(n), Blocks(percent)
+        shingle, blocks, seen, none = Shingler(n), Blocks(percent), set(), np.zeros(0, np.uint64)
         for b in batches:
             row = 0
             for ids, texts in text_parts(b):
                 sets = shingle(texts)
+                keys = [int(set_key(s)) for s in sets]
+                fresh_keys = [k not in seen and not seen.add(k) for k in keys]
                 cols = [
                     pa.array(ids, pa.int64()),
                     b.column(2).slice(row, len(ids)),
-                    pa.array(_signed(np.array([set_key(s) for s in sets], np.uint64)), pa.int64()),
+                    pa.array(_signed(np.array(keys, np.uint64)), pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([point_of(s).tobytes() for s in sets], pa.binary()),
-                    _lists([blocks(s) for s in sets]),
+                    _lists([blocks(s) if new else none for s, new in zip(sets, fresh_keys, strict=True)]),
                 ]
                 row += len(ids)
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "e", "n", "point", "blocks"])
@@ -408,7 +411,7 @@ def tree_candidates(rows: DataFrame, points: DataFrame, percent: int) -> DataFra
 def blocks_of(signed: DataFrame) -> DataFrame:
     """(block, e, ranges): blocks of several classes, by their smallest class, with the ranges that each shares there."""
     of_block = Window.partitionBy("block")
-    rows = signed.where("n > 0").dropDuplicates(["e"]).select("e", F.explode("blocks").alias("block"))
+    rows = signed.where("n > 0").select("e", F.explode("blocks").alias("block"))
     rows = rows.select("e", F.min("e").over(of_block).alias("first"), F.max("e").over(of_block).alias("last"))
     return rows.where("first != last").groupBy(F.col("first").alias("block"), "e").agg(F.count("*").alias("ranges"))
 
