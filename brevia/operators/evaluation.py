@@ -19,14 +19,17 @@ LEVELS = (
     ("error_rate", False, 0.02),
 )
 OVERALL = "overall"
+#: Metrics that are compared between variants, and those in which a better variant is no worse (more is better?).
+COMPARED = (*[name for name, _, _ in LEVELS], "no_basis")
+DOMINANCE = {"recall_at_5": True, "citation": True, "coverage": True, "no_basis": False, "timeout_rate": False, "error_rate": False}
 
 
 def integrated_metrics(results: DataFrame, *by: str) -> DataFrame:
     """For each of `by` and each kind of case (column tipo), and for all kinds together (tipo 'overall').
-    results: by, tipo, recall_at_5, citation, coverage, latency_s, cost_usd, timeout, error."""
+    results: by, tipo, recall_at_5, citation, coverage, no_basis, latency_s, cost_usd, timeout, error."""
     measured = [
         F.count("*").alias("n_cases"),
-        *[F.avg(c).alias(c) for c in ("recall_at_5", "citation", "coverage")],
+        *[F.avg(c).alias(c) for c in ("recall_at_5", "citation", "coverage", "no_basis")],
         F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_s)").alias("p95_latency_s"),
         F.avg("cost_usd").alias("mean_cost_usd"),
         F.avg(F.col("timeout").cast("double")).alias("timeout_rate"),
@@ -50,11 +53,11 @@ def service_levels(metrics: DataFrame) -> DataFrame:
 
 
 def deltas(metrics: DataFrame, base: str, candidate: str, variant: str = "variant") -> DataFrame:
-    """For each tipo the candidate's metrics less the base's, and whether it is worse in none (dominates).
+    """For each tipo the candidate's metrics less the base's, and whether it is worse in none that counts (dominates).
     One aggregation by tipo: no join of the variants."""
     at = lambda name, which: F.max(F.when(F.col(variant) == which, F.col(name)))
-    changed = metrics.groupBy("tipo").agg(*[(at(name, candidate) - at(name, base)).alias(f"{name}_delta") for name, _, _ in LEVELS])
-    none_worse = [F.col(f"{name}_delta") >= 0 if more else F.col(f"{name}_delta") <= 0 for name, more, _ in LEVELS]
+    changed = metrics.groupBy("tipo").agg(*[(at(name, candidate) - at(name, base)).alias(f"{name}_delta") for name in COMPARED])
+    none_worse = [F.col(f"{name}_delta") >= 0 if more else F.col(f"{name}_delta") <= 0 for name, more in DOMINANCE.items()]
     return changed.withColumn("dominates", reduce(and_, none_worse))
 
 
