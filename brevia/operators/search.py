@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,18 +52,55 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: fl
 
 
 def like_top_k(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """V7: the number of the query's terms that a text holds; best k."""
-    q = queries.select(F.col("item_id").alias("query_id"), F.array_distinct(terms(F.col("text"))).alias("t"))
-    low = docs.select("doc_id", F.lower("text").alias("low"))
+    """V7: (query_id, doc_id, score, rank): the number of the query's terms that a text holds, as parts of words too; best k. The
+    terms of a block of queries go to the tasks as one automaton, which reads each text once; of the scores of a batch of
+    texts only the k best for each query go on to the shuffle."""
+    q = queries.select(F.col("item_id").cast("long").alias("query_id"), F.array_distinct(terms(F.col("text"))).alias("t"))
+    low = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("low"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
 
     def best(block: DataFrame) -> DataFrame:
-        s = low.crossJoin(F.broadcast(block)).select("query_id", "doc_id", F.aggregate("t", F.lit(0), lambda a, x: a + F.when(F.contains(F.col("low"), x), 1).otherwise(0)).alias("score"))
-        return s.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        asked = [(r.query_id, r.t) for r in block.collect() if r.t]  # BLOCK rows, about
+        known = {t: j for j, t in enumerate(sorted({t for _, own in asked for t in own}))}
+        ids = np.array([i for i, _ in asked], np.int64)
+
+        def run(batches):
+            holds = np.zeros((len(known), len(asked)), np.int32)
+            for j, (_, own) in enumerate(asked):
+                holds[[known[t] for t in own], j] = 1
+            found_in = _finder(known)
+            for b in batches:
+                for start in range(0, b.num_rows if asked else 0, 512):
+                    part = b.slice(start, 512)
+                    rows = np.argsort(doc_ids := part.column(0).to_numpy(), kind="stable")  # ties go to the smallest id
+                    texts = part.column(1).to_pylist()
+                    scores = np.stack([holds[found_in(texts[r])].sum(axis=0) for r in rows])
+                    near = min(k, len(rows))
+                    key = scores.astype(np.int64) * len(rows) - np.arange(len(rows))[:, None]
+                    top = np.argpartition(-key, near - 1, axis=0)[:near]
+                    at, j = top.ravel(), np.tile(np.arange(len(asked)), near)
+                    at, j = at[keep := scores[at, j] > 0], j[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(doc_ids[rows[at]]), pa.array(scores[at, j], pa.int32())], ["query_id", "doc_id", "score"])
+
+        found = low.mapInArrow(run, "query_id long, doc_id long, score int")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     return in_blocks(q, "query_id", best)
 
 
+def _finder(known: dict[str, int]):
+    """A function from a text to the numbers of the terms that it holds."""
+    try:
+        import ahocorasick
+    except ImportError:  # slower: one search for each term
+        return lambda text: [j for t, j in known.items() if t in text]
+    automaton = ahocorasick.Automaton()
+    for t, j in known.items():
+        automaton.add_word(t, j)
+    automaton.make_automaton()
+    return lambda text: list({j for _, j in automaton.iter(text)})
+
+
 def simple_bm25(query: Column, doc: Column, k1: float = 1.5) -> Column:
     """V9: idf 1, no length norm; terms of the query count as often as they stand there."""
 
