@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
 Base spans come from four fixed patterns. Further candidates (obfuscated addresses, numbers without a plus, dotted
-cards, IPv6) are voted on by three labelers: a pattern, a gazetteer and a context labeler, each +1, 0 or -1. The
+cards, IPv6, values assigned to a token, key or password) are voted on by three labelers: a pattern, a gazetteer and a context labeler, each +1, 0 or -1. The
 gazetteer knows a few fixed keys (top-level domains, first digits of cards) and learns others from the corpus: those
 that at least LEAST base spans have (endings of addresses, first four digits of cards, area codes).
 Expectation-maximisation over the counts of all vote patterns estimates each labeler's reliabilities. Its posteriors
@@ -9,7 +9,7 @@ train a logistic span classifier over the votes and over hashed features of the
 its probability alone decides about the candidates. Base spans stay whatever it says.
 
 Counts of votes and keys are over all rows. What the driver gathers is bounded by parameters: one count for each vote
-pattern (4 kinds * 2 * 27 at most), the GAZETTEER most frequent keys, and FIT spans, those with the smallest hashes, on
+pattern (5 kinds * 2 * 27 at most), the GAZETTEER most frequent keys, and FIT spans, those with the smallest hashes, on
 which the classifier's weights are fitted.
 
 Defined results: a null text is empty; spans are code points, end exclusive; every row gives one row, repeated ones
@@ -36,6 +36,9 @@ LEAST, GAZETTEER, FIT = 2, 5000, 5000
 #: Hashed features of a span and its surroundings.
 HASHED = 256
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds without base spans beside them: credentials that are assigned to a name. They are counted and masked, and not told among
+#: the spans of the four kinds.
+EVERY_KIND = (*KINDS, "secret")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A match can only begin where a run of digits begins: the look-behind spares trying each digit of a long run.
@@ -48,6 +51,7 @@ LOOSE = (
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9.])[0-9]{4}\.[0-9]{4}\.[0-9]{4}\.[0-9]{4}(?![0-9.])")),
     ("phone", re.compile(r"(?<![0-9+.\-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.\-])")),
+    ("secret", re.compile(r"\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{8,200})", re.I)),
 )
 #: A group of an IPv6 address that key prints and hardware addresses don't have.
 LONG_GROUP = re.compile(r"[0-9A-Fa-f]{3}")
@@ -58,6 +62,7 @@ CONTEXT = {
     "ip": ("ip", "address", "host", "server", "from"),
     "card": ("card", "visa", "mastercard", "credit", "paid"),
     "phone": ("call", "phone", "tel", "mobile", "fax", "whatsapp"),
+    "secret": ("token", "secret", "passwd", "password", "pwd", "key", "api-key", "access-key", "auth-key"),
 }
 AGAINST = ("order", "invoice", "version", "isbn", "item", "part", "sku", "id", "no")
 
@@ -120,6 +125,9 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
         return (1 if base or _well_formed(kind, span) else -1), (1 if last in ENDINGS else -1), context
     if kind == "ip":
         return 1, (-1 if re.fullmatch("[0:.]*", span) else 1 if base or LONG_GROUP.search(span) else 0), context
+    if kind == "secret":
+        mixed = any(c.isdigit() for c in span) and any(c.isalpha() for c in span)
+        return (1 if mixed else -1), (1 if len(span) >= 16 else 0 if len(span) >= 12 else -1), context
     if kind == "card":
         return (1 if luhn(digits) else -1), (1 if digits[:1] in ("3", "4", "5", "6") else -1), context
     return (1 if base or _well_formed(kind, span) else -1), (1 if base or digits[:1] not in ("0", "1") else -1), context
@@ -161,6 +169,12 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         elif kind == "ip":
             if text.count(":") < 7:
                 continue
+        elif kind == "secret":
+            lowered = text.lower() if lowered is None else lowered
+            if not any(w in lowered for w in ("token", "secret", "passw", "pwd", "key")):
+                continue
+            out += [(kind, *m.span(1)) for m in pattern.finditer(text)]  # whole, whatever looks like a number in it
+            continue
         elif not digits:
             continue
         for m in pattern.finditer(text):
@@ -234,7 +248,7 @@ class SpanClassifier:
     """Logistic regression over one-hot kinds and votes and over hashed features of a span and its surroundings, fitted to
     the posteriors of expectation-maximisation. known: the (kind, key) of the learnt gazetteer."""
 
-    VOTES = 1 + len(KINDS) + 9
+    VOTES = 1 + len(EVERY_KIND) + 9
 
     def __init__(self, weights: np.ndarray | None = None, known: frozenset = frozenset(), threshold: float = 0.9):
         self.weights, self.known, self.threshold = weights, known, threshold
@@ -242,9 +256,9 @@ class SpanClassifier:
     @classmethod
     def row(cls, kind: str, v, hashed=()) -> np.ndarray:
         x = np.zeros(cls.VOTES + HASHED)
-        x[0] = x[1 + KINDS.index(kind)] = 1
+        x[0] = x[1 + EVERY_KIND.index(kind)] = 1
         for k in range(3):
-            x[1 + len(KINDS) + 3 * k + v[k] + 1] = 1
+            x[1 + len(EVERY_KIND) + 3 * k + v[k] + 1] = 1
         for f in hashed:
             x[cls.VOTES + f] = 1 / np.sqrt(len(hashed))
         return x
@@ -260,7 +274,7 @@ class SpanClassifier:
     def fitted(cls, counts: list[tuple], sample: list[tuple] = (), known: frozenset = frozenset(), rounds: int = 400) -> SpanClassifier:
         """counts: kind, base, three votes, count. sample: kind, base, three votes, hashed features."""
         xs, ys, ns, posteriors = [], [], [], {}
-        for kind in KINDS:
+        for kind in EVERY_KIND:
             free = {tuple(r[2:5]): float(r[5]) for r in counts if r[0] == kind and not r[1]}
             fixed = {tuple(r[2:5]): float(r[5]) for r in counts if r[0] == kind and r[1]}
             if not free and not fixed:
@@ -301,7 +315,7 @@ def fit(found: DataFrame, name: str) -> SpanClassifier:
 
 def _all(spans: list[dict], model: SpanClassifier):
     found = [(x["kind"], x["start"], x["end"]) for x in spans if x["base"] or model.accepts(x)]
-    return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    return sorted(found, key=lambda s: (EVERY_KIND.index(s[0]), s[1], s[2]))
 
 
 def joined(spans) -> str:
@@ -309,7 +323,8 @@ def joined(spans) -> str:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The contract's columns: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all)."""
+    """The contract's columns: doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all of these kinds); and
+    n_secret, and flagged: 1 where the text holds any span or secret."""
     found = cut(find_spans(pick(docs, doc_id="long", text="string"), "found", "doc_id"), "pii")
     model = fit(found, "found")
 
@@ -319,12 +334,14 @@ def report(docs: DataFrame) -> DataFrame:
             for doc_id, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 base = [(x["kind"], x["start"], x["end"]) for x in spans if x["base"]]
                 n = [sum(s[0] == k for s in base) for k in KINDS]
-                out.append((doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(_all(spans, model))))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = [pa.int64()] * 5 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
-
-    return found.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+                every = _all(spans, model)
+                told = [x for x in every if x[0] in KINDS]
+                out.append((doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(told), len(every) - len(told), int(bool(every))))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 9
+            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_secret", "flagged"])
+
+    return found.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, flagged int")
 
 
 def masked(text: str, spans) -> str:
