@@ -61,6 +61,20 @@ def test_candidates_are_linear():
     assert time.process_time() - start < 5
 
 
+def test_secrets_are_flagged_and_masked(spark):
+    secrets = [f'token = "{hashlib.sha1(str(k).encode()).hexdigest()}"' for k in range(30)] + ["password: Hunter2Hunter2Hunter2", "api_key=AbC123dEf456GhI789"]
+    plain = ["token of thanks: appreciated", "the key: listen carefully", "secret = nothing", "password: incomprehensibilities", "a keyboard: mechanical"]
+    rows = [(k, f"we found {x} here") for k, x in enumerate(secrets + plain)] + [(k + 1000, r.text) for k, r in enumerate(spark.read.parquet(f"{SMALL}/documents.parquet").collect())]
+    docs = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    assert all(got[k].n_secret == got[k].flagged == 1 and not any(x.startswith("secret") for x in got[k].spans.split(",")) for k in range(len(secrets)))
+    assert not any(got[k].flagged for k in range(len(secrets), len(secrets + plain)))
+    masked = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert masked[0] == 'we found token = "[SECRET]" here' and all("[SECRET]" in masked[k] for k in range(len(secrets))) and masked[len(secrets)] == rows[len(secrets)][1]
+    tokens = {i for i, t in rows if i >= 1000 and re.search(r'token = "[0-9a-f]{40}"', t)}
+    assert all("[SECRET]" in masked[i] for i in tokens)
+
+
 def test_classifier_reads_context_and_gazetteer():
     span = {"kind": "phone", "base": False, "start": 0, "end": 12, "v1": 1, "v2": 0, "v3": 0, "key": "949", "f": [1]}
     counts = [("phone", True, 1, 1, 1, 50), ("phone", False, 1, 0, 0, 5), ("phone", False, -1, -1, -1, 50)]
