@@ -186,15 +186,19 @@ _WORDS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'
 _JACCARD = "coalesce((SELECT max(CASE WHEN len(w) = 0 OR len(o.words) = 0 THEN 0 ELSE len(list_intersect(w, o.words)) / len(list_distinct(list_concat(w, o.words))) END) FROM unnest(s.kept) x(w)), 0)"
 
 
-@query(
-    f"WITH RECURSIVE {_RANKED.replace(chr(0), '')}, o AS (SELECT query_id, doc_id, rank, similarity, {UNITS.format('text')} AS cost, {_WORDS} AS words, avg(similarity) OVER (PARTITION BY query_id) AS mean FROM k), "
-    "s AS (SELECT query_id, 0::BIGINT AS rank, []::BIGINT[] AS ids, []::VARCHAR[][] AS kept, 0::BIGINT AS used, 0 AS redundant, 0 AS marginal, 0 AS over_budget FROM (SELECT DISTINCT query_id FROM o) UNION ALL "
-    "SELECT query_id, rank, CASE WHEN why = 'take' THEN list_append(ids, doc_id) ELSE ids END, CASE WHEN why = 'take' THEN list_append(kept, words) ELSE kept END, CASE WHEN why = 'take' THEN used + cost ELSE used END, redundant + (why = 'redundant')::INT, marginal + (why = 'marginal')::INT, over_budget + (why = 'over')::INT "
-    "FROM (SELECT o.query_id, o.rank, o.doc_id, o.words, o.cost, s.ids, s.kept, s.used, s.redundant, s.marginal, s.over_budget, CASE WHEN len(s.ids) >= 5 THEN 'done' WHEN len(s.ids) > 0 AND red >= 0.86 THEN 'redundant' "
-    "WHEN len(s.ids) > 0 AND greatest(o.similarity, 0) * (1 - red) / (1 + 0.12 * o.rank) / greatest(o.cost, 1) < 0.00002 THEN 'marginal' WHEN s.used + o.cost > 2000 THEN 'over' ELSE 'take' END AS why "
-    f"FROM s JOIN o ON o.query_id = s.query_id AND o.rank = s.rank + 1, LATERAL (SELECT {_JACCARD} AS red) j)) "
-    "SELECT query_id, array_to_string(ids, ',') AS chosen, used, redundant, marginal, over_budget FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1"
-)
+def _selected(redundancy: float, marginal: float) -> str:
+    """The selection as a recursion over the ranks: s, and last with each query's final state."""
+    return (
+        f"{_RANKED}, o AS (SELECT query_id, doc_id, rank, similarity, {UNITS.format('text')} AS cost, {_WORDS} AS words FROM k), "
+        "s AS (SELECT query_id, 0::BIGINT AS rank, []::BIGINT[] AS ids, []::VARCHAR[][] AS kept, 0::BIGINT AS used, 0 AS redundant, 0 AS marginal, 0 AS over_budget FROM (SELECT DISTINCT query_id FROM o) UNION ALL "
+        "SELECT query_id, rank, CASE WHEN why = 'take' THEN list_append(ids, doc_id) ELSE ids END, CASE WHEN why = 'take' THEN list_append(kept, words) ELSE kept END, CASE WHEN why = 'take' THEN used + cost ELSE used END, redundant + (why = 'redundant')::INT, marginal + (why = 'marginal')::INT, over_budget + (why = 'over')::INT "
+        f"FROM (SELECT o.query_id, o.rank, o.doc_id, o.words, o.cost, s.ids, s.kept, s.used, s.redundant, s.marginal, s.over_budget, CASE WHEN len(s.ids) >= 5 THEN 'done' WHEN len(s.ids) > 0 AND red >= {redundancy} THEN 'redundant' "
+        f"WHEN len(s.ids) > 0 AND greatest(o.similarity, 0) * (1 - red) / (1 + 0.12 * o.rank) / greatest(o.cost, 1) < {marginal} THEN 'marginal' WHEN s.used + o.cost > 2000 THEN 'over' ELSE 'take' END AS why "
+        f"FROM s JOIN o ON o.query_id = s.query_id AND o.rank = s.rank + 1, LATERAL (SELECT {_JACCARD} AS red) j)), last AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1)"
+    )
+
+
+@query(f"WITH RECURSIVE {_selected(0.86, 0.00002)} SELECT query_id, array_to_string(ids, ',') AS chosen, used, redundant, marginal, over_budget FROM last")
 def budgeted_selection(spark, d):
     """Of the ranked candidates at most five, under 2,000 tokens; the least gain is for texts of these lengths."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
@@ -204,10 +208,14 @@ def budgeted_selection(spark, d):
     return c.select("query_id", F.array_join(F.col("c.ids").cast("array<string>"), ",").alias("chosen"), "c.used", "c.redundant", "c.marginal", F.col("c.over").alias("over_budget"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_selected(0.85, 0.0011)}, c AS (SELECT last.query_id, o.rank, similarity, {_CITE} AS source FROM last JOIN o ON o.query_id = last.query_id AND list_contains(ids, o.doc_id) JOIN md ON md.doc_id = o.doc_id), "
+    "g AS (SELECT query_id, avg(similarity) AS mean, string_agg(source, '; ' ORDER BY rank) AS sources FROM c GROUP BY query_id) SELECT last.query_id, array_to_string(ids, ',') AS chosen, used AS tokens, round(mean, 6) AS mean, coalesce(sources, '') AS sources, "
+    "CASE WHEN round(mean, 6) >= 0.7 THEN 'alta' WHEN round(mean, 6) >= 0.55 THEN 'media' WHEN round(mean, 6) >= 0.4 THEN 'baixa' ELSE 'sem_rag' END AS confidence FROM last LEFT JOIN g USING (query_id)"
+)
 def retrieval_pipeline(spark, d):
     """The whole path of a query (V4, V12-V17, V20-V24) for every benchmark item: candidates, ranking, selection by the first
-    provider's strategy, confidence and citations of what was chosen. Its parts have SQL of their own."""
+    provider's strategy, confidence and citations of what was chosen."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
     cited = F.struct("rank", F.col("doc_id").alias("id"), F.col("similarity").alias("sim"), tx.lexical_units(F.col("text")).alias("cost"), words.alias("words"), search.citation(F.col("meta")).alias("source"))
     g = ranked(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(cited)).alias("r"))
