@@ -19,8 +19,7 @@ def embedding_upsert(spark, d):
     """SNK1: embeddings by chunk id; null ones change nothing, ids without a chunk are skipped."""
     chunks = docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(-9.0).cast("float"))).alias("embedding"))
     new = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("embedding"))
-    more = new.limit(0).unionByName(fixture(spark, [(10**9, [1.0])], "chunk_id long, embedding array<float>")).unionByName(new)
-    e = ingest.with_embeddings(chunks, more)
+    e = ingest.with_embeddings(chunks, new.unionByName(fixture(spark, [(10**9, [1.0])], "chunk_id long, embedding array<float>")))
     return e.select("chunk_id", F.when(F.col("embedding").isNull(), "none").when(F.size("embedding") == 1, "old").otherwise("new").alias("embedding"))
 
 
