@@ -23,13 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, give_back, pick, text_parts
+from .common import fresh, give_back, pick, small_batches, text_parts
 
 #: What the vocabulary file's normaliser calls white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 END = "</w>"
 #: Entries that a worker remembers for runs and for words. A full memory becomes the aged one, which is still read.
-REMEMBERED = 150_000
+RUNS, WORDS = 100_000, 30_000
 
 
 def byte_symbols() -> list[str]:
@@ -107,7 +107,7 @@ class WordBpe:
             ids = [i for f in self.fragments_of(word) for i in self.encode_fragment(f)]
             got = len(ids), " ".join(map(str, ids)), " ".join([strings[i] for i in ids])
         if len(word) <= 64:
-            if len(self.words) >= REMEMBERED:
+            if len(self.words) >= WORDS:
                 self.aged_words, self.words = self.words, {}
             self.words[word] = got
         return got
@@ -154,7 +154,7 @@ class WordBpe:
                 parts = [self.encode_word(w) for w in words]
                 got = sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
         if len(run) <= 64:
-            if len(self.runs) >= REMEMBERED:
+            if len(self.runs) >= RUNS:
                 self.aged_runs, self.runs = self.runs, {}
             self.runs[run] = got
         return got
@@ -226,6 +226,7 @@ def _mapped(docs: DataFrame, path: str | None, schema: str, kinds: list, names:
         bpe.forget()  # the worker lives on for other stages' tasks
         give_back()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -37,7 +37,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 #: Settings while a table is written: shuffle files go when the writing has ended, and few rows at a time go to Python,
 #: since a batch of texts is held by the executor and by its worker alike.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH: BATCH_ROWS}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """The same batches for a DataFrame that the caller will run: the session hands at most BATCH_ROWS rows at a time to
+    Python from now on. It is a limit of memory; results don't depend on it."""
+    if int(spark.conf.get(BATCH)) > int(BATCH_ROWS):
+        spark.conf.set(BATCH, BATCH_ROWS)
 
 
 #: Where cut() notes the tables that it writes, inside recorded().

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, give_back, pick
+from .common import cut, fresh, give_back, pick, small_batches
 
 #: Base spans with a key from which the gazetteer knows it; its size; spans that the classifier is fitted on.
 LEAST, GAZETTEER, FIT = 2, 5000, 5000
@@ -372,5 +372,6 @@ def redact(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(texts, c.type) if k == where else c for k, c in enumerate(part.columns[:-1])]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
+    small_batches(docs.sparkSession)
     out = found.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if chars else out

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, pick
+from .common import give_back, pick, small_batches
 
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¿¡"
 BITS = 22
@@ -194,5 +194,6 @@ def score(docs: DataFrame, model: NnPu, threshold: float = 0.7) -> DataFrame:
                 scores += [model.score(get(t or "")) for t in b.column(1).slice(start, 512).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     scored = pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
