@@ -30,6 +30,8 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 END = "</w>"
 #: Entries that a worker remembers for runs and for words. A full memory becomes the aged one, which is still read.
 RUNS, WORDS = 100_000, 30_000
+#: Times as many where nothing but digests of the ids is kept, and the worker has its memory to itself.
+MORE = 3
 
 
 def byte_symbols() -> list[str]:
@@ -43,6 +45,7 @@ class WordBpe:
     """A BPE vocabulary whose words end in END."""
 
     def __init__(self, path: str):
+        self.most_runs, self.most_words = RUNS, WORDS
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -87,7 +90,7 @@ class WordBpe:
     def fragments_of(self, word: str) -> list[tuple[int, ...]]:
         """The ids of the word's byte symbols, split at every certain cut."""
         raw, joined = word.encode("utf-8"), self.joined
-        ids = [self.inner[b] for b in raw]
+        ids = list(map(self.inner.__getitem__, raw))
         ids[-1] = self.last[raw[-1]]
         if joined.issuperset(self._pairs(ids)):
             return [tuple(ids)]
@@ -107,7 +110,7 @@ class WordBpe:
             ids = [i for f in self.fragments_of(word) for i in self.encode_fragment(f)]
             got = len(ids), " ".join(map(str, ids)), " ".join([strings[i] for i in ids])
         if len(word) <= 64:
-            if len(self.words) >= WORDS:
+            if len(self.words) >= self.most_words:
                 self.aged_words, self.words = self.words, {}
             self.words[word] = got
         return got
@@ -154,7 +157,7 @@ class WordBpe:
                 parts = [self.encode_word(w) for w in words]
                 got = sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
         if len(run) <= 64:
-            if len(self.runs) >= RUNS:
+            if len(self.runs) >= self.most_runs:
                 self.aged_runs, self.runs = self.runs, {}
             self.runs[run] = got
         return got
@@ -211,11 +214,12 @@ def _row_ids(bpe: WordBpe, text: str | None) -> tuple:
     return np.array(" ".join([p[1] for p in parts]).split(), np.int32), " ".join([p[2] for p in parts])
 
 
-def _mapped(docs: DataFrame, path: str | None, schema: str, kinds: list, names: list[str], row) -> DataFrame:
+def _mapped(docs: DataFrame, path: str | None, schema: str, kinds: list, names: list[str], row, times: int = 1) -> DataFrame:
     """docs (doc_id, text, more columns) without text, with the columns that row() makes of a text; part by part."""
 
     def run(batches):
         bpe = load(path or default_path())
+        bpe.most_runs, bpe.most_words = times * RUNS, times * WORDS
         for b in batches:
             at = 0
             for ids, texts in text_parts(b):
@@ -233,7 +237,7 @@ def _mapped(docs: DataFrame, path: str | None, schema: str, kinds: list, names:
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The contract's columns for every row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     names, kinds = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
-    return _mapped(pick(docs, doc_id="long", text="string"), path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", kinds, names, _row_digests)
+    return _mapped(pick(docs, doc_id="long", text="string"), path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", kinds, names, _row_digests, MORE)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
