@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, html_text, lexical, merkle, ngram_join, pii, quality, sharding, toxicity, warc
+from . import bpe, chat, decontamination, html_text, lexical, lm, merkle, ngram_join, pii, quality, sharding, toxicity, warc
 from .common import pick, table
 
 
@@ -66,8 +66,12 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10, repeats=False)
 
 
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_pii, op3_warc, op4_chat, op5_ngram_join, op6_bpe, op7_quality, op8_sharding, op9_decontamination, op10_html, op11_merkle, op12_lexical)
+    for f in (op1_toxicity, op2_pii, op3_warc, op4_chat, op5_ngram_join, op6_bpe, op7_quality, op8_sharding, op9_decontamination, op10_html, op11_merkle, op12_lexical, op13_lm)
 }
 ORACLES = {"op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op7_quality": quality.ORACLE, "op12_lexical": lexical.ORACLE}
