@@ -218,12 +218,3 @@ def code_chunks(text: Column, language: Column, most: int = CODE_MOST, least: in
     split = F.aggregate(lines, start, step, lambda s: F.when(F.size(s["lines"]) > 0, F.concat(s["done"], F.array(told(s)))).otherwise(s["done"]))
     whole = F.array(F.struct(F.lit(1).alias("first"), F.size(F.split(text, "\n")).alias("last"), text.alias("text")).cast(CODE_PART))
     return F.when(F.trim(text) == "", F.array().cast(f"array<{CODE_PART}>")).when(lexical_units(text) <= most, whole).otherwise(split)
-
-
-def embedding_requests(texts: DataFrame, budget: int = 200_000, order: str = "doc_id", slices: int = 64) -> DataFrame:
-    """Texts (with tokens) and the request that each goes in, so that one holds about `budget` tokens. Slices by id, each
-    with a running sum of its own, so that no task orders all texts; empty texts go in none."""
-    df = texts.withColumn("slice", F.pmod(F.col(order), F.lit(slices)))
-    before = Window.partitionBy("slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.floor(F.coalesce(F.sum("tokens").over(before), F.lit(0)) / budget)
-    return df.withColumn("request", F.when(F.col("tokens") > 0, F.concat_ws("-", F.col("slice").cast("string"), at.cast("string")))).drop("slice")

@@ -83,7 +83,7 @@ def no_basis(answer: Column) -> Column:
 
 def mentions_article(answer: Column, article: Column) -> Column:
     """Whether an answer names the article; any does where none is asked for."""
-    name = F.regexp_replace(article, r"([^\w])", r"\\\\$1")
+    name = F.regexp_replace(article, r"([^\w])", r"\\$1")
     return F.when(F.coalesce(article, F.lit("")) == "", True).otherwise(F.regexp_like(answer, F.concat(F.lit(r"(?iU)\b(?:art\.?|artigo)\s*"), name, F.lit(r"\b"))))
 
 

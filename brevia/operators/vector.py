@@ -37,6 +37,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = -1.
     """V2, V3: (query_id, vec_id, similarity, rank) of the k best rows at or over `least` for each query. The vectors of a
     block of queries go to the tasks; each Arrow batch is one product of matrices, of which only the k best for each query
     go on to the shuffle. Null vectors, and those of another length than the query's, are left out."""
+    return _search(vectors, queries, k, least)
+
+
+def within(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """V5: (query_id, vec_id, similarity) of all rows at or over `least`, however many; no shuffle."""
+    return _search(vectors, queries, None, least)
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int | None, least: float) -> DataFrame:
     v = vectors.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     q = queries.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
@@ -61,7 +70,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = -1.
                     if not len(rows):
                         continue
                     s = unit(values[starts[rows][:, None] + np.arange(n)]) @ qs.T
-                    near = min(k, len(rows))
+                    near = len(rows) if k is None else min(k, len(rows))
                     out = []
                     for j in range(len(query_ids)):
                         own = np.flatnonzero(s[:, j] >= max(least, np.partition(s[:, j], len(rows) - near)[len(rows) - near]))
@@ -70,6 +79,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = -1.
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "s"])
 
         found = v.mapInArrow(run, "query_id long, vec_id long, s double")
+        if k is None:
+            return found.select("query_id", "vec_id", F.round("s", 6).alias("similarity"))
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", F.round("s", 6).alias("similarity"), "rank")
 
     return in_blocks(q, "query_id", best)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brevia.operators import chunks, vector
+from brevia.operators import chunks, packing, vector
 from brevia.plans.core import UNITS, fixture, query, quoted, t, values
 
 _LINE = "CASE WHEN l = '' THEN '' WHEN idx % 9 = 0 THEN 'Art. ' || (idx // 9 + 1) || '. ' || l WHEN idx % 9 = 4 THEN '§ ' || idx || ' ' || l WHEN idx % 9 = 6 THEN 'IV - ' || l WHEN idx % 9 = 1 THEN 'e ' || l ELSE l END"
@@ -215,11 +215,42 @@ def code_chunking(spark, d):
     return c.select("doc_id", "c.first", "c.last")
 
 
-@query("SELECT doc_id, tokens, CASE WHEN tokens > 0 THEN (doc_id % 64) || '-' || CAST(floor(before / 20000) AS BIGINT) END AS request FROM (SELECT doc_id, n_chars // 4 AS tokens, coalesce(sum(n_chars // 4) OVER (PARTITION BY doc_id % 64 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)")
+#: Texts in order, and for each the place where a request that begins with it ends: the recursion follows these places.
+_REQUESTS = (
+    "w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS tokens FROM w), "
+    "x AS (SELECT doc_id, tokens, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM n WHERE tokens BETWEEN 1 AND {most}), "
+    "r(pos, doc_id, tokens, request, used) AS (SELECT pos, doc_id, tokens, pos, tokens FROM x WHERE pos = 0 UNION ALL SELECT x.pos, x.doc_id, x.tokens, CASE WHEN used + x.tokens > {budget} THEN x.pos ELSE request END, CASE WHEN used + x.tokens > {budget} THEN x.tokens ELSE used + x.tokens END FROM r JOIN x ON x.pos = r.pos + 1)"
+)
+
+
+@query(f"WITH RECURSIVE {_REQUESTS.format(most=1000, budget=4000)} SELECT doc_id, tokens, CAST(pos AS BIGINT) AS pos, CAST(request AS BIGINT) AS request FROM r")
 def embedding_requests(spark, d):
-    """Texts gathered into requests of about 20,000 tokens."""
-    docs = t(spark, d, "documents").select("doc_id", F.floor(F.col("n_chars") / 4).alias("tokens"))
-    return chunks.embedding_requests(docs, 20_000)
+    """Texts of up to 1,000 words packed into requests of up to 4,000, each closed before the text that would go over."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\t\n\x0b\f\r]+"), lambda w: w != "")
+    docs = t(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("tokens")).where("tokens BETWEEN 1 AND 1000")
+    return packing.requests(docs, 4_000)
+
+
+#: Shares of three letters stand for what an embedding service says of a text.
+_SHARES = lambda x: "[" + ", ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) / length({x})::DOUBLE" for c in "aet") + "]"
+
+
+def letter_shares(text):
+    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) / F.length(text) for c in "aet"])
+
+
+@query(
+    f"WITH RECURSIVE {_REQUESTS.format(most=1000, budget=200000)}, "
+    "p AS (SELECT doc_id, i, array_to_string(list_slice(w, i * 900 + 1, i * 900 + 1000), ' ') AS part, least(1000, tokens - i * 900) AS n FROM (SELECT *, unnest(range(0, CAST(ceil((tokens - 100) / 900.0) AS BIGINT))) AS i FROM n WHERE tokens > 1000)), "
+    f"v AS (SELECT doc_id, n, {_SHARES('part')} AS v FROM p), s AS (SELECT doc_id, count(*) AS parts, sum(v[1] * n) AS a, sum(v[2] * n) AS e, sum(v[3] * n) AS t FROM v GROUP BY doc_id), "
+    f"u AS (SELECT n.doc_id, n.tokens, CAST(CASE WHEN n.tokens = 0 THEN 0 ELSE coalesce(parts, 1) END AS INT) AS parts, request, CASE WHEN n.tokens = 0 THEN [0.0, 0.0, 0.0] WHEN parts IS NOT NULL THEN [a / sqrt(a * a + e * e + t * t), e / sqrt(a * a + e * e + t * t), t / sqrt(a * a + e * e + t * t)] ELSE {_SHARES('text')} END AS v "
+    "FROM n LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id)) "
+    "SELECT doc_id, tokens, parts, CAST(coalesce(request, -1) AS BIGINT) AS request, round(v[1], 6)::DOUBLE AS a, round(v[2], 6)::DOUBLE AS e, round(v[3], 6)::DOUBLE AS t FROM u"
+)
+def embedded_texts(spark, d):
+    """C10 with C8 and C9: all texts with their vectors; those of more than 1,000 words in windows, empty ones zero."""
+    out = packing.embedded(t(spark, d, "documents"), letter_shares, 3, most=1000)
+    return out.select("doc_id", "tokens", "parts", F.coalesce("request", F.lit(-1)).alias("request"), *[F.round(F.get("vector", F.lit(k)), 6).alias(c) for k, c in enumerate("aet")])
 
 
 @query("WITH m AS (SELECT label, i - 1 AS pos, sum(embedding[i]::DOUBLE * (vec_id % 5 + 1)) / sum(vec_id % 5 + 1) AS m FROM (SELECT label, vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i) SELECT label, CAST(pos AS INT) AS pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 5) AS value FROM m")

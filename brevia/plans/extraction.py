@@ -218,10 +218,16 @@ ANSWERS = [
     (2, "artigo", "Art. 37?", "CF/88", "37", "princípios", "Não encontrei base na CF/88.", 0.7, False, False), (3, "jurisprudencia", "Posição do STF?", None, None, "tribunais", "O STF decidiu; tribunais seguem.", 1.2, False, False),
     (4, "concurso", "Como a banca cobra?", None, None, "banca|prova", "A banca costuma cobrar.", 0.2, False, False), (5, "geral", "O que é isso?", "Lei 8.112/90", None, "", "É a lei 8.112/90.", 0.1, False, False),
     (6, "geral", "E isso?", None, None, "x", "qualquer", 9.0, True, False), (7, "artigo", "E?", None, "7", "", "artigo 7", -1.0, False, False), (8, "geral", "?", None, None, "", "  ", 0.3, False, True), (9, "geral", "vazio", None, None, "", "", 0.3, False, False),
+    (10, "artigo", "Art. 5-A?", None, "5-A", "", "Conforme o art. 5-A da lei.", 0.4, False, False), (11, "artigo", "Art. 10.1?", None, "10.1", "", "Ver artigo 10.1, caput.", 0.4, False, False), (12, "artigo", "Art. 10.1?", None, "10.1", "", "Ver artigo 1001.", 0.4, False, False),
 ]
 _AC = "id, tipo, question, doc, article, keywords, answer, seconds, timeout, error"
+#: Benchmark items as questions, and the documents of the same id as answers; every third asks for an article, every sixth gets it.
+_GIVEN = (
+    "SELECT 1000 + item_id, CASE WHEN item_id % 3 = 0 THEN 'artigo' ELSE 'geral' END, b.text, NULL, CASE WHEN item_id % 3 = 0 THEN item_id || '-A' END, replace(b.text, ' ', '|'), CASE WHEN item_id % 6 = 0 THEN 'Art. ' || item_id || '-A: ' ELSE '' END || d.text, "
+    "item_id / 8.0, false, false FROM benchmark b JOIN documents d ON doc_id = item_id"
+)
 _N = "lower(trim(answer))"
-_CITED = f"trim(answer) <> '' AND (doc IS NULL OR contains({_N}, lower(trim(doc)))) AND CASE tipo WHEN 'artigo' THEN article IS NULL OR regexp_matches(answer, '(?i)\\b(?:art\\.?|artigo)\\s*' || article || '\\b') WHEN 'jurisprudencia' THEN contains({_N}, 'stf') OR contains({_N}, 'stj') OR contains({_N}, 'tribunal') WHEN 'concurso' THEN contains({_N}, 'banca') OR contains({_N}, 'questão') OR contains({_N}, 'questao') OR contains({_N}, 'concurso') ELSE true END"
+_CITED = f"trim(answer) <> '' AND (doc IS NULL OR contains({_N}, lower(trim(doc)))) AND CASE tipo WHEN 'artigo' THEN article IS NULL OR regexp_matches(answer, '(?i)\\b(?:art\\.?|artigo)\\s*' || regexp_escape(article) || '\\b') WHEN 'jurisprudencia' THEN contains({_N}, 'stf') OR contains({_N}, 'stj') OR contains({_N}, 'tribunal') WHEN 'concurso' THEN contains({_N}, 'banca') OR contains({_N}, 'questão') OR contains({_N}, 'questao') OR contains({_N}, 'concurso') ELSE true END"
 _TERMS = "list_concat(list_filter(string_split(keywords, '|'), lambda w: w <> ''), CASE WHEN article IS NULL THEN [] ELSE ['art ' || article] END)"
 _COVER = f"CASE WHEN len({_TERMS}) = 0 THEN CASE WHEN {_N} <> '' THEN 1.0 ELSE 0.0 END ELSE len(list_filter({_TERMS}, lambda w: contains({_N}, lower(trim(w))))) / len({_TERMS}) END"
 _SIGNAL = " OR ".join(f"contains({_N}, {quoted(p)})" for p in evaluation.NO_BASIS)
@@ -230,10 +236,16 @@ _TOKENS = lambda c: f"greatest(1, ceil(length({c}) / 4.0))"
 
 @query(
     f"SELECT id, CASE WHEN timeout OR error OR NOT coalesce({_CITED}, false) THEN 0.0 ELSE 1.0 END::DOUBLE AS citation, round(CASE WHEN timeout OR error THEN 0.0 ELSE {_COVER} END, 6)::DOUBLE AS coverage, CASE WHEN (timeout OR error) THEN 0.0 WHEN {_SIGNAL} THEN 1.0 ELSE 0.0 END::DOUBLE AS no_basis, "
-    f"round(CASE WHEN timeout OR error THEN 0.0 ELSE ({_TOKENS('question')} + 100) / 1000 * 0.00015 + {_TOKENS('answer')} / 1000 * 0.0006 END, 9)::DOUBLE AS cost_usd, greatest(seconds, 0)::DOUBLE AS latency_s FROM {values(ANSWERS, *_AC.split(', '))}"
+    f"round(CASE WHEN timeout OR error THEN 0.0 ELSE ({_TOKENS('question')} + 100) / 1000 * 0.00015 + {_TOKENS('answer')} / 1000 * 0.0006 END, 9)::DOUBLE AS cost_usd, greatest(seconds, 0)::DOUBLE AS latency_s FROM (SELECT {_AC} FROM {values(ANSWERS, *_AC.split(', '))} UNION ALL {_GIVEN})"
 )
 def answer_metrics(spark, d):
     """E16, EV3: signals of an answer without basis, cited articles, covered keywords, cost; all 0 after a timeout or error."""
     schema = "id int, tipo string, question string, doc string, article string, keywords string, answer string, seconds double, timeout boolean, error boolean"
-    rows = fixture(spark, ANSWERS, schema)
+    i = F.col("item_id")
+    given = t(spark, d, "benchmark").withColumnRenamed("text", "question").join(t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id").select(
+        (i + 1000).cast("int").alias("id"), F.when(i % 3 == 0, "artigo").otherwise("geral").alias("tipo"), "question", F.lit(None).cast("string").alias("doc"), F.when(i % 3 == 0, F.concat(i, F.lit("-A"))).alias("article"),
+        F.replace("question", F.lit(" "), F.lit("|")).alias("keywords"), F.concat(F.when(i % 6 == 0, F.concat(F.lit("Art. "), i, F.lit("-A: "))).otherwise(""), "text").alias("answer"),
+        (i / 8.0).alias("seconds"), F.lit(False).alias("timeout"), F.lit(False).alias("error"),
+    )
+    rows = fixture(spark, ANSWERS, schema).unionByName(given)
     return rows.select("id", evaluation.answer_metrics(100).alias("m")).select("id", "m.*")

@@ -70,7 +70,7 @@ def metadata_boosts(spark, d):
 
 _POOL = f"ask AS (SELECT item_id AS query_id, vec_id, text AS q FROM benchmark JOIN embeddings ON item_id = vec_id), sem AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS r FROM embeddings a JOIN ask ON ask.vec_id = a.vec_id, embeddings b)"
 _LEX = f"lx AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT query_id, doc_id, count(*) AS score FROM (SELECT item_id AS query_id, unnest(list_distinct({TERMS.format('text')})) AS term FROM benchmark) q JOIN documents ON contains(lower(text), term) GROUP BY ALL)) WHERE r <= 15)"
-_UNION = f"{_POOL}, {_LEX}, u AS (SELECT query_id, doc_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS pos FROM sem LEFT JOIN lx USING (query_id, doc_id) WHERE r <= 50 OR lx.doc_id IS NOT NULL)"
+_UNION = f"{_POOL}, {_LEX}, u AS (SELECT query_id, doc_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS pos FROM sem LEFT JOIN lx USING (query_id, doc_id) WHERE r <= 60 OR lx.doc_id IS NOT NULL)"
 
 
 def asked(spark, d):
@@ -80,9 +80,9 @@ def asked(spark, d):
 
 
 def candidates(spark, d, k: int = 5):
-    """V4: (query_id, doc_id, similarity): the 10 * k most similar, and of the 3 * k best lexical hits those with a vector."""
+    """(query_id, doc_id, similarity): the most similar, as many as a ranking of k looks at, and of the 3 * k best lexical hits those with a vector."""
     v, ask = t(spark, d, "embeddings").select("vec_id", "embedding"), asked(spark, d)
-    semantic = vector.top_k(v, ask, 10 * k).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
+    semantic = vector.top_k(v, ask, search.pool_size(k)).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
     named = search.like_top_k(t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"), 3 * k).select("query_id", "doc_id")
     own = named.join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("e")), "doc_id").join(ask.select(F.col("item_id").alias("query_id"), "embedding"), "query_id")
     lexical = own.select("query_id", "doc_id", F.round(vector.cosine(F.col("e"), F.col("embedding")), 6).alias("similarity"))
@@ -99,7 +99,7 @@ def candidate_union(spark, d):
 def fallback_merge(spark, d):
     """V18, V19, SET2: a query with fewer than five hits of 0.4 takes those of 0.3."""
     v = t(spark, d, "embeddings").select("vec_id", "embedding")
-    hits = vector.top_k(v, asked(spark, d), search.pool_size(1000, most=10**9), 0.299).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
+    hits = vector.within(v, asked(spark, d), 0.299).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
     return search.with_fallback(hits, 5, 0.4)
 
 

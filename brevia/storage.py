@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -19,3 +19,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         named = tempfile.mkdtemp(prefix="brevia-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/brevia-files/{uuid.uuid4().hex}/{name}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what reads it doesn't go back to df's inputs."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
