@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brevia.functions import pieces
 from brevia.functions import text as tx
-from brevia.operators import evaluation, search, vector
+from brevia.operators import ann, evaluation, search, vector
 from brevia.plans.core import ASKED, COS, FOLD, ORACLES, QUERIES, TERMS, TOK, UNITS, WORDS, query, t
 from brevia.streaming import circuit_breaker, token_bucket
 
@@ -66,7 +66,7 @@ def embedding_coverage(spark, d):
     "SELECT query_id, vec_id, source, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INT) AS rank FROM n JOIN documents ON doc_id = vec_id WHERE lang = 'en' QUALIFY rank <= 5"
 )
 def index_probe(spark, d):
-    """Ten times as many ids as asked for by the distance of an index (here exact), joined to their rows; ids without
+    """Ten times as many ids as asked for by their distance, joined to their rows; ids without
     a row, or whose row doesn't fit, drop out."""
     v = t(spark, d, "embeddings")
     rows = t(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"), "source")
@@ -75,6 +75,30 @@ def index_probe(spark, d):
     return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "vec_id", "source", "similarity", "rank")
 
 
+@query()
+def ann_topk(spark, d):
+    """The ten nearest vectors through an index of all rows, for the recall that it was built for."""
+    v = t(spark, d, "embeddings")
+    return ann.build(v).search(v.where(ASKED), 10)
+
+
+@query(f"SELECT a.vec_id AS query_id, b.vec_id, round({COS}, 6) AS similarity, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS INT) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10")
+def ann_all_clusters(spark, d):
+    """V11 with all clusters probed and without codes: exact."""
+    v = t(spark, d, "embeddings")
+    return ann.build(v).search(v.where(ASKED), 10, probes=10**6, refine=None)
+
+
+@query("SELECT count(*) AS asked, 10 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall(spark, d):
+    """Whether the index finds nine of ten of the ten nearest vectors."""
+    v = t(spark, d, "embeddings")
+    ask = v.where(ASKED)
+    found, near = ann.build(v).search(ask, 10).select("query_id", "vec_id", F.lit(1).alias("hit")), vector.top_k(v, ask, 10).select("query_id", "vec_id")
+    j = near.join(found, ["query_id", "vec_id"], "left")
+    return j.agg(F.countDistinct("query_id").alias("asked"), F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query("WITH c AS (SELECT o_custkey AS k, count(*) AS chunks, min(o_orderkey) AS first FROM orders GROUP BY o_custkey) SELECT c_custkey AS document, coalesce(chunks, 0) AS chunks, coalesce(first, -1) AS first, (SELECT count(*) FROM orders LEFT JOIN customer x ON x.c_custkey = o_custkey WHERE x.c_custkey IS NULL) AS orphans FROM customer LEFT JOIN c ON k = c_custkey")
 def eager_joins(spark, d):
     """Documents with their chunks (customers with their orders), and chunks whose document is missing."""
