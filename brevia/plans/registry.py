@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brevia.functions import pieces
 from brevia.functions import text as tx
-from brevia.operators import ann, evaluation, search, vector
+from brevia.operators import ann, evaluation, search, vector, word_index
 from brevia.plans.core import ASKED, COS, FOLD, ORACLES, QUERIES, TERMS, TOK, UNITS, WORDS, query, t
 from brevia.streaming import circuit_breaker, token_bucket
 
@@ -151,19 +151,33 @@ def lexical_like_topk(spark, d):
     return search.like_top_k(t(spark, d, "documents"), t(spark, d, "benchmark"))
 
 
-@query(
-    f"WITH p AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL), "
+_BM25 = (
+    f"p AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL), "
     f"len AS (SELECT doc_id, len({WORDS.format('text')}) AS n FROM documents), g AS (SELECT count(*) AS docs, avg(n) AS al FROM len), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
     f"q AS (SELECT DISTINCT query_id, unnest({WORDS.format('w')}) AS term FROM (SELECT item_id AS query_id, unnest({TERMS.format('text')}) AS w FROM benchmark)), "
     "i AS (SELECT *, ln((docs - df + 0.5) / (df + 0.5)) AS raw FROM df, g), s AS (SELECT query_id, tf.doc_id, "
     "round(sum(CASE WHEN raw > 0 THEN raw ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / al))), 6) AS score FROM q JOIN tf USING (term) JOIN i USING (term) JOIN len ON len.doc_id = tf.doc_id GROUP BY ALL) "
     "SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 5"
 )
+
+
+@query(f"WITH {_BM25}")
 def bm25_corpus_topk(spark, d):
     """V6, J1."""
     return search.bm25(t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"))
 
 
+@query(f"WITH {_BM25.replace('FROM documents', 'FROM documents WHERE doc_id % 11 <> 5')}")
+def stored_bm25_topk(spark, d):
+    """V6, SNK3: the same through an index that is kept: half of the documents, some with their texts reversed, then the other half, then
+    the reversed ones as they are, and last some deleted."""
+    docs, i = t(spark, d, "documents").select("doc_id", "text"), F.col("doc_id")
+    turned = F.when(i % 6 == 0, F.reverse("text")).otherwise(F.col("text"))
+    index = word_index.build(docs.where(i % 2 == 0).withColumn("text", turned)).insert(docs.where(i % 2 != 0))
+    index = index.update(docs.where(i % 6 == 0)).delete(docs.where(i % 11 == 5).select("doc_id"))
+    return index.search(t(spark, d, "benchmark"))
+
+
 HITS = f"h AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT query_id, doc_id, count(*) AS score FROM (SELECT item_id AS query_id, unnest(list_distinct({TERMS.format('text')})) AS term FROM benchmark) q JOIN documents ON contains(lower(text), term) GROUP BY ALL)) WHERE r <= 5)"
 
 
