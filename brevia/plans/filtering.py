@@ -7,10 +7,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brevia.functions import containment
 from brevia.functions import text as tx
 from brevia.operators import filters as flt
 from brevia.operators import vector
 from brevia.plans.core import ASKED, COS, FOLD, fixture, query, quoted, t, values
+from brevia.sources import sql_search
 
 #: Kinds of sources that documents get by their id.
 SOURCES = ("lei_cf", "jurisprudencia", "jurisprudence", "questao_prova", "exam_question", "emenda_constitucional", "comentario", "commentary")
@@ -58,11 +60,45 @@ def metadata_filter_or(spark, d):
     return counted(df, flt.condition({"language": "en", "__or__": [{"marca_stf": True, "artigo": "not_null"}, {"banca": "FGV"}]}, df))
 
 
-@query("SELECT count(*) AS n, round(sum(value), 4) AS total FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) = 3 AND event_type = 'click'")
+#: Metadata of documents as JSON; that of every thirteenth is broken.
+_JSON = (
+    "CASE WHEN doc_id % 13 = 0 THEN '{\"lang\": ' ELSE '{\"lang\":\"' || lang || '\",\"at\":{\"source\":\"' || source || '\",\"even\":' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END || '},\"tags\":[\"t' || doc_id % 5 || '\",{\"n\":' || doc_id % 3 || ',\"m\":null}],\"size\":' || n_chars % 4 || '.5}' END"
+)
+#: Filters, and what they mean for the columns.
+WANTED = [
+    ({"at": {"source": "src0", "even": True}}, "source = 'src0' AND doc_id % 2 = 0"), ({"tags": ["t3"]}, "doc_id % 5 = 3"), ({"tags": [{"n": 2}]}, "doc_id % 3 = 2"),
+    ({"tags": [{"m": None, "n": 1}, "t0"], "lang": "en"}, "doc_id % 3 = 1 AND doc_id % 5 = 0 AND lang = 'en'"), ({"size": 2.5}, "n_chars % 4 = 2"), ({"size": "2.5"}, "false"), ({"lang": ["en"]}, "false"), ({}, "true"),
+    ({"tags": []}, "true"), ({"tags": {}}, "false"), ({"at": {"even": 1}}, "false"), ({"at": None}, "false"),
+]
+
+
+def with_json(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.expr(_JSON).alias("metadata"))
+
+
+@query("SELECT k AS filter, count(*) FILTER (held AND doc_id % 13 <> 0) AS n, count(*) FILTER (doc_id % 13 = 0) AS broken FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, doc_id, {c} AS held FROM documents" for k, (_, c) in enumerate(WANTED)) + ") GROUP BY k")
 def json_containment(spark, d):
-    """FLT12: rows whose JSON holds the filter's keys with its values."""
-    e = t(spark, d, "events").where((F.get_json_object("props", "$.k").cast("bigint") == 3) & (F.col("event_type") == "click"))
-    return e.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """FLT12, FLT13: how many documents hold each filter, and how many have broken JSON, which are passed over."""
+    rows = with_json(spark, d).withColumn("v", containment.parsed(F.col("metadata")))
+    broken = F.count_if(F.col("metadata").isNotNull() & F.col("v").isNull()).alias("broken")
+    counts = rows.agg(broken, *[F.count_if(containment.holds(F.col("v"), wanted)).alias(f"n{k}") for k, (wanted, _) in enumerate(WANTED)])
+    each = F.array(*[F.struct(F.lit(k).alias("filter"), F.col(f"n{k}").alias("n")) for k in range(len(WANTED))])
+    return counts.select(F.explode(each).alias("x"), "broken").select("x.filter", "x.n", "broken")
+
+
+_MATCH = f"SELECT {{0}} AS call, b.vec_id AS chunk_id, b.vec_id % 7 AS document_id, round({COS}, 6) AS similarity FROM embeddings a, embeddings b JOIN documents ON doc_id = b.vec_id WHERE a.vec_id = 0 AND doc_id % 13 <> 0 AND {{1}} AND {COS} >= {{2}} ORDER BY {COS} DESC, b.vec_id LIMIT {{3}}"
+CALLS = [("""'{"at":{"even":true}}'""", "NULL", "doc_id % 2 = 0", -1.0, 9), ("""'{"tags":[{"n":1}],"lang":"en"}'""", "3", "doc_id % 3 = 1 AND lang = 'en' AND b.vec_id % 7 = 3", 0.0, 5), ("'{}'", "2", "b.vec_id % 7 = 2", 0.2, 50)]
+
+
+@query(" UNION ALL ".join(f"(SELECT * FROM ({_MATCH.format(k, c, least, most)}))" for k, (_, _, c, least, most) in enumerate(CALLS)))
+def match_chunks(spark, d):
+    """SRC11: the table function in SQL: with a filter, with a filter and a document, with a document and a least similarity."""
+    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 7).alias("document_id"), "embedding")
+    sql_search.register(v.join(with_json(spark, d).withColumnRenamed("doc_id", "chunk_id"), "chunk_id"))
+    (asked,) = t(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()
+    vector = f"array({', '.join(f'{x!r}D' for x in asked)})"
+    calls = [f"SELECT {k} AS call, chunk_id, document_id, round(similarity, 6) AS similarity FROM match_chunks({vector}, {most}, {least}D, {wanted}, {document})" for k, (wanted, document, _, least, most) in enumerate(CALLS)]
+    return spark.sql(" UNION ALL ".join(calls))
 
 
 @query(_count_sql("valid_from >= '2020-06-01' AND valid_from <= '2021-12-31' AND valid_to >= '2022-03-01'"))
