@@ -1,4 +1,6 @@
+import io
 import statistics
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,11 +81,34 @@ def test_positions_of_values_without_a_global_order(spark):
 
 def test_word_processor_files(spark):
     made = docx.written([("TÍTULO I Das coisas", "Heading 1"), ("Art. 5º Texto,", None), ("que segue revogado", None)], [["a", "b"]], ["rodapé", "rodapé"])
-    rows = docx.parsed(spark.createDataFrame([("f.docx", made)], "path string, content binary")).orderBy("idx").collect()
+    good, failed = docx.parsed(spark.createDataFrame([("f.docx", made), ("g.docx", b"no zip"), ("h.docx", None)], "path string, content binary"))
+    rows = good.orderBy("idx").collect()
+    assert {(r.path, r.error) for r in failed.collect()} == {(p, "no word-processor document: BadZipFile") for p in ("g.docx", "h.docx")}
     assert [(r.source, r.text) for r in rows] == [("body", "TÍTULO I Das coisas"), ("body", "Art. 5º Texto,"), ("body", "que segue revogado"), ("table:r0c0", "a"), ("table:r0c1", "b"), ("footer:1", "rodapé")]
     assert rows[0].level == 1 and rows[0].line.kind == "titulo" and rows[1].line.value == "5" and rows[2].status.is_revoked
-    with pytest.raises(ValueError):
-        docx.paragraphs(b"no zip")
+    assert [r.text for r in rows[1].runs] == ["Art. 5º Texto,"] and not rows[1].is_bold
+
+
+def _zip(**parts: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(f"word/{name}.xml", text)
+    return out.getvalue()
+
+
+def test_bombs_and_odd_word_processor_files(monkeypatch):
+    w = f'xmlns:w="{docx.W[1:-1]}"'
+    run = '<w:r><w:rPr><w:b/><w:i w:val="0"/><w:u w:val="single"/><w:rFonts w:ascii="Arial"/><w:sz w:val="21"/></w:rPr><w:t>x</w:t><w:tab/><w:t>y</w:t></w:r>'
+    ((_, _, text, style, runs),) = docx.paragraphs(_zip(document=f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="h"/></w:pPr>{run}</w:p></w:body></w:document>', styles=f'<w:styles {w}><w:style w:styleId="h"><w:name w:val="Heading 3"/></w:style></w:styles>'))
+    assert (text, style, runs) == ("x\ty", "Heading 3", [{"text": "x\ty", "is_bold": True, "is_italic": False, "is_underline": True, "font_name": "Arial", "font_size": 10.5}])
+    assert docx.paragraphs(_zip(document=f"<w:document {w}/>")) == []
+    for bad, why in ((_zip(document="<!DOCTYPE x [<!ENTITY a 'aa'>]><x>&a;</x>"), "entities"), (_zip(document="<x>"), "ParseError"), (_zip(other="<x/>"), "KeyError"), (_zip(document=f"<w:document {w}/>")[:-30], "BadZipFile")):
+        with pytest.raises(ValueError, match=why):
+            docx.paragraphs(bad)
+    monkeypatch.setattr(docx, "PART_BYTES", 1000)
+    with pytest.raises(ValueError, match="unpacks"):
+        docx.paragraphs(_zip(document=f"<w:document {w}>{' ' * 1000}</w:document>"))
 
 
 def test_every_query_of_a_large_set_has_its_rows(spark):
