@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brevia.operators import ingest, vector
+from brevia.operators import ingest, library, vector
 from brevia.plans.core import fixture, query, t
 
 
@@ -152,6 +152,71 @@ def ingestion_summary(spark, d):
     return rebuild_documents(spark, d).agg(n("updated"), n("unchanged"), n("failed"), F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens"))
 
 
+_FILLED = "len(list_filter(string_split({0}, chr(10)), lambda x: trim(x) <> ''))"
+#: Two batches of files: most documents, then other ones, some moved, some with a line more, some that aren't UTF-8.
+_LIBRARY = (
+    "f1 AS (SELECT 'p' || doc_id AS path, text AS c FROM documents WHERE doc_id % 7 <> 0), o AS (SELECT * FROM f1 QUALIFY row_number() OVER (PARTITION BY c ORDER BY path DESC) = 1), "
+    f"old AS (SELECT path AS was, path, c, {_FILLED.format('c')} AS n FROM o WHERE {_FILLED.format('c')} > 0), "
+    "f2 AS (SELECT CASE WHEN doc_id % 13 = 0 THEN 'q' ELSE 'p' END || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'more' ELSE text END AS c, doc_id % 17 = 0 AS bad FROM documents WHERE doc_id % 11 <> 0), "
+    "one AS (SELECT * FROM f2 QUALIFY row_number() OVER (PARTITION BY c, bad ORDER BY path DESC) = 1), m AS (SELECT one.*, s.was AS same FROM one LEFT JOIN old s ON s.c = one.c AND NOT bad), "
+    f"free AS (SELECT * FROM old WHERE was NOT IN (SELECT same FROM m WHERE same IS NOT NULL)), r AS (SELECT m.*, free.was AS there, CASE WHEN same IS NOT NULL THEN 'unchanged' WHEN free.was IS NOT NULL THEN 'changed' ELSE 'new' END AS status, {_FILLED.format('m.c')} AS n FROM m LEFT JOIN free ON free.path = m.path), "
+    "bad AS (SELECT * FROM r WHERE status <> 'unchanged' AND (bad OR n = 0)), good AS (SELECT * FROM r WHERE NOT (status <> 'unchanged' AND (bad OR n = 0))), "
+    "ln AS (SELECT path, unnest(string_split(c, chr(10))) AS x, there FROM good WHERE status = 'changed'), lo AS (SELECT was, unnest(string_split(c, chr(10))) AS x FROM old), "
+    "re AS (SELECT a.path, sum(least(a.k, b.k)) AS reused FROM (SELECT path, there, x, count(*) AS k FROM ln WHERE trim(x) <> '' GROUP BY ALL) a JOIN (SELECT was, x, count(*) AS k FROM lo GROUP BY ALL) b ON b.was = a.there AND b.x = a.x GROUP BY a.path), "
+    "gone AS (SELECT * FROM old WHERE path IN (SELECT path FROM r) AND was NOT IN (SELECT coalesce(same, there) FROM r WHERE coalesce(same, there) IS NOT NULL)), "
+    "kept AS (SELECT * FROM old WHERE was NOT IN (SELECT was FROM gone) AND was NOT IN (SELECT coalesce(same, there) FROM good WHERE coalesce(same, there) IS NOT NULL))"
+)
+
+
+def loaded(spark, d):
+    """The library after both batches; the second is given twice."""
+    i, text = F.col("doc_id"), F.col("text")
+    file = lambda path, content: (F.concat(path, i.cast("string")).alias("path"), F.col("source").alias("name"), content.alias("content"))
+    first = docs(spark, d).where("doc_id % 7 != 0").select(*file(F.lit("p"), text.cast("binary")))
+    more = F.when(i % 5 == 0, F.concat(text, F.lit("\nmore"))).otherwise(text).cast("binary")
+    second = docs(spark, d).where("doc_id % 11 != 0").select(*file(F.when(i % 13 == 0, "q").otherwise("p"), F.when(i % 17 == 0, F.concat(F.unhex(F.lit("FF")), more)).otherwise(more)))
+    how = {"parse": library.text_lines, "chunk": library.line_chunks, "embed": lambda x: ingest.hashed_embedding(x, 8)}
+    lib = library.Library.opened(spark).load(first, "one", **how).load(second, "two", **how)
+    return lib.load(second, "two", **how)
+
+
+@query(f"WITH {_LIBRARY} SELECT path, status, CAST(n AS BIGINT) AS chunks, CAST(coalesce(reused, 0) AS BIGINT) AS reused FROM good LEFT JOIN re USING (path) UNION ALL SELECT path, 'kept', n, 0 FROM kept")
+def library_documents(spark, d):
+    """C12, J4, SNK2: documents after an incremental load, with their chunks and how many of those kept their vector."""
+    lib = loaded(spark, d)
+    n = lib.chunks().groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if("reused").alias("reused"))
+    return lib.documents().drop("chunks").join(n, "doc_id").select("path", "status", "chunks", "reused")
+
+
+@query(
+    f"WITH {_LIBRARY}, x AS (SELECT 1 AS gen, (SELECT count(*) FROM old) AS \"new\", 0 AS changed, 0 AS unchanged, (SELECT count(*) FROM o) - (SELECT count(*) FROM old) AS failed, 0 AS deleted, (SELECT sum(n) FROM old) AS chunks, 0 AS reused UNION ALL SELECT 2, (SELECT count(*) FROM good WHERE status = 'new'), (SELECT count(*) FROM good WHERE status = 'changed'), "
+    "(SELECT count(*) FROM good WHERE status = 'unchanged'), (SELECT count(*) FROM bad), (SELECT count(*) FROM gone), (SELECT sum(n) FROM good WHERE status <> 'unchanged'), (SELECT coalesce(sum(reused), 0) FROM re)) "
+    "SELECT gen, \"new\"::BIGINT AS \"new\", changed::BIGINT AS changed, unchanged::BIGINT AS unchanged, failed::BIGINT AS failed, deleted::BIGINT AS deleted, chunks::BIGINT AS chunks, reused::BIGINT AS reused, (chunks - reused)::BIGINT AS embedded FROM x"
+)
+def library_ledger(spark, d):
+    """The counters of both batches, gathered by the writes."""
+    return loaded(spark, d).ledger().drop("batch", "tokens")
+
+
+@query(f"WITH {_LIBRARY} SELECT path, CASE WHEN bad THEN 'not UTF-8' ELSE 'no text' END AS error, 2 AS gen FROM bad UNION ALL SELECT path, 'no text', 1 FROM o WHERE {_FILLED.format('c')} = 0")
+def library_failures(spark, d):
+    """Files that couldn't be loaded; the others don't mind."""
+    return loaded(spark, d).failures()
+
+
+@query(f"WITH f AS (SELECT doc_id, text AS c, doc_id % 17 = 0 AS bad FROM documents), one AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY c, bad ORDER BY 'p' || doc_id DESC) = 1) SELECT 'p' || doc_id AS path, CAST({_FILLED.format('c')} AS BIGINT) AS chunks, 0::BIGINT AS reused FROM one WHERE NOT bad AND {_FILLED.format('c')} > 0")
+def rebuilt_library(spark, d):
+    """C14: all documents loaded anew over what was there; files that aren't UTF-8 fail by themselves."""
+    text = F.col("text").cast("binary")
+    path = F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path")
+    was = docs(spark, d).where("doc_id % 2 = 0").select(path, F.lit("old").alias("name"), text.alias("content"))
+    files = docs(spark, d).select(path, F.col("source").alias("name"), F.when(F.col("doc_id") % 17 == 0, F.concat(F.unhex(F.lit("FF")), text)).otherwise(text).alias("content"))
+    how = {"parse": library.text_lines, "chunk": library.line_chunks, "embed": lambda x: ingest.hashed_embedding(x, 8)}
+    lib = library.Library.opened(spark).load(was, "one", **how).load(files, "two", rebuild=True, **how)
+    n = lib.chunks().groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if("reused").alias("reused"))
+    return lib.documents().drop("chunks").join(n, "doc_id").select("path", "chunks", "reused")
+
+
 @query("SELECT key, count(*) AS asked FROM (SELECT sha256(lower(trim(text)) || '|5|0.6|hybrid|' || lang) AS key FROM documents) GROUP BY key HAVING count(*) > 1")
 def cache_keys(spark, d):
     """K1, K2: searches that a cache would answer: equal keys."""
