@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -9,40 +12,83 @@ from pyspark.sql import functions as F
 
 from brevia.functions.patterns import Pattern, any_of
 
-#: White space and control characters that become one space.
-GAPS = r"[\x00-\x20\x7F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: White space and control characters that become one space; and of ASCII alone where more than a single space stands, since a
+#: single space is no match and most of a text is passed over.
+GAPS = r"[\x00-\x1F\x7F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000][\x00-\x20\x7F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]*|\x20[\x00-\x20\x7F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+ASCII_GAPS = r"[\x00-\x1F\x7F][\x00-\x20\x7F]*|\x20[\x00-\x20\x7F]+"
+#: The last letter of the blocks that most texts in Latin letters keep to.
+LATIN = 0x24F
 
 
-def _folded_letters() -> tuple[str, str, dict[str, str]]:
-    """From Unicode's own data: letters of the Latin blocks and full-width signs that fold to one character, what they
-    fold to, and those that fold to several."""
-    one, to, several = [], [], {}
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
-        c = chr(code)
-        # the signs of degree and ordinals are letters before anything else
-        plain = "o" if c in "º°" else "".join(x for x in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c)) if unicodedata.category(x) != "Mn").casefold()
-        if plain != c and plain.strip():
-            if len(plain) == 1:
-                one.append(c), to.append(plain)
-            else:
-                several[c] = plain
-    return "".join(one), "".join(to), several
+def folded(c: str) -> str:
+    """A character with its compatibility form resolved, its marks removed, and case folded. The sign of degree is a letter."""
+    if c == "°":
+        return "o"
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn").casefold()
 
 
-MARKED, PLAIN, SEVERAL = _folded_letters()
+class Folding:
+    """From Unicode's own data, what every character folds to: `one` are those that become one character or none (`to`,
+    shorter by the latter), `several` those that become more."""
+
+    def __init__(self):
+        found = {chr(k): x for k in range(sys.maxunicode + 1) if not 0xD800 <= k < 0xE000 and (x := folded(chr(k))) != chr(k) and not unicodedata.normalize("NFKC", chr(k)).isspace()}
+        single, none = [c for c, x in found.items() if len(x) == 1], [c for c, x in found.items() if not x]
+        self.one, self.to = "".join(single + none), "".join(found[c] for c in single)
+        self.latin = "".join(c for c in single if ord(c) <= LATIN)
+        self.latin_to = "".join(found[c] for c in self.latin)
+        self.several = {c: x for c, x in found.items() if len(x) > 1}
+        # pages of 256 characters, so that one is found by its number
+        pages = [[None] * 256 if any(ord(c) >> 8 == p for c in self.several) else [] for p in range(max(ord(c) for c in self.several) // 256 + 1)]
+        for c, x in self.several.items():
+            pages[ord(c) >> 8][ord(c) & 255] = x
+        self.pages = json.dumps(pages)
+        # some marks have no class of their own, but resolve to marks that have
+        marks = [chr(k) for k in range(sys.maxunicode + 1) if not 0xD800 <= k < 0xE000 and all(unicodedata.combining(x) for x in unicodedata.normalize("NFKD", chr(k)))]
+        self.marks = "".join(marks)
+        #: Marks that stay, by their class: within a run of marks they stand in the order of their classes.
+        self.stay = {n: "".join(c for c in marks if c not in self.one and unicodedata.combining(c) == n) for n in sorted({unicodedata.combining(c) for c in marks if c not in self.one})}
+
+
+@functools.cache
+def folding() -> Folding:
+    """Made when it is first asked for: workers that import this module don't need it."""
+    return Folding()
+
+
+def _spread(text: Column) -> Column:
+    """The text with characters that become several replaced."""
+    pages = F.from_json(F.lit(folding().pages), "array<array<string>>")  # a constant
+
+    def of(c: Column) -> Column:
+        code = F.ascii(c)
+        return F.coalesce(F.get(F.get(pages, F.shiftright(code, 8)), code.bitwiseAND(F.lit(255))), c)
+
+    found = F.array_join(F.transform(F.split(text, ""), of), "")
+    return F.when(F.length(F.translate(text, "".join(folding().several), "")) < F.length(text), found).otherwise(text)
+
+
+def _ordered(text: Column) -> Column:
+    """The text with marks that stay in the order of their classes. All others of a run of marks, which go anyway, do."""
+    every, stay = "".join(folding().stay.values()), folding().stay
+    run = f"[{folding().marks}]{{2,}}"
+    by_class = lambda r: F.concat(*[F.regexp_replace(r, f"[^{own}]", "") for own in stay.values()])
+    runs = F.concat(F.transform(F.regexp_extract_all(text, F.lit(f"({run})"), F.lit(1)), by_class), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(F.split(text, run), runs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.length(F.translate(text, every, "")) < F.length(text), joined).otherwise(text)  # hardly ever
 
 
 def fold(text: Column) -> Column:
-    """The last steps of N3: compatibility forms of Latin letters resolved, marks removed, case folded, ordinal signs as o,
-    white space collapsed, trimmed. Null is empty."""
+    """The last steps of N3: compatibility forms resolved, marks removed, case folded (as NFKC, NFD and case folding of the whole
+    of Unicode), the sign of degree as o, white space collapsed, trimmed. Null is empty. Texts of ASCII alone, and of Latin
+    letters alone, take short ways."""
     t = F.coalesce(text, F.lit(""))
-    # rare letters that become several: only looked for where one stands
-    rare = t
-    for c, plain in SEVERAL.items():
-        rare = F.replace(rare, F.lit(c), F.lit(plain))
-    t = F.when(t.rlike("[" + "".join(SEVERAL) + "]"), rare).otherwise(t)
-    t = F.translate(F.lower(F.regexp_replace(t, r"[\u0300-\u036F]", "")), MARKED, PLAIN)
-    return F.trim(F.regexp_replace(t, GAPS, " "))
+    few = "".join(c for c in folding().several if ord(c) <= LATIN)
+    short = F.trim(F.regexp_replace(F.lower(t), ASCII_GAPS, " "))
+    latin = F.trim(F.regexp_replace(F.translate(t, folding().latin, folding().latin_to), GAPS, " "))
+    spread = F.get(F.transform(F.array(_spread(t)), _ordered), F.lit(0))  # spread once, though it is named several times
+    whole = F.trim(F.regexp_replace(F.translate(spread, folding().one, folding().to), GAPS, " "))
+    return F.when(F.octet_length(t) == F.length(t), short).when(~t.rlike(f"[^\\x00-{chr(LATIN)}]|[{few}]"), latin).otherwise(whole)
 
 
 #: Wrongly decoded letters and what they were, in order.
@@ -150,12 +196,20 @@ STOP_WORDS = ("a", "ao", "aos", "as", "com", "da", "das", "de", "do", "dos", "e"
 
 def tokens(text: Column) -> Column:
     """V12, of a text that is normalised but for fold(): words of two characters or more, without stop words."""
-    return F.filter(F.regexp_extract_all(fold(text), F.lit("[a-z0-9à-ÿ]+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+    return tokens_of_folded(fold(text))
+
+
+def tokens_of_folded(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(text, F.lit("[a-z0-9à-ÿ]+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def lexical_units(text: Column) -> Column:
     """Number of word runs and single other signs."""
-    return F.regexp_count(fold(text), F.lit(r"[a-z0-9_]+|[^a-z0-9_\x20]"))
+    return units_of_folded(fold(text))
+
+
+def units_of_folded(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[a-z0-9_]+|[^a-z0-9_\x20]"))
 
 
 #: What a query says about an article or a law, and words that tell the kind of source.

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from brevia.functions.patterns import Pattern
 from brevia.functions.text import fold, terms, tokens
 from brevia.operators.vector import in_blocks
+from brevia.storage import kept
 
 #: Query terms that may be broadcast (a term and an id each).
 BROADCAST_ROWS = 200_000
+#: Terms that a text's words are held against in its row; of more all words are counted.
+FEW_TERMS = 5000
 #: How each kind of query weighs similarity, words and metadata.
 WEIGHTS = {"artigo": (0.90, 0.80, 1.80), "jurisprudencia": (0.95, 0.75, 1.45), "concurso": (0.85, 1.35, 1.10), "geral": (1.0, 1.0, 1.0)}
 
@@ -30,18 +33,21 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, doc_len)."""
-    t = docs.select("doc_id", words(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
+def counted_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, doc_len, hits: the words of the table `wanted` (term) with repeats) of every document, as a table. The text is gone
+    through once, and of few wanted terms no other word leaves its row."""
+    few = [r.term for r in wanted.limit(FEW_TERMS + 1).collect()]
+    rows = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("doc_len"), (F.filter("w", lambda x: x.isin(few)) if len(few) <= FEW_TERMS else F.col("w")).alias("hits"))
+    return kept(rows, "words")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """V6: (query_id, doc_id, score, rank) over the whole corpus; a term that most documents hold counts next to nothing."""
-    size = docs.select(F.size(words(F.col("text"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_len"))
     q = queries.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.flatten(F.transform(terms(F.col("text")), words)))).alias("term"))
+    rows = counted_words(docs, q.select("term").distinct())
+    size = rows.agg(F.count("*").alias("docs"), F.avg("doc_len").alias("avg_len"))
     once = F.broadcast if q.count() <= BROADCAST_ROWS else lambda df: df
-    p = postings(docs).join(once(q.select("term").distinct()), "term", "left_semi")
+    p = rows.select("doc_id", "doc_len", F.explode("hits").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf")).join(once(q.select("term").distinct()), "term", "left_semi")
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     j = p.join(once(df), "term").join(once(q), "term").crossJoin(F.broadcast(size))  # one row
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

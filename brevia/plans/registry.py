@@ -204,15 +204,16 @@ def rerank_weights(spark, d):
 @query(f"SELECT doc_id, md5({FOLD.format('text')}) AS folded, length({FOLD.format('text')}) AS n FROM documents")
 def normalize_text(spark, d):
     """N3."""
-    f = tx.fold(F.col("text"))
-    return t(spark, d, "documents").select("doc_id", F.md5(f).alias("folded"), F.length(f).cast("long").alias("n"))
+    f = F.col("f")
+    return t(spark, d, "documents").select("doc_id", tx.fold(F.col("text")).alias("f")).select("doc_id", F.md5(f).alias("folded"), F.length(f).cast("long").alias("n"))
 
 
 @query(f"SELECT doc_id, CAST(len({TOK.format('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({TOK.format('text')})) AS BIGINT) AS n_distinct, {UNITS.format('text')} AS n_units FROM documents")
 def token_counts(spark, d):
     """V12, C7."""
-    k = tx.tokens(F.col("text"))
-    return t(spark, d, "documents").select("doc_id", F.size(k).cast("long").alias("n_tokens"), F.size(F.array_distinct(k)).cast("long").alias("n_distinct"), tx.lexical_units(F.col("text")).cast("long").alias("n_units"))
+    k = F.col("k")
+    folded = t(spark, d, "documents").select("doc_id", tx.fold(F.col("text")).alias("f")).select("doc_id", "f", tx.tokens_of_folded(F.col("f")).alias("k"))
+    return folded.select("doc_id", F.size(k).cast("long").alias("n_tokens"), F.size(F.array_distinct(k)).cast("long").alias("n_distinct"), tx.units_of_folded(F.col("f")).cast("long").alias("n_units"))
 
 
 # --- ingestion ---------------------------------------------------------------------------------------------------
