@@ -9,6 +9,7 @@ from brevia.operators import ingest
 from brevia.plans.core import fixture, query, t
 from brevia.sources import docx, files
 from brevia.storage import scratch
+from brevia.streaming import fanout
 
 _SUMS = "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source"
 
@@ -89,6 +90,36 @@ def dual_write(spark, d):
     return back.groupBy("sink", "source").agg(F.count("*").alias("n"))
 
 
+class Unsteady:
+    """What a sink does to a batch, failing the first time that the batch with the smallest id comes."""
+
+    def __init__(self):
+        self.failed = False
+
+    def __call__(self, batch):
+        if not self.failed and not batch.where("doc_id = 0").isEmpty():
+            self.failed = True
+            raise OSError("unreachable")
+        return batch
+
+
+@query("SELECT sink, source, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, CASE WHEN sink = 'primary' THEN false ELSE true END AS lagged FROM documents, (SELECT unnest(['primary', 'secondary']) AS sink) GROUP BY sink, source")
+def fanned_out(spark, d):
+    """SNK4: a stream in four batches to two sinks, of which the second fails once, is behind then, and is brought level; the
+    stream is run twice, and so is the levelling."""
+    rows, place = t(spark, d, "documents").select("doc_id", "source"), scratch(spark, "fanout")
+    rows.repartition(4, "doc_id").write.parquet(f"{place}/in")
+    first, second = fanout.Sink(f"{place}/primary"), fanout.Sink(f"{place}/secondary", "json", Unsteady())
+    for _ in range(2):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+        fanout.run(stream, first, {"secondary": second}, f"{place}/checkpoint")
+    behind = fanout.lag(spark, first, {"secondary": second}).count()
+    brought = [len(fanout.level(spark, first, second, rows.schema)) for _ in range(2)]
+    read = lambda name, sink, late: sink.read(spark, rows.schema).withColumns({"sink": F.lit(name), "lagged": F.lit(late)})
+    both = read("primary", first, False).unionByName(read("secondary", second, behind == 1 and brought == [1, 0]))
+    return both.groupBy("sink", "source", "lagged").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
 @query("SELECT CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS run, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY 1")
 def resumed_upload(spark, d):
     """SNK5: a run that ends after a third of the rows, and one that goes on from its checkpoint: no row twice."""
