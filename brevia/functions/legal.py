@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brevia.functions.patterns import Pattern, any_of
@@ -107,6 +107,10 @@ def content_type(text: Column) -> Column:
     """The first kind that fits."""
     exam = MARKS["exam"].found(text) | EXAM_REFERENCE.found(text) | (F.size(exam_marks(text)) > 0)
     precedent = MARKS["stf"].found(text) | MARKS["stj"].found(text) | PRECEDENT.found(text)
+    return _kind(exam, precedent, text)
+
+
+def _kind(exam: Column, precedent: Column, text: Column) -> Column:
     low = F.lower(text)
     doctrine = F.lit(False)
     for word in DOCTRINE:
@@ -122,29 +126,50 @@ def source_type(text: Column, kind: Column) -> Column:
 
 def status(text: Column) -> Column:
     """Revocation and veto with their scopes, how sure the times are, and the version in force."""
-    low = F.lower(text)
+    return _status(F.lower(text), valid_from(text), updated_by(text))
+
+
+def _status(low: Column, since: Column, law: Column) -> Column:
     gone, vetoed, part = low.contains("revogad"), low.contains("vetad"), low.contains("parcial")
     scope = lambda c: F.when(c & part, "partial").when(c, "total").otherwise("none")
-    since, law = valid_from(text).isNotNull(), updated_by(text).isNotNull()
-    sure = F.when(since & law, 0.9).when(since | law, 0.6).when(gone | vetoed, 0.4).otherwise(0.1)
-    version = F.concat(F.lit("pos_lei_"), F.translate(updated_by(text), "/.", "_"))
+    sure = F.when(since.isNotNull() & law.isNotNull(), 0.9).when(since.isNotNull() | law.isNotNull(), 0.6).when(gone | vetoed, 0.4).otherwise(0.1)
+    version = F.concat(F.lit("pos_lei_"), F.translate(law, "/.", "_"))
     return F.struct(
         gone.alias("is_revoked"), vetoed.alias("is_vetoed"), scope(gone).alias("revocation_scope"), scope(vetoed).alias("veto_scope"),
         sure.alias("temporal_confidence"), F.coalesce(version, F.lit("current")).alias("version"),
     )
 
 
-def metadata(text: Column) -> Column:
-    """All of it."""
-    t = F.coalesce(text, F.lit(""))
-    kind = content_type(t)
-    refs = exam_references(t)
-    return F.struct(
-        article(t).alias("article"), paragraph(t).alias("paragraph"), item(t).alias("item"), marks(t).alias("marks"), board(t).alias("board"), year(t).alias("year"),
-        refs.alias("exam_references"), exam_marks(t).alias("exam_marks"), law_number(t).alias("law"), updated_by(t).alias("updated_by"), valid_from(t).alias("valid_from"),
-        precedents(t).alias("precedents"), kind.alias("content_type"), source_type(t, kind).alias("source_type"), status(t).alias("status"),
-        (MARKS["exam"].found(t) | (F.size(refs) > 0)).alias("is_exam_focus"),
+#: What the record calls the marks.
+MARK_NAMES = {
+    "attention": "marca_atencao", "stf": "marca_stf", "stj": "marca_stj", "exam": "marca_concurso", "crime": "marca_crime", "penalty": "marca_pena", "heinous": "marca_hediondo", "prosecution": "marca_acao_penal",
+    "military": "marca_militar", "tcu": "marca_tcu",
+}
+#: Fields of the record that the text doesn't tell: they come from the chunk's context.
+CONTEXT = ("documento", "law_name", "titulo", "capitulo", "secao", "tipo")
+
+
+def described(df: DataFrame, text: str = "text", name: str = "meta", **context: Column) -> DataFrame:
+    """Df with the record of its text as the struct column `name`, with the fields that filters, boosts and citations ask for.
+    context: columns for the fields in CONTEXT. Each pattern goes over a text once; what others follow from is kept beside it."""
+    t, own = F.col("_t"), {k: context[k].cast("string") if k in context else F.lit(None).cast("string") for k in CONTEXT}
+    first = {"_t": F.coalesce(F.col(text), F.lit(""))}
+    found = {
+        "_marks": marks(t), "_refs": exam_references(t), "_exams": exam_marks(t), "_law": updated_by(t), "_since": valid_from(t), "_precedents": precedents(t), "_article": article(t), "_board": board(t), "_year": year(t),
+    }
+    exam = F.col("_marks.exam") | (F.size("_refs") > 0) | (F.size("_exams") > 0)
+    precedent = F.col("_marks.stf") | F.col("_marks.stj") | (F.size("_precedents") > 0)
+    then = {"_kind": _kind(exam, precedent, t), "_status": _status(F.lower(t), F.col("_since"), F.col("_law"))}
+    state = [F.col(f"_status.{k}").alias(k) for k in ("is_revoked", "is_vetoed", "revocation_scope", "veto_scope", "temporal_confidence")]
+    record = F.struct(
+        F.coalesce(own["documento"], F.lit("Unknown")).alias("documento"), own["law_name"].alias("law_name"), law_number(t).alias("law_number"), own["titulo"].alias("titulo"), own["capitulo"].alias("capitulo"), own["secao"].alias("secao"),
+        F.col("_article").alias("artigo"), F.col("_article").alias("article"), paragraph(t).alias("paragrafo"), item(t).alias("inciso"), own["tipo"].alias("tipo"),
+        *[F.col(f"_marks.{k}").alias(v) for k, v in MARK_NAMES.items()],
+        F.col("_board").alias("banca"), F.col("_year").alias("ano"), F.col("_refs").alias("exam_references"), F.col("_exams").alias("exam_marks"), F.col("_since").alias("valid_from"), F.col("_law").alias("updated_by_law"),
+        *state, F.col("_status.version").alias("effective_text_version"), (F.col("_marks.exam") | (F.size("_refs") > 0)).alias("is_exam_focus"), F.col("_precedents").alias("jurisprudence_linked"),
+        F.col("_kind").alias("content_type"), source_type(t, F.col("_kind")).alias("source_type"),
     )
+    return df.withColumns(first).withColumns(found).withColumns(then).withColumn(name, record).drop(*first, *found, *then)
 
 
 #: How segments of an annotated constitution are told apart (the first kind that fits).

@@ -115,8 +115,20 @@ def temporal_status(spark, d):
 @query(f"WITH {BASE} SELECT doc_id, {_first(legal.ARTICLE)} AS article, {_first(legal.LAW)} AS law, {_KIND} AS content_type, {_SOURCE} AS source_type, {_has(legal.MARKS['stf'])} AS stf, {_has(legal.MARKS['exam'])} OR len({_REF}) > 0 AS is_exam_focus, {_LOW('vetad')} AS is_vetoed FROM t")
 def legal_metadata(spark, d):
     """The whole record; some of its fields."""
-    m = legal_texts(spark, d).select("doc_id", legal.metadata(F.col("x")).alias("m"))
-    return m.select("doc_id", "m.article", "m.law", "m.content_type", "m.source_type", "m.marks.stf", "m.is_exam_focus", "m.status.is_vetoed")
+    m = legal.described(legal_texts(spark, d), "x")
+    return m.select("doc_id", F.col("meta.artigo").alias("article"), F.col("meta.law_number").alias("law"), "meta.content_type", "meta.source_type", F.col("meta.marca_stf").alias("stf"), "meta.is_exam_focus", "meta.is_vetoed")
+
+
+#: The record's fields that retrieval asks for.
+RECORD = (
+    f"md AS (SELECT doc_id, x, 'Lei' AS documento, {_first(legal.ARTICLE)} AS artigo, CASE WHEN regexp_matches(lower({_PAR}), 'unico|único') THEN 'único' ELSE {_PAR} END AS paragrafo, {_ITEM} AS inciso, CAST(NULL AS VARCHAR) AS titulo, CAST(NULL AS VARCHAR) AS capitulo, "
+    f"{_has(legal.MARKS['stf'])} AS marca_stf, {_has(legal.MARKS['stj'])} AS marca_stj, {_first(legal.BOARD)} AS banca, list_extract({_all(legal.YEAR, 1)}, -1) AS ano, {_UPDATED} AS updated_by_law, {_SINCE} AS valid_from, {_LOW('revogad')} AS is_revoked, {_LOW('vetad')} AS is_vetoed, {_SOURCE} AS source_type, {_KIND} AS content_type FROM t)"
+)
+
+
+def recorded(spark, d):
+    """Texts with their extracted records."""
+    return legal.described(legal_texts(spark, d), "x", documento=F.lit("Lei"))
 
 
 SEGMENTS = [

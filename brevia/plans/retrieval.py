@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from brevia.functions import text as tx
 from brevia.operators import evaluation, search, vector
+from brevia.operators import filters as flt
+from brevia.plans import extraction
 from brevia.plans.core import ASKED, COS, FOLD, QUERIES, TERMS, TOK, UNITS, fixture, query, quoted, t, values
 
 #: Documents get metadata by rules from their id: the tables hold none.
@@ -157,6 +159,26 @@ def citations(spark, d):
     return described(spark, d).select("doc_id", search.citation(F.col("meta")).alias("citation"))
 
 
+_FOLDED = ", ".join(f"regexp_replace({FOLD.format(k)}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS {k}" for k in ("artigo", "paragrafo", "inciso"))
+_OWN = f"{extraction.BASE}, {extraction.RECORD}, {_Q}, fm AS (SELECT doc_id, marca_stf, marca_stj, banca, updated_by_law, is_revoked, is_vetoed, {_FOLDED} FROM md)"
+
+
+@query(f"WITH {_OWN} SELECT id, boost, count(*) AS n FROM (SELECT id, round({_BOOST}, 6)::DOUBLE AS boost FROM q, fm) GROUP BY ALL")
+def extracted_boosts(spark, d):
+    """E10 into V14: boosts by what is extracted from the texts themselves."""
+    rows = extraction.recorded(spark, d).select("meta").crossJoin(F.broadcast(said(spark)))  # nine questions
+    return rows.groupBy("id", F.round(search.metadata_boost(F.col("q"), F.col("meta")), 6).alias("boost")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_OWN} SELECT doc_id, {_CITE} AS citation, (artigo IS NOT NULL OR source_type = 'jurisprudence') AND NOT is_vetoed AS kept, coalesce(valid_from >= '2000-01-01' AND valid_from <= '2010-12-31', false) AS in_time FROM md")
+def extracted_citations(spark, d):
+    """E10 into V23, FLT1-FLT3: citations and filters on extracted records."""
+    df = extraction.recorded(spark, d)
+    kept = flt.condition({"__or__": [{"artigo": "not_null"}, {"source_type": "jurisprudence"}], "is_vetoed": False}, df)
+    in_time = flt.condition({"valid_from_gte": "2000-01-01", "valid_from_lte": "2010-12-31"}, df)
+    return df.select("doc_id", search.citation(F.col("meta")).alias("citation"), kept.alias("kept"), F.coalesce(in_time, F.lit(False)).alias("in_time"))
+
+
 _SIGN = "CASE WHEN artigo IS NOT NULL THEN '⚖️' WHEN marca_stf OR marca_stj THEN '📜' WHEN banca IS NOT NULL THEN '❓' WHEN tokens < 100 THEN '📝' ELSE '📄' END"
 _MSG = "CASE confidence " + " ".join(f"WHEN '{k}' THEN {quoted(m)}" for k, m in search.MESSAGES.items()) + " END"
 
