@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevia.functions import code, legal
+from brevia.functions.columns import let
 from brevia.functions.patterns import Pattern
 from brevia.functions.text import lexical_units
 
@@ -79,37 +80,49 @@ def blocks(paragraphs: DataFrame) -> DataFrame:
 
 
 PART = "struct<idx:bigint,text:string,tokens:int>"
-STATE = f"struct<done:array<array<{PART}>>,now:array<{PART}>,tokens:int>"
+STATE = "struct<cuts:array<struct<a:int,z:int>>,start:int,at:int,tokens:int>"
 
 
 def packed(blocks_: Column, most: Column | int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> Column:
     """Array of chunks, each array<struct<idx, text, tokens>>, of array<struct<tokens, level, p>>. Before a block
     the chunk ends if it would grow over `most`, or if the block is a heading of level 1 or 2, and it has `least` tokens;
-    the next one begins with as many of its last paragraphs as have `overlap` tokens at most, or else with its last."""
-    most = F.lit(most) if isinstance(most, int) else most
-
-    def tail(now: Column) -> Column:
-        start = F.struct(F.array().alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("full")).cast(f"struct<kept:array<{PART}>,n:int,full:boolean>")
-
-        def step(s: Column, p: Column) -> Column:
-            fits = ~s["full"] & (s["n"] + p["tokens"] <= overlap)
-            more = F.struct(F.concat(F.array(p), s["kept"]).alias("kept"), (s["n"] + p["tokens"]).alias("n"), F.lit(False).alias("full"))
-            return F.when(fits, more).otherwise(F.struct(s["kept"].alias("kept"), s["n"].alias("n"), F.lit(True).alias("full")))
+    the next one begins with as many of its last paragraphs as have `overlap` tokens at most, or else with its last.
 
-        kept = F.aggregate(F.reverse(now), start, step, lambda s: s["kept"])
-        return F.when(F.size(kept) == 0, F.slice(now, -1, 1)).otherwise(kept) if overlap > 0 else F.array().cast(f"array<{PART}>")
-
-    def step(s: Column, b: Column) -> Column:
-        ends = ((s["tokens"] + b["tokens"] > most) | (F.coalesce(b["level"], F.lit(99)) <= 2)) & (s["tokens"] >= least)
-        new = F.transform(b["p"], lambda p: F.struct(p["idx"].cast("bigint").alias("idx"), p["text"].alias("text"), p["tokens"].cast("int").alias("tokens")))
-        rest = tail(s["now"])
-        n = F.aggregate(rest, F.lit(0), lambda a, p: a + p["tokens"])
-        after = F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), F.concat(rest, new).alias("now"), (n + b["tokens"]).cast("int").alias("tokens"))
-        on = F.struct(s["done"].alias("done"), F.concat(s["now"], new).alias("now"), (s["tokens"] + b["tokens"]).cast("int").alias("tokens"))
-        return F.when(ends & (F.size(s["now"]) > 0), after.cast(STATE)).otherwise(on.cast(STATE))
-
-    start = F.struct(F.array().alias("done"), F.array().alias("now"), F.lit(0).alias("tokens")).cast(STATE)
-    return F.aggregate(blocks_, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+    The fold goes over numbers alone: a chunk is a range of paragraphs, and its texts are cut out when all ranges are known."""
+    most = F.lit(most) if isinstance(most, int) else most
+    numbers = F.transform(blocks_, lambda b: F.struct(F.size(b["p"]).alias("n"), b["tokens"].cast("int").alias("tokens"), F.coalesce(b["level"], F.lit(99)).alias("level")))
+    tokens = F.flatten(F.transform(blocks_, lambda b: F.transform(b["p"], lambda p: p["tokens"].cast("int"))))
+
+    def tail(tokens_: Column, s: Column) -> Column:
+        """The number and tokens of the paragraphs that the next chunk begins with."""
+        if overlap <= 0:
+            return F.struct(F.lit(0).alias("n"), F.lit(0).alias("tokens"))
+        own = F.slice(tokens_, s["start"] + 1, s["at"] - s["start"])
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("tokens"), F.lit(False).alias("full"))
+
+        def step(x: Column, n: Column) -> Column:
+            fits = ~x["full"] & (x["tokens"] + n <= overlap)
+            return F.struct(F.when(fits, x["n"] + 1).otherwise(x["n"]).alias("n"), F.when(fits, x["tokens"] + n).otherwise(x["tokens"]).alias("tokens"), (~fits).alias("full"))
+
+        kept = F.aggregate(F.reverse(own), start, step)
+        return let(kept, lambda k: F.when(k["n"] > 0, F.struct(k["n"].alias("n"), k["tokens"].alias("tokens"))).otherwise(F.struct(F.lit(1).alias("n"), F.element_at(own, -1).alias("tokens"))))
+
+    def folded(x: Column) -> Column:
+        def step(s: Column, b: Column) -> Column:
+            ends = ((s["tokens"] + b["tokens"] > most) | (b["level"] <= 2)) & (s["tokens"] >= least) & (s["at"] > s["start"])
+            cut = lambda r: F.struct(
+                F.concat(s["cuts"], F.array(F.struct(s["start"].alias("a"), s["at"].alias("z")))).alias("cuts"), (s["at"] - r["n"]).alias("start"), (s["at"] + b["n"]).alias("at"), (r["tokens"] + b["tokens"]).alias("tokens")
+            ).cast(STATE)
+            on = F.struct(s["cuts"].alias("cuts"), s["start"].alias("start"), (s["at"] + b["n"]).alias("at"), (s["tokens"] + b["tokens"]).alias("tokens")).cast(STATE)
+            return F.when(ends, let(tail(x["tokens"], s), cut)).otherwise(on)
+
+        start = F.struct(F.array().alias("cuts"), F.lit(0).alias("start"), F.lit(0).alias("at"), F.lit(0).alias("tokens")).cast(STATE)
+        last = lambda s: F.when(s["at"] > s["start"], F.concat(s["cuts"], F.array(F.struct(s["start"].alias("a"), s["at"].alias("z"))))).otherwise(s["cuts"])
+        return F.aggregate(x["blocks"], start, step, last)
+
+    cuts = let(F.struct(numbers.alias("blocks"), tokens.alias("tokens")), folded)
+    parts = F.flatten(F.transform(blocks_, lambda b: F.transform(b["p"], lambda p: F.struct(p["idx"].cast("bigint").alias("idx"), p["text"].alias("text"), p["tokens"].cast("int").alias("tokens")))))
+    return let(F.struct(parts.alias("p"), cuts.alias("cuts")), lambda x: F.transform(x["cuts"], lambda c: F.slice(x["p"], c["a"] + 1, c["z"] - c["a"])))
 
 
 def chunk_id(name: Column, seq: Column) -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brevia.functions.columns import let
 from brevia.functions.patterns import Pattern
 from brevia.functions.text import fold, terms, tokens
 from brevia.operators.vector import in_blocks
@@ -23,11 +24,6 @@ FEW_TERMS = 5000
 WEIGHTS = {"artigo": (0.90, 0.80, 1.80), "jurisprudencia": (0.95, 0.75, 1.45), "concurso": (0.85, 1.35, 1.10), "geral": (1.0, 1.0, 1.0)}
 
 
-def let(value: Column, body) -> Column:
-    """body(value), where value is worked out once and not again for each element of an inner lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words(text: Column) -> Column:
     """The words of a text as a full-text index splits them: runs of letters and digits, folded."""
     return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

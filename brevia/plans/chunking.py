@@ -107,6 +107,16 @@ def chunk_context(spark, d):
     return j.select(chunks.chunk_id(F.col("doc_id").cast("string"), F.col("seq")).alias("chunk_id"), "tipo", F.round((F.col("idx") * 2 + F.col("n") - 1) / 2 / F.col("total"), 4).alias("position"), path.alias("path"))
 
 
+@query(
+    f"WITH RECURSIVE {_PACK}, x AS (SELECT ch.doc_id, seq, string_agg(p.text, chr(10) || chr(10) ORDER BY p.idx) AS text FROM (SELECT doc_id, seq, unnest(ix) AS idx FROM ch) ch JOIN p ON p.doc_id = ch.doc_id AND p.idx = ch.idx GROUP BY ch.doc_id, seq) "
+    f"SELECT 'Lei_' || doc_id || '-' || lpad(CAST(seq AS VARCHAR), 4, '0') AS chunk_id, md5(text) AS text_md5, {UNITS.format('text')} AS tokens FROM x"
+)
+def whole_chunker(spark, d):
+    """Documents through the whole chunker."""
+    names = t(spark, d, "documents").select("doc_id", F.concat(F.lit("Lei "), F.col("doc_id").cast("string")).alias("name"))
+    return chunks.chunked(paragraphs(spark, d), names).select("chunk_id", F.md5("text").alias("text_md5"), F.col("tokens").cast("long").alias("tokens"))
+
+
 NAMES = [("CF/88",), ("Constituição do Estado",), ("Lei 8.112/90",), ("manual\\geral x",)]
 
 
