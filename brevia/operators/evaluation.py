@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brevia.storage import kept
+
 #: Metric, whether more is better, limit.
 LEVELS = (
     ("recall_at_5", True, 0.80),
@@ -132,25 +134,51 @@ def relevant(kind: Column, meta: Column, text: Column, document: Column, article
     return named & words & by_kind.when(kind == "concurso", filled(meta["banca"]) | filled(meta["ano"]) | on("marca_concurso")).otherwise(True)
 
 
-BUCKETS = 4096
+#: Ranges that one look divides a range into, and distinct values that one task puts in order.
+BUCKETS, MOST_VALUES = 4096, 100_000
+
+
+def _size(v: Column) -> Column:
+    return F.least(F.log2(F.abs(v)), F.lit(1025.0))  # beyond all numbers: infinity
+
+
+def _magnitude(v: Column, least: Column) -> Column:
+    """Rises with v, evenly over orders of magnitude; least: the smallest size of a value other than 0."""
+    size = _size(v) - least + 1
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(0.0)
 
 
 def at_positions(rows: DataFrame, key: str, value: str, positions: dict[str, Column]) -> DataFrame:
     """(key, name, found): for each key the value at a position (from 0) of its values in order; positions are columns over n,
     the number of the key's values. No task orders all values of a key: equal values are counted together, a histogram
-    of BUCKETS ranges says in which range a position falls, and only these ranges are put in order."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    of_key = counts.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    share = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    placed = counts.join(of_key, "k").withColumn("b", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)))
-    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = placed.groupBy("k", "b").agg(F.sum("c").alias("held")).withColumn("first", F.coalesce(F.sum("held").over(before), F.lit(0)))  # BUCKETS rows a key at most
-    asked = of_key.select("k", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), p.cast("long").alias("pos")) for n, p in positions.items()])))
-    hit = ranges.join(asked, "k").where("pos >= first AND pos < first + held").select("k", "b", "name", "pos", "first")
-    few = placed.join(hit.select("k", "b").distinct(), ["k", "b"], "left_semi")
-    inside = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    few = few.select("k", "b", "v", "c", F.sum("c").over(inside).alias("upto"))
-    found = few.join(hit, ["k", "b"]).where("pos >= first + upto - c AND pos < first + upto")
+    of BUCKETS ranges says in which range a position falls, and only these ranges are put in order. The first ranges are even
+    in magnitude, so that an outlier doesn't push all others into one; a range of more than MOST_VALUES distinct values is
+    looked at again as BUCKETS even ones, until none is."""
+    counts = kept(rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")), "counts")
+    n = counts.groupBy("k").agg(F.sum("c").alias("n"))
+    asked = n.select("k", F.inline(F.array(*[F.struct(F.lit(x).alias("name"), p.cast("long").alias("pos")) for x, p in positions.items()])))
+    asked, values, on = asked.withColumns({"r": F.lit(0).cast("long"), "first": F.lit(0).cast("long")}), counts.withColumn("r", F.lit(0).cast("long")), lambda v: _magnitude(v, F.col("least"))
+    values = values.join(counts.groupBy("k").agg(F.min(F.when(F.col("v") != 0, _size(F.col("v")))).alias("least")), "k")
+    while True:
+        limits = values.groupBy("k", "r").agg(F.min(on(F.col("v"))).alias("lo"), F.max(on(F.col("v"))).alias("hi"))
+        share = F.when(F.col("hi") > F.col("lo"), (on(F.col("v")) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+        placed = values.join(limits, ["k", "r"]).withColumn("b", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)))
+        before = Window.partitionBy("k", "r").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = placed.groupBy("k", "r", "b").agg(F.sum("c").alias("held"), F.count("*").alias("distinct")).withColumn("below", F.coalesce(F.sum("held").over(before), F.lit(0)))  # BUCKETS rows a key at most
+        hit = ranges.join(asked, ["k", "r"]).withColumn("at", F.col("pos") - F.col("first")).where("at >= below AND at < below + held")
+        inner = (F.col("r") * BUCKETS + F.col("b")).alias("inner")
+        hit = kept(hit.select("k", "r", "b", inner, "name", "pos", (F.col("first") + F.col("below")).alias("first"), "distinct"), "ranges")
+        values = placed.select("k", "v", "c", "r", "b").join(hit.select("k", "r", "b", "inner").distinct(), ["k", "r", "b"]).select("k", "v", "c", F.col("inner").alias("r"))
+        asked, on = hit.select("k", "name", "pos", F.col("inner").alias("r"), "first"), lambda v: v
+        if (hit.agg(F.max("distinct")).first()[0] or 0) <= MOST_VALUES:
+            break
+        values = kept(values, "values")
+        # ranges get new numbers, so that these don't grow from look to look
+        numbers = asked.select("k", "r").distinct().withColumn("number", F.row_number().over(Window.partitionBy("k").orderBy("r")).cast("long"))  # a row for each position at most
+        asked, values = (df.join(numbers, ["k", "r"]).drop("r").withColumnRenamed("number", "r") for df in (asked, values))
+    inside = Window.partitionBy("k", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = values.select("k", "r", "v", "c", F.sum("c").over(inside).alias("upto"))
+    found = ordered.join(asked, ["k", "r"]).where("pos - first >= upto - c AND pos - first < upto")
     return found.select(F.col("k").alias(key), "name", F.col("v").alias("found"))
 
 

@@ -125,14 +125,14 @@ def rate_limit_stats(spark, d):
     class Until(TokenBucket):
         """Says until when requests are refused."""
 
-        says = (("until", "string"),)
+        says = (("until", "double"), ("at", "double"))
 
         def step(self, state, at, ok=True):
             state, _ = super().step(state, at, ok)
-            return state, (None if state[2] is None else repr(state[2]),)
+            return state, (state[2], at)
 
-    said = keyed.decide(events(spark, d), "user_id", Until(2, 2 / 86400)).join(events(spark, d).select("event_id", "ts"), "event_id")
-    last = said.groupBy("user_id").agg(F.max_by("until", F.struct("ts", "event_id")).cast("double").alias("until"))
+    said = keyed.decide(events(spark, d), "user_id", Until(2, 2 / 86400))
+    last = said.groupBy("user_id").agg(F.max_by("until", F.struct("at", "event_id")).alias("until"))
     end = events(spark, d).agg(keyed.seconds(F.max("ts")).alias("end"))
     return last.crossJoin(F.broadcast(end)).agg(F.count("*").alias("tracked"), F.count_if(F.coalesce(F.col("until") > F.col("end"), F.lit(False))).alias("limited"))  # one row
 
@@ -188,7 +188,7 @@ def degradation(spark, d):
     e = events(spark, d).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
     quarter = F.floor(F.col("n") / 4)
     ends = evaluation.at_positions(e, "event_type", "at", {"first": quarter - 1, "last": F.col("n") - quarter}).groupBy("event_type").pivot("name", ["first", "last"]).agg(F.first("found"))
-    j = e.join(F.broadcast(ends), "event_type")
+    j = e.join(ends, "event_type")  # a row for each type: Spark broadcasts it where it is small
     mean = lambda c: F.avg(F.when(c, F.col("value")))
     return j.groupBy("event_type").agg(F.round(mean(F.col("at") >= F.col("last")) / mean(F.col("at") <= F.col("first")), 6).alias("degradation"))
 

@@ -27,7 +27,7 @@ class Machine:
         raise NotImplementedError
 
 
-ARROW = {"boolean": pa.bool_(), "string": pa.string()}
+ARROW = {"boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
 
 def seconds(ts: Column) -> Column:

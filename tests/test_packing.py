@@ -67,3 +67,24 @@ def test_all_hits_over_a_threshold(spark):
     v = spark.range(13_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 10) / 100).cast("array<float>").alias("embedding"))
     hits = vector.within(v, v.where("vec_id = 0"), 0.9)
     assert hits.count() == 13_000 and hits.where("similarity >= 1").count() == 1_300
+
+
+def test_positions_with_outliers_and_many_looks(spark, monkeypatch):
+    """A log-normal column with an outlier: the widest first range holds under a hundredth, and small limits lead to the same."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.lognormal(3, 1, 40_000), [1e12], -rng.lognormal(0, 2, 300), [0.0] * 50, [np.inf]])
+    df = spark.createDataFrame([(int(k % 2), float(v)) for k, v in enumerate(x)], "k int, v double")
+    least = df.where("v != 0").agg(F.min(evaluation._size(F.col("v")))).first()[0]
+    m = df.where("v < double('inf')").select(evaluation._magnitude(F.col("v"), F.lit(least)).alias("m"))
+    lo, hi = m.agg(F.min("m"), F.max("m")).first()
+    widest = m.groupBy(F.floor((F.col("m") - lo) / (hi - lo) * evaluation.BUCKETS)).count().agg(F.max("count")).first()[0]
+    assert widest < 0.01 * len(x)
+    shares = (0.0, 0.01, 0.25, 0.5, 0.95, 0.999, 1.0)
+    places = {f"p{j}": F.least(F.floor(F.col("n") * p), F.col("n") - 1) for j, p in enumerate(shares)}
+    for buckets, most in ((4096, 100_000), (8, 40)):
+        monkeypatch.setattr(evaluation, "BUCKETS", buckets)
+        monkeypatch.setattr(evaluation, "MOST_VALUES", most)
+        got = {(r.k, r.name): r.found for r in evaluation.at_positions(df, "k", "v", places).collect()}
+        for k in (0, 1):
+            own = np.sort(x[k::2])
+            assert [got[k, f"p{j}"] for j in range(len(shares))] == [own[min(int(p * len(own)), len(own) - 1)] for p in shares]
