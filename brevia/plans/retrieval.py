@@ -72,7 +72,7 @@ def metadata_boosts(spark, d):
 
 _POOL = f"ask AS (SELECT item_id AS query_id, vec_id, text AS q FROM benchmark JOIN embeddings ON item_id = vec_id), sem AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {COS} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS r FROM embeddings a JOIN ask ON ask.vec_id = a.vec_id, embeddings b)"
 _LEX = f"lx AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT query_id, doc_id, count(*) AS score FROM (SELECT item_id AS query_id, unnest(list_distinct({TERMS.format('text')})) AS term FROM benchmark) q JOIN documents ON contains(lower(text), term) GROUP BY ALL)) WHERE r <= 15)"
-_UNION = f"{_POOL}, {_LEX}, u AS (SELECT query_id, doc_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS pos FROM sem LEFT JOIN lx USING (query_id, doc_id) WHERE r <= 60 OR lx.doc_id IS NOT NULL)"
+_UNION = f"{_POOL}, {_LEX}, u AS (SELECT query_id, doc_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS pos FROM sem LEFT JOIN lx USING (query_id, doc_id) WHERE r <= 50 OR lx.doc_id IS NOT NULL)"
 
 
 def asked(spark, d):
@@ -81,10 +81,10 @@ def asked(spark, d):
     return t(spark, d, "benchmark").select("item_id", F.col("text").alias("q")).join(v, "item_id")
 
 
-def candidates(spark, d, k: int = 5):
-    """(query_id, doc_id, similarity): the most similar, as many as a ranking of k looks at, and of the 3 * k best lexical hits those with a vector."""
+def candidates(spark, d, k: int = 5, pool: int | None = None):
+    """V4: (query_id, doc_id, similarity): the `pool` (10 * k) most similar, and of the 3 * k best lexical hits those with a vector."""
     v, ask = t(spark, d, "embeddings").select("vec_id", "embedding"), asked(spark, d)
-    semantic = vector.top_k(v, ask, search.pool_size(k)).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
+    semantic = vector.top_k(v, ask, pool or 10 * k).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
     named = search.like_top_k(t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark"), 3 * k).select("query_id", "doc_id")
     own = named.join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("e")), "doc_id").join(ask.select(F.col("item_id").alias("query_id"), "embedding"), "query_id")
     lexical = own.select("query_id", "doc_id", F.round(vector.cosine(F.col("e"), F.col("embedding")), 6).alias("similarity"))
@@ -120,8 +120,10 @@ def bm25_fusion(spark, d):
 
 
 _W = "w(kind, a, b, c) AS (VALUES " + ", ".join(f"('{k}', {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for k, a, b, c in search.weights()) + ")"
+#: A ranking looks at more.
+_POOLED = _UNION.replace("r <= 50", "r <= 60")
 _RANKED = (
-    f"{META}, {_UNION}, {_W}, tq AS (SELECT query_id, {FOLD.format('q')} AS q, list_distinct({TOK.format('q')}) AS qt FROM ask), td AS (SELECT doc_id, {TOK.format('text')} AS dt FROM documents), "
+    f"{META}, {_POOLED}, {_W}, tq AS (SELECT query_id, {FOLD.format('q')} AS q, list_distinct({TOK.format('q')}) AS qt FROM ask), td AS (SELECT doc_id, {TOK.format('text')} AS dt FROM documents), "
     "x AS (SELECT u.query_id, u.doc_id, similarity, u.pos, round(CASE WHEN len(qt) = 0 OR len(dt) = 0 THEN 0.0 ELSE least(0.7 * len(list_intersect(qt, dt)) / len(qt) + 0.3 * least(8.0 * len(list_filter(dt, lambda v: list_contains(qt, v))) / len(dt), 1.0), 1.0) END, 6) AS lexical, "
     f"round({_BOOST}, 6)::DOUBLE AS boost, {_TYPE('q')} AS kind, md.text FROM u JOIN tq USING (query_id) JOIN md USING (doc_id) JOIN td USING (doc_id)), "
     "f AS (SELECT x.*, round(a * similarity + b * lexical + c * boost, 6) AS final FROM x JOIN w USING (kind)), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, pos) AS rank FROM f)"
@@ -129,9 +131,9 @@ _RANKED = (
 
 
 def ranked(spark, d):
-    """V14-V17 over the candidates: query_id, doc_id, similarity, lexical, boost, final, rank, text, meta, words, cost."""
+    """V14-V18 over the candidates: query_id, doc_id, similarity, lexical, boost, final, rank, text, meta, words, cost."""
     ask = asked(spark, d).select(F.col("item_id").alias("query_id"), "q")
-    j = search.best(candidates(spark, d), 10**9).withColumnRenamed("rank", "pos").join(described(spark, d).select("doc_id", "text", "meta"), "doc_id").join(ask, "query_id")
+    j = search.best(candidates(spark, d, pool=search.pool_size(5)), 10**9).withColumnRenamed("rank", "pos").join(described(spark, d).select("doc_id", "text", "meta"), "doc_id").join(ask, "query_id")
     return search.reranked(j)
 
 
