@@ -225,3 +225,38 @@ def manifest(docs: DataFrame) -> DataFrame:
     tails = cut(roots.join(tops, "tree").select("tree", "digest", "level", "path"), "tails")
     proofs = documents.scan(tails, _proofs, "doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string, path string")
     return proofs.select("doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root).cast("string")).alias("verified"), "path")
+
+
+def _levels(name: str, most: int = 20) -> str:
+    """SQL: the levels of the trees in {name}0 (tree, pos, n, digest), up to 3 ** most leaves, and their families."""
+    up = [
+        f"{name}{k + 1} AS (SELECT tree, pos // 3 AS pos, (n + 2) // 3 AS n, CASE WHEN n = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM {name}{k} GROUP BY tree, pos // 3, n)"
+        for k in range(most)
+    ]
+    families = " UNION ALL ".join(f"SELECT {k} AS k, tree, pos // 3 AS parent, list(digest ORDER BY pos) AS d FROM {name}{k} WHERE n > 1 GROUP BY tree, pos // 3" for k in range(most))
+    return ", ".join([*up, f"{name}_families AS ({families})"])
+
+
+def _climb(name: str, start: str) -> str:
+    """SQL: proof and folded digest from {start} (row, tree, k, p, n, proof, fold) up to the roots."""
+    step = "list_slice(d, 1, p % 3) || {0} || list_slice(d, p % 3 + 2, 3)"
+    return (
+        f"{name}_climb AS (SELECT row, tree, 0 AS k, p, n, proof, fold FROM {start} UNION ALL SELECT row, c.tree, c.k + 1, p // 3, (n + 2) // 3, proof || array_to_string({step.format('[]::VARCHAR[]')}, ''), sha256(array_to_string({step.format('[fold]')}, '')) "
+        f"FROM {name}_climb c JOIN {name}_families f ON f.k = c.k AND f.tree = c.tree AND f.parent = c.p // 3 WHERE c.n > 1)"
+    )
+
+
+_SQL_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_SQL_LEAF = "sha256(" + " || ".join(_SQL_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _SQL_FIELD + ")"
+#: The checksum is the usual one, bit by bit for its table, then byte by byte.
+ORACLE = (
+    "WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc), "
+    "x AS (SELECT row_number() OVER () AS row, *, CASE WHEN xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0 "
+    "THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents, t), "
+    f"l AS (SELECT row, doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS tree, {_SQL_LEAF.format('text')} AS leaf, {_SQL_LEAF.format('changed')} AS fold FROM x), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n, '' AS proof FROM l), "
+    f"a0 AS (SELECT tree, p AS pos, n, leaf AS digest FROM o), {_levels('a')}, {_climb('a', 'o')}, "
+    "s AS (SELECT tree AS source_tree, digest, row_number() OVER (ORDER BY tree) - 1 AS p, count(*) OVER () AS n FROM a20), "
+    f"b0 AS (SELECT '' AS tree, p AS pos, n, digest FROM s), {_levels('b')}, u AS (SELECT c.row, '' AS tree, s.p, s.n, c.proof, c.fold FROM a_climb c JOIN s ON s.source_tree = c.tree WHERE c.n = 1), {_climb('b', 'u')} "
+    "SELECT o.doc_id, o.leaf, s.digest AS subroot, r.digest AS root, sha256(c.proof) AS proof_sha256, c.fold AS folded_root, c.fold = r.digest AS verified FROM b_climb c JOIN o USING (row) JOIN s ON s.source_tree = o.tree CROSS JOIN b20 r WHERE c.n = 1"
+)

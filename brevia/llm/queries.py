@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_toxicity, op2_pii, op3_warc, op4_chat, op5_ngram_join, op6_bpe, op7_quality, op8_sharding, op9_decontamination, op10_html, op11_merkle, op12_lexical, op13_lm)
 }
-ORACLES = {"op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op7_quality": quality.ORACLE, "op12_lexical": lexical.ORACLE}
+ORACLES = {"op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op7_quality": quality.ORACLE, "op11_merkle": merkle.ORACLE, "op12_lexical": lexical.ORACLE}
