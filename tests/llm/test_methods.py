@@ -140,6 +140,36 @@ def test_json_paths_of_any_element(spark):
     assert got[3] is None and got[4] is None and got[5] is None
 
 
+SAID = {
+    '{"system":"s","instruction":"a","input":"i","output":"b"}': [("system", "s"), ("user", "a"), ("user", "i"), ("assistant", "b")],
+    '{"system":"s","instruction":"a","output":"b"}': [("system", "s"), ("user", "a"), ("assistant", "b")],
+    '{"system":"","prompt":"a","completion":"b"}': TURNS,
+    '{"system":"s","conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}': [("system", "s"), *TURNS],
+    '{"prompt":"","completion":"x"}': [("user", ""), ("assistant", "x")],
+    '{"prompt":"x","response":""}': [("user", "x"), ("assistant", "")],
+    '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"text","text":"c"}]},{"role":"assistant","content":[{"type":"text","text":"b"}]}]}': [("user", "ac"), ("assistant", "b")],
+    '{"messages":[{"role":"user","content":"[{\\"text\\":\\"a\\"}]"}]}': [("user", '[{"text":"a"}]')],
+}
+
+
+@pytest.mark.parametrize("text", SAID)
+def test_system_texts_empty_turns_and_contents_in_parts(spark, text):
+    json = spark.createDataFrame([(1, text)], "conv_id long, j string")
+    got = chat.turns_from_json(json, "j").first()
+    assert [(t.role, t.text) for t in got.turns] == SAID[text] and got.unmapped == []
+    kind = spark.range(1).select(F.schema_of_json(F.lit(text)).alias("k")).first().k if "\\" not in text else "struct<messages:array<struct<role:string,content:string>>>"
+    columns = json.select("conv_id", F.from_json("j", kind).alias("x")).select("conv_id", "x.*")
+    assert [(t.role, t.text) for t in chat.turns_from_columns(columns).first().turns] == SAID[text]
+
+
+def test_what_no_mapping_takes_is_told(spark):
+    rows = [(1, '{"prompt":"a","completion":"b","score":1,"meta":{"x":2}}'), (2, '{"messages":[{"role":"user","content":"a","name":"n"}],"id":3}'), (3, '{"messages":[{"role":"user","content":[{"type":"image","url":"u"},"c"]}]}'), (4, '{"prompt":"a","completion":"b"}')]
+    got = {r.conv_id: r for r in chat.turns_from_json(spark.createDataFrame(rows, "conv_id long, j string"), "j").collect()}
+    assert [got[k].unmapped for k in (1, 2, 3, 4)] == [["meta", "score"], ["id", "messages[].name"], [], []]
+    assert [(t.role, t.text) for t in got[3].turns] == [("user", '{"type":"image","url":"u"}c')]
+    assert got[1].layout == got[4].layout and got[1].schema != got[4].schema
+
+
 def test_flat_and_nested_tables_go_through_the_fingerprint(spark, monkeypatch):
     asked, real = [], chat.fingerprint
     monkeypatch.setattr(chat, "fingerprint", lambda paths: asked.append(sorted(paths)) or real(paths))
