@@ -43,17 +43,20 @@ ATTRIBUTE = re.compile(r"([^\s=>/\"'][^\s=>/]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([
 #: What the HTML standard says about elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "optgroup": {"select"}, "tbody": {"table"}}
 #: Elements, roles and words in classes and ids that stand for what isn't main text.
-DROPPED = frozenset("nav footer aside form button select textarea input iframe svg math object embed canvas audio video dialog menu head title script style noscript template noembed noframes xmp datalist".split())
+DROPPED = frozenset("nav footer aside form button select textarea input iframe svg annotation annotation-xml object embed canvas audio video dialog menu head title script style noscript template noembed noframes xmp datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|banner|cookies?|consent|gdpr|notices?|comments?|commentlist|disqus|respond|replies|sidebar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|site-header|page-header|topbar|share|sharing|social|related|recommended|promo|promoted|sponsor|sponsored|newsletter|subscribe|subscription|signup|popup|modal|overlay|widget|pagination|pager|toolbar|login|skip-link|copyright|disclaimer)(?:$|[\s_-])",
-    re.I,
+_WORDS = (
+    r"ads?|adverts?|advertis\w*|adsense|banner|cookies?|consent|gdpr|notices?|comments?|commentlist|disqus|respond|replies|sidebar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|site-header|page-header|topbar|share|sharing|social|related|recommended"
+    r"|promo|promoted|sponsor|sponsored|newsletter|subscribe|subscription|signup|popup|modal|overlay|widget|pagination|pager|toolbar|login|skip-link|copyright|disclaimer"
 )
+NAMES = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.I)
+#: Inside an article only a whole name counts: a paragraph about a share price is text.
+WHOLE_NAMES = re.compile(rf"(?:^|\s)(?:{_WORDS})(?:$|\s)", re.I)
 
 
 class Node:
@@ -174,7 +177,7 @@ def _isnt_main(child: Node, inside: bool) -> bool:
         child.label = "main"
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    return (not marked or child.tag == "article" and "comment" in name.lower()) and NAMES.search(name) is not None
+    return (not marked or child.tag == "article" and "comment" in name.lower()) and (WHOLE_NAMES if inside else NAMES).search(name) is not None
 
 
 def prune(root: Node) -> None:

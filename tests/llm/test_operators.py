@@ -202,6 +202,16 @@ def test_html_text(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: ("T & U\none two three\nfour", 24), 2: ("", 0), 3: ("a", 1), 4: ("", 0)}
 
+def test_html_class_words_inside_an_article(spark):
+    """Only whole names count there; formulas are text."""
+    kept = '<p class="share-price">price</p><div class="related-work">work</div><section id="notice-of-appeal">appeal</section><p class="widget-specs">specs</p>'
+    formula = "<p>area <math><semantics><mrow><mi>r</mi><mo>=</mo><mn>2</mn></mrow><annotation>r = 2 latex</annotation></semantics></math> of it</p>"
+    gone = '<div class="box ad">ad</div><div class="comments">c</div><div id="newsletter">n</div><div class="Share">s</div>'
+    page = f'<html><body><div class="share-bar">bar</div><article><p>one</p>{kept}{formula}{gone}</article></body></html>'
+    got = html_text.extract(spark.createDataFrame([(1, "http://a/1", page)], "page_id long, url string, html string")).first()
+    assert got.text == "one\nprice\nwork\nappeal\nspecs\narea r=2 of it"
+
+
 def test_html_wrapper_drops_constant_blocks(spark):
     rows = [(k, "http://h.org/x", f"<body><div>Same on all pages</div><div><p>text {k}</p></div></body>") for k in range(8)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
