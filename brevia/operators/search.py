@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brevia.functions.columns import let
 from brevia.functions.patterns import Pattern
-from brevia.functions.text import fold, terms, tokens
+from brevia.functions.text import fold, terms, tokens, tokens_of_folded, units_of_folded
 from brevia.operators.vector import in_blocks
 from brevia.storage import kept
 
@@ -221,15 +221,31 @@ def best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def asking(queries: DataFrame) -> DataFrame:
+    """Queries (q) with what ranking asks of each: normal, q_tokens, query_type."""
+    normal = queries.withColumn("normal", fold(F.col("q")))
+    return normal.withColumn("q_tokens", tokens_of_folded(F.col("normal"))).withColumn("query_type", query_type(F.col("normal")))
+
+
+def told(docs: DataFrame) -> DataFrame:
+    """Documents (text) with what ranking and selection ask of each: doc_tokens, cost, words."""
+    folded = docs.withColumn("_folded", fold(F.col("text")))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
+    return folded.withColumns({"doc_tokens": tokens_of_folded(F.col("_folded")), "cost": units_of_folded(F.col("_folded")), "words": words}).drop("_folded")
+
+
 def reranked(hits: DataFrame) -> DataFrame:
     """Hits (query_id, pos, similarity, text, meta, q: the query) with query_type, lexical (V13), boost (V14), final (the sum
-    weighted by the query's type, V16) and rank: by final, ties in the order of pos."""
+    weighted by the query's type, V16) and rank: by final, ties in the order of pos. Where a query or text stands in many
+    hits, asking() and told() go before the join, and hits need neither q nor text."""
+    hits = hits if "normal" in hits.columns else asking(hits)
+    hits = hits if "doc_tokens" in hits.columns else hits.withColumn("doc_tokens", tokens(F.col("text")))
     w = hits.sparkSession.createDataFrame(weights(), "query_type string, wa double, wb double, wc double")
-    j = hits.withColumn("normal", fold(F.col("q"))).withColumn("query_type", query_type(F.col("normal"))).join(F.broadcast(w), "query_type")  # four rows
-    j = j.withColumn("lexical", F.round(lexical_score(tokens(F.col("q")), tokens(F.col("text"))), 6)).withColumn("boost", F.round(metadata_boost(F.col("normal"), F.col("meta")), 6))
+    j = hits.join(F.broadcast(w), "query_type")  # four rows
+    j = j.withColumn("lexical", F.round(lexical_score(F.col("q_tokens"), F.col("doc_tokens")), 6)).withColumn("boost", F.round(metadata_boost(F.col("normal"), F.col("meta")), 6))
     j = j.withColumn("final", F.round(F.col("wa") * F.col("similarity") + F.col("wb") * F.col("lexical") + F.col("wc") * F.col("boost"), 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("final"), "pos")
-    return j.withColumn("rank", F.row_number().over(order)).drop("wa", "wb", "wc", "normal")
+    return j.withColumn("rank", F.row_number().over(order)).drop("wa", "wb", "wc", "normal", "q_tokens", "doc_tokens")
 
 
 def with_fallback(scored: DataFrame, k: int, least: float, floor: float = 0.2, less: float = 0.1) -> DataFrame:

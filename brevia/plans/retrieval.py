@@ -10,6 +10,7 @@ from brevia.operators import evaluation, search, vector
 from brevia.operators import filters as flt
 from brevia.plans import extraction
 from brevia.plans.core import ASKED, COS, FOLD, QUERIES, TERMS, TOK, UNITS, fixture, query, quoted, t, values
+from brevia.storage import kept
 
 #: Documents get metadata by rules from their id: the tables hold none.
 META = (
@@ -131,10 +132,13 @@ _RANKED = (
 
 
 def ranked(spark, d):
-    """V14-V18 over the candidates: query_id, doc_id, similarity, lexical, boost, final, rank, text, meta, words, cost."""
-    ask = asked(spark, d).select(F.col("item_id").alias("query_id"), "q")
-    j = search.best(candidates(spark, d, pool=search.pool_size(5)), 10**9).withColumnRenamed("rank", "pos").join(described(spark, d).select("doc_id", "text", "meta"), "doc_id").join(ask, "query_id")
-    return search.reranked(j)
+    """V14-V18 over the candidates: query_id, doc_id, similarity, lexical, boost, final, rank, meta, words, cost. A text is gone
+    through once, however many queries have it among their candidates, and isn't joined to them."""
+    ask = search.asking(asked(spark, d).select(F.col("item_id").alias("query_id"), "q")).drop("q")
+    found = kept(search.best(candidates(spark, d, pool=search.pool_size(5)), 10**9).withColumnRenamed("rank", "pos"), "candidates")
+    own = described(spark, d).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = kept(search.told(own.select("doc_id", "text", "meta")).drop("text"), "texts")
+    return search.reranked(found.join(docs, "doc_id").join(ask, "query_id"))
 
 
 @query(f"WITH {_RANKED} SELECT query_id, doc_id, CAST(rank AS INT) AS rank, similarity, lexical, boost, final FROM k WHERE rank <= 10")
@@ -191,7 +195,7 @@ _MSG = "CASE confidence " + " ".join(f"WHEN '{k}' THEN {quoted(m)}" for k, m in
 )
 def rendered_contexts(spark, d):
     """The prompt's context of the five best."""
-    h = ranked(spark, d).where("rank <= 5").withColumn("tokens", tx.lexical_units(F.col("text")))
+    h = ranked(spark, d).where("rank <= 5").withColumnRenamed("cost", "tokens").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
     h = h.withColumn("confidence", search.confidence(F.avg("similarity").over(Window.partitionBy("query_id"))))
     return search.rendered(h.select("query_id", "rank", "similarity", "text", "tokens", "meta", "confidence")).select("query_id", F.md5("context").alias("context"))
 
@@ -225,8 +229,7 @@ def _selected(redundancy: float, marginal: float) -> str:
 @query(f"WITH RECURSIVE {_selected(0.86, 0.00002)} SELECT query_id, array_to_string(ids, ',') AS chosen, used, redundant, marginal, over_budget FROM last")
 def budgeted_selection(spark, d):
     """Of the ranked candidates at most five, under 2,000 tokens; the least gain is for texts of these lengths."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    item = F.struct("rank", F.col("doc_id").alias("id"), F.col("similarity").alias("sim"), tx.lexical_units(F.col("text")).alias("cost"), words.alias("words"))
+    item = F.struct("rank", F.col("doc_id").alias("id"), F.col("similarity").alias("sim"), "cost", "words")
     g = ranked(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("r"))
     c = g.select("query_id", search.select_within_budget(F.col("r"), 5, 2000, 0.86, 0.00002).alias("c"))
     return c.select("query_id", F.array_join(F.col("c.ids").cast("array<string>"), ",").alias("chosen"), "c.used", "c.redundant", "c.marginal", F.col("c.over").alias("over_budget"))
@@ -240,8 +243,7 @@ def budgeted_selection(spark, d):
 def retrieval_pipeline(spark, d):
     """The whole path of a query (V4, V12-V17, V20-V24) for every benchmark item: candidates, ranking, selection by the first
     provider's strategy, confidence and citations of what was chosen."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    cited = F.struct("rank", F.col("doc_id").alias("id"), F.col("similarity").alias("sim"), tx.lexical_units(F.col("text")).alias("cost"), words.alias("words"), search.citation(F.col("meta")).alias("source"))
+    cited = F.struct("rank", F.col("doc_id").alias("id"), F.col("similarity").alias("sim"), "cost", "words", search.citation(F.col("meta")).alias("source"))
     g = ranked(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(cited)).alias("r"))
     g = g.withColumn("s", search.context_strategy(F.lit("openai"), F.lit("gpt-4o-mini"))).withColumn("c", search.select_within_budget(F.col("r"), 5, F.col("s.budget"), F.col("s.redundancy"), F.col("s.marginal")))
     chosen = F.filter("r", lambda x: F.array_contains(F.col("c.ids"), x["id"]))
