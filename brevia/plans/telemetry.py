@@ -216,3 +216,18 @@ def stale_keys(spark, d):
     gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     e = events(spark, d).select("user_id", F.when(gap <= F.expr("INTERVAL 300 SECOND"), 0).otherwise(1).alias("fresh"))
     return e.groupBy("user_id").agg(F.sum("fresh").alias("states"))
+
+
+@query()
+def limiter_resets(spark, d):
+    """R2: the limiter over all events, with resets of single users, one of all users, new limits from a time on, and states that are
+    forgotten after two days without a request."""
+    from brevia.streaming import keyed
+    from brevia.streaming.token_bucket import TokenBucket
+
+    e = events(spark, d)
+    begin, end = e.agg(keyed.seconds(F.min("ts")), keyed.seconds(F.max("ts"))).first()
+    at = lambda share: begin + (end - begin) * share
+    first, later = TokenBucket(2, 2 / 86400), TokenBucket(1, 1 / 86400)
+    resets = e.where("event_id % 97 = 0").select("user_id", "ts")
+    return keyed.decide(e, "user_id", first, resets=resets, changes=((at(0.4), first), (at(0.7), later)), idle=2 * 86400.0)
