@@ -11,14 +11,16 @@ from brevia.functions.patterns import Pattern, any_of
 
 #: How prompts are injected.
 INJECTION = (
-    Pattern(r"ignore\s+(all\s+)?(previous|above|earlier)\s+(instructions?|prompts?|commands?)"), Pattern(r"forget\s+(all\s+)?(previous|above|earlier)\s+(instructions?|prompts?|commands?)"),
-    Pattern(r"disregard\s+(all\s+)?(previous|above|earlier)\s+(instructions?|prompts?|commands?)"), Pattern(r"override\s+(the\s+)?(system|default|original)\s+instructions?"),
-    Pattern(r"\bsystem\s*:\s*"), Pattern(r"\bassistant\s*:\s*"), Pattern(r"\buser\s*:\s*"), Pattern(r"\bmodel\s*:\s*"), Pattern(r"\[INST\].*?\[/INST\]", "is"),
-    Pattern(r"<\|im_start\|>\s*(system|assistant|user)"), Pattern(r"<\|im_end\|>"), Pattern(r"\b(jailbreak|jail\s*break)\b"), Pattern(r"\b(dan|developer\s*mode|developer\s*mode\s*on)\b"),
-    Pattern(r"you\s+are\s+now\s+(a|an)\s+"), Pattern(r"act\s+as\s+(a|an)\s+"), Pattern(r"pretend\s+(to\s+be\s+)?(a|an)\s+"), Pattern(r"role\s*play\s+as\s+(a|an)\s+"),
-    Pattern(r"assume\s+(the\s+)?role\s+of\s+(a|an)\s+"), Pattern(r"from\s+now\s+on"), Pattern(r"from\s+this\s+point\s+forward"), Pattern(r"starting\s+now"),
-    Pattern(r"for\s+the\s+rest\s+of\s+this\s+(conversation|chat)"), Pattern(r"^\s*\}\s*\{\s*"), Pattern(r"^\s*\]\s*\[\s*"), Pattern(r'^\s*\{.*".*"\s*:\s*".*".*\}\s*$'),
-    Pattern(r"__import__\s*\("), Pattern(r"exec\s*\("), Pattern(r"eval\s*\("), Pattern(r"\$\{.*?\}"), Pattern(r"\{\{.*?\}\}"), Pattern(r"\{%.*?%\}"), Pattern(r"<prompt>.*?</prompt>", "is"),
+    Pattern(r"ignore\s+(all\s+)?(previous|above|earlier)\s+(instructions?|prompts?|commands?)", needs=("ignore",)), Pattern(r"forget\s+(all\s+)?(previous|above|earlier)\s+(instructions?|prompts?|commands?)", needs=("forget",)),
+    Pattern(r"disregard\s+(all\s+)?(previous|above|earlier)\s+(instructions?|prompts?|commands?)", needs=("disregard",)), Pattern(r"override\s+(the\s+)?(system|default|original)\s+instructions?", needs=("override",)),
+    Pattern(r"\bsystem\s*:\s*", needs=("system", ":")), Pattern(r"\bassistant\s*:\s*", needs=("assistant", ":")), Pattern(r"\buser\s*:\s*", needs=("user", ":")), Pattern(r"\bmodel\s*:\s*", needs=("model", ":")),
+    Pattern(r"\[INST\].*?\[/INST\]", "is", needs=("[inst]", "[/inst]")), Pattern(r"<\|im_start\|>\s*(system|assistant|user)", needs=("<|im_start|>",)), Pattern(r"<\|im_end\|>", needs=("<|im_end|>",)),
+    Pattern(r"\b(jailbreak|jail\s*break)\b", needs=("jail", "break")), Pattern(r"\b(dan|developer\s*mode|developer\s*mode\s*on)\b", needs=(("dan", "developer"),)),
+    Pattern(r"you\s+are\s+now\s+(a|an)\s+", needs=("now", "you", "are")), Pattern(r"act\s+as\s+(a|an)\s+", needs=("act", "as")), Pattern(r"pretend\s+(to\s+be\s+)?(a|an)\s+", needs=("pretend",)), Pattern(r"role\s*play\s+as\s+(a|an)\s+", needs=("role", "play")),
+    Pattern(r"assume\s+(the\s+)?role\s+of\s+(a|an)\s+", needs=("assume", "role")), Pattern(r"from\s+now\s+on", needs=("now", "from")), Pattern(r"from\s+this\s+point\s+forward", needs=("point", "forward")), Pattern(r"starting\s+now", needs=("starting", "now")),
+    Pattern(r"for\s+the\s+rest\s+of\s+this\s+(conversation|chat)", needs=(("conversation", "chat"), "rest", "this")), Pattern(r"^\s*\}\s*\{\s*", start=True), Pattern(r"^\s*\]\s*\[\s*", start=True), Pattern(r'^\s*\{.*".*"\s*:\s*".*".*\}\s*$', needs=("{", "}", ":", '"')),
+    Pattern(r"__import__\s*\(", needs=("__import__",)), Pattern(r"exec\s*\(", needs=("exec", "(")), Pattern(r"eval\s*\(", needs=("eval", "(")), Pattern(r"\$\{.*?\}", needs=("${", "}")), Pattern(r"\{\{.*?\}\}", needs=("{{", "}}")), Pattern(r"\{%.*?%\}", needs=("{%", "%}")),
+    Pattern(r"<prompt>.*?</prompt>", "is", needs=("<prompt>", "</prompt>")),
 )
 #: Most characters of an input; zero-width characters, special characters in a row, share of visible
 #: characters, strange characters; characters that the last two look at.
