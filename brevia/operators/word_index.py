@@ -8,7 +8,7 @@ score; the best stripes are scored first, and then only those that can still hol
 
 An insertion, an update or a deletion writes a generation: blocks of its documents, and the ids that it takes from the ones
 before. A generation counts once its line in `generations` is written, which comes last; one that broke off before is as
-if it hadn't been. Words of each document are kept with it, so that a deletion knows whose counts go down. merged() writes
+if it hadn't been. Words of each document are kept with it and their frequencies: blocks are made from them, and a deletion knows whose counts go down. merged() writes
 all that is left as one generation.
 
 Ids are unique in the index: an insertion of an id that is there has to be an update. Null texts have no words and are counted
@@ -19,9 +19,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brevia.functions.columns import let
 from brevia.functions.text import terms
 from brevia.operators.search import words
 from brevia.storage import kept, scratch
@@ -30,8 +31,10 @@ from brevia.storage import kept, scratch
 STRIPE_ROWS, FOLDERS = 4096, 256
 #: Terms that are named to the scan; more are joined.
 FEW_TERMS = 2000
+#: Partitions that a change or a search deals stripes to, at most, and rows of changed documents, queries' terms or stripes that are broadcast.
+PARTS, BROADCAST_ROWS = 2048, 2_000_000
 BLOCK = "term string, stripe long, first long, gaps array<bigint>, tfs array<int>, lens array<int>, n long, max_tf int, min_len int, gen int, folder int"
-GONE = "doc_id long, doc_len int, words array<string>, gen int"
+GONE = "doc_id long, doc_len int, words array<string>, tfs array<int>, gen int"
 LINE = "gen int, docs long, length long"
 
 
@@ -60,13 +63,13 @@ class WordIndex:
         gen = 1 + max([0, *self.gens, *[self._all(name).agg(F.max("gen")).first()[0] or 0 for name in ("documents", "gone")]])
         if taken is not None:
             ids = taken.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-            self._documents().join(ids, "doc_id", "left_semi").select("doc_id", "doc_len", "words", F.lit(gen).alias("gen")).write.mode("append").parquet(f"{self.path}/gone")
+            self._documents().join(ids, "doc_id", "left_semi").select("doc_id", "doc_len", "words", "tfs", F.lit(gen).alias("gen")).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/gone")
         if docs is not None:
             w = words(F.coalesce(F.col("text"), F.lit("")))
-            rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), w.alias("w")).select("doc_id", F.size("w").alias("doc_len"), "w")
-            rows.select("doc_id", "doc_len", F.array_distinct("w").alias("words"), F.lit(gen).alias("gen")).write.mode("append").parquet(f"{self.path}/documents")
-            posted = rows.select("doc_id", "doc_len", F.explode("w").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count("*").cast("int").alias("tf"))
-            self._write(posted, gen)
+            rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(F.sort_array(w), _runs).alias("r"))
+            rows = rows.select("doc_id", F.col("r.n").alias("doc_len"), F.col("r.words").alias("words"), F.col("r.tfs").alias("tfs"), F.lit(gen).alias("gen"))
+            rows.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/documents")
+            self._write(self._all("documents").where(F.col("gen") == gen), gen)
         size = lambda name: self._all(name).where(F.col("gen") == gen).agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
         more, less = size("documents"), size("gone")
         return self._publish(gen, more[0] - less[0], more[1] - less[1])
@@ -75,18 +78,26 @@ class WordIndex:
         self.spark.createDataFrame([(gen, docs, length)], LINE).coalesce(1).write.mode("append").parquet(f"{self.path}/generations")
         return WordIndex(self.spark, self.path, self.stripes, (*self.gens, gen))
 
-    def _write(self, posted: DataFrame, gen: int) -> None:
-        """posted: (term, doc_id, doc_len, tf)."""
-        stripe = F.pmod(F.xxhash64("doc_id"), F.lit(self.stripes))
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows with a stripe, those of a stripe in one partition: what groups by the stripe and more needs no further shuffle."""
+        return rows.repartition(min(self.stripes, PARTS), "stripe")
+
+    def _stripe(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.stripes))
+
+    def _write(self, docs: DataFrame, gen: int) -> None:
+        """docs: rows of `documents`. Only they are shuffled, a row for each, and not their postings."""
+        dealt = self._dealt(docs.select(self._stripe().alias("stripe"), "doc_id", "doc_len", F.array_join("words", " ").alias("words"), "tfs").where("doc_len > 0"))
+        posted = dealt.select("stripe", "doc_id", "doc_len", F.inline(F.arrays_zip(F.split("words", " ").alias("term"), F.col("tfs").alias("tf"))))
         own = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "doc_len")))
-        blocks = posted.groupBy("term", stripe.alias("stripe")).agg(own.alias("p")).withColumn("first", F.get("p", F.lit(0))["doc_id"])
+        blocks = posted.groupBy("term", "stripe").agg(own.alias("p")).withColumn("first", F.get("p", F.lit(0))["doc_id"])
         field = lambda name: F.transform("p", lambda x: x[name])
         gaps = F.transform("p", lambda x: x["doc_id"] - F.col("first"))
         blocks = blocks.select(
             "term", "stripe", "first", gaps.alias("gaps"), field("tf").alias("tfs"), field("doc_len").alias("lens"), F.size("p").cast("long").alias("n"), F.array_max(field("tf")).alias("max_tf"),
             F.array_min(field("doc_len")).alias("min_len"), F.lit(gen).alias("gen"), F.pmod("stripe", F.lit(FOLDERS)).cast("int").alias("folder"),
         )
-        blocks.hint("rebalance", "folder").sortWithinPartitions("folder", "term", "stripe").write.mode("append").partitionBy("folder").parquet(f"{self.path}/blocks")
+        blocks.sortWithinPartitions("folder", "term", "stripe").write.mode("append").option("compression", "zstd").partitionBy("folder").parquet(f"{self.path}/blocks")
 
     # --- reading ------------------------------------------------------------------------------------------------------
     def _all(self, name: str) -> DataFrame:
@@ -105,6 +116,7 @@ class WordIndex:
     def _left(self, rows: DataFrame) -> DataFrame:
         """The rows (doc_id, gen, ...) whose generation is the document's last."""
         until = self._gone().groupBy("doc_id").agg(F.max("until").alias("until"))
+        until = F.broadcast(until) if self._whole("gone").count() <= BROADCAST_ROWS else until
         return rows.join(until, "doc_id", "left").where(F.coalesce(F.col("gen") >= F.col("until"), F.lit(True))).drop("until")
 
     def _postings(self, blocks: DataFrame, *keep: str) -> DataFrame:
@@ -114,8 +126,8 @@ class WordIndex:
     def merged(self) -> WordIndex:
         """The same documents as one generation, elsewhere."""
         new = _empty(self.spark, self.stripes)
-        self._documents().withColumn("gen", F.lit(1)).write.mode("append").parquet(f"{new.path}/documents")
-        new._write(self._postings(self._whole("blocks"), "term").select("term", "doc_id", "doc_len", "tf"), 1)
+        self._documents().withColumn("gen", F.lit(1)).write.mode("append").option("compression", "zstd").parquet(f"{new.path}/documents")
+        new._write(new._all("documents"), 1)
         return new._publish(1, *self._size())
 
     def _size(self) -> tuple[int, int]:
@@ -133,6 +145,7 @@ class WordIndex:
         of_terms = self._whole("blocks").where(F.col("term").isin(few)) if len(few) <= FEW_TERMS else self._whole("blocks").join(q.select("term").distinct(), "term", "left_semi")
         less = self._gone().select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("less"))
         df = of_terms.groupBy("term").agg(F.sum("n").alias("n")).join(less, "term", "left").select("term", (F.col("n") - F.coalesce("less", F.lit(0))).alias("df"))
+        terms_asked = q.count()
         raw = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weighted = q.join(df.where("df > 0"), "term").select("query_id", "term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
         gain = lambda tf, dl: F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / mean))
@@ -143,9 +156,13 @@ class WordIndex:
 
         def scored(stripes: DataFrame) -> DataFrame:
             folders = [r[0] for r in stripes.select(F.pmod("stripe", F.lit(FOLDERS))).distinct().collect()]  # FOLDERS at most
-            blocks = of_terms.where(F.col("folder").isin(folders)).join(weighted.join(stripes, "query_id"), ["term", "stripe"])
-            hits = self._postings(blocks, "query_id", "idf").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * gain("tf", "doc_len")), 6).alias("score"))
-            return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            # blocks are dealt by stripe, and all that follows up to the k best of a stripe stays where they are
+            blocks = self._dealt(of_terms.where(F.col("folder").isin(folders)).join(F.broadcast(stripes.select("stripe").distinct()), "stripe", "left_semi").select("stripe", "term", "first", "gaps", "tfs", "lens", "gen"))
+            once = F.broadcast if stripes.count() <= BROADCAST_ROWS and terms_asked <= BROADCAST_ROWS else lambda df: df
+            each = self._postings(blocks, "stripe", "term").join(once(weighted), "term").join(once(stripes), ["query_id", "stripe"], "left_semi")
+            hits = each.groupBy("stripe", "query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * gain("tf", "doc_len")), 6).alias("score"))
+            near = hits.withColumn("near", F.row_number().over(Window.partitionBy("stripe", "query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("near") <= k)
+            return near.select("query_id", "doc_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
         bounds = kept(bounds, "bounds")
         first = kept(scored(bounds.where(F.col("place") <= ahead).select("query_id", "stripe")), "first")
@@ -155,6 +172,14 @@ class WordIndex:
         return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _runs(words_: Column) -> Column:
+    """struct<n, words, tfs>: the number of sorted words, the different ones, and how often each stands there."""
+    n = F.size(words_)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(words_, i) != F.get(words_, i - 1))))
+    tfs = let(starts, lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.array(n)), lambda a, z: z - a))
+    return F.struct(n.alias("n"), F.array_distinct(words_).alias("words"), F.when(n > 0, tfs).otherwise(F.array().cast("array<int>")).alias("tfs"))
+
+
 def _empty(spark: SparkSession, stripes: int) -> WordIndex:
     index = WordIndex(spark, scratch(spark, "words"), stripes)
     for name, schema in (("blocks", BLOCK), ("documents", GONE), ("gone", GONE), ("generations", LINE)):
