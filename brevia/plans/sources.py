@@ -135,18 +135,29 @@ def resumed_upload(spark, d):
 _LINES = "l AS (SELECT doc_id, string_split(regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F]', ' ', 'g'), chr(10)) AS x FROM documents WHERE doc_id % 7 <> 0)"
 
 
-def word_files(spark, d):
+#: Files that a task holds at once.
+FILES = 64
+
+
+def file_writer():
+    """From batches (doc_id, text) to batches of at most FILES files (path, content)."""
+
     def run(batches):
         for b in batches:
-            made = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = text.split("\n")
-                whole = docx.written([(lines[0], "Heading 2"), *[(x, None) for x in lines[1:]]], [["cell 0", "cell 1"]], ["foot", "foot"])
-                made.append(whole[: len(whole) // 2] if i % 7 == 0 else whole)
-            yield pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in b.column(0).to_pylist()]), pa.array(made, pa.binary())], ["path", "content"])
+            for start in range(0, b.num_rows, FILES):
+                part, made = b.slice(start, FILES), []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    lines = text.split("\n")
+                    whole = docx.written([(lines[0], "Heading 2"), *[(x, None) for x in lines[1:]]], [["cell 0", "cell 1"]], ["foot", "foot"])
+                    made.append(whole[: len(whole) // 2] if i % 7 == 0 else whole)
+                yield pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in part.column(0).to_pylist()]), pa.array(made, pa.binary())], ["path", "content"])
 
+    return run
+
+
+def word_files(spark, d):
     text = F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", " ").alias("text")
-    return t(spark, d, "documents").select("doc_id", text).mapInArrow(run, "path string, content binary")
+    return t(spark, d, "documents").select("doc_id", text).mapInArrow(file_writer(), "path string, content binary")
 
 
 @query(
