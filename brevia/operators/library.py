@@ -29,6 +29,8 @@ DOCUMENT = "doc_id string, name string, path string, hash string, chunk_gen int,
 CHUNK = "doc_id string, seq int, text string, tokens long, hash string, embedding array<float>, reused boolean, gen int"
 FAILURE = "path string, error string, gen int"
 COUNTERS = ("new", "changed", "unchanged", "failed", "deleted", "chunks", "reused", "embedded", "tokens")
+#: Ids of documents that go to all paragraphs, at most.
+BROADCAST_ROWS = 1_000_000
 LINE = f"gen int, batch string, {', '.join(f'{c} long' for c in COUNTERS)}"
 
 
@@ -81,14 +83,20 @@ class Library:
         failed = kept(failed.where("error IS NOT NULL OR coalesce(filled, 0) = 0").select("doc_id", "path", F.coalesce("error", F.lit("no text")).alias("error")), "failed")
         gathered = [self._write(failed.select("path", "error"), "failures", gen, failed=F.count("*"))]
 
-        good = paragraphs.join(failed, "doc_id", "left_anti").drop("error")
+        # ids go to the paragraphs, so that texts stay where they are; of very many both sides are shuffled
+        to_all = lambda ids, n: F.broadcast(ids) if n <= BROADCAST_ROWS else ids
+        good = paragraphs.join(to_all(failed.select("doc_id"), gathered[0].get["failed"]), "doc_id", "left_anti").drop("error")
         made = chunk(good).withColumn("hash", F.sha2("text", 256))
-        # an old chunk gives its vector to one of the same document only
-        key, had = F.concat_ws("|", "doc_id", "hash").alias("content_hash"), self.chunks().where(F.lit(not rebuild))
-        had = had.join(good.select("doc_id").distinct(), "doc_id", "left_semi")
-        order = F.struct("doc_id", "seq")
-        both = ingest.reused(made.select("*", key, order.alias("chunk_id")), had.select(key, order.alias("order"), "embedding"))
-        vectors = both.select("doc_id", F.col("seq").cast("int").alias("seq"), "text", F.col("tokens").cast("long").alias("tokens"), "hash", F.coalesce("reused", embed(F.col("text")).cast("array<float>")).alias("embedding"), F.col("reused").isNotNull().alias("reused"))
+        # an old chunk gives its vector to one of the same document only, so chunks of new documents have none to look for
+        changed = found.where("status = 'changed'").select("doc_id")
+        n_changed = changed.count()
+        own = lambda df, reused: df.select("doc_id", F.col("seq").cast("int").alias("seq"), "text", F.col("tokens").cast("long").alias("tokens"), "hash", F.coalesce(reused, embed(F.col("text")).cast("array<float>")).alias("embedding"), reused.isNotNull().alias("reused"))
+        vectors = own(made.join(to_all(changed, n_changed), "doc_id", "left_anti") if n_changed else made, F.lit(None).cast("array<float>"))
+        if n_changed:
+            key = F.concat_ws("|", "doc_id", "hash").alias("content_hash")
+            had, order = self.chunks().join(to_all(changed, n_changed), "doc_id", "left_semi").where(F.lit(not rebuild)), F.struct("doc_id", "seq")
+            anew = made.join(to_all(changed, n_changed), "doc_id", "left_semi").select("*", key, order.alias("chunk_id"))
+            vectors = vectors.unionByName(own(ingest.reused(anew, had.select(key, order.alias("order"), "embedding")), F.col("reused")))
         gathered.append(self._write(vectors, "chunks", gen, chunks=F.count("*"), reused=F.count_if("reused"), embedded=F.count_if(~F.col("reused")), tokens=F.coalesce(F.sum("tokens"), F.lit(0))))
 
         counts = self._all("chunks", CHUNK).where(F.col("gen") == gen).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
@@ -111,7 +119,7 @@ class Library:
     def _write(self, df: DataFrame, name: str, gen: int, keep: Column | None = None, **counters: Column) -> Observation:
         seen = Observation()
         df = df.observe(seen, *[c.alias(k) for k, c in counters.items()])
-        (df if keep is None else df.where(keep)).withColumn("gen", F.lit(gen)).write.mode("append").parquet(f"{self.path}/{name}")
+        (df if keep is None else df.where(keep)).withColumn("gen", F.lit(gen)).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return seen
 
 

@@ -24,5 +24,5 @@ def scratch(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: what reads it doesn't go back to df's inputs."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
