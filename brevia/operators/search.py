@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brevia.functions.columns import let
 from brevia.functions.patterns import Pattern
-from brevia.functions.text import fold, terms, tokens, tokens_of_folded, units_of_folded
+from brevia.functions.text import fold, fold_letters, terms, tokens, tokens_of_folded, units_of_folded
 from brevia.operators.vector import in_blocks
 from brevia.storage import kept
 
@@ -26,7 +26,7 @@ WEIGHTS = {"artigo": (0.90, 0.80, 1.80), "jurisprudencia": (0.95, 0.75, 1.45), "
 
 def words(text: Column) -> Column:
     """The words of a text as a full-text index splits them: runs of letters and digits, folded."""
-    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(fold_letters(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def counted_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: fl
     rows = counted_words(docs, q.select("term").distinct())
     size = rows.agg(F.count("*").alias("docs"), F.avg("doc_len").alias("avg_len"))
     once = F.broadcast if q.count() <= BROADCAST_ROWS else lambda df: df
-    p = rows.select("doc_id", "doc_len", F.explode("hits").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf")).join(once(q.select("term").distinct()), "term", "left_semi")
+    # the words asked for are dealt by document; counts and, where queries are broadcast, scores then stay where they are
+    p = rows.where(F.size("hits") > 0).repartition("doc_id").select("doc_id", "doc_len", F.explode("hits").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf")).join(once(q.select("term").distinct()), "term", "left_semi")
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     j = p.join(once(df), "term").join(once(q), "term").crossJoin(F.broadcast(size))  # one row
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
