@@ -142,6 +142,10 @@ def _reference(text: Column) -> Column:
     return F.regexp_replace(fold(text), r"[^\p{L}\p{N}]", "")
 
 
+#: What a boost asks of metadata.
+BOOSTED = ("artigo", "paragrafo", "inciso", "marca_stf", "marca_stj", "banca", "updated_by_law", "is_revoked", "is_vetoed")
+
+
 def metadata_boost(query: Column, meta: Column) -> Column:
     """How well metadata (a struct or map with the keys below) fits a normalised query; 1 at most."""
     said = lambda p: F.transform(p.every(query), _reference)

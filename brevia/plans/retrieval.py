@@ -172,8 +172,10 @@ _OWN = f"{extraction.BASE}, {extraction.RECORD}, {_Q}, fm AS (SELECT doc_id, mar
 @query(f"WITH {_OWN} SELECT id, boost, count(*) AS n FROM (SELECT id, round({_BOOST}, 6)::DOUBLE AS boost FROM q, fm) GROUP BY ALL")
 def extracted_boosts(spark, d):
     """E10 into V14: boosts by what is extracted from the texts themselves."""
-    rows = extraction.recorded(spark, d).select("meta").crossJoin(F.broadcast(said(spark)))  # nine questions
-    return rows.groupBy("id", F.round(search.metadata_boost(F.col("q"), F.col("meta")), 6).alias("boost")).agg(F.count("*").alias("n"))
+    asked_of = [F.col(f"meta.{k}").alias(k) for k in search.BOOSTED]
+    alike = extraction.recorded(spark, d).groupBy(*asked_of).agg(F.count("*").alias("rows")).select(F.struct(*search.BOOSTED).alias("meta"), "rows")
+    rows = alike.crossJoin(F.broadcast(said(spark)))  # nine questions, against each record once
+    return rows.groupBy("id", F.round(search.metadata_boost(F.col("q"), F.col("meta")), 6).alias("boost")).agg(F.sum("rows").alias("n"))
 
 
 @query(f"WITH {_OWN} SELECT doc_id, {_CITE} AS citation, (artigo IS NOT NULL OR source_type = 'jurisprudence') AND NOT is_vetoed AS kept, coalesce(valid_from >= '2000-01-01' AND valid_from <= '2010-12-31', false) AS in_time FROM md")
